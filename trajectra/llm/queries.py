@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter, warc
+from . import decontaminate, line_dedup, secrets, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,5 +82,58 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM parts
 """
 
-QUERIES = {"op6_warc": op6_warc, "op10_url_filter": op10_url_filter}
-ORACLES = {"op6_warc": OP6_SQL, "op10_url_filter": OP10_SQL}
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
+), item_split AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item_split WHERE len(w) > 0)
+), grams AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM split, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT doc_id, item_id, grams.n AS n, i FROM grams JOIN windows USING (s) WHERE grams.n = windows.n
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM split LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP8_LINES = """
+split AS (
+  SELECT doc_id, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
+), counts AS (
+  SELECT host, line, count(*) AS n_pages FROM (SELECT DISTINCT doc_id, host, trim(unnest(lines), ' ') AS line FROM split) WHERE line <> '' GROUP BY host, line
+), totals AS (
+  SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1
+), flagged AS (
+  SELECT host, list(line) AS lines FROM counts JOIN totals USING (host) WHERE n_pages >= 4 AND n_pages > host_pages * 0.05 GROUP BY host
+), kept AS (
+  SELECT doc_id, split.lines AS lines, list_filter(split.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(flagged.lines, []), trim(x, ' '))) AS left_
+  FROM split LEFT JOIN flagged USING (host)
+)"""
+OP8_SQL = f"""
+WITH {OP8_LINES}
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(left_), 0) AS n_dropped, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(left_, chr(10)), '') END AS text FROM kept
+"""
+
+QUERIES = {"op2_secrets": op2_secrets, "op4_decontaminate": op4_decontaminate, "op6_warc": op6_warc, "op8_line_dedup": op8_line_dedup, "op10_url_filter": op10_url_filter}
+ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
