@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, secrets, url_filter, warc
+from . import decontaminate, line_dedup, packing, secrets, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -135,5 +135,29 @@ WITH {OP8_LINES}
 SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(lines) - len(left_), 0) AS n_dropped, CASE WHEN lines IS NOT NULL THEN coalesce(array_to_string(left_, chr(10)), '') END AS text FROM kept
 """
 
-QUERIES = {"op2_secrets": op2_secrets, "op4_decontaminate": op4_decontaminate, "op6_warc": op6_warc, "op8_line_dedup": op8_line_dedup, "op10_url_filter": op10_url_filter}
+def tokenizer_files() -> dict[str, str]:
+    """The public byte-level BPE with 50k entries, as a tokenizer file and as byte ranks."""
+    import public_tokenizers
+
+    return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), **tokenizer_files())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.score_documents(docs, _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "rejected")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_secrets": op2_secrets,
+    "op4_decontaminate": op4_decontaminate,
+    "op6_warc": op6_warc,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_toxicity": op9_toxicity,
+    "op10_url_filter": op10_url_filter,
+}
 ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
