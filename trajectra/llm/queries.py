@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, secrets, toxicity, url_filter, warc
+from . import decontaminate, line_dedup, near_dedup, packing, secrets, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -151,9 +151,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, _read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted", "rejected")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, similarity=80)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
+    "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_warc": op6_warc,
     "op8_line_dedup": op8_line_dedup,

@@ -261,11 +261,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """``docs`` with ``held_out``, ``score``, ``predicted`` and ``rejected`` (by the language's threshold)."""
     model = fit(docs, labels, max_labelled)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value) if shared.value is not None else lambda text: 0.0
+        scorer = Scorer(model) if model is not None else lambda text: 0.0
         for batch in batches:
             scores = [scorer(t) for t in batch.column("__text").to_pylist()]
             columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
