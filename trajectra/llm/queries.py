@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dedup, packing, secrets, toxicity, url_filter, warc
+from . import ann, decontaminate, html_text, line_dedup, near_dedup, packing, secrets, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -155,12 +155,23 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, similarity=80)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_secrets": op2_secrets,
     "op3_near_dedup": op3_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_html_text": op5_html_text,
     "op6_warc": op6_warc,
+    "op7_ann": op7_ann,
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
