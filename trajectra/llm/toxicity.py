@@ -258,9 +258,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     return train([r.text for r in rows], [r.toxic for r in rows], [r.lang or "" for r in rows])
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``docs`` with ``held_out``, ``score``, ``predicted`` and ``rejected`` (by the language's threshold)."""
-    model = fit(docs, labels, max_labelled)
+def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, training: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``held_out``, ``score``, ``predicted`` and ``rejected`` (by the language's threshold).
+
+    Columns of these names are replaced. The labelled texts are those of ``training``, or of ``docs``.
+    """
+    model = fit(training if training is not None else docs, labels, max_labelled)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model is not None else lambda text: 0.0
