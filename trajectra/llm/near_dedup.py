@@ -11,8 +11,8 @@ size over tasks, and a class has a bounded number of candidates per order.
 Candidates are confirmed on full sets, first each class's most frequent neighbour, then those that
 still join different components, so that a group of thousands doesn't compare all its pairs. Runs
 with more classes than a class takes neighbours are crowded: where such a run holds several
-components, the classes outside its largest are compared by signature, in blocks of bounded size,
-with the whole run, and those alike enough are confirmed too. No link is so lost to crowding. Links
+components, the classes outside its largest are compared with the whole run, in blocks of bounded
+size, on full sets where the signatures are alike enough. No link is so lost to crowding. Links
 that are found agree with the exact relation; the components are those of the links.
 
 Cases: a null text or one without words has an empty set and is alone; fewer words than a shingle
@@ -37,7 +37,7 @@ HASHES, TREES, DEPTH, LEAST_DEPTH, NEXT = 128, 32, 12, 5, 3
 CACHED_WORDS = 200_000
 STRETCH = 1 << 15
 #: Rows of a block of a crowded run, and equal values from which two signatures are confirmed: 4.6 deviations under 80 percent.
-BLOCK, LEAST_EQUAL = 2_000, 81
+BLOCK, LEAST_EQUAL = 1_000, 81
 MIX1, MIX2, MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -221,19 +221,20 @@ def candidates(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(neighbours, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
-def _across_crowded_runs(crowded: DataFrame, classes: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) with a < b: classes of different components in one crowded run, with signatures alike enough.
+def _across_crowded_runs(crowded: DataFrame, classes: DataFrame, sets: DataFrame, parts: DataFrame, similarity: int) -> DataFrame:
+    """(a, b) with a < b: links of classes of different components in one crowded run.
 
-    Each class outside its run's largest component meets every class of the run. Both sides are cut
-    into blocks, so a group holds ``BLOCK`` or so rows of either.
+    Each class outside its run's largest component meets every class of the run, and one link to
+    each other component of the block is given. Both sides are cut into blocks, so a group holds
+    ``BLOCK`` or so rows of either.
     """
     rows = crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
     sizes = rows.groupBy("run", "component").agg(F.count("*").alias("n"))
     runs = sizes.groupBy("run").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_all"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    mixed = rows.join(runs, "run").join(classes.select("id", "n_shingles", "signature"), "id")
+    mixed = rows.join(runs, "run").join(classes.select("id", "n_shingles", "signature"), "id").join(sets, "id")
     minor = F.col("component") != F.col("most.component")
     n_blocks, n_chunks = F.ceil(F.col("n_all") / BLOCK), F.ceil((F.col("n_all") - F.col("most.n")) / BLOCK)
-    columns = "run", "id", "component", "n_shingles", "signature"
+    columns = "run", "id", "component", "n_shingles", "signature", "shingles"
     mine = F.pmod(F.xxhash64("id"), n_blocks)
     targets = mixed.select(*columns, F.lit(0).alias("query"), mine.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), n_chunks - 1)).alias("chunk"))
     queries = mixed.where(minor).select(*columns, F.lit(1).alias("query"), F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block"), F.pmod(F.xxhash64("id"), n_chunks).alias("chunk"))
@@ -243,12 +244,26 @@ def _across_crowded_runs(crowded: DataFrame, classes: DataFrame, parts: DataFram
         ids, parts_, sizes_ = (table.column(c).to_numpy() for c in ("id", "component", "n_shingles"))
         signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), HASHES)
         near, far = np.flatnonzero(query), np.flatnonzero(~query)
+        held = table.column("shingles").combine_chunks()
+        edges = held.offsets.to_numpy()
+        values, codes = np.unique(held.flatten().to_numpy(), return_inverse=True)
+        codes = np.concatenate([np.zeros(edges[0], codes.dtype), codes])
+        mark = np.zeros(len(values), bool)
+        counts = np.diff(edges)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in near:
             fits = far[(parts_[far] != parts_[i]) & (5 * np.minimum(sizes_[far], sizes_[i]) >= 4 * np.maximum(sizes_[far], sizes_[i]))]
             fits = fits[(signatures[fits] == signatures[i]).sum(axis=1) >= LEAST_EQUAL]
-            a.append(np.minimum(ids[fits], ids[i]))
-            b.append(np.maximum(ids[fits], ids[i]))
+            if not len(fits):
+                continue
+            own = codes[edges[i] : edges[i + 1]]
+            mark[own] = True
+            shared = np.array([np.count_nonzero(mark[codes[edges[j] : edges[j + 1]]]) for j in fits])
+            mark[own] = False
+            linked = fits[100 * shared >= similarity * (counts[fits] + counts[i] - shared)]
+            linked = linked[np.unique(parts_[linked], return_index=True)[1]]
+            a.append(np.minimum(ids[linked], ids[i]))
+            b.append(np.maximum(ids[linked], ids[i]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     return queries.unionByName(targets).groupBy("run", "block", "chunk").applyInArrow(compare, "a long, b long").distinct()
@@ -284,8 +299,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     between = found.join(nearest, ["a", "b"], "left_anti").join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = materialize(_confirmed(materialize(between, "between"), sets, similarity), "links-between")
     parts = connected_components(links.unionByName(more))
-    rest = materialize(_across_crowded_runs(crowded, of_class, parts), "across")
-    more = more.unionByName(materialize(_confirmed(rest, sets, similarity), "links-across"))
+    more = more.unionByName(materialize(_across_crowded_runs(crowded, of_class, sets, parts, similarity), "links-across"))
     # Rows of one id with different texts are one document.
     same = linkable.join(classes, "set_hash").where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     twice = of_class.select(F.col("id").alias("doc_id")).join(same.select(F.col("b").alias("doc_id"), "a"), "doc_id").select("a", F.col("doc_id").alias("b"))
