@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_distances, q_sequences
+from . import q_distances, q_paths, q_sequences
 
-MODULES = (q_sequences, q_distances)
+MODULES = (q_sequences, q_distances, q_paths)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
