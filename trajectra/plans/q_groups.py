@@ -192,7 +192,7 @@ def _(spark, d):
 @query("partition_quality", HAM + """, X AS (SELECT d, gi = gj AS same, gi AS c, wi * wj AS w FROM hw), m AS (SELECT sum(w) AS W, sum(w * d) AS D, sum(w * d * d) AS DD, sum(w) FILTER (NOT same) AS X, sum(w * d) FILTER (NOT same) AS XD, sum(w) FILTER (same) AS WS, sum(w * d) FILTER (same) AS DS FROM X),
  v AS (SELECT sum(s / W) AS SW, sum(q / W) AS QW FROM (SELECT c AS g, sum(w * d) AS s, sum(w * d * d) AS q FROM X WHERE same GROUP BY c) JOIN gw USING (g)),
  cc AS (SELECT sum(CASE WHEN a.d < o.d THEN a.w * o.w ELSE 0 END) AS plus, sum(CASE WHEN a.d > o.d THEN a.w * o.w ELSE 0 END) AS minus, sum(a.w * o.w) AS al FROM (SELECT d, sum(w) AS w FROM X WHERE same GROUP BY d) a, (SELECT d, sum(w) AS w FROM X WHERE NOT same GROUP BY d) o),
- od AS (SELECT d, w, sum(w) OVER (ORDER BY d, i, j) AS up, sum(w) OVER (ORDER BY d DESC, i, j) AS dn FROM (SELECT d, i, j, wi * wj AS w FROM hw)), lm AS (SELECT sum(d * w) FILTER (up <= WS) AS least, sum(d * w) FILTER (dn <= WS) AS most FROM od, m)
+ od AS (SELECT d, w, sum(w) OVER (ORDER BY d, i, j) AS up, sum(w) OVER (ORDER BY d DESC, i, j) AS dn FROM (SELECT d, i, j, wi * wj AS w FROM hw)), lm AS (SELECT sum(od.d * od.w) FILTER (up <= WS) AS least, sum(od.d * od.w) FILTER (dn <= WS) AS most FROM od, m)
  SELECT W.W AS n, W.k, round((XD / m.W - X / m.W * D / m.W) / sqrt((DD / m.W - (D / m.W) ** 2) * (X / m.W - (X / m.W) ** 2)), 6) AS pbc, round((plus - minus) / (plus + minus), 6) AS hg, round((plus - minus) / al, 6) AS hgsd, round((DS - least) / (most - least), 6) AS hc,
  round(((D / W.W - SW) / (k - 1)) / (SW / (W.W - k)), 6) AS ch, round(1 - SW / (D / W.W), 6) AS r2, round(((DD / W.W - QW) / (k - 1)) / (QW / (W.W - k)), 6) AS chsq, round(1 - QW / (DD / W.W), 6) AS r2sq FROM m, v, cc, lm, tw W""")
 def _(spark, d):

@@ -57,7 +57,7 @@ def conv_roles(spark: SparkSession, sf_dir: str) -> SequenceFrame:
 def tse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time-stamped events: (id, ts in hours, event)."""
     events = table(spark, sf_dir, "events")
-    return events.select(F.col("user_id").alias("id"), (F.unix_micros("ts") / 3.6e9).alias("ts"), F.col("event_type").alias("event"), F.col("event_id").alias("seq_no"))
+    return events.select(F.col("user_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 3.6e9).alias("ts"), F.col("event_type").alias("event"), F.col("event_id").alias("seq_no"))
 
 
 def _codes(values: tuple[str, ...]) -> str:
