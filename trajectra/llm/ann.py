@@ -20,7 +20,6 @@ by its id; ids that repeat are candidates each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -70,8 +69,8 @@ class KdTree:
         self.low: list[np.ndarray] = []
         self.high: list[np.ndarray] = []
         self.points = points
-        if len(points):
-            self._build(np.arange(len(points)), leaf)
+        self._build(np.arange(len(points)), leaf)
+        self._finish()
 
     def _build(self, rows: np.ndarray, leaf: int) -> int:
         at = len(self.nodes)
@@ -88,21 +87,18 @@ class KdTree:
             self.nodes[at] = (left, right)
         return at
 
-    def _gap(self, node: int, q: np.ndarray) -> float:
-        d = np.maximum(0.0, np.maximum(self.low[node] - q, q - self.high[node]))
-        return float(d @ d)
+    def _finish(self) -> None:
+        held = [(at, node[0]) for at, node in enumerate(self.nodes) if len(node) == 1]
+        self.leaf_rows = [rows for _, rows in held]
+        self.leaf_low = np.stack([self.low[at] for at, _ in held])
+        self.leaf_high = np.stack([self.high[at] for at, _ in held])
 
-    def leaves(self, q: np.ndarray) -> Iterator[tuple[float, np.ndarray]]:
-        """(least squared distance, rows) of each leaf, by that distance."""
-        heap = [(self._gap(0, q), 0)] if self.nodes else []
-        while heap:
-            gap, node = heapq.heappop(heap)
-            held = self.nodes[node]
-            if len(held) == 1:
-                yield gap, held[0]
-            else:
-                for child in held:
-                    heapq.heappush(heap, (self._gap(child, q), child))
+    def leaves(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaves by least squared distance to the query, and those distances."""
+        d = np.maximum(0.0, np.maximum(self.leaf_low - q, q - self.leaf_high))
+        gaps = (d * d).sum(axis=1)
+        order = np.argsort(gaps, kind="stable")
+        return order, gaps[order]
 
 
 def _scores(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
@@ -110,24 +106,34 @@ def _scores(vectors: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float
     return (vectors * q).sum(axis=1) / (norms * q_norm)
 
 
-def search(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query: tuple[int, np.ndarray], projected: np.ndarray, k: int, bound: float, known: float) -> list[tuple[float, int]]:
-    """The best (score, id) of a block; ``known``: a squared distance that k vectors elsewhere reach."""
+def search(tree: KdTree, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray, query: tuple[int, np.ndarray], projected: np.ndarray, k: int, bound: float, known: float) -> tuple[np.ndarray, np.ndarray]:
+    """The best ids of a block and their scores; ``known``: a squared distance that k vectors elsewhere reach.
+
+    Leaves are read in order of projected distance, a growing number at a time, until the test holds.
+    """
     own, q = query
     q_norm = math.sqrt(float((q * q).sum()))
-    found: list[tuple[float, int]] = []
-    limit = known
-    for gap, rows in tree.leaves(projected):
+    best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+    limit, at, step = known, 0, 1
+    order, gaps = tree.leaves(projected)
+    while at < len(order):
         # Equal distances may still hold smaller ids, so a gap of zero is always read.
-        if gap > bound * limit and gap > 1e-18:
+        last = int(np.searchsorted(gaps, max(bound * limit, 1e-18), side="right"))
+        if at >= last:
             break
+        rows = np.concatenate([tree.leaf_rows[x] for x in order[at : min(last, at + step)]])
+        at, step = min(last, at + step), step * 2
         scores = _scores(vectors[rows], norms[rows], q, q_norm)
-        keep = ids[rows] != own
-        found += zip(scores[keep].tolist(), ids[rows][keep].tolist(), strict=True)
-        found.sort(key=lambda x: (-x[0], x[1]))
-        del found[k:]
-        if len(found) == k:
-            limit = min(limit, max(0.0, 2 - 2 * found[-1][0]))
-    return found
+        found = ids[rows]
+        keep = found != own
+        if len(best) == k:
+            keep &= scores >= best[-1]
+        found, scores = np.concatenate([best_ids, found[keep]]), np.concatenate([best, scores[keep]])
+        top = np.lexsort((found, -scores))[:k]
+        best_ids, best = found[top], scores[top]
+        if len(best) == k:
+            limit = min(limit, max(0.0, 2 - 2 * float(best[-1])))
+    return best_ids, best
 
 
 def usable(vector: Column) -> Column:
@@ -228,11 +234,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: floa
             tree, norms = KdTree(project(matrix)), np.sqrt((matrix * matrix).sum(axis=1))
             asked_ids, asked_matrix = right.column("id").to_numpy(), _matrix(right.column("v"))
             for own, q, p, known in zip(asked_ids.tolist(), asked_matrix, project(asked_matrix), right.column("known").to_pylist(), strict=True):
-                for score, found in search(tree, ids, matrix, norms, (own, q), p, k, bound, math.inf if known is None else known):
-                    out[0].append(own)
-                    out[1].append(found)
-                    out[2].append(score)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+                found, scores = search(tree, ids, matrix, norms, (own, q), p, k, bound, math.inf if known is None else known)
+                out[0].append(np.full(len(found), own))
+                out[1].append(found)
+                out[2].append(scores)
+        columns = [np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
 
     def ask(with_cells: DataFrame) -> DataFrame:
         """Queries, by cell, against all blocks of their cells; the block is sent once for each chunk of queries."""
