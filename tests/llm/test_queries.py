@@ -1,0 +1,80 @@
+"""The operators' queries against their SQL, and the pipeline against plain versions of its stages."""
+
+import os
+import sys
+from collections import Counter
+
+import duckdb
+import pytest
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+import brute  # noqa: E402
+import corpus_pipeline  # noqa: E402
+
+from trajectra.llm import packing, queries  # noqa: E402
+from trajectra.llm.store import materialize  # noqa: E402
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark", "pages", "labels", "embeddings"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+    df = queries.QUERIES[name](spark, sf_dir)
+    names = sorted(df.columns)
+    found = con.sql(queries.ORACLES[name])
+    assert sorted(found.columns) == names
+    order = [found.columns.index(c) for c in names]
+    assert Counter(tuple(r[c] for c in names) for r in df.collect()) == Counter(tuple(r[i] for i in order) for r in found.fetchall())
+
+
+def test_every_operator_has_a_query():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    source = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (90_002, "one two three", "en", "s", 13), (90_002, "one two three", "en", "s", 13)]
+    docs = source.unionByName(spark.createDataFrame(odd, source.schema)).selectExpr("*", "1 AS score", "'x' AS n_lines", "2 AS kept")
+    columns = docs.columns
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = materialize(stage(spark, docs, sf_dir), f"test-{name}")
+        assert docs.columns == columns, name
+        kept[name] = (before, docs)
+    before, after = kept["toxicity"]
+    toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
+    gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()}
+    assert len(gone & toxic) >= len(toxic) / 2 and {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+    before, after = kept["line_dedup"]
+    assert sorted((r.doc_id, r.text or "") for r in after.collect()) == sorted((d, t or "") for d, t in brute.dedup_lines([(r.doc_id, r.source, r.text) for r in before.collect()]))
+    assert all(r.n_chars == len(r.text) for r in after.collect() if r.text is not None)
+    before, after = kept["near_dedup"]
+    found = brute.near_components([(r.doc_id, r.text) for r in before.collect()], 5)
+    assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, c in found.items() if d == c)
+    before, after = kept["decontamination"]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    hit = {d for d, _, n, _, _ in brute.contamination([(r.doc_id, r.text) for r in before.collect()], items) if n}
+    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()} - hit
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    encode = packing.Encoder(**queries.tokenizer_files())
+    assert sum(r.length for r in packed) == sum(len(encode(r.text or "")) + 1 for r in docs.collect())
+
+
+def test_toxicity_rejects_toxic_and_keeps_clean_documents(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("needs the next larger tables: the smallest have ten toxic labels")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in queries.op9_toxicity(spark, sf_dir).collect() if r.doc_id in labels]
+    clean, toxic = [r for r in rows if not labels[r.doc_id]], [r for r in rows if labels[r.doc_id]]
+    assert sum(r.rejected for r in clean) <= 0.03 * len(clean) and sum(r.rejected for r in toxic) >= 0.8 * len(toxic)
+
+
+def test_pipeline_of_an_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), "test-empty")
+    assert docs.count() == 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def protect(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
@@ -12,5 +13,6 @@ def protect(docs: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, dict[s
 
 
 def give_back(docs: DataFrame, names: dict[str, str], columns: list[str]) -> DataFrame:
-    """The columns of the table as it came, by name."""
-    return docs.withColumnsRenamed(names).select(*[f"`{c}`" for c in columns])
+    """The columns of the table as it came, by name; what the operator added goes."""
+    held = {own: away for away, own in names.items()}
+    return docs.select(*[F.col(f"`{held.get(c, c)}`").alias(c) for c in columns])
