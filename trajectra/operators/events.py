@@ -138,6 +138,8 @@ def count_occurrences(rows: DataFrame, patterns: Sequence[Sequence[str]], constr
     """(id, pattern, n): at how many events an occurrence of the pattern begins, or whether any does; steps of one event each."""
     held = arrays(rows)
     columns = []
+    if not patterns:
+        return held.where("false").select("id", F.lit("").alias("pattern"), F.lit(0).alias("n"))
     for p in patterns:
         places = f"filter(sequence(0, size(x) - 1), i -> {_completes(list(p), constraint)})"
         n = F.expr(f"size({places})")
