@@ -77,44 +77,54 @@ def _normalized(raw: Raw, norm: str) -> np.ndarray:
     raise ValueError(f"unknown normalization {norm!r}")
 
 
-def edit_distances(x: Block, y: Block, substitution: Callable[[int], np.ndarray], deletion: Callable[[int], np.ndarray], insertion: Callable[[int], np.ndarray]) -> np.ndarray:
-    """Least edit costs of all pairs, row by row over x.
+def _collect(out: np.ndarray, row: list[np.ndarray], rows: np.ndarray, lengths: np.ndarray) -> None:
+    """Take the results of the rows that have ended, at the columns' own lengths."""
+    at = np.flatnonzero(rows)
+    for n in np.unique(lengths) if len(at) else ():
+        cells = np.ix_(at, np.flatnonzero(lengths == n))
+        out[cells] = row[n][cells]
 
-    ``substitution(i)`` is (n, m, Ly), ``deletion(i)`` broadcasts to (n, m, Ly + 1), the cost of
-    x's item i; ``insertion(i)`` broadcasts to (n, m, Ly), the costs of y's items after x's first i.
-    Insertions within a row are a running minimum once their prefix sums are taken off.
-    """
-    n, m, width = len(x.lengths), len(y.lengths), y.codes.shape[1]
-    zero = np.zeros((1, 1, 1))
 
-    def prefix(i: int) -> np.ndarray:
-        costs = np.cumsum(insertion(i), axis=2)
-        return np.concatenate([np.broadcast_to(zero, (*costs.shape[:2], 1)), costs], axis=2)
+def edit_distances(x: Block, y: Block, substitution: Callable[[int, int], np.ndarray], deletion: Callable[[int, int], np.ndarray], insertion: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """Least edit costs of all pairs: the table's cells one by one, each for all pairs together.
 
-    row = np.broadcast_to(prefix(0), (n, m, width + 1)).copy()
+    ``substitution(i, j)`` is (n, m), the cost of x's item i against y's item j; ``deletion(i, j)`` that
+    of x's item i after y's first j, and ``insertion(i, j)`` that of y's item j after x's first i, both
+    broadcast to (n, m). A cell is an array that stays in the processor's cache.
+    """
+    n, m, width = len(x.lengths), len(y.lengths), y.codes.shape[1]
+    row = [np.zeros((n, m))]
+    for j in range(width):
+        row.append(row[j] + insertion(0, j))
     out = np.zeros((n, m))
-    columns = np.arange(m)
-    ended = x.lengths == 0
-    out[ended] = row[ended][:, columns, y.lengths]
+    _collect(out, row, x.lengths == 0, y.lengths)
+    spare = np.empty((n, m))
     for i in range(x.codes.shape[1]):
-        best = row + deletion(i)
-        np.minimum(best[:, :, 1:], row[:, :, :-1] + substitution(i), out=best[:, :, 1:])
-        sums = prefix(i + 1)
-        best -= sums
-        np.minimum.accumulate(best, axis=2, out=best)
-        best += sums
-        row = best
-        ended = x.lengths == i + 1
-        if ended.any():
-            out[ended] = row[ended][:, columns, y.lengths]
+        diagonal = row[0].copy()
+        row[0] += deletion(i, 0)
+        for j in range(width):
+            above = row[j + 1]
+            np.add(diagonal, substitution(i, j), out=spare)
+            diagonal[...] = above
+            above += deletion(i, j + 1)
+            np.minimum(above, spare, out=above)
+            np.add(row[j], insertion(i + 1, j), out=spare)
+            np.minimum(above, spare, out=above)
+        _collect(out, row, x.lengths == i + 1, y.lengths)
     return out
 
 
+def _against(costs: np.ndarray, x: Block, y: Block) -> Callable[[int, int], np.ndarray]:
+    """costs[x's item i, y's item j] for all pairs: whole rows of a small table per j."""
+    tables = [np.ascontiguousarray(costs[:, y.codes[:, j]]) for j in range(y.codes.shape[1])]
+    codes = np.ascontiguousarray(x.codes.T)
+    return lambda i, j: tables[j].take(codes[i], axis=0)
+
+
 def optimal_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray) -> Raw:
     """OM with substitution costs (K+1, K+1) and an indel per state (K+1, index 0 zero)."""
-    by_state = costs[:, y.codes]  # (K + 1, m, Ly)
-    into = indels[y.codes][None]
-    d = edit_distances(x, y, lambda i: by_state[x.codes[:, i]], lambda i: indels[x.codes[:, i]][:, None, None], lambda i: into)
+    leave, enter = indels[x.codes.T][:, :, None], indels[y.codes.T][:, None]
+    d = edit_distances(x, y, _against(costs, x, y), lambda i, j: leave[i], lambda i, j: enter[j])
     top, indel = costs.max(initial=0.0), indels.max(initial=0.0)
     a, b = x.lengths[:, None], y.lengths[None]
     return d, np.abs(a - b) * indel + min(top, 2 * indel) * np.minimum(a, b), a * indel, b * indel
@@ -202,19 +212,12 @@ def localized(x: Block, y: Block, costs: np.ndarray, expansion: float, context:
         after = codes[np.arange(len(codes)), np.clip(i, 0, np.maximum(lengths - 1, 0))]
         return before, after
 
-    gaps = [around(y.codes, y.lengths, j) for j in range(width + 1)] if width else [(np.zeros(m, np.int64),) * 2]
-    before_y, after_y = np.stack([g[0] for g in gaps], 1), np.stack([g[1] for g in gaps], 1)  # (m, Ly + 1)
-
-    def delete(i: int) -> np.ndarray:
-        state = x.codes[:, i]
-        return expansion * top + context * (costs[before_y][:, :, state] + costs[after_y][:, :, state]).transpose(2, 0, 1) / 2
-
-    def insert(i: int) -> np.ndarray:
-        before, after = around(x.codes, x.lengths, i) if x.codes.shape[1] else (np.zeros(n, np.int64),) * 2
-        return expansion * top + context * (costs[before][:, y.codes] + costs[after][:, y.codes]) / 2
-
-    by_state = costs[:, y.codes]
-    d = edit_distances(x, y, lambda i: by_state[x.codes[:, i]], delete, insert)
+    codes = np.ascontiguousarray(x.codes.T)
+    gaps_y = [around(y.codes, y.lengths, j) if width else (np.zeros(m, np.int64),) * 2 for j in range(width + 1)]
+    leave = [np.ascontiguousarray((costs[p] + costs[q]).T) * (context / 2) + expansion * top for p, q in gaps_y]
+    gaps_x = [around(x.codes, x.lengths, i) if x.codes.shape[1] else (np.zeros(n, np.int64),) * 2 for i in range(x.codes.shape[1] + 1)]
+    enter = [(costs[p] + costs[q]) * (context / 2) + expansion * top for p, q in gaps_x]
+    d = edit_distances(x, y, _against(costs, x, y), lambda i, j: leave[j].take(codes[i], axis=0), lambda i, j: enter[i].take(y.codes[:, j], axis=1))
     indel = (expansion + context) * top
     a, b = x.lengths[:, None], y.lengths[None]
     return d, np.abs(a - b) * indel + top * np.minimum(a, b), a * indel, b * indel
@@ -224,13 +227,14 @@ def spell_length_sensitive(x: Block, y: Block, costs: np.ndarray, indels: np.nda
     """OM over positions weighted by their spell's duration to the power -h; ``durations`` are those of each position's spell."""
     u, v = np.where(x.codes > 0, np.maximum(x.durations, 1) ** -power, 0.0), np.where(y.codes > 0, np.maximum(y.durations, 1) ** -power, 0.0)
 
-    def substitute(i: int) -> np.ndarray:
-        base = costs[x.codes[:, i]][:, y.codes]
-        w = u[:, i][:, None, None]
-        return base * ((w + v[None]) / 2 if link == "mean" else np.sqrt(w * v[None]))
+    base = _against(costs, x, y)
+
+    def substitute(i: int, j: int) -> np.ndarray:
+        w, z = u[:, i][:, None], v[:, j][None]
+        return base(i, j) * ((w + z) / 2 if link == "mean" else np.sqrt(w * z))
 
-    into = (indels[y.codes] * v)[None]
-    d = edit_distances(x, y, substitute, lambda i: (indels[x.codes[:, i]] * u[:, i])[:, None, None], lambda i: into)
+    leave, enter = indels[x.codes] * u, indels[y.codes] * v
+    d = edit_distances(x, y, substitute, lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
     indel, top = indels.max(initial=0.0), costs.max(initial=0.0)
     a, b = x.lengths[:, None], y.lengths[None]
     return d, np.abs(a - b) * indel + min(top, 2 * indel) * np.minimum(a, b), a * indel, b * indel
@@ -250,13 +254,13 @@ def spell_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray, we
     u, v = time(x), time(y)
     leave, enter = indels[x.codes] * (x.codes > 0) + u, indels[y.codes] * (y.codes > 0) + v
 
-    def substitute(i: int) -> np.ndarray:
-        state = x.codes[:, i][:, None, None]
-        same = state == y.codes[None]
-        w = u[:, i][:, None, None]
-        return np.where(same, np.abs(w - v[None]), costs[x.codes[:, i]][:, y.codes] + w + v[None])
+    base = _against(costs, x, y)
 
-    d = edit_distances(x, y, substitute, lambda i: leave[:, i][:, None, None], lambda i: enter[None])
+    def substitute(i: int, j: int) -> np.ndarray:
+        w, z = u[:, i][:, None], v[:, j][None]
+        return np.where(x.codes[:, i][:, None] == y.codes[:, j][None], np.abs(w - z), base(i, j) + w + z)
+
+    d = edit_distances(x, y, substitute, lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
     indel = indels.max(initial=0.0)
     top = min(costs.max(initial=0.0), 2 * indel)
     a, b = x.lengths[:, None], y.lengths[None]
@@ -266,30 +270,30 @@ def spell_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray, we
 def time_warp(x: Block, y: Block, costs: np.ndarray, stiffness: float, penalty: float, indel: float) -> Raw:
     """Time-warp edit distance; warps stay within a sequence, and the borders allow them only along the first row and column."""
     n, m, width = len(x.lengths), len(y.lengths), y.codes.shape[1]
-    row = np.broadcast_to(np.arange(width + 1) * indel, (n, m, width + 1)).copy()
+    row = [np.full((n, m), j * indel) for j in range(width + 1)]
     out = np.zeros((n, m))
-    columns = np.arange(m)
-    ended = x.lengths == 0
-    out[ended] = row[ended][:, columns, y.lengths]
+    _collect(out, row, x.lengths == 0, y.lengths)
+    before_x = np.concatenate([np.zeros((n, 1), np.int64), x.codes[:, :-1]], axis=1) if x.codes.shape[1] else x.codes
     before_y = np.concatenate([np.zeros((m, 1), np.int64), y.codes[:, :-1]], axis=1) if width else y.codes
-    warp_y = costs[y.codes, before_y] + stiffness + penalty
-    sums = np.cumsum(np.where(np.arange(width) > 0, warp_y, 0.0), axis=1)[None] if width else np.zeros((1, m, 0))
-    places = np.arange(1, width + 1)
-    for i in range(1, x.codes.shape[1] + 1):
-        now, last = x.codes[:, i - 1], x.codes[:, i - 2] if i > 1 else np.zeros(n, np.int64)
-        cost = costs[now][:, y.codes] + costs[last][:, before_y]
-        equal = (now[:, None, None] == y.codes[None]) & (last[:, None, None] == before_y[None])
-        best = row[:, :, :-1] + np.where(equal, 0.0, cost) + 2 * stiffness * np.abs(i - places)
-        if i > 1:
-            best[:, :, :1] = np.inf
-            np.minimum(best, row[:, :, 1:] + (costs[now, last] + stiffness + penalty)[:, None, None], out=best)
-        else:
-            best[:, :, 1:] = np.inf
-        best = np.minimum.accumulate(best - sums, axis=2) + sums
-        row = np.concatenate([np.full((n, m, 1), i * indel), best], axis=2)
-        ended = x.lengths == i
-        if ended.any():
-            out[ended] = row[ended][:, columns, y.lengths]
+    warp_x, warp_y = costs[x.codes, before_x] + stiffness + penalty, costs[y.codes, before_y] + stiffness + penalty
+    now, last = _against(costs, x, y), _against(costs, Block(before_x, x.lengths), Block(before_y, y.lengths))
+    pair_x, pair_y = x.codes * len(costs) + before_x, y.codes * len(costs) + before_y
+    for i in range(x.codes.shape[1]):
+        diagonal = row[0]
+        row[0] = np.full((n, m), (i + 1) * indel)
+        for j in range(width):
+            above = row[j + 1]
+            if (i == 0) == (j == 0):
+                cost = np.where(pair_x[:, i][:, None] == pair_y[:, j][None], 0.0, now(i, j) + last(i, j))
+                best = diagonal + cost + 2 * stiffness * abs(i - j)
+            else:
+                best = np.full((n, m), np.inf)
+            if j > 0:
+                np.minimum(best, row[j] + warp_y[:, j][None], out=best)
+            if i > 0:
+                np.minimum(best, above + warp_x[:, i][:, None], out=best)
+            diagonal, row[j + 1] = above, best
+        _collect(out, row, x.lengths == i + 1, y.lengths)
     a, b = x.lengths[:, None], y.lengths[None]
     top = min(costs.max(initial=0.0), 2 * indel)
     return out, np.abs(a - b) * (stiffness + penalty + top) + 2 * (top + stiffness) * np.minimum(a, b), a * indel, b * indel

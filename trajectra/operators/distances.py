@@ -27,7 +27,7 @@ from . import transitions as T
 from .sequences import SequenceFrame
 
 #: Distinct sequences of a block; with 30 positions a pair of blocks takes some MB of work space.
-BLOCK = 128
+BLOCK = 96
 SPELL_METHODS = ("LCPspell", "RLCPspell", "LCPmst", "RLCPmst", "LCPprod", "RLCPprod", "OMspell", "OMspellRS", "OMtspell", "NMSMST", "SVRspell")
 METHODS = ("OM", "LCS", "LCP", "RLCP", "HAM", "DHD", "OMloc", "OMslen", "OMstran", "TWED", "NMS", "CHI2", "EUCLID", *SPELL_METHODS)
 AUTO_NORM = {
