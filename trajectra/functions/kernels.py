@@ -33,6 +33,12 @@ class Block:
                 times[i, : len(s)] = durations[i]
         return cls(codes, lengths, times)
 
+    def part(self, a: int, b: int) -> Block:
+        """Some rows, no wider than they need."""
+        lengths = self.lengths[a:b]
+        width = int(lengths.max()) if len(lengths) else 0
+        return Block(self.codes[a:b, :width], lengths, self.durations[a:b, :width] if self.durations.size else self.durations)
+
 
 def spells_of(sequence: list[int]) -> tuple[list[int], list[int]]:
     """States and durations of the spells."""

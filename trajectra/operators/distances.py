@@ -26,8 +26,8 @@ from trajectra.functions import kernels as K
 from . import transitions as T
 from .sequences import SequenceFrame
 
-#: Distinct sequences of a block; with 30 positions a pair of blocks takes some MB of work space.
-BLOCK = 96
+#: Distinct sequences of a block at most and at least, and of a tile of it: the cells of a pair of tiles stay in the cache.
+BLOCK, LEAST_BLOCK, TILE = 512, 96, 96
 SPELL_METHODS = ("LCPspell", "RLCPspell", "LCPmst", "RLCPmst", "LCPprod", "RLCPprod", "OMspell", "OMspellRS", "OMtspell", "NMSMST", "SVRspell")
 METHODS = ("OM", "LCS", "LCP", "RLCP", "HAM", "DHD", "OMloc", "OMslen", "OMstran", "TWED", "NMS", "CHI2", "EUCLID", *SPELL_METHODS)
 AUTO_NORM = {
@@ -44,6 +44,8 @@ def unique_sequences(frame: SequenceFrame) -> DataFrame:
 def block_pairs(unique: DataFrame, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, n_unique: int | None = None, block: int = BLOCK) -> DataFrame:
     """Run ``compare`` on each pair of blocks (the last argument: whether it is one block with itself)."""
     n_unique = unique.count() if n_unique is None else n_unique
+    # A block is sent to each block it meets: few large ones, but enough of them to keep many tasks busy.
+    block = min(block, max(LEAST_BLOCK, math.ceil(n_unique / 16)))
     blocks = max(1, math.ceil(n_unique / block))
     placed = unique.withColumn("__b", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -64,6 +66,7 @@ class Measure:
     norm: str
     spells: bool = False
     position_spells: bool = False
+    heavy: bool = False
 
     def block(self, sequences: list[list[int]]) -> K.Block:
         if self.spells:
@@ -74,7 +77,13 @@ class Measure:
         return K.Block.of(sequences)
 
     def distances(self, a: K.Block, b: K.Block) -> np.ndarray:
-        return K.normalized(self.kernel(a, b), self.norm)
+        """All distances of two blocks, tile by tile."""
+        out = np.zeros((len(a.lengths), len(b.lengths)))
+        step = 48 if self.heavy else TILE
+        for i in range(0, len(a.lengths), step):
+            for j in range(0, len(b.lengths), step):
+                out[i : i + step, j : j + step] = K.normalized(self.kernel(a.part(i, i + step), b.part(j, j + step)), self.norm)
+        return out
 
 
 def measure(
@@ -161,7 +170,7 @@ def measure(
         return Measure(lambda a, b: K.common_spell_product(a, b, backward), norm, spells=True)
     if method in ("NMS", "NMSMST", "SVRspell"):
         what = {"NMS": "count", "NMSMST": "shared", "SVRspell": "product"}[method]
-        return Measure(lambda a, b: K.subsequence_distance(a, b, subsequence_weights, prox, what), norm, spells=method != "NMS")
+        return Measure(lambda a, b: K.subsequence_distance(a, b, subsequence_weights, prox, what), norm, spells=method != "NMS", heavy=True)
     raise ValueError(f"{method} has a function of its own")
 
 
@@ -179,7 +188,6 @@ def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, **opt
     if method in ("HAM", "DHD"):
         _equal_lengths(frame)
     how = measure(frame, method, **options)
-    size = min(block, 48) if method in ("NMS", "NMSMST", "SVRspell") else block
 
     def compare(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -191,7 +199,7 @@ def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, **opt
         rows, columns = np.nonzero(keep)
         return _table(u[rows], v[columns], d[rows, columns])
 
-    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=size)
+    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)
 
 
 def _equal_lengths(frame: SequenceFrame) -> None:
