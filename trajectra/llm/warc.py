@@ -1,6 +1,6 @@
 """WARC archives: write, read back, and merge capture indexes into globally ordered histories.
 
-Archives are plain WARC/1.1 files written through Spark's text sink: a record is one value and the
+Archives are gzipped WARC/1.1 files written through Spark's text sink: a record is one value and the
 sink's line separator is the two CRLFs that end a record, so they go to any file system Spark can
 write and survive lost executors by its commit protocol. A record's size is in its header, so
 payloads may hold anything. Reading parses by those sizes.
@@ -18,6 +18,7 @@ records; other columns are left aside.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -105,10 +106,15 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
 
     records = planned.mapInArrow(build, "value string")
-    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)
+    records.write.option("lineSep", END.decode()).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").mode("overwrite").text(path)
     return path
 
 
+def unpacked(data: bytes) -> bytes:
+    """An archive's bytes, whether gzipped or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes, int, int]]:
     """(headers, block, offset, length) of each record, by the sizes in the headers."""
     at = 0
@@ -142,7 +148,7 @@ def read_index_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
-                for headers, block, offset, length in parse_archive(content.as_py()):
+                for headers, block, offset, length in parse_archive(unpacked(content.as_py())):
                     head, _, payload = block.partition(END)
                     fields = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:])
                     kind, size = headers["WARC-Type"], int(fields["Content-Length"])
