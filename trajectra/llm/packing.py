@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -45,10 +46,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str | None, pattern: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.full = Tokenizer.from_file(tokenizer_path)
+        self.path = tokenizer_path
         self.fast = None
         if ranks_path and pattern:
             import base64
@@ -59,6 +57,14 @@ class Encoder:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def full(self):
+        """The tokenizer file's own encoder, loaded when a text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> list[int]:
         if self.fast is not None and SPECIAL not in text:
             try:
