@@ -127,6 +127,17 @@ def _against(costs: np.ndarray, x: Block, y: Block) -> Callable[[int, int], np.n
     return lambda i, j: tables[j].take(codes[i], axis=0)
 
 
+def _tokens(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Number the combinations of features that items have: both blocks' numbers, and the features of each number.
+
+    Costs that depend on several features of an item are then a table over few numbers.
+    """
+    both = [np.concatenate([a.ravel(), b.ravel()]) for a, b in zip(x, y, strict=True)]
+    found, inverse = np.unique(np.stack(both, axis=1), axis=0, return_inverse=True) if len(both[0]) else (np.zeros((1, len(both))), np.zeros(0, np.int64))
+    inverse = inverse.ravel()
+    return inverse[: x[0].size].reshape(x[0].shape), inverse[x[0].size :].reshape(y[0].shape), list(found.T)
+
+
 def optimal_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray) -> Raw:
     """OM with substitution costs (K+1, K+1) and an indel per state (K+1, index 0 zero)."""
     leave, enter = indels[x.codes.T][:, :, None], indels[y.codes.T][:, None]
@@ -231,16 +242,13 @@ def localized(x: Block, y: Block, costs: np.ndarray, expansion: float, context:
 
 def spell_length_sensitive(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray, power: float, link: str) -> Raw:
     """OM over positions weighted by their spell's duration to the power -h; ``durations`` are those of each position's spell."""
-    u, v = np.where(x.codes > 0, np.maximum(x.durations, 1) ** -power, 0.0), np.where(y.codes > 0, np.maximum(y.durations, 1) ** -power, 0.0)
-
-    base = _against(costs, x, y)
-
-    def substitute(i: int, j: int) -> np.ndarray:
-        w, z = u[:, i][:, None], v[:, j][None]
-        return base(i, j) * ((w + z) / 2 if link == "mean" else np.sqrt(w * z))
-
-    leave, enter = indels[x.codes] * u, indels[y.codes] * v
-    d = edit_distances(x, y, substitute, lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
+    p, q, (state, dur) = _tokens([x.codes, x.durations], [y.codes, y.durations])
+    state = state.astype(np.int64)
+    time = np.where(state > 0, np.maximum(dur, 1) ** -power, 0.0)
+    u, v = time[:, None], time[None]
+    table = costs[state][:, state] * ((u + v) / 2 if link == "mean" else np.sqrt(u * v))
+    leave, enter = (indels[state] * time)[p], (indels[state] * time)[q]
+    d = edit_distances(x, y, _against(table, Block(p, x.lengths), Block(q, y.lengths)), lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
     indel, top = indels.max(initial=0.0), costs.max(initial=0.0)
     a, b = x.lengths[:, None], y.lengths[None]
     return d, np.abs(a - b) * indel + min(top, 2 * indel) * np.minimum(a, b), a * indel, b * indel
@@ -253,20 +261,14 @@ def spell_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray, we
     """
     scale = np.ones(len(costs)) if tokens is None else tokens
 
-    def time(block: Block) -> np.ndarray:
-        t = block.durations / relative if relative else block.durations - 1
-        return np.where(block.codes > 0, weight * scale[block.codes] * t, 0.0)
-
-    u, v = time(x), time(y)
-    leave, enter = indels[x.codes] * (x.codes > 0) + u, indels[y.codes] * (y.codes > 0) + v
-
-    base = _against(costs, x, y)
-
-    def substitute(i: int, j: int) -> np.ndarray:
-        w, z = u[:, i][:, None], v[:, j][None]
-        return np.where(x.codes[:, i][:, None] == y.codes[:, j][None], np.abs(w - z), base(i, j) + w + z)
-
-    d = edit_distances(x, y, substitute, lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
+    p, q, (state, dur) = _tokens([x.codes, x.durations], [y.codes, y.durations])
+    state = state.astype(np.int64)
+    time = np.where(state > 0, weight * scale[state] * (dur / relative if relative else dur - 1), 0.0)
+    move = np.where(state > 0, indels[state] + time, 0.0)
+    u, v = time[:, None], time[None]
+    table = np.where(state[:, None] == state[None], np.abs(u - v), costs[state][:, state] + u + v)
+    leave, enter = move[p], move[q]
+    d = edit_distances(x, y, _against(table, Block(p, x.lengths), Block(q, y.lengths)), lambda i, j: leave[:, i][:, None], lambda i, j: enter[:, j][None])
     indel = indels.max(initial=0.0)
     top = min(costs.max(initial=0.0), 2 * indel)
     a, b = x.lengths[:, None], y.lengths[None]
@@ -282,16 +284,19 @@ def time_warp(x: Block, y: Block, costs: np.ndarray, stiffness: float, penalty:
     before_x = np.concatenate([np.zeros((n, 1), np.int64), x.codes[:, :-1]], axis=1) if x.codes.shape[1] else x.codes
     before_y = np.concatenate([np.zeros((m, 1), np.int64), y.codes[:, :-1]], axis=1) if width else y.codes
     warp_x, warp_y = costs[x.codes, before_x] + stiffness + penalty, costs[y.codes, before_y] + stiffness + penalty
-    now, last = _against(costs, x, y), _against(costs, Block(before_x, x.lengths), Block(before_y, y.lengths))
-    pair_x, pair_y = x.codes * len(costs) + before_x, y.codes * len(costs) + before_y
+    p, q, (now, last) = _tokens([x.codes, before_x], [y.codes, before_y])
+    now, last = now.astype(np.int64), last.astype(np.int64)
+    table = costs[now][:, now] + costs[last][:, last]
+    np.fill_diagonal(table, 0.0)
+    pair = _against(table, Block(p, x.lengths), Block(q, y.lengths))
     for i in range(x.codes.shape[1]):
         diagonal = row[0]
         row[0] = np.full((n, m), (i + 1) * indel)
         for j in range(width):
             above = row[j + 1]
             if (i == 0) == (j == 0):
-                cost = np.where(pair_x[:, i][:, None] == pair_y[:, j][None], 0.0, now(i, j) + last(i, j))
-                best = diagonal + cost + 2 * stiffness * abs(i - j)
+                best = diagonal + pair(i, j)
+                best += 2 * stiffness * abs(i - j)
             else:
                 best = np.full((n, m), np.inf)
             if j > 0:
