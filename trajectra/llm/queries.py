@@ -86,6 +86,44 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_UPTO = "coalesce(list_sum(list_transform(p[1:{0}], lambda q: length(q))), 0)"
+_RUNS = "list_transform(list_filter(range(2, len(p) + 1), lambda i: i % 2 = 0), lambda i: {{'s': " + _UPTO.format("i - 1") + ", 'r': {rank}, 'e': " + _UPTO.format("i") + "}})"
+
+
+def _marked(pattern: str, groups: str) -> str:
+    return f"string_split(regexp_replace(t, {_text(pattern)}, {groups}, 'g'), chr(1))"
+
+
+_WHOLE = r"chr(1) || '\0' || chr(1)"
+_ALLOWED = " OR ".join(f"regexp_matches(x, {_text(p)})" for p in secrets.ALLOWED)
+#: A run of the wider class that is all hex is the hex class's run between other characters.
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(3)) AS t FROM documents),
+a AS (SELECT doc_id, t, {_marked(secrets.ASSIGN, r"chr(1) || '\1' || chr(1) || '\2' || chr(1)")} AS p FROM d),
+a2 AS (SELECT doc_id, t, list_transform(list_filter(range(3, len(p) + 1), lambda i: i % 3 = 0 AND length(p[i]) >= 6), lambda i: {{'s': {_UPTO.format("i - 2")}, 'r': 0, 'e': {_UPTO.format("i")}}}) AS sa FROM a),
+b AS (SELECT doc_id, t, sa, {_marked(secrets.ACCESS, _WHOLE)} AS p FROM a2),
+b2 AS (SELECT doc_id, t, sa, {_RUNS.format(rank=1)} AS sb FROM b),
+c AS (SELECT doc_id, t, sa, sb, {_marked(secrets.HEX, _WHOLE)} AS p FROM b2),
+c2 AS (SELECT doc_id, t, sa, sb, {_RUNS.format(rank=2)} AS sc FROM c),
+e AS (SELECT doc_id, sa, sb, sc, list_sort(list_concat(sa, sb, sc)) AS base, {_marked(secrets.CLASSES[1][1], _WHOLE)} AS p FROM c2),
+e2 AS (SELECT doc_id, unnest(list_filter(range(2, len(p) + 1), lambda i: i % 2 = 0)) AS i, p, base FROM e),
+e3 AS (SELECT doc_id, base, p[i] AS x, {_UPTO.format("i - 1")} AS s, {_UPTO.format("i")} AS e FROM e2),
+e4 AS (SELECT doc_id, s, e, x, regexp_full_match(x, '[0-9A-Fa-f]+') AS hex FROM e3 WHERE regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]') AND NOT ({_ALLOWED}) AND len(list_filter(base, lambda y: y.s < e AND s < y.e)) = 0),
+e5 AS (SELECT doc_id, s, e, hex, list_max(list_transform(range(1, length(x) - 18), lambda i: list_sum(list_transform(list_distinct(string_split(substr(x, i, 20), '')), lambda y:
+  -(20 - length(replace(substr(x, i, 20), y, ''))) / 20 * log2((20 - length(replace(substr(x, i, 20), y, ''))) / 20))))) AS h FROM e4),
+e6 AS (SELECT doc_id, list({{'s': s, 'r': CASE WHEN hex THEN 3 ELSE 4 END, 'e': e}}) AS se FROM e5 WHERE h >= CASE WHEN hex THEN {secrets.CLASSES[0][3]} ELSE {secrets.CLASSES[1][3]} END GROUP BY doc_id),
+f AS (SELECT e.*, coalesce(se, []) AS se FROM e LEFT JOIN e6 USING (doc_id))
+SELECT doc_id, CAST(len(sa) AS BIGINT) AS n_assign, CAST(len(sb) AS BIGINT) AS n_access, CAST(len(sc) AS BIGINT) AS n_hex, CAST(len(se) AS BIGINT) AS n_entropy,
+  sha256(array_to_string(list_transform(base, lambda y: {list(secrets.KINDS)}[y.r + 1] || ':' || y.s || ':' || y.e), ',')) AS base_sha256,
+  array_to_string(list_transform(list_sort(list_concat(base, se)), lambda y: {list(secrets.KINDS)}[y.r + 1] || ':' || y.s || ':' || y.e), ',') AS spans
+FROM f
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -176,4 +214,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
-ORACLES = {"op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+ORACLES = {"op2_secrets": OP2_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
