@@ -180,6 +180,17 @@ def test_near_copies_equal_brute_force(spark, sf_dir, shingle):
         assert r.component_id == want[r.doc_id] and r.n_shingles == sizes[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_copies_in_crowds_of_longer_documents(spark):
+    """The first two of each 300 have no candidates: in every order the rows next to them are longer ones that hold the same passage."""
+    texts = []
+    for g in (22, 33):
+        passage = " ".join(f"c{g}x{i}" for i in range(104))
+        texts += [f"{passage} " + " ".join(f"p{g}q{k}w{i}" for i in range(12)) for k in range(2)]
+        texts += [f"{passage} " + " ".join(f"t{g}v{k}w{i}" for i in range(43)) for k in range(298)]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, texts).select("doc_id", "text"), 5).collect()}
+    assert found == {d: d - 1 if d % 300 == 1 else d for d in range(600)}
+
+
 def test_near_copies_with_repeated_and_null_ids(spark):
     a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
     rows = spark.createDataFrame([(3, a), (3, b), (5, a), (7, b), (None, a), (9, a), (9, a)], "doc_id long, text string")

@@ -221,17 +221,22 @@ def candidates(classes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(neighbours, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes"))
 
 
-def _across_crowded_runs(crowded: DataFrame, classes: DataFrame, sets: DataFrame, parts: DataFrame, similarity: int) -> DataFrame:
+def _mixed_runs(crowded: DataFrame, parts: DataFrame) -> DataFrame:
+    """(run, id, component, most, n_all, n_parts): the classes of the crowded runs that hold several components."""
+    rows = crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("run", "component").agg(F.count("*").alias("n"))
+    runs = sizes.groupBy("run").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_all"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    return rows.join(runs, "run")
+
+
+def _across_crowded_runs(mixed: DataFrame, classes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b) with a < b: links of classes of different components in one crowded run.
 
     Each class outside its run's largest component meets every class of the run, and one link to
     each other component of the block is given. Both sides are cut into blocks, so a group holds
     ``BLOCK`` or so rows of either.
     """
-    rows = crowded.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("run", "id", F.coalesce("component", "id").alias("component"))
-    sizes = rows.groupBy("run", "component").agg(F.count("*").alias("n"))
-    runs = sizes.groupBy("run").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n_all"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    mixed = rows.join(runs, "run").join(classes.select("id", "n_shingles", "signature"), "id").join(sets, "id")
+    mixed = mixed.join(classes.select("id", "n_shingles", "signature"), "id").join(sets, "id")
     minor = F.col("component") != F.col("most.component")
     n_blocks, n_chunks = F.ceil(F.col("n_all") / BLOCK), F.ceil((F.col("n_all") - F.col("most.n")) / BLOCK)
     columns = "run", "id", "component", "n_shingles", "signature", "shingles"
@@ -299,7 +304,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     between = found.join(nearest, ["a", "b"], "left_anti").join(label_a, "a", "left").join(label_b, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = materialize(_confirmed(materialize(between, "between"), sets, similarity), "links-between")
     parts = connected_components(links.unionByName(more))
-    more = more.unionByName(materialize(_across_crowded_runs(crowded, of_class, sets, parts, similarity), "links-across"))
+    # A class of a crowded run may have no candidates, where the size filter took all its neighbours.
+    mixed = materialize(_mixed_runs(crowded, parts), "mixed-runs")
+    alone = materialize(mixed.select(F.col("id").alias("doc_id")).distinct().join(ends, "doc_id", "left_anti"), "alone")
+    others = materialize(shingle_sets(docs.select("doc_id", "text").where("doc_id IS NOT NULL").join(alone, "doc_id", "left_semi"), shingle), "sets-alone").dropDuplicates(["id", "shingles"])
+    more = more.unionByName(materialize(_across_crowded_runs(mixed, of_class, sets.unionByName(others), similarity), "links-across"))
     # Rows of one id with different texts are one document.
     same = linkable.join(classes, "set_hash").where("id <> doc_id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
     twice = of_class.select(F.col("id").alias("doc_id")).join(same.select(F.col("b").alias("doc_id"), "a"), "doc_id").select("a", F.col("doc_id").alias("b"))
