@@ -1,5 +1,6 @@
 """Operators on small hand-made tables, and their edge cases."""
 
+import itertools
 import math
 
 import numpy as np
@@ -137,6 +138,23 @@ def test_mining_keeps_simultaneous_and_later_apart(spark):
     assert found == {"(a)": 2, "(b)": 2, "(a,b)": 1, "(a)-(a)": 1, "(b)-(a)": 1, "(a)-(b)": 1}
 
 
+def test_mining_has_no_longest_pattern(spark):
+    rng = np.random.default_rng(7)
+    seqs = ["".join(rng.choice(list("abc"), 6)) for _ in range(12)]
+    rows = spark.createDataFrame([(i, float(t), e) for i, s in enumerate(seqs) for t, e in enumerate(s)], "id long, ts double, event string")
+    within = {None: lambda places: True, 1.0: lambda places: all(b - a <= 1 for a, b in zip(places, places[1:], strict=False))}
+    for gap, fits in within.items():
+        held: dict = {}
+        for i, s in enumerate(seqs):
+            for n in range(1, 7):
+                for places in itertools.combinations(range(6), n):
+                    if fits(places):
+                        held.setdefault("-".join(f"({s[p]})" for p in places), set()).add(i)
+        want = {p: (p.count("("), len(ids)) for p, ids in held.items() if len(ids) >= 3}
+        found = {r.pattern: (r.length, r.support) for r in E.frequent_subsequences(rows, 3, constraint=E.Constraint(max_gap=gap)).collect()}
+        assert found == want and (gap or max(n for n, _ in want.values()) > 3)
+
+
 def test_person_period_refuses_bad_events(spark):
     rows = spark.createDataFrame([(1, 2, 3)], "id long, time int, event int")
     with pytest.raises(Exception, match="event 0 or 1"):

@@ -66,13 +66,13 @@ def timing_features(frame: SequenceFrame, width: int, length: int) -> DataFrame:
     return spells.groupBy("id").agg(*columns)
 
 
-def sequencing_features(frame: SequenceFrame, min_support: float, longest: int = 2) -> DataFrame:
-    """(id, pattern, has): frequent subsequences of state changes, by id."""
+def sequencing_features(frame: SequenceFrame, min_support: float, longest: int | None = None) -> DataFrame:
+    """(id, pattern, has): frequent subsequences of state changes, by id; of up to ``longest`` events, None is no limit."""
     from . import events as E
 
     rows = E.from_states(frame, "state")
     found = E.frequent_subsequences(rows, min_support, longest)
-    patterns = [[step[0] for step in E.parse_pattern(r.pattern)] for r in found.select("pattern").collect() if "," not in r.pattern]  # bounded by the alphabet's power
+    patterns = [[step[0] for step in E.parse_pattern(r.pattern)] for r in found.select("pattern").collect() if "," not in r.pattern]  # as many as are frequent
     return E.count_occurrences(rows, sorted(patterns), presence=True).withColumnRenamed("n", "has")
 
 

@@ -53,6 +53,12 @@ def _(spark, d):
     return E.frequent_subsequences(_tse(spark, d), 10, longest=2, constraint=E.Constraint(max_gap=3.0))
 
 
+@query("frequent_subsequences_gap_whole")
+def _(spark, d):
+    """Of any length; the SQL of ``frequent_subsequences_gap`` ends at two events."""
+    return E.frequent_subsequences(_tse(spark, d), 10, constraint=E.Constraint(max_gap=3.0))
+
+
 COUNTS = TSE + ", o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event) AS i FROM v), k AS (SELECT DISTINCT a.id, a.i FROM o a JOIN o b ON a.id = b.id AND b.i > a.i WHERE a.event = 'view' AND b.event = 'purchase' AND b.ts - a.ts <= 24), k1 AS (SELECT id, i FROM o WHERE event = 'error'), ids AS (SELECT DISTINCT id FROM v), c AS (SELECT id, '(view)-(purchase)' AS pattern, (SELECT count(*) FROM k WHERE k.id = ids.id) AS n FROM ids UNION ALL SELECT id, '(error)', (SELECT count(*) FROM k1 WHERE k1.id = ids.id) FROM ids)"
 
 
