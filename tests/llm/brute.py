@@ -108,14 +108,16 @@ def contamination(docs, items):
     return out
 
 
-def dedup_lines(docs, ratio=0.05, least=4):
+def dedup_lines(docs, ratio=0.002, least=3):
     """docs: (doc_id, source, text): (doc_id, text)."""
     pages: dict = {}
-    counts: dict = {}
+    seen: dict = {}
     for _, s, t in docs:
         s = s or ""
         pages[s] = pages.get(s, 0) + 1
-        for line in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
-            counts[s, line] = counts.get((s, line), 0) + 1
-    drop = {k for k, n in counts.items() if n >= least and n > pages[k[0]] * ratio}
+        held = {x.strip(" ") for x in (t or "").split("\n")} - {""}
+        by_size = sorted(held, key=lambda x: (len(x), x.encode()), reverse=True)
+        for line in held:
+            seen.setdefault((s, line), []).append(next((x for x in by_size if x != line), None))
+    drop = {k for k, around in seen.items() if len(around) >= max(2, min(least, pages[k[0]])) and len(around) > pages[k[0]] * ratio and 3 * len(set(around)) > len(around)}
     return [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") == "" or (s or "", x.strip(" ")) not in drop)) for d, s, t in docs]

@@ -1,5 +1,6 @@
 """The training-data operators against plain versions, and their edge cases."""
 
+import gzip
 import html
 import os
 import random
@@ -17,6 +18,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from trajectra.llm import ann, components, decontaminate, html_text, line_dedup, near_dedup, packing, queries, secrets, toxicity, url_filter, warc  # noqa: E402
+from trajectra.llm.store import materialize, scratch_path  # noqa: E402
 
 ODD = [None, "", " \n ", "x", "a b c d e", "\x00\x01\x02", "é\u2003ß \U0001f600 " * 3, "w" * 50_000, "same text here again " * 40, "same text here again " * 40]
 
@@ -90,6 +92,25 @@ def test_packing_of_odd_texts(spark, encoder):
     assert twice.count() == 2 * packing.pack_documents(docs, **queries.tokenizer_files()).count()
 
 
+def test_certified_partitions_keep_their_bins(spark):
+    rng = random.Random(1)
+    items = [(i, 0, 0, rng.choice([600, 500, 424, 341, 342, 683, 100]), 0, i) for i in range(400)] + [(900, 0, 0, 1024, 0, 900)]
+    report: list = []
+    rows = packing.pack_pieces(spark.createDataFrame(items, packing.PIECES), 1024, items_per_partition=20, report=report).collect()
+    used = len({r.sequence_id for r in rows})
+    assert {(r.n_sequences, r.least_sequences) for r in rows} == {(used, report[-1]["total_bound"])} and report[-1]["total"] == used
+    assert report[0]["partitions"] == 20 and 0 < report[0]["certified"] < 20 and all(r["bins"] >= r["bound"] and r["total"] >= r["total_bound"] for r in report)
+    # Of a certified partition only the emptiest bin is given to the exchange.
+    first = packing._pack_round(spark.createDataFrame(items[:400], packing.PIECES), 20, 0, 1024).collect()
+    for part in range(20):
+        mine = [r for r in first if r.part == part]
+        given = {r.sequence_id for r in mine if r.gives}
+        fill: dict = {}
+        for r in mine:
+            fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+        assert len(given) <= 1 and all(fill[b] == min(fill.values()) for b in given) if mine[0].bins == mine[0].bound else given == {b for b, n in fill.items() if n < 1024}
+
+
 def test_exchanges_save_bins(spark):
     rng = random.Random(1)
     items = [(i, 0, 0, rng.choice([600, 500, 424, 341, 342, 683, 100]), 0, i) for i in range(400)]
@@ -234,6 +255,46 @@ def test_articles_of_a_table(spark, sf_dir):
         assert r.text == article_of(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
+def variants(page):
+    """The page without its marks, and with boilerplate of several kinds around and in its article."""
+    yield re.sub(r"</?article[^>]*>", "", page)
+    yield page.replace("<article>", "<div>").replace("</article>", "</div>")
+    before = '<div class="cookie-notice"><p>We use cookies to improve many things here.</p></div><header><h1>Site name</h1><p>tagline of the site</p></header>'
+    after = '<section class="comments"><h2>Comments</h2><p>I liked this article very much, thanks.</p></section><aside class="sidebar"><p>Popular posts and many other words</p></aside><form><p>Sign up</p><input></form>'
+    yield page.replace("<article>", before + '<div class="post-content">').replace("</article>", "</div>" + after)
+    yield page.replace("</p><p>", "</p><div class='ad'>Buy this thing</div><aside>note</aside><p>", 1)
+
+
+def with_unknown_names(page):
+    return page.replace("<article>", '<div class="xq zone"><p>' + "Buy now and save more words here. " * 8 + "</p></div><article>").replace("</article>", '</article><div id="xq2"><p>some other teaser words that are not part of it</p></div>')
+
+
+def test_articles_without_marks_and_with_other_boilerplate(spark, sf_dir):
+    pages = [r.html for r in read(spark, sf_dir, "pages").orderBy("page_id").collect()]
+    weights = html_text.learn(pages)
+    for page in pages:
+        for other in variants(page):
+            assert html_text.extract(other, weights) == article_of(page)
+
+
+def test_learned_weights_decide(spark, sf_dir):
+    """Constant weights give other texts; names that no prior has are learned, and then hold on pages without marks."""
+    pages = [r.html for r in read(spark, sf_dir, "pages").orderBy("page_id").collect()]
+    constant, priors = html_text.Weights(), html_text.Weights()
+    constant.of = lambda feature: 1.0
+    assert all(html_text.extract(p, constant) != article_of(p) for p in pages)
+    learned = html_text.learn([with_unknown_names(p) for p in pages])
+    for page in pages:
+        assert html_text.extract(with_unknown_names(page), priors) != article_of(page)
+        assert html_text.extract(re.sub(r"</?article[^>]*>", "", with_unknown_names(page)), learned) == article_of(page)
+
+
+def test_counts_of_executors_equal_the_pages(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    rows = pages.selectExpr("page_id AS k", "html AS h")
+    assert html_text.regress(html_text.sample_counts(rows, 10_000)).learned == html_text.learn([r.html for r in pages.collect()]).learned
+
+
 CASES = [
     ("", ""), ("plain text only", "plain text only"), ("<p>one<p>two &lt;b&gt;", "one\n\ntwo <b>"),
     ('<body><div id="header">Site</div><div class="menu"><a>Home</a></div><div class="content"><h2>Title</h2><p>First &amp; last words.</p><div class="ad">Buy</div><p>More <i>of</i> the text here.<div class="comments"><p>Nice</p></div></div><div class="footer">c</div></body>', "Title\n\nFirst & last words.\n\nMore of the text here."),
@@ -268,28 +329,59 @@ def test_best_region_has_the_highest_sum(scores):
 
 def test_archives_keep_payloads(spark, tmp_path):
     rows = [(i, u, h) for i, (u, h) in enumerate([("http://b.com/x", "one"), ("http://a.com/y", "one"), (None, None), ("https://www.a.com/y?q#f", ""), ("http://b.com/x", "a\r\n\r\nWARC/1.1\r\n\r\nb \U0001f600"), ("nonsense", "y" * 20_000)])]
+    rows += [(None, "http://n.com/1", "one"), (None, "http://n.com/2", "two"), (None, "http://n.com/3", "two"), (10**15 + 7, "http://n.com/1", "three")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    path = warc.write_archives(pages, f"file://{tmp_path}/w")
+    path = warc.write_archives(pages, f"file://{tmp_path}/w", row_bytes=600, file_rows=2)
     payloads = {}
     for name in os.listdir(tmp_path / "w"):
         if name.startswith("part-"):
-            for headers, block, _, _ in warc.parse_archive(warc.unpacked((tmp_path / "w" / name).read_bytes())):
-                payloads[int(headers["X-Record-Key"])] = (headers["WARC-Type"], block.partition(b"\r\n\r\n")[2])
-    assert payloads[4] == ("response", rows[4][2].encode()) and payloads[1] == ("response", b"one") and payloads[0] == ("revisit", b"")
-    index = {r.record_id: r for r in warc.merge_index(warc.read_index_runs(spark, path)).collect()}
+            data = (tmp_path / "w" / name).read_bytes()
+            whole = gzip.decompress(data)
+            assert whole == b"".join(x for x, _, _ in warc.members(data))
+            for record, at, length in warc.members(data):
+                assert gzip.decompress(data[at : at + length]) == record
+                headers, block = warc.parse_record(record)
+                payloads[headers.get("X-Record-Key", headers.get("WARC-Target-URI"))] = (headers["WARC-Type"], block.partition(b"\r\n\r\n")[2])
+    assert payloads["4"] == ("response", rows[4][2].encode()) and payloads["1"] == ("response", b"one") and payloads["0"] == ("revisit", b"")
+    assert payloads["http://n.com/1"] == ("revisit", b"") and payloads["http://n.com/2"] == payloads["http://n.com/3"] == ("response", b"two")
+    found = warc.merge_index(materialize(warc.read_index_runs(spark, path), "runs")).collect()
+    index = {r.record_id: r for r in found if r.record_id is not None}
+    assert len(found) == len(rows) and len(index) == 7
     assert (index[0].record_type, index[0].refers_to, index[0].payload_bytes, index[0].payload_digest) == ("revisit", 1, 3, warc.digest(b"one"))
-    assert index[2].refers_to == 3 and index[5].payload_bytes == 20_000
+    assert index[2].refers_to == 3 and index[5].payload_bytes == 20_000 and index[10**15 + 7].history_rank == 1
+    for r in found:  # a record is read alone, from its place
+        data = open(r.archive.removeprefix("file:"), "rb").read()
+        headers, _ = warc.parse_record(gzip.decompress(data[r.offset : r.offset + r.length]))
+        assert headers["WARC-Payload-Digest"] == "sha1:" + r.payload_digest
+
+
+def test_large_records_end_in_a_member_that_the_sink_can_cut():
+    for data in (b"", b"x", b"y" * (1 << 24), bytes(range(256)) * 70_000):
+        packed = warc.member(data)
+        assert packed[-1] == 0 and gzip.decompress(packed) == data and [x for x, _, _ in warc.members(packed)] == [data] * bool(data)
 
 
 def test_merged_index_is_in_global_order(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    merged = warc.capture_index(pages.union(pages.selectExpr("page_id + 100000", "url", "html")))
+    hot = pages.selectExpr("page_id + 200000 AS page_id", "'http://one.example/x' AS url", "html")
+    merged = warc.capture_index(pages.union(pages.selectExpr("page_id + 100000", "url", "html")).union(hot))
     rows = sorted(((r.range_id, i, r) for i, r in enumerate(merged.collect())), key=lambda x: x[:2])
     keys = [(r.url_key.encode(), r.captured_at, r.record_id) for _, _, r in rows]
-    assert keys == sorted(keys) and len(keys) == 2 * pages.count()
+    assert keys == sorted(keys) and len(keys) == 3 * pages.count()
     assert warc.capture_index(pages.where("false")).count() == 0
 
 
+def test_ranks_go_on_over_ranges(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").selectExpr("page_id", "CASE WHEN page_id % 3 = 0 THEN url ELSE 'http://one.example/x' END AS url", "html")
+    path = warc.write_archives(pages, scratch_path(spark, "test-warc"), row_bytes=20_000, file_rows=1)
+    rows = warc.merge_index(materialize(warc.read_index_runs(spark, path), "runs"), range_rows=10).collect()
+    assert len({r.range_id for r in rows if r.url_key == "example,one)/x"}) > 3
+    by_key: dict = {}
+    for r in sorted(rows, key=lambda r: (r.url_key.encode(), r.captured_at, r.record_id)):
+        assert r.history_rank == by_key.setdefault(r.url_key, 0)
+        by_key[r.url_key] += 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), max_size=6), max_size=7))
 def test_loser_tree_merges(runs):
@@ -324,10 +416,32 @@ def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (100, [0.0, 0.0]), (150, None), (200, [float("nan"), 1.0]), (250, [1.0, None]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 2.0, 3.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     found = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5).collect())
-    assert found == [(0, 1, 1), (0, 2, 50), (0, 3, 2), (50, 1, 0), (50, 2, 1), (50, 3, 2)]
+    assert found == [(0, 1, 1), (0, 2, 50), (0, 3, 3), (0, 4, 2), (50, 1, 0), (50, 2, 1), (50, 3, 3), (50, 4, 2)]
     assert ann.nearest(vectors.where("false"), vectors.where("false"), 5).count() == 0
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e300, 0.0]), (3, [5e-324, 5e-324]), (4, [-1e308, 1e308]), (50, [1e308, 1e-308])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()}
+    assert [found[0, i][0] for i in (1, 2, 5)] == [1, 3, 4] and {found[0, 3][0], found[0, 4][0]} == {2, 50} and found[0, 1][1] == pytest.approx(1) and found[0, 5][1] == pytest.approx(0, abs=1e-12)
+    assert found[50, 1][0] == 2 and {found[50, i][0] for i in (2, 3)} == {0, 1}
+
+
+def test_neighbours_of_many_cells_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 24))
+    matrix = centres[rng.integers(0, 40, 6_000)] + 0.5 * rng.standard_normal((6_000, 24))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(matrix.tolist())], "vec_id long, embedding array<double>")
+    found: dict = {}
+    for r in ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), 5, block=100).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    cosine = matrix @ matrix.T / np.outer(*[np.linalg.norm(matrix, axis=1)] * 2)
+    np.fill_diagonal(cosine, -2)
+    hits = sum(len(found[q] & set(np.argsort(-cosine[q])[:5])) for q in range(0, 6_000, 50))
+    assert hits / (5 * 120) >= 0.9
+
+
 def test_chi_square_bound():
     assert ann.chi_square_cdf(ann.chi_square_bound(0.95, 8), 8) == pytest.approx(0.95)
     assert ann.chi_square_bound(0.95, 8) == pytest.approx(15.507, abs=1e-3)
@@ -345,9 +459,60 @@ def test_lines_equal_brute_force(spark, sf_dir):
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
 
 
+def test_boilerplate_on_hot_and_small_hosts_but_not_copies(spark):
+    """Planted passages, a block of lines and a small site's footer go; groups of copies and clean documents keep their text."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage, block, footer = prose(60), "home\nabout us\ncontact", "made by hand"
+    texts = {"hot": [f"{prose(80)}\n{prose(30)}" + (f"\n{passage}" if i % 100 == 0 else "") + (f"\n{block}" if i % 50 == 1 else "") for i in range(2_000)], "small": [f"{prose(40)}\n{footer}" for _ in range(3)], "two": [f"{prose(40)}\n{footer}" for _ in range(2)]}
+    copied = "\n".join(prose(20) for _ in range(5))
+    texts["hot"] += [copied.replace("a", "b", 1) if i % 5 == 0 else copied for i in range(300)]
+    rows = [(i, s, t) for i, (s, t) in enumerate((s, t) for s, ts in texts.items() for t in ts)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 AS n_lines", "'x' AS host", "2 AS n_pages", "3 AS line", "4 AS `a.b`")
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == ["doc_id", "source", "text", "host", "n_pages", "line", "a.b", "n_lines", "n_dropped"]
+    found = {r.doc_id: r.text for r in out.collect()}
+    gone = {passage, footer, *block.split("\n")}
+    assert found == {i: "\n".join(x for x in t.split("\n") if x not in gone) for i, _, t in rows}
+
+
 # toxicity
 
 
+def plain_score(model, text):
+    """The score by loops: every filter at every place of the whole text."""
+    vectors = []
+    for word in toxicity.WORD.findall((text or "").lower()):
+        rows = toxicity.features(word)
+        vectors.append([sum(float(model.embedding[r][d]) for r in rows) / len(rows) for d in range(toxicity.DIM)])
+    pooled, at = [], 0
+    for filters, width in zip(model.filters, toxicity.WIDTHS, strict=True):
+        for f in range(toxicity.FILTERS):
+            best = toxicity.FLOOR
+            for i in range(len(vectors) - width + 1):
+                best = max(best, sum(float(filters[k][d][f]) * vectors[i + k][d] for k in range(width) for d in range(toxicity.DIM)) + float(model.bias[at]))
+            pooled.append(best)
+            at += 1
+    total = sum(float(np.tanh(p)) * float(o) for p, o in zip(pooled, model.out, strict=True)) + float(model.out_bias) - model.shift
+    return 1 / (1 + np.exp(-total))
+
+
+def test_scores_equal_plain_loops(spark):
+    rng = random.Random(6)
+    words = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i % 6]}" for i in range(200)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))) + (" vile" if i % 3 == 0 else "") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(None, "vile", "en"), (500, None, None), (501, "", "xx"), (502, "one", "en"), (503, "\U0001f600 123", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.fit(docs, labels)
+    found = toxicity.score_documents(docs, labels).collect()
+    assert len(found) == len(rows) and all(r.held_out is False for r in found if r.doc_id is None)
+    for r in found:
+        assert r.score == pytest.approx(plain_score(model, r.text), abs=1e-4) and r.predicted == int(r.score >= 0.5)
+    few = toxicity.score_documents(docs, labels.where("doc_id < 60")).collect()
+    assert not any(r.rejected for r in few) and any(r.rejected for r in found)
+
+
 def test_toxicity_ranks_held_out_rows():
     rng = random.Random(4)
     clean, bad = [f"w{i}" for i in range(400)], ["vile", "vilest", "rotten", "rottenly"]

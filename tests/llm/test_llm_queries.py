@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from trajectra.llm import packing, queries  # noqa: E402
+from trajectra.llm import packing, queries, toxicity  # noqa: E402
 from trajectra.llm.store import materialize  # noqa: E402
 
 
@@ -53,7 +53,7 @@ def test_every_operator_has_a_query():
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
     source = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = [(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (90_002, "one two three", "en", "s", 13), (90_002, "one two three", "en", "s", 13)]
+    odd = [(90_000, None, None, None, None), (90_001, "", "en", "s", 0), (90_002, "one two three", "en", "s", 13), (90_002, "one two three", "en", "s", 13), (90_003, "zeta text of its own here today", "en", "s", 31), (90_003, "alpha text of another kind this time", "de", "t", 36)]
     docs = source.unionByName(spark.createDataFrame(odd, source.schema)).selectExpr("*", "1 AS score", "'x' AS n_lines", "2 AS kept")
     columns = docs.columns
     kept = {}
@@ -63,15 +63,16 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
         assert docs.columns == columns, name
         kept[name] = (before, docs)
     before, after = kept["toxicity"]
-    toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
-    gone = {r.doc_id for r in before.collect()} - {r.doc_id for r in after.collect()}
-    assert len(gone & toxic) >= len(toxic) / 2 and {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()}
+    # The smallest tables have too few labels to reject by; test_toxicity_rejects_toxic_and_keeps_clean_documents has more.
+    few = spark.read.parquet(f"{sf_dir}/labels.parquet").count() < toxicity.LEAST_LABELLED
+    assert {tuple(r) for r in after.collect()} <= {tuple(r) for r in before.collect()} and (not few or after.count() == before.count())
     before, after = kept["line_dedup"]
     assert sorted((r.doc_id, r.text or "") for r in after.collect()) == sorted((d, t or "") for d, t in brute.dedup_lines([(r.doc_id, r.source, r.text) for r in before.collect()]))
     assert all(r.n_chars == len(r.text) for r in after.collect() if r.text is not None)
     before, after = kept["near_dedup"]
     found = brute.near_components([(r.doc_id, r.text) for r in before.collect()], 5)
     assert sorted(r.doc_id for r in after.collect()) == sorted(d for d, c in found.items() if d == c)
+    assert [r.text for r in after.where("doc_id = 90003").collect()] == ["alpha text of another kind this time"]
     before, after = kept["decontamination"]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     hit = {d for d, _, n, _, _ in brute.contamination([(r.doc_id, r.text) for r in before.collect()], items) if n}

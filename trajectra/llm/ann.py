@@ -3,7 +3,7 @@
 Vectors are scaled to length one, so the nearest by cosine are the nearest by distance, and are
 projected to a few dimensions by a Gaussian matrix: the squared projected distance of two vectors
 over their squared distance is chi-square with that many degrees of freedom. The projected space is
-cut into cells by the top of a kd-tree, fitted on a bounded sample; every vector is indexed, in the
+cut into cells by the top of a kd-tree, fitted on a bounded sample of projected vectors; every vector is indexed, in the
 kd-tree of its cell, and crowded cells are cut into blocks of bounded rows. A query takes projected
 neighbours in order of distance, leaf by leaf, and verifies them on the vectors themselves. It
 stops when a vector as near as the k-th found so far would have come up by now with probability
@@ -12,9 +12,9 @@ stops when a vector as near as the k-th found so far would have come up by now w
 Two rounds: a query is first answered in its own cell; with the k-th distance known, it visits just
 the other cells that the stopping test doesn't rule out.
 
-Cases: vectors that are null, zero, or hold nulls or non-finite components take no part, nor do those of another
-length than most sampled ones; fewer
-candidates than k give them all; equal scores go to the smaller id; a query's own row is left out,
+Cases: vectors that are null, empty, zero, or hold nulls or non-finite components take no part; shorter
+ones are read as ending in zeros; lengths of any size are scaled by a power of two first, which
+changes no cosine; fewer candidates than k give them all; equal scores go to the smaller id; a query's own row is left out,
 by its id; ids that repeat are candidates each; an empty table gives no rows.
 """
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 
 from .store import materialize
 
-#: Dimensions of the projection, rows of a leaf, rows of a block, sampled vectors for the cells.
-PROJECTED, LEAF, BLOCK, SAMPLE = 8, 64, 8_000, 20_000
+#: Dimensions of the projection, rows of a leaf, rows of a block (and of a cell), sampled points for the cells
+#: and of them in each cell at least: cells keep their size up to 100 million vectors and grow beyond.
+PROJECTED, LEAF, BLOCK, SAMPLE, CELL_SAMPLE = 8, 64, 8_000, 200_000, 16
 CONFIDENCE = 0.99
 #: Queries that meet one block at once.
 QUERY_BLOCK = 1_000
@@ -190,49 +191,68 @@ class Cells:
         return (d * d).sum(axis=1)
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The vectors, filled up with zeros to one width."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    if (lengths == width).all():
+        return values.reshape(len(lengths), width)
+    out = np.zeros((len(lengths), width))
+    out[np.repeat(np.arange(len(lengths)), lengths), np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+    return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: float = CONFIDENCE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Each row times a power of two, so that its largest component is about one."""
+    _, power = np.frexp(np.abs(matrix).max(axis=1, initial=0.0))
+    half = power // 2  # in two steps: one factor may be out of range
+    return np.ldexp(np.ldexp(matrix, -half[:, None]), -(power - half)[:, None])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: float = CONFIDENCE, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of ``vectors`` nearest to each of ``queries``."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull())
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(usable(F.col("v")) & F.col("id").isNotNull()).dropDuplicates(["id"])
-    chosen = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).select("id")
     schema = "query_id long, rank int, vec_id long, score double"
-    sample_rows = rows.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("v").limit(SAMPLE).toArrow()
-    if not sample_rows.num_rows:
+    n_rows, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not n_rows:
         return spark.createDataFrame([], schema)
-    lengths = np.bincount(pa.compute.list_value_length(sample_rows.column("v")).to_numpy())
-    width = int(lengths.argmax())
-    rows, asked = rows.where(F.size("v") == width), asked.where(F.size("v") == width)
-    sample = _matrix(sample_rows.column("v").filter(pa.compute.equal(pa.compute.list_value_length(sample_rows.column("v")), width)))
-    turn = projection(sample.shape[1])
+    width = max(width, asked.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0])
+    turn = projection(width)
     bound = chi_square_bound(confidence, PROJECTED)
-    n_rows = rows.count()
-    cells = Cells(sample / np.sqrt((sample**2).sum(axis=1))[:, None] @ turn, min(4_096, max(1, n_rows // BLOCK)))
 
     def project(matrix: np.ndarray) -> np.ndarray:
         return (matrix / np.sqrt((matrix**2).sum(axis=1))[:, None]) @ turn
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(list(project(_scaled(_matrix(batch.column("v"), width)))), pa.list_(pa.float64()))], names=["p"])
+
+    chosen = rows.select("id", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(SAMPLE).select("id")
+    points = rows.join(F.broadcast(chosen.distinct()), "id", "left_semi").select("v").mapInArrow(sampled, "p array<double>").limit(SAMPLE).toArrow()
+    cells = Cells(_matrix(points.column("p"), PROJECTED), min(max(1, points.num_rows // CELL_SAMPLE), max(1, n_rows // block)))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(cells.of(project(_matrix(batch.column("v")))))], names=["id", "v", "cell"])
+                scaled = _scaled(_matrix(batch.column("v"), width))
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(scaled) + 1) * width, pa.int32()), pa.array(scaled.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), held, pa.array(cells.of(project(scaled)))], names=["id", "v", "cell"])
 
     placed = materialize(rows.mapInArrow(place, "id long, v array<double>, cell long"), "placed")
     homes = materialize(asked.mapInArrow(place, "id long, v array<double>, cell long"), "queries")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).alias("n_blocks"))
     indexed = placed.join(F.broadcast(blocks), "cell").select("id", "v", "cell", F.pmod(F.xxhash64("id", "v"), "n_blocks").alias("block"), F.lit(None).cast("double").alias("known"))
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            ids, matrix = left.column("id").to_numpy(), _matrix(left.column("v"))
+            ids, matrix = left.column("id").to_numpy(), _matrix(left.column("v"), width)
             tree, norms = KdTree(project(matrix)), np.sqrt((matrix * matrix).sum(axis=1))
-            asked_ids, asked_matrix = right.column("id").to_numpy(), _matrix(right.column("v"))
+            asked_ids, asked_matrix = right.column("id").to_numpy(), _matrix(right.column("v"), width)
             for own, q, p, known in zip(asked_ids.tolist(), asked_matrix, project(asked_matrix), right.column("known").to_pylist(), strict=True):
                 found, scores = search(tree, ids, matrix, norms, (own, q), p, k, bound, math.inf if known is None else known)
                 out[0].append(np.full(len(found), own))
@@ -262,7 +282,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, confidence: floa
                 continue
             index, cell = [], []
             knowns, home = batch.column("known").to_pylist(), batch.column("cell").to_pylist()
-            for i, q in enumerate(project(_matrix(batch.column("v")))):
+            for i, q in enumerate(project(_matrix(batch.column("v"), width))):
                 gaps = cells.gaps(q)
                 near = np.flatnonzero((gaps <= bound * (math.inf if knowns[i] is None else knowns[i])) | (gaps <= 1e-18))
                 near = near[near != home[i]]

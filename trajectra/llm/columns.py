@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,3 +16,9 @@ def give_back(docs: DataFrame, names: dict[str, str], columns: list[str]) -> Dat
     """The columns of the table as it came, by name; what the operator added goes."""
     held = {own: away for away, own in names.items()}
     return docs.select(*[F.col(f"`{held.get(c, c)}`").alias(c) for c in columns])
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that stand for a row's values of these columns: two hashes of different seeds."""
+    values = [F.col(f"`{c}`") for c in columns]
+    return F.struct(F.xxhash64(*values).alias("x"), F.xxhash64(F.lit("second"), *values).alias("y"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .columns import row_key
 from .store import materialize
 
 WINDOW, GRAM = 10, 5
@@ -68,7 +69,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     )
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("k", "text", F.xxhash64("k", "text").alias("row"))
+    rows = rows.select("k", "text", row_key("k", "text").alias("row"))
     worded = rows.select("k", "row", words(F.col("text")).alias("w"))
     suspects = worded.select("row", F.explode(_fingerprints(short)).alias("print")).join(_bounded(item_prints), "print", "left_semi").select("row").distinct()
     suspects = materialize(suspects, "suspects")

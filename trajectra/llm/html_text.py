@@ -1,15 +1,17 @@
 """HTML extraction by a maximum-scoring subsequence.
 
-A page is read as a run of tags and texts. A tag scores minus its weight and each word of a text
-its context's weight; the weights are log-odds learned from labelled pages. A linear scan finds
-the contiguous run of the highest sum, the content region. The region is widened to the element
-that holds it where that is a content element, and its blocks are given as text, without the parts
-of elements that aren't article text.
-
-Labelled pages are those that mark their article themselves, with one article or main element; a
-bounded sample of them is counted. Fixed lists of tag and class names are prior counts, so that
-the weights are defined for names that no labelled page has, and pages without marks are read by
-what was learned.
+A page is read as a run of tags and texts. Each word scores by the elements around it, positive
+where they are those of articles, and each tag scores negative; a linear scan finds the contiguous
+run of the highest sum, the content region. Its blocks are given as text, without the elements in
+it whose own weight is that of boilerplate.
+
+The weights are a logistic regression on the names around a text: element names and the words of
+class, id and role. It is learned from labelled pages, those that mark their article themselves by
+one article or main element; the marks are no features, so pages without them are read the same
+way. A bounded sample of labelled pages is counted, on the executors, and the driver gets a row
+for each different set of names. The regression starts from weak priors for HTML's own element
+names and common class names, and is drawn to them, so names that no labelled page has still have
+a weight, and a name is moved only by what the names around it don't explain.
 
 Cases: a null or empty page gives an empty text; unclosed and stray tags are closed where HTML
 closes them, or passed over; pages of any length are read whole; repeated rows give a row each.
@@ -18,12 +20,12 @@ closes them, or passed over; pages of any length are read whole; repeated rows g
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,25 +46,29 @@ BLOCK = frozenset(
 )
 #: An opening tag of the key closes open elements of the value.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-NO_TEXT = frozenset("head nav header footer aside form button menu dialog search label fieldset input script style noscript template textarea title iframe svg math object select".split())
-CONTENT_TAGS = frozenset("article main".split())
-# Words of class, id and role names that mark boilerplate, and those that mark content.
-BOILERPLATE = frozenset(
-    "ad ads advert advertisement advertising adverts adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus "
+NEVER_TEXT = frozenset("head script style noscript template textarea title iframe svg math object select".split())
+MARKS = frozenset("article main".split())
+NEUTRAL = frozenset("html div section span".split())
+# Prior weights of element names, and of words of class, id and role names.
+TAG_PRIORS = {-3.0: "nav header footer aside form button menu dialog search label fieldset input", 1.0: "p h1 h2 h3 h4 h5 h6 blockquote pre article main figcaption", 0.5: "em strong b i code td dd dt li #page body", -0.25: "a"}
+NAME_PRIORS = {
+    -2.5: "ad ads advert advertisement advertising adverts adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus "
     "footer form gdpr header login masthead menu menus modal nav navbar navigation navi newsletter notice notices pager pagination popup promo promotion promoted recommended "
-    "related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
-)
-CONTENT = frozenset("article body content entry main post story text".split())
-PRIOR = 20.0
-TOLL = -1.0
+    "related reply replies respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets",
+    1.5: "article body content entry main post story text",
+}
+#: An element of this weight or less isn't article text, nor is what it holds.
+OUT = -1.5
+#: The cost of an excluded element, the least and the greatest of another tag.
+TOLL, LEAST_COST, MOST_COST = -0.1, 0.01, 1.0
+#: Pull to the priors, and steps of the regression.
+PULL, STEPS = 0.01, 300
 
 
 @dataclass
 class Node:
     tag: str
     names: tuple[str, ...]
-    context: str
-    out: bool  # whether it, or an element around it, isn't article text
     parent: int
 
 
@@ -82,7 +88,7 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 def parse(page: str) -> tuple[list[Node], list[tuple]]:
     """The elements, and in page order ("tag", element, opens), ("text", element, text) and ("break", element)."""
-    nodes = [Node("#page", (), "#page", False, -1)]
+    nodes = [Node("#page", (), -1)]
     stack = [0]
     items: list[tuple] = []
     at = 0
@@ -94,7 +100,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple]]:
                     items.append(("tag", element, False))
                 del stack[depth:]
                 return
-            if nodes[stack[depth]].tag in ("table", "article", "main") and tag not in BLOCK:
+            if nodes[stack[depth]].tag in ("table", *MARKS) and tag not in BLOCK:
                 return
 
     while True:
@@ -127,9 +133,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple]]:
         if tag == "body":
             close("head")
         names = names_of(token[3] or "")
-        parent = nodes[stack[-1]]
-        out = parent.out or tag in NO_TEXT or _boilerplate(tag, names)
-        nodes.append(Node(tag, names, _context(tag, names), out, stack[-1]))
+        nodes.append(Node(tag, names, stack[-1]))
         element = len(nodes) - 1
         items.append(("tag", element, True))
         if tag in VOID or token[3].rstrip().endswith("/"):
@@ -145,71 +149,102 @@ def parse(page: str) -> tuple[list[Node], list[tuple]]:
     return nodes, items
 
 
-def _boilerplate(tag: str, names: tuple[str, ...]) -> bool:
-    if not names or tag in ("html", "body", "article", "main"):
-        return "#hidden" in names
-    return "#hidden" in names or (any(n in BOILERPLATE for n in names) and not (tag in ("div", "section") and names and names[-1] in CONTENT and names[0] not in BOILERPLATE))
+def features_of(node: Node) -> list[str]:
+    """An element's own name, unless it is a mark or says nothing, and its class words with a dot before them."""
+    return [*([] if node.tag in MARKS or node.tag in NEUTRAL else [node.tag]), *("." + n for n in node.names)]
 
 
-def _context(tag: str, names: tuple[str, ...]) -> str:
-    return " ".join([tag, *sorted(set(names))])
+def prior(feature: str) -> float:
+    return _PRIORS.get(feature, 0.0)
 
 
-class Weights:
-    """Log-odds of a word's place, and costs of tags, from counts inside and outside of content."""
+_PRIORS = {name: weight for weight, names in TAG_PRIORS.items() for name in names.split()} | {"." + name: weight for weight, names in NAME_PRIORS.items() for name in names.split()}
 
-    def __init__(self, inside: Counter, outside: Counter):
-        self.odds: dict[str, float] = {}
-        for feature in {*inside, *outside}:
-            self.odds[feature] = max(-4.0, min(4.0, math.log(inside[feature] + 0.5) - math.log(outside[feature] + 0.5)))
 
-    def word(self, node: Node) -> float:
-        """The weight of a word in this element."""
-        learned = self.odds.get(node.context, self.odds.get(node.tag, 0.5))
-        return max(-1.0, learned) if learned < 0 else max(0.05, min(1.0, learned))
+class Weights:
+    """Log-odds of article text by the features around it; the priors where nothing was learned."""
+
+    def __init__(self, learned: dict[str, float] | None = None):
+        self.learned = learned or {}
+
+    def of(self, feature: str) -> float:
+        found = self.learned.get(feature)
+        return _PRIORS.get(feature, 0.0) if found is None else found
+
+    def own(self, node: Node) -> float:
+        """An element's own weight: where it has names of both kinds, those against count in full and those for by half."""
+        found = [self.of(f) for f in features_of(node)]
+        against = sum(w for w in found if w < 0)
+        return against + sum(w for w in found if w > 0) * (0.5 if against <= OUT else 1.0)
+
+    def marked_out(self, nodes: list[Node]) -> list[bool]:
+        """Whether each element, or one around it, isn't article text."""
+        out = []
+        for node in nodes:
+            hidden = node.tag in NEVER_TEXT or "#hidden" in node.names
+            out.append((node.parent >= 0 and out[node.parent]) or hidden or (node.tag not in ("html", "body", *MARKS) and self.own(node) <= OUT))
+        return out
+
+    def words(self, nodes: list[Node]) -> list[float]:
+        """The score of a word in each element: of the different features around it."""
+        totals: list[tuple[float, frozenset]] = []
+        for node in nodes:
+            total, seen = totals[node.parent] if node.parent >= 0 else (0.0, frozenset())
+            if fresh := {*features_of(node)} - seen:
+                total, seen = total + sum(map(self.of, fresh)), seen | fresh
+            totals.append((total, seen))
+        return [max(-1.0, min(1.0, total / 2)) for total, _ in totals]
 
     def tag(self, node: Node) -> float:
-        """The cost of a tag: little where it is frequent in content."""
-        learned = self.odds.get(node.tag, 0.0)
-        return -0.02 if learned > 0 else -0.3 + max(-0.7, learned / 4)
+        """The cost of a tag: little where article text stands in it."""
+        return -max(LEAST_COST, min(MOST_COST, (0.5 - self.of(node.tag)) / 10))
 
 
-def count_labelled(page: str, inside: Counter, outside: Counter) -> bool:
-    """Add a page's words by element; False where it doesn't mark its article."""
+def count_labelled(page: str) -> Counter | None:
+    """Words by the set of features around them and whether they are in the article; None where the page doesn't mark one."""
     nodes, items = parse(page)
-    marked = [i for i, n in enumerate(nodes) if n.tag in CONTENT_TAGS and not n.out]
+    out = Weights().marked_out(nodes)
+    marked = [i for i, n in enumerate(nodes) if n.tag in MARKS and not out[i]]
     if len(marked) != 1:
-        return False
-    within = [False] * len(nodes)
+        return None
+    within, around = [], []
     for i, node in enumerate(nodes):
-        within[i] = i == marked[0] or (node.parent >= 0 and within[node.parent])
+        within.append(i == marked[0] or (node.parent >= 0 and within[node.parent]))
+        around.append((around[node.parent] if node.parent >= 0 else frozenset()) | {*features_of(node)})
+    counts: Counter = Counter()
     for kind, element, *rest in items:
         if kind == "text" and (n := len(rest[0].split())):
-            node = nodes[element]
-            for feature in () if node.out else {node.context, node.tag}:
-                (inside if within[element] else outside)[feature] += n
-    return True
-
-
-def prior_counts() -> tuple[Counter, Counter]:
-    inside, outside = Counter(), Counter()
-    for tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "em", "strong", "b", "i", "li", "td", "article", "main", "figcaption", "dd", "dt", "code", "span", "div", "section"):
-        inside[tag] += PRIOR
-    for tag in ("div", "span", "li", "td", "section"):
-        outside[tag] += PRIOR / 2
-    for tag in ("#page", "body", "html"):
-        inside[tag] += PRIOR / 2
-        outside[tag] += PRIOR / 2
-    inside["a"] += PRIOR / 2
-    outside["a"] += PRIOR
-    return inside, outside
+            counts[" ".join(sorted(around[element])), within[element] and not out[element]] += n
+    return counts
+
+
+def regress(counts: dict[tuple[str, bool], int]) -> Weights:
+    """Weights from words by (features, whether in the article): a logistic regression drawn to the priors."""
+    rows = sorted(counts)
+    if not rows:
+        return Weights()
+    names = sorted({f for features, _ in rows for f in features.split()})
+    place = {f: i for i, f in enumerate(names)}
+    start = np.array([prior(f) for f in names])
+    y = np.array([inside for _, inside in rows], float)
+    # Each kind counts for half, so that long articles don't outweigh what is around them.
+    share = np.array([counts[r] for r in rows], float)
+    share /= 2 * np.maximum(1.0, np.where(y == 1, share[y == 1].sum(), share[y == 0].sum()))
+    row = np.concatenate([np.full(len(features.split()), i) for i, (features, _) in enumerate(rows)])
+    column = np.array([place[f] for features, _ in rows for f in features.split()], np.int64)
+    weight = start.copy()
+    for _ in range(STEPS):
+        odds = np.bincount(row, weights=weight[column], minlength=len(rows))
+        wrong = share * (1 / (1 + np.exp(-np.clip(odds, -30, 30))) - y)
+        weight -= np.bincount(column, weights=wrong[row], minlength=len(names)) + PULL * (weight - start)
+    return Weights(dict(zip(names, weight.tolist(), strict=True)))
 
 
 def learn(pages: list[str]) -> Weights:
-    inside, outside = prior_counts()
+    total: Counter = Counter()
     for page in pages:
-        count_labelled(page, inside, outside)
-    return Weights(inside, outside)
+        total.update(count_labelled(page) or {})
+    return regress(total)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -229,17 +264,28 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     nodes, items = parse(page)
+    out, words = weights.marked_out(nodes), weights.words(nodes)
+    costs: dict[str, float] = {}
     scores = []
     for kind, element, *rest in items:
         node = nodes[element]
-        if node.out:  # what an excluded element holds costs one tag in all, so that it doesn't cut an article in two
-            scores.append(TOLL if kind == "tag" and rest[0] and not nodes[node.parent].out else 0.0)
+        if out[element]:  # what an excluded element holds costs one tag in all, so that it doesn't cut an article in two
+            scores.append(TOLL if kind == "tag" and rest[0] and not (node.parent >= 0 and out[node.parent]) else 0.0)
+        elif kind == "text":
+            scores.append(words[element] * len(rest[0].split()))
+        elif kind == "tag":
+            if node.tag not in costs:
+                costs[node.tag] = weights.tag(node)
+            scores.append(costs[node.tag])
         else:
-            scores.append(weights.word(node) * len(rest[0].split()) if kind == "text" else weights.tag(node) if kind == "tag" else 0.0)
+            scores.append(0.0)
     first, last = best_region(scores)
-    if first == last:
-        return ""
-    chosen = _widened(nodes, items, first, last)
+    # Whole blocks at the ends: inline elements don't cut a paragraph.
+    within = lambda i: items[i][0] != "tag" or nodes[items[i][1]].tag not in BLOCK
+    while 0 < first < last and within(first) and within(first - 1):
+        first -= 1
+    while first < last < len(items) and within(last - 1) and within(last):
+        last += 1
     blocks: list[str] = []
     open_: list[str] = []
 
@@ -249,12 +295,11 @@ def extract(page: str | None, weights: Weights) -> str:
             blocks.append(text)
         open_.clear()
 
-    for i in range(*chosen):
+    for i in range(first, last):
         kind, element, *rest = items[i]
-        node = nodes[element]
-        if kind == "tag" and node.tag in BLOCK:
+        if kind == "tag" and nodes[element].tag in BLOCK:
             flush()
-        elif node.out:
+        elif out[element]:
             continue
         elif kind == "text":
             open_.append(rest[0])
@@ -264,38 +309,27 @@ def extract(page: str | None, weights: Weights) -> str:
     return "\n\n".join(blocks)
 
 
-def _widened(nodes: list[Node], items: list[tuple], first: int, last: int) -> tuple[int, int]:
-    """The region, or that of the content element around it; and whole blocks at its ends."""
-    texts = [items[i][1] for i in range(first, last) if items[i][0] == "text" and items[i][2].strip() and not nodes[items[i][1]].out]
-    if not texts:
-        return first, last
-    around: list[int] | None = None
-    for element in dict.fromkeys(texts):
-        chain = []
-        while element >= 0:
-            chain.append(element)
-            element = nodes[element].parent
-        around = chain if around is None else [e for e in around if e in set(chain)]
-    for element in around or ():
-        node = nodes[element]
-        if node.tag in CONTENT_TAGS or (node.tag in ("div", "section") and any(n in CONTENT for n in node.names) and not node.out):
-            inside = [False] * len(nodes)
-            for i, n in enumerate(nodes):
-                inside[i] = i == element or (n.parent >= 0 and inside[n.parent])
-            places = [i for i, item in enumerate(items) if inside[item[1]]]
-            return places[0], places[-1] + 1
-    while first > 0 and items[first - 1][0] != "tag":
-        first -= 1
-    while last < len(items) and items[last][0] != "tag":
-        last += 1
-    return first, last
+def sample_counts(rows: DataFrame, max_labelled: int) -> dict[tuple[str, bool], int]:
+    """Words by features of the sampled labelled pages among ``rows`` (k, h): those of the ids with the least hashes."""
+    labelled = rows.where(F.lower("h").rlike("<(article|main)[\\s>]"))
+    chosen = labelled.select("k", F.xxhash64("k").alias("o")).distinct().orderBy("o", "k").limit(max_labelled).select("k")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for page in batch.column("h").to_pylist():
+                total.update(count_labelled(page) or {})
+            names, inside = zip(*total, strict=True) if total else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(inside, pa.bool_()), pa.array(list(total.values()), pa.int64())], names=["names", "inside", "n"])
+
+    counted = labelled.join(F.broadcast(chosen), "k", "left_semi").select("h").mapInArrow(count, "names string, inside boolean, n long")
+    return {(r.names, r.inside): r.n for r in counted.groupBy("names", "inside").agg(F.sum("n").alias("n")).collect()}
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(key, url, text, n_chars) for each row; the sample is of the ids with the least hashes."""
+    """(key, url, text, n_chars) for each row."""
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(page).cast("string").alias("h"))
-    chosen = rows.select("k", F.xxhash64("k").alias("o")).distinct().orderBy("o", "k").limit(max_labelled).select("k")
-    weights = learn(sorted(r[0] or "" for r in rows.join(F.broadcast(chosen), "k", "left_semi").select("h").collect()))
+    weights = regress(sample_counts(rows.select("k", "h"), max_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,10 +4,12 @@ Each document is tokenized and ends in an end token; documents longer than a seq
 full pieces, the first of which may be shorter. Full pieces are sequences of their own. The rest
 are items, dealt by hash into partitions of bounded size; each is packed best-fit decreasing, and
 dual feasible functions give a lower bound for the partition's bins. A partition that meets its
-bound is certified and keeps its full bins; bins with gaps give their items back, the items of all
-partitions are dealt anew into fewer partitions, and best-fit decreasing runs again. This goes on
-while it saves bins and until the total meets the bound of the whole table, which is computed from
-a histogram with one row per length.
+bound is certified: no packing of its items has fewer bins, so only its emptiest bin, where the
+bound was rounded up, can gain from others, and it keeps the rest. Certified partitions give that
+bin's items back and the others those of all their bins with gaps; the items are dealt anew into
+fewer, larger partitions, and best-fit decreasing runs again. This goes on while it saves bins and until the total meets
+the bound of the whole table, which is computed from a histogram with one row per length. The bins
+and the bound are given with each row, so the gap that is left is known.
 
 No task holds more than a partition's (id, length) pairs; the driver holds the histogram and
 counts. An exchange that saves nothing is undone.
@@ -33,12 +35,13 @@ from .store import materialize
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 #: Items a partition holds; a few MB of memory.
 ITEMS_PER_PARTITION = 20_000
+#: Exchanges at most; each doubles a partition's items, so the last has 320,000.
 MAX_EXCHANGES = 4
 SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
-    """Ids of the tokenizer file; texts on which a faster encoder of the same vocabulary provably agrees go through that.
+    """Ids of the tokenizer file; texts within Latin-1 go through a faster encoder of the same vocabulary (the tests compare both).
 
     ``ranks_path`` names the same vocabulary as byte ranks. Both split text by the same pattern; they
     could differ only in their tables of newer Unicode letters, and where a special token's string
@@ -162,7 +165,10 @@ def bin_lower_bound(counts: np.ndarray, capacity: int, steps: int = 24) -> int:
 
 
 def _pack_round(items: DataFrame, parts: int, round_no: int, capacity: int) -> DataFrame:
-    """Deal items by hash into ``parts`` and pack each: (slot, length, sequence_id, offset, free, certified)."""
+    """Deal items by hash into ``parts`` and pack each: (slot, length, sequence_id, offset, part, bins, bound, gives).
+
+    ``gives``: whether the item's bin goes to the next exchange.
+    """
     dealt = items.select("slot", "length", F.pmod(F.xxhash64("slot", F.lit(round_no)), F.lit(parts)).cast("long").alias("part"))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -173,54 +179,76 @@ def _pack_round(items: DataFrame, parts: int, round_no: int, capacity: int) -> D
         bins, offsets, n = best_fit_decreasing(lengths, capacity)
         bound = bin_lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
         fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+        gives = fill < capacity
+        if n == bound:
+            gives &= np.arange(n) == fill.argmin()
         part = int(table.column("part")[0].as_py())
         base = ((round_no + 1) << 56) + (part << 24)
-        return pa.table({"slot": slots, "length": lengths, "sequence_id": base + bins, "offset": offsets, "free": capacity - fill[bins], "certified": np.full(len(bins), n == bound)})
+        same = lambda x: np.full(len(bins), x)
+        return pa.table({"slot": slots, "length": lengths, "sequence_id": base + bins, "offset": offsets, "part": same(part), "bins": same(n), "bound": same(bound), "gives": gives[bins]})
 
-    return dealt.groupBy("part").applyInArrow(pack, "slot long, length long, sequence_id long, offset long, free long, certified boolean")
+    return dealt.groupBy("part").applyInArrow(pack, "slot long, length long, sequence_id long, offset long, part long, bins long, bound long, gives boolean")
 
 
 def _count_bins(packed: DataFrame) -> int:
     return packed.where("offset = 0").count()
 
 
-def pack_pieces(pieces: DataFrame, max_tokens: int = 1024, items_per_partition: int = ITEMS_PER_PARTITION, max_exchanges: int = MAX_EXCHANGES) -> DataFrame:
-    """``pieces``, which must be materialized, with ``sequence_id`` and ``offset``."""
+def pack_pieces(pieces: DataFrame, max_tokens: int = 1024, items_per_partition: int = ITEMS_PER_PARTITION, max_exchanges: int = MAX_EXCHANGES, report: list[dict] | None = None) -> DataFrame:
+    """``pieces``, which must be materialized, with ``sequence_id``, ``offset``, ``n_sequences`` and ``least_sequences``.
+
+    The last two are the sequences used and the lower bound for them. ``report`` gets, for each round, its partitions, how
+    many are certified, their bins and bounds, and the whole table's bins and bound after it.
+    """
     items = pieces.where(F.col("length") < max_tokens).select("slot", "length")
+    full = pieces.where(F.col("length") == max_tokens).count()
     histogram = np.zeros(max_tokens + 1, np.int64)
     for length, n in items.groupBy("length").count().collect():  # a row per length
         histogram[length] = n
     n_items, bound = int(histogram.sum()), bin_lower_bound(histogram, max_tokens)
-    columns = "slot", "length", "sequence_id", "offset", "free", "certified"
+    columns = "slot", "length", "sequence_id", "offset", "gives"
+
+    def tell(done: DataFrame, round_no: int, total: int) -> None:
+        if report is not None:
+            each = done.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+            row = each.agg(F.count("*").alias("partitions"), F.count_if(F.col("bins") == F.col("bound")).alias("certified"), F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
+            report.append({"round": round_no, **row.asDict(), "total": total + full, "total_bound": bound + full})
+
     if not n_items:
-        return pieces.select("*", (-F.col("slot") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("slot")
-    packed = materialize(_pack_round(items, -(-n_items // items_per_partition), 0, max_tokens), "packed-0").select(*columns)
+        alone = pieces.select("*", (-F.col("slot") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("slot")
+        return alone.select("*", F.lit(full).cast("long").alias("n_sequences"), F.lit(full).cast("long").alias("least_sequences"))
+    done = materialize(_pack_round(items, -(-n_items // items_per_partition), 0, max_tokens), "packed-0")
+    packed = done.select(*columns)
     bins = _count_bins(packed)
+    tell(done, 0, bins)
     for round_no in range(1, max_exchanges + 1):
         if bins <= bound:
             break
-        giving = F.col("free") > 0
-        loose = packed.where(giving)
+        loose = packed.where("gives")
         n_loose, old = loose.count(), _count_bins(loose)
         if not n_loose:
             break
         parts = -(-n_loose // (items_per_partition << round_no))
-        again = materialize(_pack_round(loose.select("slot", "length"), parts, round_no, max_tokens), f"packed-{round_no}").select(*columns)
+        done = materialize(_pack_round(loose.select("slot", "length"), parts, round_no, max_tokens), f"packed-{round_no}")
+        again = done.select(*columns)
         new = _count_bins(again)
         if new >= old:
             break
-        packed = packed.where(~giving).unionByName(again)
+        packed = packed.where("NOT gives").unionByName(again)
         bins += new - old
+        tell(done, round_no, bins)
     placed = packed.select("slot", "sequence_id", "offset")
     return (
         pieces.join(placed, "slot", "left")
         .withColumn("sequence_id", F.coalesce("sequence_id", -F.col("slot") - 1))
         .withColumn("offset", F.coalesce("offset", F.lit(0)).cast("long"))
+        .withColumn("n_sequences", F.lit(bins + full).cast("long"))
+        .withColumn("least_sequences", F.lit(bound + full).cast("long"))
         .drop("slot")
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, max_tokens: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
-    """Tokenize, cut and pack: (doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset)."""
+    """Tokenize, cut and pack: (doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset, n_sequences, least_sequences)."""
     pieces = materialize(token_pieces(docs, tokenizer_path, ranks_path, pattern, max_tokens, end_id, with_ids), "pieces")
     return pack_pieces(pieces, max_tokens)

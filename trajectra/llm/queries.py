@@ -54,7 +54,7 @@ FROM parts LEFT JOIN fits USING (page_id)
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.capture_index(_read(spark, sf_dir, "pages"))
-    return index.selectExpr("record_id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+    return index.selectExpr("record_id AS page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "history_rank")
 
 
 OP6_SQL = """
@@ -75,11 +75,13 @@ WITH raw AS (
   SELECT *, regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\\.', '') AS host, substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1) AS tail FROM keyed
 )
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  row_number() OVER (PARTITION BY url_key ORDER BY captured_at, page_id NULLS FIRST) - 1 AS history_rank, record_type, refers_to, url_key, captured_at
+FROM (SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NULL OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to,
   CASE WHEN host = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN tail = '' THEN '/' ELSE tail END END AS url_key,
-  1700000000 + page_id AS captured_at
-FROM parts
+  1700000000 + (coalesce(page_id, 0) % 1073741824 + 1073741824) % 1073741824 AS captured_at
+FROM parts)
 """
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,15 +157,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
-OP8_LINES = """
+OP8_LINES = f"""
 split AS (
   SELECT doc_id, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
+), held AS (
+  SELECT host, list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> '') AS held FROM split
+), longest AS (
+  SELECT host, held, list_max(list_transform(held, lambda x: {{'n': length(x), 'line': x}})).line AS first FROM held
+), second AS (
+  SELECT host, held, first, list_max(list_transform(list_filter(held, lambda x: x <> first), lambda x: {{'n': length(x), 'line': x}})).line AS second FROM longest
+), each AS (
+  SELECT host, unnest(list_distinct(held)) AS line, first, second FROM second
+), by_content AS (
+  SELECT host, line, CASE WHEN line = first THEN second ELSE first END AS content, count(*) AS n FROM each GROUP BY ALL
 ), counts AS (
-  SELECT host, line, count(*) AS n_pages FROM (SELECT DISTINCT doc_id, host, trim(unnest(lines), ' ') AS line FROM split) WHERE line <> '' GROUP BY host, line
+  SELECT host, line, sum(n) AS n_pages, count(*) AS n_contents FROM by_content GROUP BY host, line
 ), totals AS (
   SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1
 ), flagged AS (
-  SELECT host, list(line) AS lines FROM counts JOIN totals USING (host) WHERE n_pages >= 4 AND n_pages > host_pages * 0.05 GROUP BY host
+  SELECT host, list(line) AS lines FROM counts JOIN totals USING (host)
+  WHERE n_pages >= 2 AND 3 * n_contents > n_pages AND n_pages >= least({line_dedup.MIN_PAGES}, host_pages) AND n_pages > host_pages * {line_dedup.MAX_RATIO} GROUP BY host
 ), kept AS (
   SELECT doc_id, split.lines AS lines, list_filter(split.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(flagged.lines, []), trim(x, ' '))) AS left_
   FROM split LEFT JOIN flagged USING (host)

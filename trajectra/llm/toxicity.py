@@ -11,6 +11,9 @@ reject documents, never for a score.
 At scoring, a filter of width w is the sum of w table look-ups, as embedding and filter are
 multiplied out once per distinct word; batches are scored whole text by whole text.
 
+Below ``LEAST_LABELLED`` labelled rows to learn from, thresholds aren't to be trusted and no
+document is rejected.
+
 Cases: null and empty texts have no words and get the score of the floor; languages not seen in
 training use the overall threshold; without usable labels every score is 0; very long texts are
 read whole; repeated rows are scored each.
@@ -34,6 +37,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
 STEMS = (3, 4, 5, 6)
 #: Labelled rows to learn from at most, taken in order of a hash of their id.
 MAX_LABELLED = 6_000
+#: Labelled rows from which documents are rejected.
+LEAST_LABELLED = 100
 #: Words whose filter responses a task keeps.
 CACHED_WORDS = 150_000
 FLOOR = -1.0
@@ -57,6 +62,7 @@ class Model:
     out_bias: float
     shift: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    labelled: int = 0
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
         """The embedding with a row of zeros at its end, and all places of all filters side by side."""
@@ -245,7 +251,8 @@ def _best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
 
 
 def held_out(key: str = "doc_id"):
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether a row is kept from learning; one without an id isn't held out, and has no label either."""
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
@@ -255,7 +262,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     sample = order.orderBy("h", "doc_id").limit(max_labelled)
     found = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).join(F.broadcast(sample), "doc_id").select("h", "doc_id", "text", "lang", "toxic").collect()
     rows = sorted(found, key=lambda r: (r.h, r.doc_id, r.text or ""))
-    return train([r.text for r in rows], [r.toxic for r in rows], [r.lang or "" for r in rows])
+    model = train([r.text for r in rows], [r.toxic for r in rows], [r.lang or "" for r in rows])
+    if model is not None:
+        model.labelled = len(rows)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, training: DataFrame | None = None) -> DataFrame:
@@ -277,7 +287,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema) + ", score double"
     scored = source.mapInArrow(score, schema)
     thresholds = model.thresholds if model else {}
-    limit = F.lit(0.5)
+    limit = F.lit(0.5 if model and model.labelled >= LEAST_LABELLED else 2.0)
+    thresholds = thresholds if model and model.labelled >= LEAST_LABELLED else {}
     for name, value in thresholds.items():
         limit = F.when(F.col("lang") == name, F.lit(value)).otherwise(limit)
     return scored.select(
