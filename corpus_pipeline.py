@@ -10,7 +10,7 @@ return the columns of ``documents``:
 5. packing: the token pieces of the rest and their places in sequences.
 
 Cases: null texts and languages pass the filters; rows of one doc_id are one document from stage 3
-on, of which one row stays; rows without a doc_id always stay; extra columns pass through, whatever
+on, of which the row with the least text stays; rows without a doc_id always stay; extra columns pass through, whatever
 their names; an empty table passes as an empty one.
 """
 
@@ -56,7 +56,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
         return stay
-    return stay.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id IS NULL"))
+    several = materialize(repeated.select("doc_id"), "repeated-ids")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    least = stay.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row")).select("row.*")
+    return _without(stay, several).unionByName(least)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
