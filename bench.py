@@ -36,7 +36,7 @@ def main() -> None:
         catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
     shapes = {}
-    for source in (fx.ev_first20, fx.ord_seq, fx.ord_seq8):
+    for source in (fx.ev_all, fx.ev_daily, fx.ord_seq, fx.ord_status):
         row = source(spark, sf_dir).arrays.selectExpr("count(*) AS n", "count(DISTINCT seq) AS u", "max(size(seq)) AS l").first()
         shapes[source.__name__] = {"n": row.n, "unique": row.u, "longest": row.l}
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "cpus": cpus, "shapes": shapes}))

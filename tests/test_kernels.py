@@ -134,3 +134,46 @@ def test_normalizations_of_equal_and_empty_sequences(norm):
     d = K.normalized(K.longest_common_subsequence(block, block), norm)
     assert d[0, 2] == pytest.approx(0) and d[1, 1] == pytest.approx(0) and np.isfinite(d).all()
     assert d[0, 3] > 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(SEQS, SEQS)
+def test_localized(xs, ys):
+    """The two items met are carried from cell to cell, also from the end of a row to the next."""
+    sm, e, g = K.padded_costs(COSTS), 0.1, 0.8
+    top = sm.max()
+
+    def one(x, y):
+        cost = lambda s, met: e * top + g * (sm[met[0], s] + sm[met[1], s]) / 2
+        if not x or not y:
+            return max(len(x), len(y)) * (e + g) * top
+        above = [0.0, *itertools.accumulate(cost(s, (x[0], x[0])) for s in y)]
+        met = (y[0], y[0])
+        for i, s in enumerate(x):
+            row = [cost(s, met) if i == 0 else sum(cost(t, (y[-1], y[-1])) for t in x[: i + 1])]
+            for j, t in enumerate(y):
+                row.append(min(above[j + 1] + cost(s, met), row[j] + cost(t, (x[max(i - 1, 0)], s)), above[j] + sm[s, t]))
+                met = (t, y[min(j + 1, len(y) - 1)])
+            above = row
+        return above[-1]
+
+    check(K.localized(K.Block.of(xs), K.Block.of(ys), sm, e, g)[0], xs, ys, one)
+
+
+def test_common_subsequences_of_several_words():
+    rng = np.random.default_rng(1)
+    xs, ys = ([rng.integers(1, 6, n).tolist() for n in rng.integers(0, 150, 30)] for _ in range(2))
+    x, y = K.Block.of(xs), K.Block.of(ys)
+    slow = K.optimal_matching(x, y, K.padded_costs((2.0 * (1 - np.eye(5))).tolist()), np.r_[0.0, np.ones(5)])[0]
+    assert (K.longest_common_subsequence(x, y)[0] == slow).all()
+
+
+def test_tiles_in_order_of_length_give_the_same_distances():
+    from trajectra.operators.distances import Measure
+
+    rng = np.random.default_rng(2)
+    xs, ys = ([rng.integers(1, 4, n).tolist() for n in rng.integers(0, 30, 250)] for _ in range(2))
+    sm, indel = K.padded_costs(COSTS), np.r_[0.0, np.ones(3)]
+    how = Measure(lambda a, b: K.optimal_matching(a, b, sm, indel), "none")
+    x, y = how.block(xs), how.block(ys)
+    assert (how.distances(x, y) == K.optimal_matching(x, y, sm, indel)[0]).all()

@@ -39,6 +39,10 @@ class Block:
         width = int(lengths.max()) if len(lengths) else 0
         return Block(self.codes[a:b, :width], lengths, self.durations[a:b, :width] if self.durations.size else self.durations)
 
+    def take(self, rows: np.ndarray) -> Block:
+        """The rows in another order."""
+        return Block(self.codes[rows], self.lengths[rows], self.durations[rows] if self.durations.size else self.durations)
+
 
 def spells_of(sequence: list[int]) -> tuple[list[int], list[int]]:
     """States and durations of the spells."""
@@ -148,11 +152,39 @@ def optimal_matching(x: Block, y: Block, costs: np.ndarray, indels: np.ndarray)
 
 
 def longest_common_subsequence(x: Block, y: Block) -> Raw:
-    """m + n - 2 LCS."""
+    """m + n - 2 LCS, by bit masks: 64 positions of x in a word, all pairs together.
+
+    The bits that are zero count the common subsequence; an item of y clears one where it matches and
+    carries to the next set bit. Padding has an empty mask and changes nothing.
+    """
+    n, m = len(x.lengths), len(y.lengths)
     k = int(max(x.codes.max(initial=0), y.codes.max(initial=0)))
-    d, *_ = optimal_matching(x, y, padded_costs((2.0 * (1 - np.eye(max(k, 1)))).tolist()), np.r_[0.0, np.ones(max(k, 1))])
+    words = -(-x.codes.shape[1] // 64)
+    common = np.zeros((n, m), np.int64)
+    masks = []
+    for w in range(words):
+        codes = x.codes[:, 64 * w : 64 * w + 64]
+        bit = np.uint64(1) << np.arange(codes.shape[1], dtype=np.uint64)
+        masks.append(np.stack([np.where(codes == c, bit, np.uint64(0)).sum(axis=1, dtype=np.uint64) if c else np.zeros(n, np.uint64) for c in range(k + 1)]))
+    held = [np.full((m, n), np.iinfo(np.uint64).max, np.uint64) for _ in range(words)]
+    for j in range(y.codes.shape[1]):
+        carry = None
+        for w in range(words):
+            v, match = held[w], masks[w][y.codes[:, j]]
+            hit = v & match
+            total = v + hit
+            over = total < hit
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            held[w] = total | (v & ~match)
+            carry = over.astype(np.uint64)
+    for w in range(words):
+        used = np.clip(x.lengths - 64 * w, 0, 64)
+        keep = np.where(used == 64, np.iinfo(np.uint64).max, (np.uint64(1) << np.minimum(used, 63).astype(np.uint64)) - np.uint64(1))
+        common += np.bitwise_count(~held[w] & keep[None]).T.astype(np.int64)
     a, b = x.lengths[:, None], y.lengths[None]
-    return d, a + b, a, b
+    return (a + b - 2 * common).astype(float), a + b, a, b
 
 
 def _common(x: Block, y: Block, backward: bool) -> np.ndarray:
@@ -218,7 +250,40 @@ def hamming(x: Block, y: Block, costs: np.ndarray) -> Raw:
 
 
 def localized(x: Block, y: Block, costs: np.ndarray, expansion: float, context: float) -> Raw:
-    """OM whose indels depend on the neighbours that the item meets: expansion * max cost + context * mean cost to both."""
+    """OM whose indels depend on the items that they meet, from x to y: expansion * max cost + context * mean cost to both.
+
+    x's item i is deleted at y's item j > 1 between y's items j - 1 and j. At the first column, and before y, it meets
+    y's last item on both sides, but x's first item meets y's first. y's item j is inserted at x's item i between x's
+    items i - 1 and i, and before x, and at its first item, between that item and itself. The two directions differ.
+    """
+    top = costs.max(initial=0.0)
+    n, m, wide, width = len(x.lengths), len(y.lengths), x.codes.shape[1], y.codes.shape[1]
+    indel = (expansion + context) * top
+    a, b = x.lengths[:, None], y.lengths[None]
+    most = np.abs(a - b) * indel + top * np.minimum(a, b)
+    if not wide or not width:
+        return np.broadcast_to(np.maximum(a, b) * indel, (n, m)).astype(float), most, a * indel, b * indel
+    met = lambda p, q: (costs[p] + costs[q]) * (context / 2) + expansion * top  # noqa: E731  by item met, then state
+    ends = y.codes[np.arange(m), np.maximum(y.lengths - 1, 0)]
+    at_first, at_end = met(y.codes[:, 0], y.codes[:, 0]).T, met(ends, ends).T
+    between = [None, *(np.ascontiguousarray(met(y.codes[:, j - 1], y.codes[:, j]).T) for j in range(1, width))]
+    entered = [met(x.codes[:, max(i - 1, 0)], x.codes[:, i]) for i in range(wide)]
+    codes = np.ascontiguousarray(x.codes.T)
+
+    def deletion(i: int, j: int) -> np.ndarray:
+        if j > 1:
+            return between[j - 1].take(codes[i], axis=0)
+        if i == 0:
+            return at_first.take(codes[0], axis=0)
+        out = at_end.take(codes[i], axis=0)
+        return out + at_end.take(codes[0], axis=0) - at_first.take(codes[0], axis=0) if i == 1 and j == 0 else out
+
+    d = edit_distances(x, y, _against(costs, x, y), deletion, lambda i, j: entered[max(i - 1, 0)].take(y.codes[:, j], axis=1))
+    return np.where((a > 0) & (b > 0), d, np.maximum(a, b) * indel), most, a * indel, b * indel
+
+
+def localized_gaps(x: Block, y: Block, costs: np.ndarray, expansion: float, context: float) -> Raw:
+    """The same with each item between the two items around its gap, so that both directions agree."""
     top = costs.max(initial=0.0)
     n, m = len(x.lengths), len(y.lengths)
     width = y.codes.shape[1]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .distances import Measure, both_ways, unique_sequences
 from .sequences import SequenceFrame
+from .tables import reads_pairs_often, running, stored
 
 #: Rows whose distances one task holds: 200 MB of doubles.
 MOST_DENSE = 5_000
@@ -295,6 +296,7 @@ def most_typical(memberships: DataFrame, top: int = 3) -> DataFrame:
     return memberships.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top).select("cluster", "rank", "id", "u")
 
 
+@reads_pairs_often
 def silhouettes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, cluster, weight, a, b, asw, asww): mean distances to the own and the nearest other cluster; ``labels``: (id, cluster, weight).
 
@@ -317,6 +319,7 @@ def silhouettes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return per.select(F.col("i").alias("id"), F.col("ci").alias("cluster"), F.col("wi").alias("weight"), a.alias("a"), "b", width(a).alias("asw"), width(aw).alias("asww"))
 
 
+@reads_pairs_often
 def partition_quality(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: n, k, pbc, hg, hgsd, hc, asw, asww, ch, r2, chsq, r2sq.
 
@@ -324,7 +327,7 @@ def partition_quality(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     table is reduced to those before the running sums.
     """
     a, b = labels.select(F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("weight").alias("wi")), labels.select(F.col("id").alias("j"), F.col("cluster").alias("cj"), F.col("weight").alias("wj"))
-    rows = pairs.join(a, "i").join(b, "j").select("d", (F.col("ci") == F.col("cj")).alias("same"), "ci", (F.col("wi") * F.col("wj")).alias("w"))
+    rows = stored(pairs.join(a, "i").join(b, "j").select("d", (F.col("ci") == F.col("cj")).alias("same"), "ci", (F.col("wi") * F.col("wj")).alias("w")))
     x = F.when(F.col("same"), 0.0).otherwise(1.0)
     sums = rows.agg(
         F.sum("w").alias("sw_"), F.sum(F.col("w") * F.col("d")).alias("sd_"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("sdd"), F.sum(F.col("w") * x).alias("sx"), F.sum(F.col("w") * x * F.col("d")).alias("sxd"),
@@ -334,13 +337,12 @@ def partition_quality(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     total = labels.agg(F.sum("weight").alias("n"), F.countDistinct("cluster").alias("k"))
     inner = rows.where("same").groupBy(F.col("ci").alias("cluster")).agg(F.sum(F.col("w") * F.col("d")).alias("s"), F.sum(F.col("w") * F.col("d") * F.col("d")).alias("q")).join(sizes, "cluster").agg(F.sum(F.col("s") / F.col("w")).alias("in_s"), F.sum(F.col("q") / F.col("w")).alias("in_q"))
     levels = rows.groupBy("d").agg(F.coalesce(F.sum(F.when(F.col("same"), F.col("w"))), F.lit(0.0)).alias("ws"), F.coalesce(F.sum(F.when(~F.col("same"), F.col("w"))), F.lit(0.0)).alias("wb"))
-    up = Window.partitionBy(F.lit(1)).orderBy("d")  # a row per distinct distance
-    before = up.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = levels.select("d", "ws", "wb", F.coalesce(F.sum("ws").over(before), F.lit(0.0)).alias("ls"), F.sum(F.col("ws") + F.col("wb")).over(up).alias("c"))
+    levels = stored(levels)  # a row per distinct distance, as many as pairs for costs of many values
+    ranked = running(levels, ["d"], {"ls": "ws", "c": "ws + wb"}).withColumn("ls", F.col("ls") - F.col("ws"))
     concord = ranked.agg(F.sum(F.col("wb") * F.col("ls")).alias("plus"), F.sum(F.col("wb") * F.col("ws")).alias("tie"), F.sum("ws").alias("all_same"), F.sum("wb").alias("all_between"))
     held = F.broadcast(sums)
     least = ranked.join(held.select("same_w"), how="cross").agg(F.sum(F.col("d") * F.greatest(F.lit(0.0), F.least(F.col("ws") + F.col("wb"), F.col("same_w") - (F.col("c") - F.col("ws") - F.col("wb"))))).alias("least"))
-    most_c = levels.select("d", (F.col("ws") + F.col("wb")).alias("w")).withColumn("c", F.sum("w").over(Window.partitionBy(F.lit(1)).orderBy(F.desc("d"))))
+    most_c = running(levels.select("d", (F.col("ws") + F.col("wb")).alias("w")), [F.desc("d")], {"c": "w"})
     most = most_c.join(held.select("same_w"), how="cross").agg(F.sum(F.col("d") * F.greatest(F.lit(0.0), F.least(F.col("w"), F.col("same_w") - (F.col("c") - F.col("w"))))).alias("most"))
     sil = silhouettes(pairs, labels).agg((F.sum(F.col("weight") * F.col("asw")) / F.sum("weight")).alias("asw"), (F.sum(F.col("weight") * F.col("asww")) / F.sum("weight")).alias("asww"))
     one = sums
@@ -362,6 +364,7 @@ def partition_quality(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+@reads_pairs_often
 def cluster_range(pairs: DataFrame, rows: DataFrame, ks: list[int], method: str = "average") -> DataFrame:
     """(k, metrics...) of a linkage cut at each k; the loop is over the few ks."""
     labels = cluster_labels(pairs, rows, ks, method).join(rows, "id")

@@ -10,12 +10,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectra.functions.special import chi_square_tail
 
 from .distances import both_ways
+from .tables import reads_pairs_often, shuffles
 
 
 def _weighted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -40,6 +41,7 @@ def group_discrepancy(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return sizes.join(joined, "group", "left").select("group", "n", "weight", (s / F.col("weight")).alias("ss"), (s / (F.col("weight") * F.col("weight"))).alias("discrepancy"))
 
 
+@reads_pairs_often
 def association(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: n, groups, ss_total, ss_within, ss_explained, pseudo_f, pseudo_r2, levene, for ``rows`` (id, weight, group)."""
     whole = overall_discrepancy(pairs, rows)
@@ -71,30 +73,107 @@ def _levene(centred: DataFrame) -> DataFrame:
     return total.select(F.when((F.col("k") > 1) & (within > 1e-12), (between / (F.col("k") - 1)) / (within / (F.col("W") - F.col("k")))).alias("levene"))
 
 
-def permuted(rows: DataFrame, replicates: int, seed: int = 1) -> DataFrame:
-    """(replicate, id, weight, group): the groups in ``replicates`` seeded random orders; replicate 0 is as observed."""
-    order = Window.partitionBy("replicate").orderBy("h", "id")
-    spread = rows.select("id", "weight", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("h", F.xxhash64(F.lit(seed), "replicate", "id"))
-    places = spread.withColumn("place", F.row_number().over(order)).select("replicate", "id", "weight", "place")
-    labels = rows.select("group", F.xxhash64("id").alias("h0"), "id").withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("h0", "id"))).select("place", "group")
-    shuffled = places.join(labels, "place").select("replicate", "id", "weight", "group")
-    return rows.select(F.lit(0).alias("replicate"), "id", "weight", "group").unionByName(shuffled)
+STATISTICS = ("pseudo_f", "pseudo_fbf", "pseudo_r2", "bartlett", "levene")
+#: Ids times replicates whose labels travel with the tasks at once; more replicates take more passes.
+MOST_LABELS = 4_000_000
+
+
+def _statistics(np, w, ss, z, total_w, total_ss) -> dict:
+    """The five statistics from (replicates, groups) arrays of weights, sums of squares and spreads of centre distances."""
+    k = (w > 0).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        within = ss.sum(axis=1)
+        explained = total_ss - within
+        v = np.where(w > 0, ss / w, 0.0)
+        f = explained / (k - 1) / (within / (total_w - k))
+        fbf = explained / ((1 - w / total_w) * v).sum(axis=1)
+        several = w > 1
+        pooled = np.where(several, (w - 1) * v, 0.0).sum(axis=1) / (total_w - k)
+        logs = np.where(several, (w - 1) * np.log(v), 0.0).sum(axis=1)
+        least = 1 + (np.where(several, 1 / (w - 1), 0.0).sum(axis=1) - 1 / (total_w - k)) / (3 * (k - 1))
+        bartlett = ((total_w - k) * np.log(pooled) - logs) / least
+        spread, z_all = z["within"], z["total"]
+        levene = (z_all - spread) / (k - 1) / (spread / (total_w - k))
+    return dict(zip(STATISTICS, (f, fbf, explained / total_ss, bartlett, levene), strict=True))
+
+
+@reads_pairs_often
+def association_test(pairs: DataFrame, rows: DataFrame, replicates: int = 99, seed: int = 1) -> DataFrame:
+    """(statistic, value, p_value, replicates) of the five statistics; ``rows``: (id, weight, group).
+
+    Groups are dealt out anew in ``replicates`` seeded orders, weights stay with their rows. A p-value is the share of
+    replicates, the observed order included, with a value as large. All orders of a pass are summed in one narrow pass
+    over the pair table, in which a task holds a number per id and order, and gives a row per id.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    held = rows.select("id", F.col("weight").cast("double").alias("weight"), F.col("group").cast("string").alias("group")).orderBy(F.xxhash64("id"), "id").toArrow()  # a row per id of a quadratic table
+    ids, weight = held.column("id").to_numpy(), held.column("weight").to_numpy()
+    names, group = np.unique(np.array(["" if g is None else g for g in held.column("group").to_pylist()]), return_inverse=True)
+    n, k = len(ids), len(names)
+    if not n:
+        return spark.createDataFrame([], "statistic string, value double, p_value double, replicates int")
+    place = np.argsort(ids, kind="stable")
+    known = ids[place]
+    orders = [(1, 0), *shuffles(n, replicates, seed)]
+    step = max(1, MOST_LABELS // n)
+    found: dict[str, list] = {s: [] for s in STATISTICS}
+    for at in range(0, len(orders), step):
+        labels = np.stack([group[(a * np.arange(n) + b) % n] for a, b in orders[at : at + step]], axis=1).astype(np.int32)  # (n, orders)
+        width = labels.shape[1]
+
+        def sums(batches, labels=labels, width=width):
+            out = np.zeros((n, width))
+            for batch in batches:
+                i, j = (place[np.searchsorted(known, batch.column(c).to_numpy())] for c in ("i", "j"))
+                d = batch.column("d").to_numpy()
+                same = labels[i] == labels[j]
+                np.add.at(out, i, same * (weight[j] * d)[:, None])
+                np.add.at(out, j, same * (weight[i] * d)[:, None])
+            hit = np.flatnonzero(out.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(list(out[hit]), pa.list_(pa.float64()))], names=["at", "s"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.sum([np.asarray(x) for x in table.column("s").to_pylist()], axis=0)
+            return pa.table({"at": pa.array([table.column("at")[0].as_py()]), "s": pa.array([total], pa.list_(pa.float64()))})
+
+        inside = pairs.join(rows.select(F.col("id").alias("i")), "i", "left_semi").join(rows.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j", "d")
+        parts = inside.mapInArrow(sums, "at long, s array<double>").groupBy("at").applyInArrow(add, "at long, s array<double>").toArrow()
+        to = np.zeros((n, width))
+        to[parts.column("at").to_numpy()] = np.stack([np.asarray(x) for x in parts.column("s").to_pylist()]) if parts.num_rows else 0.0
+        if at == 0:
+            total_w = weight.sum()
+            total_ss = pairs.join(rows.select(F.col("id").alias("i"), F.col("weight").alias("wi")), "i").join(rows.select(F.col("id").alias("j"), F.col("weight").alias("wj")), "j").agg(F.sum(F.col("wi") * F.col("wj") * F.col("d"))).first()[0] or 0.0
+            total_ss /= total_w
+        w, ss, z = np.zeros((width, k)), np.zeros((width, k)), {"within": np.zeros(width), "total": np.zeros(width)}
+        for r in range(width):
+            w[r] = np.bincount(labels[:, r], weights=weight, minlength=k)
+            ss[r] = np.bincount(labels[:, r], weights=weight * to[:, r], minlength=k) / 2 / np.maximum(w[r], 1e-300)
+            centre = to[:, r] / w[r][labels[:, r]] - (ss[r] / np.maximum(w[r], 1e-300))[labels[:, r]]
+            mean = np.bincount(labels[:, r], weights=weight * centre, minlength=k) / np.maximum(w[r], 1e-300)
+            z["within"][r] = (weight * (centre - mean[labels[:, r]]) ** 2).sum()
+            z["total"][r] = (weight * (centre - (weight * centre).sum() / total_w) ** 2).sum()
+        for name, values in _statistics(np, w, ss, z, total_w, total_ss).items():
+            found[name].extend(values.tolist())
+    out = []
+    for name in STATISTICS:
+        values = np.array(found[name])
+        seen = values[0]
+        out.append((name, float(seen) if np.isfinite(seen) else None, float((values >= seen - 1e-12).mean()) if np.isfinite(seen) else None, replicates))
+    return spark.createDataFrame(out, "statistic string, value double, p_value double, replicates int")
 
 
+@reads_pairs_often
 def permutation_test(pairs: DataFrame, rows: DataFrame, replicates: int = 99, seed: int = 1) -> DataFrame:
     """(pseudo_f, pseudo_r2, p_value, replicates): the share of replicates, the observed included, with an F as large."""
-    labels = permuted(rows, replicates, seed)
-    a = labels.select("replicate", F.col("id").alias("i"), F.col("group").alias("gi"), F.col("weight").alias("wi"))
-    b = labels.select("replicate", F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
-    ss = pairs.join(a, "i").join(b, ["replicate", "j"]).where("gi = gj").groupBy("replicate", F.col("gi").alias("group")).agg(F.sum(F.col("wi") * F.col("wj") * F.col("d")).alias("s"))
-    sizes = labels.groupBy("replicate", "group").agg(F.sum("weight").alias("w"))
-    within = sizes.join(ss, ["replicate", "group"], "left").groupBy("replicate").agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("w")).alias("within"), F.count("*").alias("k"), F.sum("w").alias("W"))
-    whole = overall_discrepancy(pairs, rows).select(F.col("ss").alias("total"))
-    stats = within.join(F.broadcast(whole), how="cross").select("replicate", ((F.col("total") - F.col("within")) / (F.col("k") - 1) / (F.col("within") / (F.col("W") - F.col("k")))).alias("f"), (1 - F.col("within") / F.col("total")).alias("r2"))
-    seen = stats.where("replicate = 0").select(F.col("f").alias("pseudo_f"), F.col("r2").alias("pseudo_r2"))
-    return stats.join(F.broadcast(seen), how="cross").groupBy("pseudo_f", "pseudo_r2").agg(F.avg((F.col("f") >= F.col("pseudo_f") - 1e-12).cast("double")).alias("p_value"), (F.count("*") - 1).alias("replicates"))
+    test = association_test(pairs, rows, replicates, seed)
+    value = lambda name, column="value": F.max(F.when(F.col("statistic") == name, F.col(column)))
+    return test.agg(value("pseudo_f").alias("pseudo_f"), value("pseudo_r2").alias("pseudo_r2"), value("pseudo_f", "p_value").alias("p_value"), F.lit(replicates).cast("long").alias("replicates"))
 
 
+@reads_pairs_often
 def group_difference(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(n, lrt, p_value, bic, bayes_factor) of two groups against one: n (ln(ss/n) - ln((ss1 + ss2)/n)), chi-square on one degree."""
     n_groups = rows.select("group").distinct().count()
@@ -110,17 +189,16 @@ def group_difference(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def compare_by_position(frame, labels: DataFrame, before: int = 0, after: int = 1) -> DataFrame:
     """(pos, pseudo_f, pseudo_r2): association of groups with Hamming distances in a window around each position.
 
-    A pair's distance in a window is a running sum of mismatches, so all positions are one pass.
+    The mismatches of all pairs at a position follow from the numbers of rows by state, so no pairs are made. A window
+    counts the rows that have its position.
     """
-    rows = frame.long.join(labels, "id")
-    counts = rows.groupBy("pos", "code").agg(F.sum("weight").alias("w"))
-    del counts
-    a = rows.select(F.col("id").alias("i"), "pos", F.col("code").alias("ci"), F.col("group").alias("gi"))
-    b = rows.select(F.col("id").alias("j"), "pos", F.col("code").alias("cj"), F.col("group").alias("gj"))
-    span = Window.partitionBy("i", "j").orderBy("pos").rowsBetween(-before, after)
-    moved = a.join(b, "pos").where("i < j").withColumn("d", F.sum((F.col("ci") != F.col("cj")).cast("double")).over(span))
-    total = moved.groupBy("pos").agg(F.sum("d").alias("s"))
-    inner = moved.where("gi = gj").groupBy("pos", F.col("gi").alias("group")).agg(F.sum("d").alias("s"))
+    rows = frame.long.join(labels, "id").select("id", "pos", "code", "group")
+    shifted = rows.select("id", "code", "group", F.explode(F.transform(F.sequence(F.lit(-after), F.lit(before)), lambda o: F.col("pos") + o)).alias("pos"), F.col("pos").alias("at"))
+    held = shifted.join(rows.select("id", "pos"), ["id", "pos"])  # those of rows that have the window's position
+    counts = held.groupBy("pos", "at", "group", "code").agg(F.count("*").alias("n"))
+    gap = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    total = counts.groupBy("pos", "at", "code").agg(F.sum("n").alias("n")).groupBy("pos", "at").agg(gap.alias("s")).groupBy("pos").agg(F.sum("s").alias("s"))
+    inner = counts.groupBy("pos", "at", "group").agg(gap.alias("s")).groupBy("pos", "group").agg(F.sum("s").alias("s"))
     sizes = rows.groupBy("pos", "group").agg(F.count("*").alias("n"))
     within = sizes.join(inner, ["pos", "group"], "left").groupBy("pos").agg(F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("within"), F.sum("n").alias("n"), F.count("*").alias("k"))
     ss = F.col("s") / F.col("n")

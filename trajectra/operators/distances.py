@@ -67,6 +67,7 @@ class Measure:
     spells: bool = False
     position_spells: bool = False
     heavy: bool = False
+    directed: bool = False  # whether the two directions differ; a pair is then compared from its lesser uid
 
     def block(self, sequences: list[list[int]]) -> K.Block:
         if self.spells:
@@ -77,12 +78,18 @@ class Measure:
         return K.Block.of(sequences)
 
     def distances(self, a: K.Block, b: K.Block) -> np.ndarray:
-        """All distances of two blocks, tile by tile."""
-        out = np.zeros((len(a.lengths), len(b.lengths)))
+        """All distances of two blocks, tile by tile; in order of length, so that a tile is no wider than its sequences."""
+        first, second = np.argsort(a.lengths, kind="stable"), np.argsort(b.lengths, kind="stable")
+        a, b = a.take(first), b.take(second)
+        found = np.zeros((len(a.lengths), len(b.lengths)))
         step = 48 if self.heavy else TILE
+        columns = [(j, b.part(j, j + step)) for j in range(0, len(b.lengths), step)]
         for i in range(0, len(a.lengths), step):
-            for j in range(0, len(b.lengths), step):
-                out[i : i + step, j : j + step] = K.normalized(self.kernel(a.part(i, i + step), b.part(j, j + step)), self.norm)
+            rows = a.part(i, i + step)
+            for j, part in columns:
+                found[i : i + step, j : j + step] = K.normalized(self.kernel(rows, part), self.norm)
+        out = np.empty_like(found)
+        out[np.ix_(first, second)] = found
         return out
 
 
@@ -103,6 +110,7 @@ def measure(
     penalty: float = 0.5,
     subsequence_weights: list[float] | None = None,
     proximity: list[list[float]] | None = None,
+    symmetric: bool = False,
 ) -> Measure:
     """The comparison that ``method`` and its parameters say; costs that depend on the data are computed once, over all of it."""
     if method not in METHODS:
@@ -139,7 +147,9 @@ def measure(
         return Measure(lambda a, b: K.optimal_matching(a, b, sm, into), norm)
     if method == "OMloc":
         around = 1 - 2 * expansion if context is None else context
-        return Measure(lambda a, b: K.localized(a, b, sm, expansion, around), norm)
+        if symmetric:
+            return Measure(lambda a, b: K.localized_gaps(a, b, sm, expansion, around), norm)
+        return Measure(lambda a, b: K.localized(a, b, sm, expansion, around), norm, directed=True)
     if method == "OMslen":
         return Measure(lambda a, b: K.spell_length_sensitive(a, b, sm, into, power, link), norm, position_spells=True)
     if method in ("OMspell", "OMtspell", "OMspellRS"):
@@ -195,6 +205,8 @@ def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, **opt
         x, y = how.block(a.column("seq").to_pylist()), how.block(b.column("seq").to_pylist())
         u, v = a.column("uid").to_numpy(), b.column("uid").to_numpy()
         d = how.distances(x, y)
+        if how.directed and not same:
+            d = np.where(u[:, None] < v[None], d, how.distances(y, x).T)
         keep = u[:, None] < v[None] if same else np.ones(d.shape, bool)
         rows, columns = np.nonzero(keep)
         return _table(u[rows], v[columns], d[rows, columns])

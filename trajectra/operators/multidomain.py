@@ -16,6 +16,7 @@ from trajectra.functions.special import chi_square_tail
 from . import distances as D
 from .clustering import silhouettes
 from .sequences import SequenceFrame
+from .tables import numbered, stored
 
 
 def combined(domains: Sequence[SequenceFrame], separator: str = "+") -> SequenceFrame:
@@ -120,7 +121,7 @@ def merge_sparse_types(types: DataFrame, pairs: DataFrame, min_size: int, min_si
 
     The loop is over types; each step is a grouped pass over the pair table.
     """
-    now = types
+    now, pairs = types, stored(pairs)
     while True:
         sizes = {r.type: r.n for r in now.groupBy("type").agg(F.count("*").alias("n")).collect()}  # a row per type
         small = sorted((n, t) for t, n in sizes.items() if n < min_size)
@@ -151,13 +152,11 @@ def linked_polyads(roles: Sequence[SequenceFrame], draws: int = 50, seed: int =
     ids = arrays[0].select("id")
 
     n_ids = ids.count()
-    from pyspark.sql import Window
-
-    numbered = ids.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")) - 1)
-    spread = numbered.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
+    places = stored(numbered(ids, ["id"]))
+    spread = places.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
     joined = spread.join(arrays[0], "id")
     for n, other in enumerate(arrays[1:], 1):
-        place = numbered.select(F.col("id").alias(f"i{n}"), F.col("n").alias(f"m{n}"))
+        place = places.select(F.col("id").alias(f"i{n}"), F.col("n").alias(f"m{n}"))
         shift = F.when(F.col("draw") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "draw", "id"), F.lit(n_ids)))
         joined = joined.withColumn(f"m{n}", F.pmod(F.col("n") + shift, F.lit(n_ids)).cast("int")).join(place, f"m{n}").join(other.withColumnRenamed("id", f"i{n}"), f"i{n}")
     names = [f"q{n}" for n in range(len(roles))]

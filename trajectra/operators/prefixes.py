@@ -47,19 +47,12 @@ def branching(frame: SequenceFrame, backward: bool = False, spells: bool = False
     return children.groupBy("depth").agg(F.when(F.col("depth") == 1, 0.0).otherwise(F.avg("n")).alias("factor"))
 
 
-def substrings(frame: SequenceFrame, longest: int) -> DataFrame:
-    """(depth, n): distinct runs of so many states in a row, at any position."""
-    by_depth = []
-    for depth in range(1, longest + 1):
-        by_depth.append(frame.arrays.where(F.size("seq") >= depth).select(F.lit(depth).alias("depth"), F.explode(_runs(depth)).alias("run")))
-    out = by_depth[0]
-    for more in by_depth[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("depth").agg(F.countDistinct("run").alias("n"))
-
-
-def _runs(depth: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size("seq") - depth + 1), lambda i: F.slice("seq", i, depth))
+def substrings(frame: SequenceFrame, longest: int | None = None) -> DataFrame:
+    """(depth, n): distinct runs of so many states in a row, at any position; of up to ``longest`` states, None is no limit."""
+    depths = F.sequence(F.lit(1), F.size("seq") if longest is None else F.least(F.size("seq"), F.lit(longest)))
+    each = frame.arrays.where(F.size("seq") > 0).select("seq", F.explode(depths).alias("depth"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("seq") - F.col("depth") + 1), lambda i: F.slice("seq", i, F.col("depth")))
+    return each.select("depth", F.explode(runs).alias("run")).distinct().groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def js_distance(frame: SequenceFrame) -> DataFrame:
@@ -93,11 +86,11 @@ def rarity(frame: SequenceFrame, backward: bool = False, spells: bool = False, g
     totals = counts.groupBy(*keys).agg(F.sum("freq").alias("n"))
     value = -F.log(F.col("freq") / F.col("n") + 1e-10)
     held = counts.join(totals, keys).withColumn("rarity", value)
-    moments = held.groupBy(*keys).agg(F.sum(F.col("freq") * F.col("rarity")).alias("s1"), F.sum(F.col("freq") * F.col("rarity") * F.col("rarity")).alias("s2"), F.first("n").alias("n_"))
+    moments = held.groupBy(*keys).agg(F.sum(F.col("freq") * F.col("rarity")).alias("s1"), F.sum(F.col("freq") * F.col("rarity") * F.col("rarity")).alias("s2"), F.first("n").alias("n_"), (F.max("rarity") > F.min("rarity")).alias("varies"))
     mean = F.col("s1") / F.col("n_")
     sd = F.sqrt(F.greatest(F.lit(0.0), (F.col("s2") - F.col("n_") * mean * mean) / F.nullif(F.col("n_") - 1, F.lit(0))))
-    scored = held.join(moments.select(*keys, mean.alias("mean"), sd.alias("sd")), keys)
-    z = F.when(F.col("sd") > 1e-12, (F.col("rarity") - F.col("mean")) / F.col("sd"))
+    scored = held.join(moments.select(*keys, mean.alias("mean"), sd.alias("sd"), "varies"), keys)
+    z = F.when(F.col("varies"), (F.col("rarity") - F.col("mean")) / F.col("sd"))
     return p.join(scored.select(*keys, "path", "freq", "rarity", z.alias("z")), [*keys, "path"]).select("id", *keys, "freq", "rarity", "z")
 
 

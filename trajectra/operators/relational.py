@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import distances as D
 from .sequences import SequenceFrame, build
+from .tables import numbered, reads_pairs_often, stored
 
 
 def make(rows: DataFrame, level_1: str, level_2: str, time: str, state: str, states: list[str]) -> tuple[SequenceFrame, DataFrame]:
@@ -38,6 +39,7 @@ def distance_by_structure(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return relation_of(pairs, units).groupBy("relation").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
 
 
+@reads_pairs_often
 def discrepancy_by_level(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """(level, pseudo_r2, pseudo_f) of level_1 and level_2 as factors."""
     from .discrepancy import association
@@ -49,6 +51,7 @@ def discrepancy_by_level(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return out
 
 
+@reads_pairs_often
 def crossed_discrepancy(pairs: DataFrame, units: DataFrame, rounds: int = 50) -> DataFrame:
     """(term, share): shares of the mean distance that level_1, level_2 and their cell leave out, by backfitted means of pairs' distances to all."""
     effects = additive_effects(pairs, units, rounds)
@@ -58,6 +61,7 @@ def crossed_discrepancy(pairs: DataFrame, units: DataFrame, rounds: int = 50) ->
     return sums.select("all", parts).select("x.term", "x.share")
 
 
+@reads_pairs_often
 def additive_effects(pairs: DataFrame, units: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, level_1, level_2, m, e1, e2, rest): each pair's mean distance to all others, centred, and its split into level effects.
 
@@ -91,6 +95,7 @@ def additive_effects(pairs: DataFrame, units: DataFrame, rounds: int = 50) -> Da
     return rows.join(f1, "level_1").join(f2, "level_2").select("id", "level_1", "level_2", "m", "e1", "e2", (F.col("m") - F.col("e1") - F.col("e2")).alias("rest"))
 
 
+@reads_pairs_often
 def outliers(pairs: DataFrame, units: DataFrame, threshold: float = 2.0) -> DataFrame:
     """(id, level_1, level_2, rest, z): pairs whose mean distance the level effects don't explain."""
     effects = additive_effects(pairs, units)
@@ -119,14 +124,12 @@ def sampled_distances(frame: SequenceFrame, units: DataFrame, partners: int = 8,
 
     Missing states are left out, and the distance is over the positions that both have.
     """
-    from pyspark.sql import Window
-
     rows = frame.arrays.select("id", "seq")
     n = rows.count()
-    numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")) - 1)
-    drawn = numbered.select(F.col("id").alias("i"), F.col("seq").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(partners))).alias("k"))
+    places = stored(numbered(rows, ["id"]))
+    drawn = places.select(F.col("id").alias("i"), F.col("seq").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(partners))).alias("k"))
     drawn = drawn.withColumn("m", F.pmod(F.col("n") + 1 + F.pmod(F.xxhash64(F.lit(seed), "i", "k"), F.lit(max(1, n - 1))), F.lit(n)).cast("int"))
-    both = drawn.join(numbered.select(F.col("id").alias("j"), F.col("seq").alias("y"), F.col("n").alias("m")), "m")
+    both = drawn.join(places.select(F.col("id").alias("j"), F.col("seq").alias("y"), F.col("n").alias("m")), "m")
     missing = frame.missing_code or -1
     valid = F.filter(F.arrays_zip("x", "y"), lambda p: (p["x"] != missing) & (p["y"] != missing))
     d = F.size(F.filter(valid, lambda p: p["x"] != p["y"])) / F.nullif(F.size(valid), F.lit(0))

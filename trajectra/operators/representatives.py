@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .discrepancy import overall_discrepancy
 from .distances import both_ways
+from .tables import reads_pairs_often, running, stored
 
 
 def weighted_distance_sums(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -55,20 +57,22 @@ def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, s
     return spark.createDataFrame(out, "rank int, id long, covered double, share double")
 
 
+@reads_pairs_often
 def frequency_groups(pairs: DataFrame, rows: DataFrame, groups: int, order: DataFrame) -> DataFrame:
-    """(group, medoid, n, r2): rows cut into equal weights along ``order`` (id, key), with each part's medoid.
+    """(group, medoid, n, total, r2): rows cut into equal weights along ``order`` (id, key), with each part's medoid.
 
-    r2 is the share of the overall discrepancy that the medoids leave out.
+    total is the group's summed distance to its medoid; r2 the share of the overall sum of squares that the medoids explain.
     """
-    from pyspark.sql import Window
-
-    placed = rows.join(order, "id")
+    placed = stored(rows.join(order, "id"))
     total = placed.agg(F.sum("weight")).first()[0] or 0.0
-    running = F.sum("weight").over(Window.partitionBy(F.lit(0)).orderBy("key", "id"))
-    grouped = placed.withColumn("group", F.least(F.floor((running - F.col("weight")) / (total / groups)) + 1, F.lit(groups))).select("id", "weight", "group")
+    grouped = running(placed, ["key", "id"], {"upto": "weight"}).withColumn("group", F.least(F.floor((F.col("upto") - F.col("weight")) / (total / groups)) + 1, F.lit(groups))).select("id", "weight", "group")
+    grouped = stored(grouped)
     found = medoids(pairs, grouped)
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n"))
-    return found.join(sizes, "group").select("group", "medoid", "n", "total")
+    whole = overall_discrepancy(pairs, rows.select("id", "weight")).select(F.col("ss").alias("whole"))
+    left = found.agg(F.sum("total").alias("left_out"))
+    share = F.greatest(F.lit(0.0), 1 - F.col("left_out") / F.nullif("whole", F.lit(0.0)))
+    return found.join(sizes, "group").join(F.broadcast(whole), how="cross").join(F.broadcast(left), how="cross").select("group", "medoid", "n", "total", share.alias("r2"))
 
 
 def distance_to_most_frequent(frame) -> list[int]:

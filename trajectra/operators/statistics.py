@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajectra.functions import spells as S
 
 from .sequences import SequenceFrame
+from .tables import numbered, shuffles, stored
 
 
 def weighted_moments(rows: DataFrame, value: str, weight: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -158,6 +159,11 @@ def bootstrap_oaxaca(rows: DataFrame, columns: Sequence[str], target: str, group
     return rows.sparkSession.createDataFrame(out, "component string, mean double, se double")
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson's correlation; null where a column doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def cluster_composition(labels: DataFrame, groups: DataFrame) -> DataFrame:
     """(cluster, group, n, share): each group's share of clusters."""
     counts = labels.join(groups, "id").groupBy("cluster", "group").agg(F.count("*").alias("n"))
@@ -167,26 +173,28 @@ def cluster_composition(labels: DataFrame, groups: DataFrame) -> DataFrame:
 def correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) of all pairs of columns; one pass."""
     names = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(names)])
+    one = rows.agg(*[_correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(names)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(names)])).alias("x")).select("x.a", "x.b", "x.r")
 
 
-def relevant_features(rows: DataFrame, columns: Sequence[str], target: str, rounds: int = 20, seed: int = 1) -> DataFrame:
+def relevant_features(rows: DataFrame, columns: Sequence[str], target: str, rounds: int = 20, seed: int = 1, key: str | None = None) -> DataFrame:
     """(feature, hits, relevant): how often a feature's absolute correlation with the target beats that of the best shuffled copy.
 
-    A shuffled copy takes the values in a seeded hash order; a feature is relevant if it wins more
-    often than a fair coin would in 95 of 100 cases.
+    A shuffled copy meets the target in a seeded order; a feature is relevant if it wins more often than a fair coin
+    would in 95 of 100 cases. Rows are numbered by ``key``, or by their values, so the draws are the same each time.
     """
     from math import comb
 
-    rows = rows.withColumn("__k", F.monotonically_increasing_id())
-    own = rows.agg(*[F.abs(F.corr(c, target)).alias(c) for c in columns]).first()
+    own = rows.agg(*[F.abs(_correlation(c, target)).alias(c) for c in columns]).first()
+    order = [key] if key else [F.xxhash64(*columns, target), *columns, target]
+    places = stored(numbered(rows.select(*dict.fromkeys([*([key] if key else []), *columns, target])), order, "__n"))
+    n = places.count()
     hits = dict.fromkeys(columns, 0)
-    place = Window.partitionBy(F.lit(1)).orderBy("h", "__k")
-    numbered = rows.withColumn("__p", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("__k"))).select("__p", F.col(target).alias("__t"))
-    for r in range(rounds):
-        mixed = rows.select(*columns, "__k", F.xxhash64(F.lit(seed), F.lit(r), "__k").alias("h")).withColumn("__p", F.row_number().over(place)).join(numbered, "__p")
-        best = max(x or 0.0 for x in mixed.agg(*[F.abs(F.corr(c, "__t")) for c in columns]).first())
+    others = places.select(F.col("__n").alias("__m"), F.col(target).alias("__t"))
+    turns = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(a).alias("a"), F.lit(b).alias("b")) for r, (a, b) in enumerate(shuffles(n, rounds, seed))])
+    mixed = places.select("__n", *columns, F.explode(turns).alias("x")).withColumn("__m", F.pmod(F.col("__n") * F.col("x.a") + F.col("x.b"), F.lit(n))).join(others, "__m")
+    for row in mixed.groupBy("x.r").agg(*[F.abs(_correlation(c, "__t")).alias(f"c{i}") for i, c in enumerate(columns)]).collect():  # a row per round
+        best = max((row[f"c{i}"] or 0.0) for i in range(len(columns)))
         for c in columns:
             hits[c] += int((own[c] or 0.0) > best)
     least = next(h for h in range(rounds + 1) if sum(comb(rounds, x) for x in range(h, rounds + 1)) / 2**rounds <= 0.05)

@@ -7,12 +7,14 @@ replicate is the same whatever the partitions, and a lost task is redone alike.
 from __future__ import annotations
 
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajectra.functions.special import poisson_truncated
 
-from .distances import _Arrays
+from .distances import _Arrays, block_pairs
 from .sequences import SequenceFrame
 
 
@@ -67,17 +69,38 @@ def hamming(x: Column, y: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: p["x"] != p["y"])).cast("double")
 
 
+def _replicated(rows: DataFrame) -> DataFrame:
+    """(uid, seqs): each id's sequences, replicate 0 first."""
+    return rows.groupBy(F.col("id").cast("long").alias("uid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "seq"))), lambda x: x["seq"]).alias("seqs"))
+
+
+def _hamming_blocks(a: pa.Table, b: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and (replicates, pairs) distances of two blocks."""
+    u, v = a.column("uid").to_numpy(), b.column("uid").to_numpy()
+    x, y = np.array(a.column("seqs").to_pylist()), np.array(b.column("seqs").to_pylist())  # (ids, replicates, positions)
+    keep = u[:, None] < v[None] if same else np.ones((len(u), len(v)), bool)
+    rows, columns = np.nonzero(keep)
+    d = np.stack([sum((x[:, r, t][:, None] != y[:, r, t][None]).astype(float) for t in range(x.shape[2]))[rows, columns] for r in range(x.shape[1])]) if len(rows) else np.zeros((x.shape[1] if x.ndim == 3 else 0, 0))
+    return np.minimum(u[rows], v[columns]), np.maximum(u[rows], v[columns]), d
+
+
 def distance_spread(rows: DataFrame, method: str = "HAM") -> DataFrame:
-    """(i, j, observed, mean, sd, bias, mse): each pair's Hamming distance over the replicates, and against that of the data."""
+    """(i, j, observed, mean, sd, bias, mse): each pair's Hamming distance over the replicates, and against that of the data.
+
+    Ids are compared in pairs of blocks, all replicates of a pair together.
+    """
     if method != "HAM":
         raise ValueError("the spread is of Hamming distances")
-    a, b = rows.select("rep", F.col("id").alias("i"), F.col("seq").alias("x")), rows.select("rep", F.col("id").alias("j"), F.col("seq").alias("y"))
-    d = a.join(b, "rep").where("i < j").select("rep", "i", "j", hamming(F.col("x"), F.col("y")).alias("d"))
-    seen = F.max(F.when(F.col("rep") == 0, F.col("d")))
-    drawn = F.when(F.col("rep") > 0, F.col("d"))
-    sums = d.groupBy("i", "j").agg(seen.alias("observed"), F.avg(drawn).alias("mean"), F.stddev_samp(drawn).alias("sd"), F.avg(drawn * drawn).alias("q"))
-    bias = F.col("mean") - F.col("observed")
-    return sums.select("i", "j", "observed", "mean", "sd", bias.alias("bias"), (F.col("q") - 2 * F.col("mean") * F.col("observed") + F.col("observed") * F.col("observed")).alias("mse"))
+
+    def compare(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        i, j, d = _hamming_blocks(a, b, same)
+        seen, drawn = (d[0], d[1:]) if len(d) else (np.zeros(0), np.zeros((0, 0)))
+        mean = drawn.mean(axis=0) if len(drawn) else np.full(len(i), np.nan)
+        sd = drawn.std(axis=0, ddof=1) if len(drawn) > 1 else np.full(len(i), np.nan)
+        mse = ((drawn - seen) ** 2).mean(axis=0) if len(drawn) else np.full(len(i), np.nan)
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), **{n: pa.array(x, pa.float64()) for n, x in (("observed", seen), ("mean", mean), ("sd", sd), ("bias", mean - seen), ("mse", mse))}})
+
+    return block_pairs(_replicated(rows), compare, "i long, j long, observed double, mean double, sd double, bias double, mse double")
 
 
 def spread_ratios(spread: DataFrame) -> DataFrame:
@@ -86,11 +109,18 @@ def spread_ratios(spread: DataFrame) -> DataFrame:
 
 
 def replicate_correlation(rows: DataFrame) -> DataFrame:
-    """(rep, r): correlation of a replicate's distances with those of the data."""
-    a, b = rows.select("rep", F.col("id").alias("i"), F.col("seq").alias("x")), rows.select("rep", F.col("id").alias("j"), F.col("seq").alias("y"))
-    d = a.join(b, "rep").where("i < j").select("rep", "i", "j", hamming(F.col("x"), F.col("y")).alias("d"))
-    seen = d.where("rep = 0").select("i", "j", F.col("d").alias("d0"))
-    return d.where("rep > 0").join(seen, ["i", "j"]).groupBy("rep").agg(F.corr("d", "d0").alias("r"))
+    """(rep, r): correlation of a replicate's distances with those of the data; blocks give sums."""
+
+    def compare(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        _, _, d = _hamming_blocks(a, b, same)
+        reps = np.arange(1, max(1, len(d)))
+        x, y = (d[0], d[1:]) if len(d) else (np.zeros(0), np.zeros((0, 0)))
+        sums = [np.full(len(reps), float(len(x))), np.full(len(reps), x.sum()), y.sum(axis=1), np.full(len(reps), (x * x).sum()), (y * y).sum(axis=1), (y * x).sum(axis=1)]
+        return pa.table({"rep": pa.array(reps, pa.int32()), **{n: pa.array(v, pa.float64()) for n, v in zip(("n", "x", "y", "xx", "yy", "xy"), sums, strict=True)}})
+
+    parts = block_pairs(_replicated(rows), compare, "rep int, n double, x double, y double, xx double, yy double, xy double")
+    one = parts.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    return one.select("rep", F.expr("(n * xy - x * y) / nullif(sqrt((n * xx - x * x) * (n * yy - y * y)), 0)").alias("r"))
 
 
 def distinct_counts(rows: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-EV = fx.SQL["ev_first20"]
+EV, DAILY = fx.SQL["ev_all"], fx.SQL["ev_daily"]
 #: CTE "u": distinct sequences by least id, as lists; "pr": their pairs.
 UNIQUE = f"WITH RECURSIVE {EV}, arr AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id), u AS (SELECT min(id) AS uid, q FROM arr GROUP BY q), pr AS (SELECT a.uid AS i, b.uid AS j, a.q AS x, b.q AS y FROM u a JOIN u b ON a.uid < b.uid)"
-#: CTE "uo": the same for the orders' sequences of three states and any length.
+#: The same over the daily panel: six states, equal lengths.
+PANEL = UNIQUE.replace(EV, DAILY)
+#: CTE "sp": spells; "pr" with the spells' states and lengths.
 SPELLS = f"WITH {EV}, {fx.SPELLS_SQL}, sa AS (SELECT id, list(s ORDER BY k) AS q, list(d ORDER BY k) AS d FROM sp GROUP BY id), arr AS (SELECT id, list(s ORDER BY pos) AS f FROM p GROUP BY id), u AS (SELECT min(id) AS uid, any_value(q) AS q, any_value(d) AS d FROM sa JOIN arr USING (id) GROUP BY f), pr AS (SELECT a.uid AS i, b.uid AS j, a.q AS x, b.q AS y, a.d AS dx, b.d AS dy FROM u a JOIN u b ON a.uid < b.uid)"
 
 
@@ -41,7 +43,7 @@ def _edit_sql(head: str, sub: str, indel: float, value: str) -> str:
 
 @query("dist_om", _edit_sql(UNIQUE, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 1.5 END", 1.0, "row[len(y) + 1]"))
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
+    frame = fx.ev_all(spark, d)
     return D.pairwise(frame, "OM", costs=[[0.0 if a == b else 1.5 for b in range(5)] for a in range(5)], indel=1.0)
 
 
@@ -52,34 +54,34 @@ def _(spark, d):
 
 @query("dist_lcs", _edit_sql(UNIQUE, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 2 END", 1.0, "row[len(y) + 1]"))
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "LCS")
+    return D.pairwise(fx.ev_all(spark, d), "LCS")
 
 
-@query("dist_om_as_lcs", _edit_sql(UNIQUE, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 6 END", 1.5, "row[len(y) + 1] / (1.5 * 20)"))
+@query("dist_om_as_lcs", _edit_sql(UNIQUE, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 6 END", 1.5, "row[len(y) + 1] / (1.5 * greatest(len(x), len(y)))"))
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "OM", costs=[[0.0 if a == b else 6.0 for b in range(5)] for a in range(5)], indel=1.5, norm="auto")
+    return D.pairwise(fx.ev_all(spark, d), "OM", costs=[[0.0 if a == b else 6.0 for b in range(5)] for a in range(5)], indel=1.5, norm="auto")
 
 
-@query("dist_ham", UNIQUE + " SELECT i, j, CAST(list_sum(list_transform(range(1, 21), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM pr")
+@query("dist_ham", PANEL + " SELECT i, j, CAST(list_sum(list_transform(range(1, 32), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM pr")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "HAM")
+    return D.pairwise(fx.ev_daily(spark, d), "HAM")
 
 
-DHD = UNIQUE + """, m AS (SELECT id, pos, s AS s1, lead(s) OVER (PARTITION BY id ORDER BY pos) AS s2 FROM p), ct AS (SELECT pos, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), rt AS (SELECT pos, s1, s2, n / sum(n) OVER (PARTITION BY pos, s1) AS rate FROM ct),
- g AS (SELECT t AS pos, s1, s2 FROM (SELECT unnest(range(1, 6)) AS s1), (SELECT unnest(range(1, 6)) AS s2), (SELECT unnest(range(1, 21)) AS t)),
+DHD = PANEL + """, m AS (SELECT id, pos, s AS s1, lead(s) OVER (PARTITION BY id ORDER BY pos) AS s2 FROM p), ct AS (SELECT pos, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), rt AS (SELECT pos, s1, s2, n / sum(n) OVER (PARTITION BY pos, s1) AS rate FROM ct),
+ g AS (SELECT t AS pos, s1, s2 FROM (SELECT unnest(range(1, 7)) AS s1), (SELECT unnest(range(1, 7)) AS s2), (SELECT unnest(range(1, 32)) AS t)),
  q AS (SELECT g.*, coalesce(a.rate, 0) + coalesce(b.rate, 0) + coalesce(c.rate, 0) + coalesce(e.rate, 0) AS v FROM g
   LEFT JOIN rt a ON a.pos = g.pos AND a.s1 = g.s1 AND a.s2 = g.s2 LEFT JOIN rt b ON b.pos = g.pos AND b.s1 = g.s2 AND b.s2 = g.s1
   LEFT JOIN rt c ON c.pos = g.pos - 1 AND c.s1 = g.s1 AND c.s2 = g.s2 LEFT JOIN rt e ON e.pos = g.pos - 1 AND e.s1 = g.s2 AND e.s2 = g.s1),
- cost AS (SELECT pos, s1, s2, CASE WHEN s1 = s2 THEN 0 ELSE greatest(0, 4 - CASE WHEN pos IN (1, 20) THEN 2 * v ELSE v END) END AS c FROM q),
- ex AS (SELECT i, j, t, x[t] AS s1, y[t] AS s2 FROM pr, (SELECT unnest(range(1, 21)) AS t))
+ cost AS (SELECT pos, s1, s2, CASE WHEN s1 = s2 THEN 0 ELSE greatest(0, 4 - CASE WHEN pos IN (1, 31) THEN 2 * v ELSE v END) END AS c FROM q),
+ ex AS (SELECT i, j, t, x[t] AS s1, y[t] AS s2 FROM pr, (SELECT unnest(range(1, 32)) AS t))
  SELECT i, j, round(sum(c), 6) AS d FROM ex JOIN cost ON cost.pos = t AND cost.s1 = ex.s1 AND cost.s2 = ex.s2 GROUP BY i, j"""
 
 
 @query("dist_dhd", DHD)
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
-    table = [[[0.0] * 5 for _ in range(5)] for _ in range(20)]
-    for row in T.rate_costs_by_time(frame, 20).collect():  # positions times the alphabet squared
+    frame = fx.ev_daily(spark, d)
+    table = [[[0.0] * frame.n_states for _ in range(frame.n_states)] for _ in range(fx.DAYS)]
+    for row in T.rate_costs_by_time(frame, fx.DAYS).collect():  # positions times the alphabet squared
         table[row.pos - 1][row.s1 - 1][row.s2 - 1] = row.cost
     return D.pairwise(frame, "DHD", costs=table)
 
@@ -89,12 +91,12 @@ LCP = "coalesce(list_min(list_filter(range(1, least(len({x}), len({y})) + 1), la
 
 @query("dist_lcp", UNIQUE + f" SELECT i, j, CAST(len(x) + len(y) - 2 * {LCP.format(x='x', y='y')} AS DOUBLE) AS d FROM pr")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "LCP")
+    return D.pairwise(fx.ev_all(spark, d), "LCP")
 
 
-@query("dist_rlcp", UNIQUE + f", rv AS (SELECT i, j, list_reverse(x) AS x, list_reverse(y) AS y FROM pr) SELECT i, j, round(1 - (40 - (len(x) + len(y) - 2 * {LCP.format(x='x', y='y')})) / (2 * sqrt(20) * sqrt(20)), 6) AS d FROM rv")
+@query("dist_rlcp", UNIQUE + f", rv AS (SELECT i, j, list_reverse(x) AS x, list_reverse(y) AS y FROM pr) SELECT i, j, round(1 - 2 * {LCP.format(x='x', y='y')} / (2 * sqrt(len(x)) * sqrt(len(y))), 6) AS d FROM rv")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "RLCP", norm="auto")
+    return D.pairwise(fx.ev_all(spark, d), "RLCP", norm="auto")
 
 
 SPL = SPELLS + f", l AS (SELECT *, {LCP.format(x='x', y='y')} AS c FROM pr)"
@@ -103,52 +105,52 @@ GAP = "coalesce(list_sum(list_transform(range(1, c + 1), lambda t: {f})), 0)"
 
 @query("dist_lcpspell", SPL + f" SELECT i, j, round(CAST(len(x) + len(y) - 2 * c + {GAP.format(f='abs(dx[t] - dy[t])')} / 2 AS DOUBLE), 6) AS d FROM l")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "LCPspell")
+    return D.pairwise(fx.ev_all(spark, d), "LCPspell")
 
 
-@query("dist_lcpmst", SPL + f" SELECT i, j, round((40 - 2 * {GAP.format(f='least(dx[t], dy[t])')}) / 40, 6) AS d FROM l")
+@query("dist_lcpmst", SPL + f" SELECT i, j, round(1 - 2 * {GAP.format(f='least(dx[t], dy[t])')} / (list_sum(dx) + list_sum(dy)), 6) AS d FROM l")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "LCPmst", norm="auto")
+    return D.pairwise(fx.ev_all(spark, d), "LCPmst", norm="auto")
 
 
 @query("dist_lcpprod", SPL + f" SELECT i, j, CAST(list_sum(list_transform(dx, lambda v: v * v)) + list_sum(list_transform(dy, lambda v: v * v)) - 2 * {GAP.format(f='dx[t] * dy[t]')} AS DOUBLE) AS d FROM l")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "LCPprod")
+    return D.pairwise(fx.ev_all(spark, d), "LCPprod")
 
 
-@query("dist_euclid", UNIQUE + " SELECT i, j, round(sqrt(list_sum(list_transform(range(1, 21), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) / 20), 6) AS d FROM pr")
+@query("dist_euclid", PANEL + " SELECT i, j, round(sqrt(list_sum(list_transform(range(1, 32), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) / 31), 6) AS d FROM pr")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "EUCLID", norm="auto")
+    return D.pairwise(fx.ev_daily(spark, d), "EUCLID", norm="auto")
 
 
-@query("dist_chi2", UNIQUE + """, ex AS (SELECT uid, (t - 1) // 5 AS b, q[t] AS c FROM (SELECT uid, q, unnest(range(1, 21)) AS t FROM u)),
- cells AS (SELECT uid, b, c FROM u, (SELECT unnest(range(0, 4)) AS b), (SELECT unnest(range(1, 6)) AS c)),
- prof AS (SELECT cells.uid, cells.b, cells.c, count(ex.uid) / 5 AS f FROM cells LEFT JOIN ex ON ex.uid = cells.uid AND ex.b = cells.b AND ex.c = cells.c GROUP BY ALL),
+@query("dist_chi2", PANEL + """, ex AS (SELECT uid, (t - 1) // 5 AS b, q[t] AS c FROM (SELECT uid, q, unnest(range(1, 32)) AS t FROM u)),
+ cells AS (SELECT uid, b, c FROM u, (SELECT unnest(range(0, 7)) AS b), (SELECT unnest(range(1, 7)) AS c)),
+ prof AS (SELECT cells.uid, cells.b, cells.c, count(ex.uid) / least(5, 31 - 5 * any_value(cells.b)) AS f FROM cells LEFT JOIN ex ON ex.uid = cells.uid AND ex.b = cells.b AND ex.c = cells.c GROUP BY ALL),
  mass AS (SELECT b, c, n / sum(n) OVER (PARTITION BY b) AS m FROM (SELECT (pos - 1) // 5 AS b, s AS c, count(*) AS n FROM p GROUP BY ALL))
  SELECT x.uid AS i, y.uid AS j, round(sqrt(sum((x.f - y.f) ** 2 / m)), 6) AS d FROM prof x JOIN prof y ON x.uid < y.uid AND x.b = y.b AND x.c = y.c JOIN mass ON mass.b = x.b AND mass.c = x.c GROUP BY ALL""")
 def _(spark, d):
-    return D.pairwise(fx.ev_first20(spark, d), "CHI2", step=5)
+    return D.pairwise(fx.ev_daily(spark, d), "CHI2", step=5)
 
 
-@query("dist_references", UNIQUE + " SELECT uid AS i, CAST(r AS INT) AS ref, CAST(list_sum(list_transform(range(1, 21), lambda t: CASE WHEN q[t] = [1, 5][r + 1] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM u, (SELECT unnest([0, 1]) AS r)")
+@query("dist_references", PANEL + " SELECT uid AS i, CAST(r AS INT) AS ref, CAST(list_sum(list_transform(range(1, 32), lambda t: CASE WHEN q[t] = [1, 5][r + 1] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM u, (SELECT unnest([0, 1]) AS r)")
 def _(spark, d):
-    return D.to_references(fx.ev_first20(spark, d), [[1] * 20, [5] * 20], "HAM")
+    return D.to_references(fx.ev_daily(spark, d), [[1] * fx.DAYS, [5] * fx.DAYS], "HAM")
 
 
-@query("dist_expanded", f"WITH {fx.SQL['ord_seq8']}, arr AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id) SELECT CAST(least(a.id, b.id) AS BIGINT) AS i, CAST(greatest(a.id, b.id) AS BIGINT) AS j, CAST(list_sum(list_transform(range(1, 9), lambda t: CASE WHEN a.q[t] = b.q[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM arr a JOIN arr b ON a.id < b.id")
+@query("dist_expanded", f"WITH {fx.SQL['conv_roles']}, arr AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id), pr AS (SELECT a.id AS i, b.id AS j, a.q AS x, b.q AS y FROM arr a JOIN arr b ON a.id < b.id) SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(len(x) + len(y) - 2 * {LCP.format(x='x', y='y')} AS DOUBLE) AS d FROM pr")
 def _(spark, d):
-    frame = fx.ord_seq8(spark, d)
-    return D.expand(frame, D.pairwise(frame, "HAM"))
+    frame = fx.conv_roles(spark, d)
+    return D.expand(frame, D.pairwise(frame, "LCP"))
 
 
-@query("dist_elzinga_studer", UNIQUE + ", h AS (SELECT i, j, list_sum(list_transform(range(1, 21), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS d FROM pr), r AS (SELECT uid, list_sum(list_transform(q, lambda s: CASE WHEN s = 1 THEN 0 ELSE 1 END)) AS r FROM u) SELECT i, j, round(CASE WHEN d + a.r + b.r > 0 THEN 2 * d / (d + a.r + b.r) ELSE 0 END, 6) AS d FROM h JOIN r a ON a.uid = i JOIN r b ON b.uid = j")
+@query("dist_elzinga_studer", PANEL + ", h AS (SELECT i, j, list_sum(list_transform(range(1, 32), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS d FROM pr), r AS (SELECT uid, list_sum(list_transform(q, lambda s: CASE WHEN s = 1 THEN 0 ELSE 1 END)) AS r FROM u) SELECT i, j, round(CASE WHEN d + a.r + b.r > 0 THEN 2 * d / (d + a.r + b.r) ELSE 0 END, 6) AS d FROM h JOIN r a ON a.uid = i JOIN r b ON b.uid = j")
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
-    refs = D.to_references(frame, [[1] * 20], "HAM").select("i", "d").withColumnRenamed("d", "r")
+    frame = fx.ev_daily(spark, d)
+    refs = D.to_references(frame, [[1] * fx.DAYS], "HAM").select("i", "d").withColumnRenamed("d", "r")
     return D.elzinga_studer(D.pairwise(frame, "HAM"), refs)
 
 
-def _plain(name: str, method: str, source=fx.ev_first20, **options) -> None:
+def _plain(name: str, method: str, source=fx.ev_all, **options) -> None:
     @query(name)
     def _(spark, d):
         return D.pairwise(source(spark, d), method, **options)

@@ -14,8 +14,7 @@ from .rounding import rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-HAM5 = [[float(a != b) for b in range(5)] for a in range(5)]
-HAM3 = [[float(a != b) for b in range(3)] for a in range(3)]
+HAM6, HAM4 = ([[float(a != b) for b in range(n)] for a in range(n)] for n in (6, 4))
 
 
 def query(name: str, sql: str | None = None):
@@ -29,10 +28,15 @@ def query(name: str, sql: str | None = None):
 
 
 def _two(spark, d):
-    return [fx.ev_first20(spark, d), fx.value_bands(spark, d)]
+    return [fx.ev_all(spark, d), fx.bands_all(spark, d)]
 
 
-TWO = f"WITH {fx.SQL['ev_first20']}, {fx.SQL['value_bands']}"
+def _daily(spark, d):
+    return [fx.ev_daily(spark, d), fx.bands_daily(spark, d)]
+
+
+TWO = f"WITH {fx.SQL['ev_all']}, {fx.SQL['bands_all']}"
+PANELS = f"WITH {fx.SQL['ev_daily']}, {fx.SQL['bands_daily']}"
 STATE = "['click', 'error', 'purchase', 'signup', 'view'][p.s] || '+' || ['high', 'low', 'mid'][p2.s]"
 
 
@@ -41,22 +45,22 @@ def _(spark, d):
     return M.combined_states(_two(spark, d))
 
 
-PAIRS = TWO + ", a AS (SELECT p.id, list(p.s ORDER BY pos) AS x, list(p2.s ORDER BY pos) AS y FROM p JOIN p2 USING (id, pos) GROUP BY p.id), u AS (SELECT min(id) AS uid, x, y FROM a GROUP BY x, y), h AS (SELECT a.uid AS i, b.uid AS j, list_sum(list_transform(range(1, 21), lambda t: CASE WHEN a.x[t] = b.x[t] THEN 0.0 ELSE 1.0 END)) AS dx, list_sum(list_transform(range(1, 21), lambda t: CASE WHEN a.y[t] = b.y[t] THEN 0.0 ELSE 1.0 END)) AS dy FROM u a JOIN u b ON a.uid < b.uid)"
+PAIRS = PANELS + ", a AS (SELECT p.id, list(p.s ORDER BY pos) AS x, list(p2.s ORDER BY pos) AS y FROM p JOIN p2 USING (id, pos) GROUP BY p.id), u AS (SELECT min(id) AS uid, x, y FROM a GROUP BY x, y), h AS (SELECT a.uid AS i, b.uid AS j, list_sum(list_transform(range(1, 32), lambda t: CASE WHEN a.x[t] = b.x[t] THEN 0.0 ELSE 1.0 END)) AS dx, list_sum(list_transform(range(1, 32), lambda t: CASE WHEN a.y[t] = b.y[t] THEN 0.0 ELSE 1.0 END)) AS dy FROM u a JOIN u b ON a.uid < b.uid)"
 
 
 @query("distances_summed", PAIRS + " SELECT i, j, round(CAST(dx + 2 * dy AS DOUBLE), 6) AS d FROM h")
 def _(spark, d):
-    return M.summed_distances(_two(spark, d), [{"method": "HAM"}, {"method": "HAM"}], [1.0, 2.0])
+    return M.summed_distances(_daily(spark, d), [{"method": "HAM"}, {"method": "HAM"}], [1.0, 2.0])
 
 
 @query("distances_additive_costs", PAIRS + " SELECT i, j, round(CAST(dx + 2 * dy AS DOUBLE), 6) AS d FROM h")
 def _(spark, d):
-    return M.additive_cost_distances(_two(spark, d), [HAM5, HAM3], "HAM", weights=[1.0, 2.0])[1]
+    return M.additive_cost_distances(_daily(spark, d), [HAM6, HAM4], "HAM", weights=[1.0, 2.0])[1]
 
 
 @query("domain_contributions", PAIRS + " SELECT CAST(k AS INT) AS domain, round(CAST(CASE k WHEN 0 THEN sum(dx) ELSE sum(dy) END / (sum(dx) + sum(dy)) AS DOUBLE), 6) AS share FROM h, (SELECT unnest([0, 1]) AS k) GROUP BY k")
 def _(spark, d):
-    frames = _two(spark, d)
+    frames = _daily(spark, d)
     return M.domain_contributions([D.pairwise(f, "HAM") for f in frames])
 
 
@@ -65,23 +69,23 @@ def _(spark, d):
     return M.association(*_two(spark, d)).drop("p_value")
 
 
-@query("combined_typology", f"WITH {fx.SQL['ev_first20']} SELECT DISTINCT id, CAST(id % 2 AS VARCHAR) || '-' || CAST(id % 3 AS VARCHAR) AS type FROM p")
+@query("combined_typology", f"WITH {fx.SQL['ev_all']} SELECT DISTINCT id, CAST(id % 2 AS VARCHAR) || '-' || CAST(id % 3 AS VARCHAR) AS type FROM p")
 def _(spark, d):
-    ids = fx.ev_first20(spark, d).long.select("id").distinct()
+    ids = fx.ev_all(spark, d).long.select("id").distinct()
     return M.combined_typology([ids.select("id", (F.col("id") % 2).alias("cluster")), ids.select("id", (F.col("id") % 3).alias("cluster"))])
 
 
 @query("merged_typology")
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
+    frame = fx.ev_daily(spark, d)
     types = frame.long.select("id", F.concat(F.lit("t"), F.least(F.col("id") % 11, F.lit(5)).cast("string")).alias("type")).distinct()
     return M.merge_sparse_types(types, D.pairwise(frame, "HAM"), 20)
 
 
 @query("linked_polyads")
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
-    return M.linked_polyads([frame, frame.__class__(frame.long.withColumn("code", F.pmod(F.col("code") + F.col("pos") % 2, F.lit(5)) + 1), frame.states, frame.labels, frame.missing_code)], draws=20)
+    frame = fx.ev_daily(spark, d)
+    return M.linked_polyads([frame, frame.__class__(frame.long.withColumn("code", F.pmod(F.col("code") + F.col("pos") % 2, F.lit(frame.n_states)) + 1), frame.states, frame.labels, frame.missing_code)], draws=20)
 
 
 def _relational(spark, d):

@@ -38,14 +38,23 @@ def _(spark, d):
 
 for _kind, _label in (("transition", "last || '>' || s"), ("state", "s"), ("period", "'end' || last || ',begin' || s")):
 
-    @query(f"events_from_states_{_kind}", f"WITH {fx.SQL['ord_seq8']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n) SELECT id, CAST(pos - 1 AS DOUBLE) AS ts, CASE WHEN last IS NULL THEN {'s' if _kind != 'period' else chr(39) + 'begin' + chr(39) + ' || s'} ELSE {_label} END AS event FROM l WHERE last IS NULL OR last <> s")
+    @query(f"events_from_states_{_kind}", f"WITH {fx.SQL['ord_status']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n) SELECT id, CAST(pos - 1 AS DOUBLE) AS ts, CASE WHEN last IS NULL THEN {'s' if _kind != 'period' else chr(39) + 'begin' + chr(39) + ' || s'} ELSE {_label} END AS event FROM l WHERE last IS NULL OR last <> s")
     def _(spark, d, kind=_kind):
-        return E.from_states(fx.ord_seq8(spark, d), kind)
+        return E.from_states(fx.ord_status(spark, d), kind)
 
 
-@query("frequent_subsequences", f"WITH {fx.SQL['ord_seq8']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n), v AS (SELECT id, pos AS ts, CASE WHEN last IS NULL THEN s ELSE last || '>' || s END AS event FROM l WHERE last IS NULL OR last <> s), o AS (SELECT '(' || event || ')' AS pattern, 1 AS length, count(DISTINCT id) AS support FROM v GROUP BY ALL UNION ALL SELECT '(' || a.event || ')-(' || b.event || ')', 2, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts < b.ts GROUP BY ALL UNION ALL SELECT '(' || a.event || ')-(' || b.event || ')-(' || c.event || ')', 3, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts < b.ts JOIN v c ON c.id = b.id AND b.ts < c.ts GROUP BY ALL) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= 100")
+def _longer(n: int) -> str:
+    """CTE of the distinct (id, events so far, last time) of patterns of n events one after another."""
+    return f"o{n} AS (SELECT DISTINCT o.id, o.pattern || '-(' || v.event || ')' AS pattern, v.ts FROM o{n - 1} o JOIN v ON v.id = o.id AND v.ts > o.ts)"
+
+
+#: Up to five events in a row; on sf0.01 no pattern of five has this support.
+FREQUENT = f"WITH {fx.SQL['ord_status']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n), v AS (SELECT id, pos AS ts, CASE WHEN last IS NULL THEN s ELSE last || '>' || s END AS event FROM l WHERE last IS NULL OR last <> s), o1 AS (SELECT DISTINCT id, '(' || event || ')' AS pattern, ts FROM v), {', '.join(map(_longer, range(2, 6)))}, o AS ({' UNION ALL '.join(f'SELECT pattern, {n} AS length, count(DISTINCT id) AS support FROM o{n} GROUP BY pattern' for n in range(1, 6))}) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= 100"
+
+
+@query("frequent_subsequences", FREQUENT)
 def _(spark, d):
-    return E.frequent_subsequences(E.from_states(fx.ord_seq8(spark, d)), 100)
+    return E.frequent_subsequences(E.from_states(fx.ord_status(spark, d)), 100)
 
 
 @query("frequent_subsequences_gap", TSE + ", o AS (SELECT '(' || event || ')' AS pattern, 1 AS length, count(DISTINCT id) AS support FROM v GROUP BY ALL UNION ALL SELECT '(' || a.event || ')-(' || b.event || ')', 2, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts < b.ts AND b.ts - a.ts <= 3.0 GROUP BY ALL UNION ALL SELECT '(' || a.event || ',' || b.event || ')', 2, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts = b.ts AND a.event < b.event GROUP BY ALL) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= 10")
@@ -72,18 +81,18 @@ def _(spark, d):
     return E.contains(_tse(spark, d), ["view", "purchase"], E.Constraint(window=24.0))
 
 
-@query("subsequence_groups", f"WITH {fx.SQL['ord_seq8']}, a AS (SELECT id, string_agg(['F', 'O', 'P'][s], '' ORDER BY pos) AS q FROM p GROUP BY id), f AS (SELECT id % 3 AS g, pt, CASE WHEN contains(regexp_replace(q, '(F+)', 'F', 'g'), 'FO') THEN 1 ELSE 0 END AS a, CASE WHEN contains(q, 'OP') THEN 1 ELSE 0 END AS b FROM a, (SELECT unnest(['(F>O)', '(O>P)']) AS pt)), t AS (SELECT pt AS pattern, g, CAST(sum(CASE WHEN pt = '(F>O)' THEN a ELSE b END) AS DOUBLE) AS y, count(*) AS n FROM f GROUP BY ALL), u AS (SELECT *, sum(y) OVER (PARTITION BY pattern) AS ay, sum(n) OVER (PARTITION BY pattern) AS an FROM t) SELECT pattern, round(sum((y - ay * n / an) ** 2 / (ay * n / an) + (y - ay * n / an) ** 2 / ((an - ay) * n / an)), 6) AS statistic FROM u GROUP BY pattern")
+@query("subsequence_groups", f"WITH {fx.SQL['ord_status']}, a AS (SELECT id, string_agg(['F', 'O', 'P'][s], '' ORDER BY pos) AS q FROM p GROUP BY id), f AS (SELECT id % 3 AS g, pt, CASE WHEN contains(regexp_replace(q, '(F+)', 'F', 'g'), 'FO') THEN 1 ELSE 0 END AS a, CASE WHEN contains(q, 'OP') THEN 1 ELSE 0 END AS b FROM a, (SELECT unnest(['(F>O)', '(O>P)']) AS pt)), t AS (SELECT pt AS pattern, g, CAST(sum(CASE WHEN pt = '(F>O)' THEN a ELSE b END) AS DOUBLE) AS y, count(*) AS n FROM f GROUP BY ALL), u AS (SELECT *, sum(y) OVER (PARTITION BY pattern) AS ay, sum(n) OVER (PARTITION BY pattern) AS an FROM t) SELECT pattern, round(sum((y - ay * n / an) ** 2 / (ay * n / an) + (y - ay * n / an) ** 2 / ((an - ay) * n / an)), 6) AS statistic FROM u GROUP BY pattern")
 def _(spark, d):
-    frame = fx.ord_seq8(spark, d)
+    frame = fx.ord_status(spark, d)
     counts = E.count_occurrences(E.from_states(frame), [["F>O"], ["O>P"]], presence=True)
     return E.compare_groups(counts, frame.long.select("id", (F.col("id") % 3).alias("group")).distinct()).drop("p_value")
 
 
-@query("situation_rates", f"WITH {fx.SQL['ord_seq8']}, n AS (SELECT pos, s, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT a.pos AS p1, a.s AS s1, c.pos AS p2, c.s AS s2, count(*) AS w FROM p a JOIN p c ON a.id = c.id AND c.pos > a.pos GROUP BY ALL) SELECT CAST(p1 AS INT) AS pos1, CAST(s1 AS INT) AS s1, CAST(p2 AS INT) AS pos2, CAST(s2 AS INT) AS s2, round(w / n, 6) AS rate, round(w / n / (p2 - p1 + 1), 6) AS discounted FROM b JOIN n ON n.pos = p1 AND n.s = s1")
+@query("situation_rates", f"WITH {fx.SQL['ord_status']}, n AS (SELECT pos, s, count(*) AS n FROM p GROUP BY ALL), b AS (SELECT a.pos AS p1, a.s AS s1, c.pos AS p2, c.s AS s2, count(*) AS w FROM p a JOIN p c ON a.id = c.id AND c.pos > a.pos GROUP BY ALL) SELECT CAST(p1 AS INT) AS pos1, CAST(s1 AS INT) AS s1, CAST(p2 AS INT) AS pos2, CAST(s2 AS INT) AS s2, round(w / n, 6) AS rate, round(w / n / (p2 - p1 + 1), 6) AS discounted FROM b JOIN n ON n.pos = p1 AND n.s = s1")
 def _(spark, d):
-    return E.situation_rates(fx.ord_seq8(spark, d))
+    return E.situation_rates(fx.ord_status(spark, d))
 
 
 @query("situation_distances")
 def _(spark, d):
-    return E.situation_distances(fx.ord_seq8(spark, d), 1)
+    return E.situation_distances(fx.ord_status(spark, d), 1)

@@ -10,7 +10,7 @@ from trajectra.operators import distances as D
 from trajectra.operators import representatives as R
 from trajectra.sources import fixtures as fx
 
-from .q_distances import UNIQUE
+from .q_distances import PANEL
 from .rounding import rounded
 
 QUERIES: dict = {}
@@ -28,14 +28,14 @@ def query(name: str, sql: str | None = None):
 
 
 def _ham(spark, d):
-    """Hamming pairs of ev_first20 and its rows in three groups."""
-    frame = fx.ev_first20(spark, d)
+    """Hamming pairs of ev_daily and its rows in three groups."""
+    frame = fx.ev_daily(spark, d)
     rows = D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight", (F.col("uid") % 3).cast("int").alias("group"))
     return D.pairwise(frame, "HAM"), rows
 
 
 #: CTEs "h" (i, j, d), "r" (id, w, g), "b" (both directions with weights and groups), and sums of squares.
-HAM = UNIQUE + """, h AS (SELECT i, j, CAST(list_sum(list_transform(range(1, 21), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM pr),
+HAM = PANEL + """, h AS (SELECT i, j, CAST(list_sum(list_transform(range(1, 32), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM pr),
  r AS (SELECT uid AS id, CAST((SELECT count(*) FROM arr WHERE arr.q = u.q) AS DOUBLE) AS w, CAST(uid % 3 AS INT) AS g FROM u),
  hw AS (SELECT h.*, a.w AS wi, a.g AS gi, b.w AS wj, b.g AS gj FROM h JOIN r a ON a.id = i JOIN r b ON b.id = j),
  b AS (SELECT i, j, d, wj, gi, gj FROM hw UNION ALL SELECT j, i, d, wi, gj, gi FROM hw),
@@ -96,9 +96,9 @@ def _(spark, d):
     return A.group_difference(pairs, rows.withColumn("group", (F.col("id") % 2).cast("int"))).drop("p_value")
 
 
-@query("compare_by_position", f"WITH {fx.SQL['ev_first20']}, q AS (SELECT a.id AS i, b.id AS j, a.pos, CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END AS m, a.id % 3 AS gi, b.id % 3 AS gj FROM p a JOIN p b ON a.pos = b.pos AND a.id < b.id), w AS (SELECT *, sum(m) OVER (PARTITION BY i, j ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS d FROM q), t AS (SELECT pos, sum(d) AS s FROM w GROUP BY pos), g AS (SELECT pos, gi AS g, sum(d) AS s FROM w WHERE gi = gj GROUP BY ALL), n AS (SELECT pos, id % 3 AS g, count(*) AS n FROM p GROUP BY ALL), x AS (SELECT pos, sum(coalesce(s, 0) / n) AS wi, sum(n) AS n, count(*) AS k FROM n LEFT JOIN g USING (pos, g) GROUP BY pos) SELECT CAST(pos AS INT) AS pos, round(((s / n - wi) / (k - 1)) / (wi / (n - k)), 6) AS pseudo_f, round(1 - wi / (s / n), 6) AS pseudo_r2 FROM x JOIN t USING (pos)")
+@query("compare_by_position", f"WITH {fx.SQL['ev_daily']}, q AS (SELECT a.id AS i, b.id AS j, a.pos, CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END AS m, a.id % 3 AS gi, b.id % 3 AS gj FROM p a JOIN p b ON a.pos = b.pos AND a.id < b.id), w AS (SELECT *, sum(m) OVER (PARTITION BY i, j ORDER BY pos ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS d FROM q), t AS (SELECT pos, sum(d) AS s FROM w GROUP BY pos), g AS (SELECT pos, gi AS g, sum(d) AS s FROM w WHERE gi = gj GROUP BY ALL), n AS (SELECT pos, id % 3 AS g, count(*) AS n FROM p GROUP BY ALL), x AS (SELECT pos, sum(coalesce(s, 0) / n) AS wi, sum(n) AS n, count(*) AS k FROM n LEFT JOIN g USING (pos, g) GROUP BY pos) SELECT CAST(pos AS INT) AS pos, round(((s / n - wi) / (k - 1)) / (wi / (n - k)), 6) AS pseudo_f, round(1 - wi / (s / n), 6) AS pseudo_r2 FROM x JOIN t USING (pos)")
 def _(spark, d):
-    frame = fx.ev_first20(spark, d)
+    frame = fx.ev_daily(spark, d)
     return A.compare_by_position(frame, frame.long.select("id", (F.col("id") % 3).cast("int").alias("group")).distinct())
 
 
@@ -127,20 +127,20 @@ def _(spark, d):
     return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0)[1]
 
 
-def _o8(spark, d):
-    """Hamming pairs of the distinct status sequences and their weights."""
-    frame = fx.ord_seq8(spark, d)
+def _weighted(spark, d):
+    """Hamming pairs of the distinct daily sequences and their weights."""
+    frame = fx.ev_daily(spark, d)
     return D.pairwise(frame, "HAM"), D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight")
 
 
 @query("linkage")
 def _(spark, d):
-    return C.hierarchical(*_o8(spark, d), method="average")
+    return C.hierarchical(*_weighted(spark, d), method="average")
 
 
 @query("linkage_ward")
 def _(spark, d):
-    return C.hierarchical(*_o8(spark, d), method="ward")
+    return C.hierarchical(*_weighted(spark, d), method="ward")
 
 
 @query("linkage_divisive")
@@ -150,37 +150,37 @@ def _(spark, d):
 
 @query("cluster_labels")
 def _(spark, d):
-    return C.cluster_labels(*_o8(spark, d), ks=[2, 3, 4])
+    return C.cluster_labels(*_weighted(spark, d), ks=[2, 3, 4])
 
 
 @query("cluster_range")
 def _(spark, d):
-    return C.cluster_range(*_o8(spark, d), ks=[2, 3, 4, 5])
+    return C.cluster_range(*_weighted(spark, d), ks=[2, 3, 4, 5])
 
 
 @query("k_medoids")
 def _(spark, d):
-    return C.k_medoids(*_o8(spark, d), k=4)
+    return C.k_medoids(*_weighted(spark, d), k=4)
 
 
 @query("fuzzy_medoids")
 def _(spark, d):
-    return C.fuzzy_medoids(*_o8(spark, d), k=3)
+    return C.fuzzy_medoids(*_weighted(spark, d), k=3)
 
 
 @query("fuzzy_analysis")
 def _(spark, d):
-    return C.fuzzy_analysis(*_o8(spark, d), k=3)
+    return C.fuzzy_analysis(*_weighted(spark, d), k=3)
 
 
 @query("crispness")
 def _(spark, d):
-    return C.crispness(C.fuzzy_medoids(*_o8(spark, d), k=3))
+    return C.crispness(C.fuzzy_medoids(*_weighted(spark, d), k=3))
 
 
 @query("most_typical")
 def _(spark, d):
-    return C.most_typical(C.fuzzy_medoids(*_o8(spark, d), k=3))
+    return C.most_typical(C.fuzzy_medoids(*_weighted(spark, d), k=3))
 
 
 @query("clara")
@@ -200,9 +200,9 @@ def _(spark, d):
     return C.partition_quality(pairs, rows.select("id", F.col("group").alias("cluster"), "weight")).drop("asw", "asww")
 
 
-@query("label_agreement", f"WITH {fx.SQL['ev_first20']}, l AS (SELECT DISTINCT id, id % 3 AS a, id % 4 AS b FROM p), t AS (SELECT a, b, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT sum(n * (n - 1) / 2) AS c, sum(n) AS N FROM t), r AS (SELECT sum(n * (n - 1) / 2) AS r FROM (SELECT sum(n) AS n FROM t GROUP BY a)), q AS (SELECT sum(n * (n - 1) / 2) AS q FROM (SELECT sum(n) AS n FROM t GROUP BY b)) SELECT round((c - r * q / (N * (N - 1) / 2)) / ((r + q) / 2 - r * q / (N * (N - 1) / 2)), 6) AS ari, round(c / (r + q - c), 6) AS jaccard FROM c, r, q")
+@query("label_agreement", f"WITH {fx.SQL['ev_daily']}, l AS (SELECT DISTINCT id, id % 3 AS a, id % 4 AS b FROM p), t AS (SELECT a, b, count(*) AS n FROM l GROUP BY ALL), c AS (SELECT sum(n * (n - 1) / 2) AS c, sum(n) AS N FROM t), r AS (SELECT sum(n * (n - 1) / 2) AS r FROM (SELECT sum(n) AS n FROM t GROUP BY a)), q AS (SELECT sum(n * (n - 1) / 2) AS q FROM (SELECT sum(n) AS n FROM t GROUP BY b)) SELECT round((c - r * q / (N * (N - 1) / 2)) / ((r + q) / 2 - r * q / (N * (N - 1) / 2)), 6) AS ari, round(c / (r + q - c), 6) AS jaccard FROM c, r, q")
 def _(spark, d):
-    ids = fx.ev_first20(spark, d).long.select("id").distinct()
+    ids = fx.ev_daily(spark, d).long.select("id").distinct()
     return C.agreement(ids.select("id", (F.col("id") % 3).alias("cluster")), ids.select("id", (F.col("id") % 4).alias("cluster")))
 
 

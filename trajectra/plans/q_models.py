@@ -26,14 +26,14 @@ def query(name: str, sql: str | None = None):
 
 
 def _fitted(spark, d):
-    frame = fx.ord_seq8(spark, d)
-    return frame, H.fit([frame], 2, rounds=6)[0]
+    frame = fx.ord_status(spark, d)
+    return frame, H.fit([frame], 2)[0]
 
 
 @query("hmm_fit")
 def _(spark, d):
-    frame = fx.ord_seq8(spark, d)
-    model, history = H.fit([frame], 2, rounds=8)
+    frame = fx.ord_status(spark, d)
+    model, history = H.fit([frame], 2)
     n = frame.long.count()
     ic = H.information_criteria(history[-1], model.n_parameters, n)
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(history)], "round int, log_likelihood double").withColumn("bic", F.lit(ic["bic"]))
@@ -53,23 +53,23 @@ def _(spark, d):
 
 @query("hmm_mixture")
 def _(spark, d):
-    frame = fx.ord_seq8(spark, d)
-    models, shares, _ = H.fit_mixture([frame], [2, 2], rounds=4)
+    frame = fx.ord_status(spark, d)
+    models, shares, _ = H.fit_mixture([frame], [2, 2])
     return H.component_posteriors([frame], models, shares)
 
 
 @query("hmm_multichannel")
 def _(spark, d):
-    frames = [fx.ev_first20(spark, d), fx.value_bands(spark, d)]
-    model, _ = H.fit(frames, 2, rounds=4)
+    frames = [fx.ev_all(spark, d), fx.bands_all(spark, d)]
+    model, _ = H.fit(frames, 2)
     return H.score(frames, model)
 
 
 @query("hmm_covariates")
 def _(spark, d):
-    frame = fx.ord_seq8(spark, d)
+    frame = fx.ord_status(spark, d)
     x = frame.long.select("id", (F.col("id") % 2).cast("double").alias("x")).distinct()
-    _, history = H.fit_with_covariates(frame, x, ["x"], 2, rounds=4)
+    _, history = H.fit_with_covariates(frame, x, ["x"], 2)
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(history)], "round int, log_likelihood double")
 
 

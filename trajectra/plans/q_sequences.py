@@ -14,7 +14,7 @@ from .rounding import rounded
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-SCALE = [0.25, 1.0, 0.0, 0.5, 0.75]  # of ev_first20's states, from purchase to error
+SCALE = [0.25, 1.0, 0.0, 0.5, 0.75]  # of the events' states, from purchase to error
 
 
 def query(name: str, sql: str | None = None):
@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-EV, SP = fx.SQL["ev_first20"], fx.SPELLS_SQL
+EV, SP = fx.SQL["ev_all"], fx.SPELLS_SQL
 #: CTE "one": id, length, n_spells, visited, mean and variance of durations; "ent": entropy of time per state.
 ONE = f"""WITH {EV}, {SP},
  ln AS (SELECT id, count(*) AS length, count(DISTINCT s) AS visited FROM p GROUP BY id),
@@ -45,27 +45,27 @@ CI = "sqrt((n_spells - 1) / (length - 1) * h / ln(5))"
 
 @query("seq_complexity", ONE + f"SELECT id, CAST(n_spells - 1 AS INT) AS transitions, CAST(visited AS INT) AS visited, round(h / ln(5), 6) AS entropy, round({CI}, 6) AS complexity FROM one JOIN ent USING (id)")
 def _(spark, d):
-    return I.complexity(fx.ev_first20(spark, d))
+    return I.complexity(fx.ev_all(spark, d))
 
 
 @query("seq_basic", ONE + "SELECT id, CAST(length AS INT) AS length, CAST(n_spells AS INT) AS n_spells, CAST(n_spells - 1 AS INT) AS transitions, round((n_spells - 1) / (length - 1), 6) AS transitions_share, CAST(visited AS INT) AS visited, round(visited / 5, 6) AS visited_share, round(n_spells / visited, 6) AS recurrence, round(md, 6) AS mean_duration, round(sqrt(vd), 6) AS sd_duration FROM one")
 def _(spark, d):
-    return I.basic(fx.ev_first20(spark, d))
+    return I.basic(fx.ev_all(spark, d))
 
 
 @query("seq_duration_variance", ONE + "SELECT id, round(md, 6) AS mean_duration, round(vd, 6) AS variance, round((n_spells - 1) * (1 - length / n_spells) ** 2, 6) AS largest FROM one")
 def _(spark, d):
-    return I.duration_variance(fx.ev_first20(spark, d))
+    return I.duration_variance(fx.ev_all(spark, d))
 
 
-@query("seq_state_times", f"WITH {EV}, ids AS (SELECT DISTINCT id FROM p), g AS (SELECT id, CAST(c AS INT) AS code FROM ids, (SELECT unnest(range(1, 6)) AS c)) SELECT id, code, CAST(count(s) AS INT) AS time, round(count(s) / 20, 6) AS share FROM g LEFT JOIN p USING (id) WHERE s = code OR s IS NULL GROUP BY id, code UNION ALL SELECT id, code, 0, 0.0 FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = g.id AND p.s = g.code)")
+@query("seq_state_times", f"WITH {EV}, ids AS (SELECT DISTINCT id FROM p), g AS (SELECT id, CAST(c AS INT) AS code FROM ids, (SELECT unnest(range(1, 6)) AS c)) SELECT id, code, CAST(count(s) AS INT) AS time, round(count(s) / any_value(ln.n), 6) AS share FROM g LEFT JOIN p USING (id) JOIN (SELECT id, count(*) AS n FROM p GROUP BY id) ln USING (id) WHERE s = code OR s IS NULL GROUP BY id, code UNION ALL SELECT id, code, 0, 0.0 FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.id = g.id AND p.s = g.code)")
 def _(spark, d):
-    return I.state_times(fx.ev_first20(spark, d))
+    return I.state_times(fx.ev_all(spark, d))
 
 
 @query("seq_spell_entropy", ONE + "SELECT id, round(-sum(d / length * ln(d / length)) / ln(any_value(length)), 6) AS spell_entropy FROM sp JOIN ln USING (id) GROUP BY id")
 def _(spark, d):
-    return I.spell_entropy(fx.ev_first20(spark, d))
+    return I.spell_entropy(fx.ev_all(spark, d))
 
 
 @query("seq_turbulence", ONE + """, r AS (WITH RECURSIVE t AS (
@@ -74,47 +74,47 @@ def _(spark, d):
    SELECT id, arg_max(n, k) AS phi FROM t GROUP BY id)
  SELECT id, phi AS subsequences, round(vd, 6) AS variance, round(log2(phi * ((n_spells - 1) * (1 - length / n_spells) ** 2 + 1) / (vd + 1)), 6) AS turbulence FROM one JOIN r USING (id)""")
 def _(spark, d):
-    return I.turbulence(fx.ev_first20(spark, d))
+    return I.turbulence(fx.ev_all(spark, d))
 
 
 @query("seq_volatility", ONE + "SELECT id, round(0.5 * (visited - 1) / 4 + 0.5 * (n_spells - 1) / (length - 1), 6) AS volatility FROM one")
 def _(spark, d):
-    return I.volatility(fx.ev_first20(spark, d))
+    return I.volatility(fx.ev_all(spark, d))
 
 
 @query("seq_integration", ONE + ", g AS (SELECT id, w, CAST(c AS INT) AS code FROM tot, (SELECT unnest(range(1, 6)) AS c)), m AS (SELECT id, s, sum(pos) AS x FROM p GROUP BY id, s) SELECT g.id, code, round(coalesce(x, 0) / w, 6) AS integration FROM g LEFT JOIN m ON m.id = g.id AND m.s = g.code")
 def _(spark, d):
-    return I.integration(fx.ev_first20(spark, d))
+    return I.integration(fx.ev_all(spark, d))
 
 
 @query("seq_positive_share", ONE + "SELECT id, round(count(*) FILTER (s IN (3, 4)) / nullif(count(*) FILTER (s IN (3, 4, 2)), 0), 6) AS value FROM sp GROUP BY id")
 def _(spark, d):
-    return I.positive_negative(fx.ev_first20(spark, d), [3, 4], [2])
+    return I.positive_negative(fx.ev_all(spark, d), [3, 4], [2])
 
 
 @query("seq_positive_integration", ONE + "SELECT id, round(coalesce(sum(pos) FILTER (s IN (3, 4)), 0) / sum(pos), 6) AS value FROM p GROUP BY id")
 def _(spark, d):
-    return I.positive_negative(fx.ev_first20(spark, d), [3, 4], [2], "integration")
+    return I.positive_negative(fx.ev_all(spark, d), [3, 4], [2], "integration")
 
 
 @query("seq_badness", ONE + "SELECT id, round(sum(v * pos / w), 6) AS badness FROM p JOIN sc USING (s) JOIN tot USING (id) GROUP BY id")
 def _(spark, d):
-    return I.badness(fx.ev_first20(spark, d), SCALE)
+    return I.badness(fx.ev_all(spark, d), SCALE)
 
 
 @query("seq_degradation", ONE + "SELECT id, round(coalesce(g, 0), 6) AS degradation FROM one LEFT JOIN deg USING (id)")
 def _(spark, d):
-    return I.degradation(fx.ev_first20(spark, d), SCALE)
+    return I.degradation(fx.ev_all(spark, d), SCALE)
 
 
 @query("seq_precarity", ONE + f"SELECT id, round(0.2 * v + 0.8 * {CI} * (1 + coalesce(g, 0)) ** 1.2, 6) AS precarity FROM one JOIN ent USING (id) LEFT JOIN deg USING (id) JOIN sc ON sc.s = s1")
 def _(spark, d):
-    return I.precarity(fx.ev_first20(spark, d), SCALE)
+    return I.precarity(fx.ev_all(spark, d), SCALE)
 
 
 @query("seq_insecurity", ONE + f"SELECT id, round(v * (d1 * (d1 + 1) / 2) / w + {CI} + coalesce(g, 0), 6) AS insecurity FROM one JOIN ent USING (id) JOIN tot USING (id) LEFT JOIN deg USING (id) JOIN sc ON sc.s = s1")
 def _(spark, d):
-    return I.insecurity(fx.ev_first20(spark, d), SCALE)
+    return I.insecurity(fx.ev_all(spark, d), SCALE)
 
 
 @query("seq_length_summary", f"WITH {fx.SQL['ord_seq']}, l AS (SELECT CAST(count(*) AS DOUBLE) AS v FROM p GROUP BY id) SELECT count(*) AS n, round(avg(v), 6) AS mean, quantile_cont(v, 0.5) AS median, min(v) AS min, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, max(v) AS max FROM l")
@@ -134,32 +134,32 @@ DIST = f"WITH {EV}, g AS (SELECT CAST(pos AS INT) AS pos, CAST(c AS INT) AS code
 
 @query("xs_state_distribution", DIST + " SELECT pos, code, weight, round(share, 6) AS share FROM dist")
 def _(spark, d):
-    return X.state_distribution(fx.ev_first20(spark, d))
+    return X.state_distribution(fx.ev_all(spark, d))
 
 
 @query("xs_entropy", DIST + ", h AS (SELECT pos, sum(weight) AS n_valid, -sum(CASE WHEN share > 0 THEN share * ln(share) ELSE 0 END) AS h FROM dist GROUP BY pos) SELECT pos, n_valid, round(h / ln(5), 6) AS entropy, round(exp(h), 6) AS effective_states FROM h")
 def _(spark, d):
-    return X.entropy_by_position(fx.ev_first20(spark, d))
+    return X.entropy_by_position(fx.ev_all(spark, d))
 
 
 @query("xs_modal_state", DIST + " SELECT pos, arg_max(code, (share, -code)) AS code, round(max(share), 6) AS share FROM dist GROUP BY pos")
 def _(spark, d):
-    return X.modal_states(fx.ev_first20(spark, d))
+    return X.modal_states(fx.ev_all(spark, d))
 
 
 @query("xs_mean_time", f"WITH {EV}, n AS (SELECT DISTINCT id FROM p), t AS (SELECT id, CAST(c AS INT) AS code, (SELECT count(*) FROM p WHERE p.id = n.id AND s = c) AS t FROM n, (SELECT unnest(range(1, 6)) AS c)), a AS (SELECT code, avg(t) AS m, var_samp(t) AS v, count(*) AS n FROM t GROUP BY code) SELECT code, round(m, 6) AS mean, round(v, 6) AS variance, round(sqrt(v), 6) AS sd, round(sqrt(v / n), 6) AS se FROM a")
 def _(spark, d):
-    return X.mean_time(fx.ev_first20(spark, d))
+    return X.mean_time(fx.ev_all(spark, d))
 
 
-@query("freq_sequences_topk", f"WITH {fx.SQL['ord_seq8']}, a AS (SELECT id, list(CAST(s AS INT) ORDER BY pos) AS q FROM p GROUP BY id), u AS (SELECT q, CAST(count(*) AS DOUBLE) AS weight FROM a GROUP BY q) SELECT array_to_string(q, '-') AS seq, weight, round(weight / (SELECT count(*) FROM a), 6) AS share FROM u ORDER BY weight DESC, q LIMIT 10")
+@query("freq_sequences_topk", f"WITH {fx.SQL['ord_status']}, a AS (SELECT id, list(CAST(s AS INT) ORDER BY pos) AS q FROM p GROUP BY id), u AS (SELECT q, CAST(count(*) AS DOUBLE) AS weight FROM a GROUP BY q) SELECT array_to_string(q, '-') AS seq, weight, round(weight / (SELECT count(*) FROM a), 6) AS share FROM u ORDER BY weight DESC, q LIMIT 10")
 def _(spark, d):
-    return X.most_frequent(fx.ord_seq8(spark, d)).withColumn("seq", F.array_join(F.col("seq").cast("array<string>"), "-"))
+    return X.most_frequent(fx.ord_status(spark, d)).withColumn("seq", F.array_join(F.col("seq").cast("array<string>"), "-"))
 
 
-@query("uniqueness_rate", f"WITH {fx.SQL['ord_seq8']}, a AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id) SELECT count(*) AS n, count(DISTINCT q) AS n_unique, round(count(DISTINCT q) / count(*), 6) AS rate FROM a")
+@query("uniqueness_rate", f"WITH {fx.SQL['ord_status']}, a AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id) SELECT count(*) AS n, count(DISTINCT q) AS n_unique, round(count(DISTINCT q) / count(*), 6) AS rate FROM a")
 def _(spark, d):
-    return Q.uniqueness(fx.ord_seq8(spark, d))
+    return Q.uniqueness(fx.ord_status(spark, d))
 
 
 @query("concatenated_sequences", f"WITH {fx.SQL['conv_roles']} SELECT id, string_agg(['assistant', 'system', 'user'][s], '-' ORDER BY pos) AS text FROM p GROUP BY id")
@@ -167,9 +167,9 @@ def _(spark, d):
     return Q.concatenated(fx.conv_roles(spark, d))
 
 
-@query("cross_table", f"WITH {EV}, {fx.SQL['value_bands']} SELECT ['click', 'error', 'purchase', 'signup', 'view'][p.s] AS state_a, ['high', 'low', 'mid'][p2.s] AS state_b, CAST(count(*) AS DOUBLE) AS weight FROM p JOIN p2 USING (id, pos) GROUP BY ALL")
+@query("cross_table", f"WITH {EV}, {fx.SQL['bands_all']} SELECT ['click', 'error', 'purchase', 'signup', 'view'][p.s] AS state_a, ['high', 'low', 'mid'][p2.s] AS state_b, CAST(count(*) AS DOUBLE) AS weight FROM p JOIN p2 USING (id, pos) GROUP BY ALL")
 def _(spark, d):
-    return Q.cross_table(fx.ev_first20(spark, d), fx.value_bands(spark, d))
+    return Q.cross_table(fx.ev_all(spark, d), fx.bands_all(spark, d))
 
 
 @query("daily_panel", f"WITH {fx.SQL['ev_daily']} SELECT CAST(pos AS INT) AS pos, CAST(s AS INT) AS code, count(*) AS n FROM p GROUP BY ALL")
@@ -179,7 +179,7 @@ def _(spark, d):
 
 @query("recoded_states", f"WITH {EV} SELECT CASE WHEN s IN (1, 5) THEN 'browse' ELSE 'other' END AS state, count(*) AS n FROM p GROUP BY ALL")
 def _(spark, d):
-    new = Q.recode(fx.ev_first20(spark, d), {"browse": ["click", "view"]}, otherwise="other")
+    new = Q.recode(fx.ev_all(spark, d), {"browse": ["click", "view"]}, otherwise="other")
     return new.long.groupBy(new.state_of(F.col("code")).alias("state")).agg(F.count("*").alias("n"))
 
 
@@ -191,48 +191,50 @@ def _(spark, d):
 
 
 TR = f"WITH {EV}, m AS (SELECT id, pos, s AS s1, lead(s) OVER (PARTITION BY id ORDER BY pos) AS s2 FROM p), c AS (SELECT s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), r AS (SELECT s1, s2, n / sum(n) OVER (PARTITION BY s1) AS rate FROM c), ab AS (SELECT CAST(a AS INT) AS s1, CAST(b AS INT) AS s2 FROM (SELECT unnest(range(1, 6)) AS a), (SELECT unnest(range(1, 6)) AS b))"
+#: The same over the daily panel, which has a sixth state for missing.
+TR6 = TR.replace(EV, fx.SQL["ev_daily"]).replace("range(1, 6)", "range(1, 7)")
 
 
 @query("transition_rates", TR + " SELECT CAST(s1 AS INT) AS s1, CAST(s2 AS INT) AS s2, round(rate, 6) AS rate FROM r")
 def _(spark, d):
-    return T.transition_rates(fx.ev_first20(spark, d))
+    return T.transition_rates(fx.ev_all(spark, d))
 
 
 @query("transition_rates_by_time", TR + ", ct AS (SELECT pos, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL) SELECT CAST(pos AS INT) AS pos, CAST(s1 AS INT) AS s1, CAST(s2 AS INT) AS s2, round(n / sum(n) OVER (PARTITION BY pos, s1), 6) AS rate FROM ct")
 def _(spark, d):
-    return T.transition_rates(fx.ev_first20(spark, d), by_time=True)
+    return T.transition_rates(fx.ev_all(spark, d), by_time=True)
 
 
 @query("subcost_rate", TR + " SELECT ab.s1, ab.s2, round(CASE WHEN ab.s1 = ab.s2 THEN 0 ELSE 2 - coalesce(x.rate, 0) - coalesce(y.rate, 0) END, 6) AS cost FROM ab LEFT JOIN r x ON x.s1 = ab.s1 AND x.s2 = ab.s2 LEFT JOIN r y ON y.s1 = ab.s2 AND y.s2 = ab.s1")
 def _(spark, d):
-    return T.rate_costs(fx.ev_first20(spark, d))
+    return T.rate_costs(fx.ev_all(spark, d))
 
 
-@query("subcost_rate_by_time", TR + """, ct AS (SELECT pos, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), rt AS (SELECT pos, s1, s2, n / sum(n) OVER (PARTITION BY pos, s1) AS rate FROM ct),
- g AS (SELECT CAST(t AS INT) AS pos, s1, s2 FROM ab, (SELECT unnest(range(1, 21)) AS t)),
+@query("subcost_rate_by_time", TR6 + """, ct AS (SELECT pos, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), rt AS (SELECT pos, s1, s2, n / sum(n) OVER (PARTITION BY pos, s1) AS rate FROM ct),
+ g AS (SELECT CAST(t AS INT) AS pos, s1, s2 FROM ab, (SELECT unnest(range(1, 32)) AS t)),
  q AS (SELECT g.*, coalesce(a.rate, 0) + coalesce(b.rate, 0) + coalesce(c.rate, 0) + coalesce(e.rate, 0) AS x FROM g
   LEFT JOIN rt a ON a.pos = g.pos AND a.s1 = g.s1 AND a.s2 = g.s2 LEFT JOIN rt b ON b.pos = g.pos AND b.s1 = g.s2 AND b.s2 = g.s1
   LEFT JOIN rt c ON c.pos = g.pos - 1 AND c.s1 = g.s1 AND c.s2 = g.s2 LEFT JOIN rt e ON e.pos = g.pos - 1 AND e.s1 = g.s2 AND e.s2 = g.s1)
- SELECT pos, s1, s2, round(CASE WHEN s1 = s2 THEN 0 ELSE greatest(0, 4 - CASE WHEN pos IN (1, 20) THEN 2 * x ELSE x END) END, 6) AS cost FROM q""")
+ SELECT pos, s1, s2, round(CASE WHEN s1 = s2 THEN 0 ELSE greatest(0, 4 - CASE WHEN pos IN (1, 31) THEN 2 * x ELSE x END) END, 6) AS cost FROM q""")
 def _(spark, d):
-    return T.rate_costs_by_time(fx.ev_first20(spark, d), 20)
+    return T.rate_costs_by_time(fx.ev_daily(spark, d), fx.DAYS)
 
 
 @query("subcost_future", TR + ", ms AS (SELECT s2, sum(rate) AS mass FROM r GROUP BY s2), f AS (SELECT ab.s1, ab.s2, t FROM ab, (SELECT unnest(range(1, 6)) AS t)) SELECT f.s1, f.s2, round(sqrt(sum((coalesce(x.rate, 0) - coalesce(y.rate, 0)) ** 2 / mass)), 6) AS cost FROM f LEFT JOIN r x ON x.s1 = f.s1 AND x.s2 = t LEFT JOIN r y ON y.s1 = f.s2 AND y.s2 = t JOIN ms ON ms.s2 = t GROUP BY f.s1, f.s2")
 def _(spark, d):
-    return T.future_costs(fx.ev_first20(spark, d))
+    return T.future_costs(fx.ev_all(spark, d))
 
 
 @query("subcost_indels", f"WITH {EV}, n AS (SELECT s, count(*) / (SELECT count(*) FROM p) AS f FROM p GROUP BY s) SELECT CAST(a.s AS INT) AS s1, CAST(b.s AS INT) AS s2, round(CASE WHEN a.s = b.s THEN 0 ELSE 1 / a.f + 1 / b.f END, 6) AS cost FROM n a, n b")
 def _(spark, d):
-    return T.indel_costs(fx.ev_first20(spark, d))
+    return T.indel_costs(fx.ev_all(spark, d))
 
 
 @query("subcost_indels_log", f"WITH {EV}, n AS (SELECT s, count(*) / (SELECT count(*) FROM p) AS f FROM p GROUP BY s) SELECT CAST(a.s AS INT) AS s1, CAST(b.s AS INT) AS s2, round(CASE WHEN a.s = b.s THEN 0 ELSE ln(2 / (1 + a.f)) + ln(2 / (1 + b.f)) END, 6) AS cost FROM n a, n b")
 def _(spark, d):
-    return T.indel_costs(fx.ev_first20(spark, d), log=True)
+    return T.indel_costs(fx.ev_all(spark, d), log=True)
 
 
 @query("subcost_features", f"WITH f(s, x, y) AS (VALUES (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 5.0, 0.0), (4, 3.0, 1.0), (5, 2.0, 0.0)) SELECT a.s AS s1, b.s AS s2, round(0.5 * abs(a.x - b.x) / 5 + 0.5 * abs(a.y - b.y), 6) AS cost FROM f a, f b")
 def _(spark, d):
-    return T.feature_costs(fx.ev_first20(spark, d), {"x": [1.0, 0.0, 5.0, 3.0, 2.0], "y": [0.0, 1.0, 0.0, 1.0, 0.0]})
+    return T.feature_costs(fx.ev_all(spark, d), {"x": [1.0, 0.0, 5.0, 3.0, 2.0], "y": [0.0, 1.0, 0.0, 1.0, 0.0]})

@@ -36,27 +36,27 @@ def _(spark, d):
     return S.weighted_five_numbers(table(spark, d, "orders"), "o_totalprice", None, ["o_orderpriority"])
 
 
-@query("duration_features", f"WITH {fx.SQL['ord_seq8']} SELECT id, CAST(count(*) FILTER (s = 1) AS INT) AS \"dur_F\", CAST(count(*) FILTER (s = 2) AS INT) AS \"dur_O\", CAST(count(*) FILTER (s = 3) AS INT) AS \"dur_P\" FROM p GROUP BY id")
+@query("duration_features", f"WITH {fx.SQL['ord_status']} SELECT id, CAST(count(*) FILTER (s = 1) AS INT) AS \"dur_F\", CAST(count(*) FILTER (s = 2) AS INT) AS \"dur_O\", CAST(count(*) FILTER (s = 3) AS INT) AS \"dur_P\" FROM p GROUP BY id")
 def _(spark, d):
-    return S.duration_features(fx.ord_seq8(spark, d))
+    return S.duration_features(fx.ord_status(spark, d))
 
 
-_TIMING = ", ".join(f"CAST(max(CASE WHEN s = {i} AND {e} >= {b} AND {e} < {b + 4} THEN 1 ELSE 0 END) AS INT) AS \"{w}_{n}_{b}\"" for w, e in (("start", "b"), ("end", "(b + d - 1)")) for i, n in enumerate("FOP", 1) for b in (1, 5))
+_TIMING = ", ".join(f"CAST(max(CASE WHEN s = {i} AND {e} >= {b} AND {e} < {b + 10} THEN 1 ELSE 0 END) AS INT) AS \"{w}_{n}_{b}\"" for w, e in (("start", "b"), ("end", "(b + d - 1)")) for i, n in enumerate("FOP", 1) for b in (1, 11, 21, 31))
 
 
-@query("timing_features", f"WITH {fx.SQL['ord_seq8']}, {fx.SPELLS_SQL} SELECT id, {_TIMING} FROM sp GROUP BY id")
+@query("timing_features", f"WITH {fx.SQL['ord_status']}, {fx.SPELLS_SQL} SELECT id, {_TIMING} FROM sp GROUP BY id")
 def _(spark, d):
-    return S.timing_features(fx.ord_seq8(spark, d), 4, 8)
+    return S.timing_features(fx.ord_status(spark, d), 10, 40)
 
 
 @query("sequencing_features")
 def _(spark, d):
-    return S.sequencing_features(fx.ord_seq8(spark, d), 300)
+    return S.sequencing_features(fx.ord_status(spark, d), 300)
 
 
 def _people(spark, d):
-    frame = fx.ev_first20(spark, d)
-    values = I.complexity(frame).select("id", "complexity", F.col("visited").cast("double").alias("visited"), "entropy")
+    frame = fx.ev_all(spark, d)
+    values = I.complexity(frame).select("id", "complexity", F.col("transitions").cast("double").alias("transitions"), "entropy")
     return values.withColumn("g", (F.col("id") % 2).cast("int"))
 
 
@@ -73,12 +73,12 @@ def _(spark, d):
 
 @query("gap_bootstrap")
 def _(spark, d):
-    return S.bootstrap_oaxaca(_people(spark, d), ["visited", "entropy"], "complexity", "g", "id", replicates=20)
+    return S.bootstrap_oaxaca(_people(spark, d), ["transitions", "entropy"], "complexity", "g", "id", replicates=20)
 
 
-@query("cluster_composition", f"WITH {fx.SQL['ev_first20']}, l AS (SELECT DISTINCT id, CAST(id % 3 AS INT) AS cluster, CAST(id % 2 AS INT) AS g FROM p), c AS (SELECT cluster, g, count(*) AS n FROM l GROUP BY ALL) SELECT cluster, g AS \"group\", n, round(n / sum(n) OVER (PARTITION BY g), 6) AS share FROM c")
+@query("cluster_composition", f"WITH {fx.SQL['ev_all']}, l AS (SELECT DISTINCT id, CAST(id % 3 AS INT) AS cluster, CAST(id % 2 AS INT) AS g FROM p), c AS (SELECT cluster, g, count(*) AS n FROM l GROUP BY ALL) SELECT cluster, g AS \"group\", n, round(n / sum(n) OVER (PARTITION BY g), 6) AS share FROM c")
 def _(spark, d):
-    ids = fx.ev_first20(spark, d).long.select("id").distinct()
+    ids = fx.ev_all(spark, d).long.select("id").distinct()
     return S.cluster_composition(ids.select("id", (F.col("id") % 3).cast("int").alias("cluster")), ids.select("id", (F.col("id") % 2).cast("int").alias("group")))
 
 
@@ -89,11 +89,11 @@ def _(spark, d):
 
 @query("relevant_features")
 def _(spark, d):
-    return S.relevant_features(_people(spark, d), ["visited", "entropy"], "complexity", rounds=8)
+    return S.relevant_features(_people(spark, d), ["transitions", "entropy"], "complexity", rounds=8, key="id")
 
 
 def _replicates(spark, d):
-    return U.replicates(fx.ev_first20(spark, d), 5, U.error_distribution(1.0, 4))
+    return U.replicates(fx.ev_daily(spark, d), 5, U.error_distribution(1.0, 4))
 
 
 @query("timing_replicates")
@@ -111,6 +111,6 @@ def _(spark, d):
     return U.replicate_correlation(_replicates(spark, d))
 
 
-@query("replicate_zero", f"WITH {fx.SQL['ev_first20']} SELECT id, array_to_string(list(s ORDER BY pos), '-') AS seq FROM p GROUP BY id")
+@query("replicate_zero", f"WITH {fx.SQL['ev_daily']} SELECT id, array_to_string(list(s ORDER BY pos), '-') AS seq FROM p GROUP BY id")
 def _(spark, d):
     return _replicates(spark, d).where("rep = 0").select("id", F.array_join(F.col("seq").cast("array<string>"), "-").alias("seq"))

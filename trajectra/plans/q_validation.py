@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _rows(spark, d):
-    frame = fx.ev_first20(spark, d)
+    frame = fx.ev_daily(spark, d)
     rows = D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight")
     return frame, D.pairwise(frame, "HAM"), rows
 
@@ -73,7 +73,7 @@ def _(spark, d):
 
 @query("sequence_properties")
 def _(spark, d):
-    return V.properties(fx.ev_first20(spark, d))
+    return V.properties(fx.ev_daily(spark, d))
 
 
 @query("property_tree")
@@ -103,7 +103,7 @@ def _(spark, d):
 
 @query("multidomain_clara")
 def _(spark, d):
-    domains = [fx.ev_first20(spark, d), fx.value_bands(spark, d)]
+    domains = [fx.ev_all(spark, d), fx.bands_all(spark, d)]
     costs = [[[float(a != b) for b in range(f.n_states)] for a in range(f.n_states)] for f in domains]
     frame, table = M.additive_costs(domains, costs)
     return C.clara(frame, D.measure(frame, "OM", costs=table, indel=1.0), 3, samples=3, size=60)[0]
