@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -34,7 +34,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = materialize(large, "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "small-star")
+        shrunk = materialize(small, "small-star")
+        discard(edges, large)
+        edges = shrunk
         last, state = state, _state(edges)
         if last == state:
             break
