@@ -233,29 +233,52 @@ def _alternating(d: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
     return np.sort(medoids)
 
 
-def fuzzy_medoids(pairs: DataFrame, rows: DataFrame, k: int, fuzziness: float = 1.5, noise: float | None = None) -> DataFrame:
-    """(id, cluster, u): weighted fuzzy c-medoids; ``noise`` adds a cluster 0 at that distance from all."""
+def fuzzy_partition(d: np.ndarray, weights: np.ndarray, k: int, kind: str = "FCMdd", fuzziness: float = 1.5, noise: float | None = None, eta: np.ndarray | None = None, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Medoids and memberships (n, k, and a noise column at the end for the noise kinds) of weighted fuzzy c-medoids.
 
-    def run(ids: np.ndarray, weights: np.ndarray, d: np.ndarray) -> dict:
-        medoids = build_medoids(d, weights, min(k, len(d)))
-        u = None
-        for _ in range(100):
-            to = np.maximum(d[:, medoids], 1e-12)
-            if noise is not None:
-                to = np.concatenate([to, np.full((len(d), 1), noise)], axis=1)
-            new = to ** (-1 / (fuzziness - 1))
+    ``FCMdd``: memberships sum to one; ``NCdd``: with a noise cluster at distance ``noise`` from all; ``HNCdd``: the same,
+    each to its nearest alone; ``PCMdd``: possibilistic, 1 / (1 + (d / eta)^(1 / (m - 1))), with ``eta`` by cluster.
+    """
+    noisy = kind in ("NCdd", "HNCdd")
+    medoids = build_medoids(d, weights, min(k, len(d)))
+    if noisy and noise is None:
+        raise ValueError(f"{kind} needs a noise distance")
+    if kind == "PCMdd" and eta is None:
+        near = d[:, medoids]
+        at = near.argmin(axis=1)
+        eta = np.array([max(1e-12, float((weights * near[:, m])[at == m].sum() / max(1e-300, weights[at == m].sum()))) for m in range(len(medoids))])
+    u = None
+    for _ in range(rounds):
+        to = d[:, medoids]
+        if noisy:
+            to = np.concatenate([to, np.full((len(d), 1), noise)], axis=1)
+        if kind == "HNCdd":
+            new = np.zeros_like(to)
+            new[np.arange(len(d)), to.argmin(axis=1)] = 1.0
+        elif kind == "PCMdd":
+            new = 1 / (1 + (to / eta) ** (1 / (fuzziness - 1)))
+        else:
+            new = np.maximum(to, 1e-12) ** (-1 / (fuzziness - 1))
             new /= new.sum(axis=1, keepdims=True)
-            if u is not None and np.abs(new - u).max() < 1e-6:
-                u = new
-                break
-            u = new
-            taken: list[int] = []
-            for m in range(len(medoids)):
-                cost = d @ (weights * u[:, m] ** fuzziness)
-                cost[taken] = np.inf
-                taken.append(int(cost.argmin()))
-            medoids = np.array(taken)
-        names = [*range(1, len(medoids) + 1), *([0] if noise is not None else [])]
+        if u is not None and np.abs(new - u).max() < 1e-6:
+            return medoids, new
+        u = new
+        taken: list[int] = []
+        for m in range(len(medoids)):
+            cost = d @ (weights * u[:, m] ** fuzziness)
+            cost[taken] = np.inf
+            taken.append(int(cost.argmin()))
+        medoids = np.array(taken)
+    return medoids, u
+
+
+def fuzzy_medoids(pairs: DataFrame, rows: DataFrame, k: int, fuzziness: float = 1.5, noise: float | None = None, kind: str | None = None) -> DataFrame:
+    """(id, cluster, u): weighted fuzzy c-medoids of a ``kind`` (see :func:`fuzzy_partition`); a noise cluster is 0."""
+    kind = kind or ("FCMdd" if noise is None else "NCdd")
+
+    def run(ids: np.ndarray, weights: np.ndarray, d: np.ndarray) -> dict:
+        medoids, u = fuzzy_partition(d, weights, k, kind, fuzziness, noise)
+        names = [*range(1, len(medoids) + 1), *([0] if u.shape[1] > len(medoids) else [])]
         return {"id": np.repeat(ids, len(names)), "cluster": np.tile(np.array(names, np.int32), len(ids)), "u": u.ravel()}
 
     return in_one_group(pairs, rows, run, "id long, cluster int, u double")
@@ -393,13 +416,37 @@ def assign_to_medoids(unique: DataFrame, how: Measure, medoids: list[list[int]])
     return unique.select("uid", "weight", "seq").mapInArrow(nearest, "uid long, weight double, near int, d1 double, d2 double")
 
 
-def clara(frame: SequenceFrame, how: Measure, k: int, samples: int = 5, size: int = 200, seed: int = 1, objective: str = "distance") -> tuple[DataFrame, DataFrame]:
-    """Sampling-based medoids: ((id, cluster), (sample, value, best)).
+OBJECTIVES = {"distance": min, "db": min, "xb": min, "pbm": max, "ams": max}
+
+
+def _memberships(d: np.ndarray, method: str, fuzziness: float, noise: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(n, k [+ 1]) memberships in the medoids' clusters, and the distances that go with them."""
+    if method == "NCdd":
+        d = np.concatenate([d, np.full((len(d), 1), noise)], axis=1)
+    if method == "PAM":
+        u = np.zeros_like(d)
+        u[np.arange(len(d)), d.argmin(axis=1)] = 1.0
+        return u, d
+    with np.errstate(divide="ignore"):
+        u = d ** (-1 / (fuzziness - 1))
+    hit = d == 0
+    u[hit.any(axis=1)] = 0.0
+    u[hit] = 1.0
+    return u / u.sum(axis=1, keepdims=True), d
 
-    Each sample is drawn by seeded hashes in proportion to weight, and clustered by PAM in a task of
-    its own; every distinct sequence is then assigned to each sample's medoids in one narrow pass, and
-    the sample with the best objective is kept. Objectives: ``distance`` (least), ``db`` (least).
+
+def clara(
+    frame: SequenceFrame, how: Measure, k: int, samples: int = 5, size: int = 200, seed: int = 1, objective: str = "distance", method: str = "PAM", fuzziness: float = 1.5, noise: float | None = None, stability: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Sampling-based medoids: ((id, cluster), (sample, distance, db, xb, pbm, ams, best[, ari, jaccard])).
+
+    Each sample is drawn by seeded hashes in proportion to weight, and clustered in a task of its own, by ``PAM``,
+    ``FCMdd`` or ``NCdd``. All distinct sequences then meet all samples' medoids in one narrow pass that gives sums by
+    sample and cluster, from which the objectives follow: mean distance, Davies-Bouldin and Xie-Beni (least), PBM and mean
+    silhouette (largest). ``stability``: agreement of each sample's clusters with the best one's, in another pass.
     """
+    if objective not in OBJECTIVES or method not in ("PAM", "FCMdd", "NCdd"):
+        raise ValueError(f"objective is one of {tuple(OBJECTIVES)}, method PAM, FCMdd or NCdd")
     unique = unique_sequences(frame)
     spread = unique.select("seq", "uid", "weight", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "sample", "uid"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
@@ -410,31 +457,171 @@ def clara(frame: SequenceFrame, how: Measure, k: int, samples: int = 5, size: in
         table = table.sort_by("uid")
         block = how.block(table.column("seq").to_pylist())
         d = how.distances(block, block)
-        chosen = partition_medoids(d, table.column("weight").to_numpy(), k)
+        weights = table.column("weight").to_numpy()
+        chosen = partition_medoids(d, weights, k) if method == "PAM" else np.sort(fuzzy_partition(d, weights, k, method, fuzziness, noise)[0])
         return table.select(["sample", "uid", "seq"]).take(pa.array(chosen))
 
     medoids = top.groupBy("sample").applyInArrow(cluster, "sample int, uid long, seq array<int>").collect()  # samples times k sequences
-    by_sample = {s: [list(r.seq) for r in sorted((m for m in medoids if m.sample == s), key=lambda r: r.uid)] for s in {m.sample for m in medoids}}
-    values = None
-    for s, targets in sorted(by_sample.items()):
-        assigned = assign_to_medoids(unique, how, targets)
-        one = assigned.agg(F.lit(s).alias("sample"), (F.sum(F.col("weight") * F.col("d1")) / F.sum("weight")).alias("value"))
-        if objective == "db":
-            radius = assigned.groupBy("near").agg((F.sum(F.col("weight") * F.col("d1")) / F.sum("weight")).alias("r")).collect()  # a row per medoid
-            block = how.block(targets)
-            apart = how.distances(block, block)
-            r = {x.near: x.r for x in radius}
-            score = float(np.mean([max((r[a] + r[b]) / max(apart[a, b], 1e-12) for b in r if b != a) for a in r])) if len(r) > 1 else 0.0
-            one = one.withColumn("value", F.lit(score))
-        values = one if values is None else values.unionByName(one)
-    found = values.collect()
-    best = min(found, key=lambda r: (r.value, r.sample)).sample
-    labels = assign_to_medoids(unique, how, by_sample[best]).join(unique.select("uid", "seq"), "uid").select("seq", (F.col("near") + 1).alias("cluster"))
-    spark = unique.sparkSession
-    report = spark.createDataFrame([(r.sample, float(r.value), r.sample == best) for r in found], "sample int, value double, best boolean")
+    by_sample = {s: [list(r.seq) for r in sorted((m for m in medoids if m.sample == s), key=lambda r: r.uid)] for s in sorted({m.sample for m in medoids})}
+    targets = [q for qs in by_sample.values() for q in qs]
+    edges = np.concatenate([[0], np.cumsum([len(q) for q in by_sample.values()])])
+
+    def parts(batch):
+        """For each sample, memberships and distances of a batch's sequences."""
+        d = how.distances(how.block(batch.column("seq").to_pylist()), how.block(targets))
+        for s, (a, b) in zip(by_sample, zip(edges[:-1], edges[1:], strict=True), strict=True):
+            own = d[:, a:b]
+            u, to = _memberships(own, method, fuzziness, noise)
+            yield s, own, u, to
+
+    def sums(batches):
+        total: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = batch.column("weight").to_numpy()
+            for s, own, u, to in parts(batch):
+                n = own.shape[1]
+                two = np.sort(own, axis=1)[:, :2]
+                sil = (two[:, 1] - two[:, 0]) / np.maximum(two[:, 1], 1e-300) if n > 1 else np.zeros(len(w))
+                high = np.sort(u[:, :n], axis=1)
+                crisp = (high[:, -1] - high[:, -2] if n > 1 else np.ones(len(w))) if method != "PAM" else np.ones(len(w))
+                mean = float((w[:, None] * u ** (1 if method == "PAM" else fuzziness) * to).sum())
+                one = np.concatenate([[w.sum(), mean, (w * crisp).sum(), (w * crisp * sil).sum()], (w[:, None] * u[:, :n]).sum(axis=0), (w[:, None] * u[:, :n] * own).sum(axis=0)])
+                total[s] = total[s] + one if s in total else one
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=["sample", "s"])
+
+    block = how.block(targets)
+    apart = how.distances(block, block)
+    gathered: dict = {}
+    for row in unique.select("uid", "weight", "seq").mapInArrow(sums, "sample int, s array<double>").collect():  # a row per task and sample
+        gathered[row.sample] = gathered.get(row.sample, 0.0) + np.array(row.s)
+    found = {}
+    for s, (a, b) in zip(by_sample, zip(edges[:-1], edges[1:], strict=True), strict=True):
+        n, g, between = b - a, gathered[s], apart[a:b, a:b]
+        off = between[~np.eye(n, dtype=bool)]
+        mean = g[1] / g[0]
+        radius = g[4 + n : 4 + 2 * n] / np.maximum(g[4 : 4 + n], 1e-300)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.where((between > 0) & ~np.eye(n, dtype=bool), (radius[:, None] + radius[None]) / between, -np.inf)
+        db = float(ratio.max(axis=1).mean()) if n > 1 else 0.0
+        found[s] = {
+            "distance": float(mean), "db": db, "xb": float(mean / off.min()) if n > 1 and off.min() > 0 else None,
+            "pbm": float((between.max() / max(mean, 1e-300) / n) ** 2), "ams": float(g[3] / max(g[2], 1e-300)),
+        }
+    usable = {s: v[objective] for s, v in found.items() if v[objective] is not None}
+    wanted = OBJECTIVES[objective](usable.values())
+    best = min(s for s, v in usable.items() if v == wanted)
+    at = list(by_sample).index(best)
+
+    def labels_of(u: np.ndarray, n: int) -> np.ndarray:
+        label = u.argmax(axis=1) + 1
+        return np.where(label > n, 0, label)  # the noise cluster is 0
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own = how.distances(how.block(batch.column("seq").to_pylist()), how.block(by_sample[best]))
+                u, _ = _memberships(own, method, fuzziness, noise)
+                yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array(labels_of(u, own.shape[1]), pa.int32())], names=["seq", "cluster"])
+
+    def crossed(batches):
+        total: dict = {}
+        for batch in batches:
+            if batch.num_rows:
+                w = batch.column("weight").to_numpy()
+                each = {s: labels_of(u, own.shape[1]) for s, own, u, _ in parts(batch)}
+                for s, label in each.items():
+                    for key, x in zip(zip(label.tolist(), each[best].tolist(), strict=True), w.tolist(), strict=True):
+                        total[s, *key] = total.get((s, *key), 0.0) + x
+        columns = list(zip(*total, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(list(total.values()), pa.float64())], names=["sample", "x", "y", "n"])
+
+    schema = "sample int, distance double, db double, xb double, pbm double, ams double, best boolean"
+    out = [[s, *(v[o] for o in OBJECTIVES), s == best] for s, v in found.items()]
+    if stability:
+        tables: dict = {}
+        for row in unique.select("uid", "weight", "seq").mapInArrow(crossed, "sample int, x int, y int, n double").groupBy("sample", "x", "y").agg(F.sum("n").alias("n")).collect():
+            tables.setdefault(row.sample, {})[row.x, row.y] = row.n
+        out = [[*r, *_agreement_of(tables[r[0]])] for r in out]
+        schema += ", ari double, jaccard double"
+    labels = unique.select("seq").mapInArrow(assign, "seq array<int>, cluster int")
+    report = unique.sparkSession.createDataFrame(out, schema)
     return frame.arrays.select("id", "seq").join(labels, "seq").select("id", "cluster"), report
 
 
+def _agreement_of(table: dict[tuple[int, int], float]) -> tuple[float, float]:
+    """Adjusted Rand index and Jaccard coefficient of a weighted contingency table."""
+    two = lambda x: x * (x - 1) / 2
+    rows, columns = {}, {}
+    for (x, y), n in table.items():
+        rows[x], columns[y] = rows.get(x, 0.0) + n, columns.get(y, 0.0) + n
+    whole, cells = sum(rows.values()), sum(map(two, table.values()))
+    r, c = sum(map(two, rows.values())), sum(map(two, columns.values()))
+    expected = r * c / two(whole) if whole > 1 else 0.0
+    ari = (cells - expected) / ((r + c) / 2 - expected) if (r + c) / 2 != expected else 1.0
+    return float(ari), float(cells / (r + c - cells)) if r + c != cells else 1.0
+
+
+def k_medoids_range(pairs: DataFrame, rows: DataFrame, ks: list[int], method: str = "PAM") -> DataFrame:
+    """(k, metrics...) of k-medoids for each k; the loop is over the few ks."""
+    pairs = stored(pairs)
+    out = None
+    for k in ks:
+        labels = stored(k_medoids(pairs, rows, k, method).select("id", "cluster").join(rows.select("id", "weight"), "id"))
+        one = partition_quality(pairs, labels)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def compare_methods(pairs: DataFrame, rows: DataFrame, methods: list[str], ks: list[int]) -> DataFrame:
+    """(method, k, metrics...): a linkage, ``PAM`` or ``KMedoids`` for each method, cut at each k."""
+    pairs = stored(pairs)
+    out = None
+    for method in methods:
+        one = k_medoids_range(pairs, rows, ks, method) if method in ("PAM", "KMedoids") else cluster_range(pairs, rows, ks, method)
+        one = one.select(F.lit(method).alias("method"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def normalized_quality(table: DataFrame, how: str = "zscore", keys: tuple[str, ...] = ("method", "k", "n")) -> DataFrame:
+    """Each metric over the table's rows as a z-score or by its range (``range``), which a metric that doesn't vary makes null; a row per partition."""
+    names = [f.name for f in table.schema if f.name not in keys and f.dataType.simpleString() == "double"]
+    shift, scale = (F.avg, F.stddev_samp) if how == "zscore" else (F.min, lambda c: F.max(c) - F.min(c))
+    one = table.agg(*[shift(c).alias(f"__a_{c}") for c in names], *[scale(c).alias(f"__b_{c}") for c in names])
+    joined = table.join(F.broadcast(one), how="cross")  # one row
+    return joined.select(*[(((F.col(c) - F.col(f"__a_{c}")) / F.nullif(F.col(f"__b_{c}"), F.lit(0.0))).alias(c) if c in names else F.col(c)) for c in table.columns])
+
+
+def cluster_distribution(labels: DataFrame) -> DataFrame:
+    """(cluster, n, weight, share) of (id, cluster, weight)."""
+    sizes = labels.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    total = labels.agg(F.sum("weight").alias("total"))
+    return sizes.join(F.broadcast(total), how="cross").select("cluster", "n", "weight", (F.col("weight") / F.col("total")).alias("share"))
+
+
+def fuzzy_indices(pairs: DataFrame, memberships: DataFrame, medoids: DataFrame, rows: DataFrame) -> DataFrame:
+    """(db, pbm, xb) of memberships (id, cluster, u) in clusters with medoids (cluster, medoid): fuzzy Davies-Bouldin, PBM and Xie-Beni."""
+    sides = both_ways(stored(pairs)).select(F.col("i").alias("id"), F.col("j").alias("medoid"), "d")
+    to = memberships.join(F.broadcast(medoids), "cluster").join(rows.select("id", "weight"), "id").join(sides, ["id", "medoid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    per = stored(to.groupBy("cluster").agg((F.sum(F.col("weight") * F.col("u") * F.col("d")) / F.sum(F.col("weight") * F.col("u"))).alias("radius"), F.sum(F.col("weight") * F.col("u") * F.col("d")).alias("spread"), F.sum(F.col("weight") * F.col("u")).alias("mass")))
+    a, b = per.join(medoids, "cluster"), per.join(medoids, "cluster").select(F.col("medoid").alias("other"), F.col("radius").alias("r2"))
+    apart = a.crossJoin(b).where("medoid <> other").join(sides.select(F.col("id").alias("medoid"), F.col("medoid").alias("other"), "d"), ["medoid", "other"])  # clusters squared
+    each = apart.groupBy("cluster").agg(F.max(F.when(F.col("d") > 0, (F.col("radius") + F.col("r2")) / F.col("d"))).alias("worst"))
+    mean = per.agg((F.sum("spread") / F.sum("mass")).alias("mean"), F.count("*").alias("k"))
+    gaps = apart.agg(F.min("d").alias("least"), F.max("d").alias("most"))
+    one = each.agg(F.avg("worst").alias("db")).crossJoin(mean).crossJoin(gaps)  # a row each
+    return one.select("db", F.pow(F.col("most") / F.col("mean") / F.col("k"), F.lit(2)).alias("pbm"), (F.col("mean") / F.nullif("least", F.lit(0.0))).alias("xb"))
+
+
+def named_clusters(labels: DataFrame, names: dict[int, str]) -> DataFrame:
+    """``labels`` with the clusters' names in place of their numbers; a number without a name is an error."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    name = F.element_at(table, F.col("cluster"))
+    return labels.withColumn("cluster", F.coalesce(name, F.raise_error(F.concat(F.lit("no name for cluster "), F.col("cluster").cast("string"))).cast("string")))
+
+
 def _draw(keyed: DataFrame, size: int) -> DataFrame:
     """The ``size`` least keys of each sample: kept per hash part first, so that no task ranks a whole sample's rows."""
     part = F.pmod(F.xxhash64("uid"), F.lit(64))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from trajectra.functions import spells as S
 
 from .sequences import SequenceFrame
-from .transitions import transition_rates
+from .transitions import transition_counts
 
 
 def base(frame: SequenceFrame) -> DataFrame:
@@ -123,7 +123,12 @@ def positive_negative(frame: SequenceFrame, positive: list[int], negative: list[
         return base(frame).select("id", (p / F.nullif(p + n, F.lit(0))).alias("value"))
     if kind == "integration":
         return frame.arrays.select("id", _integration(F.col("seq"), positive, power).alias("value"))
-    raise ValueError("kind is share or integration")
+    if kind == "volatility":  # changes of sign between spells of either kind, over the most possible
+        known = F.filter("states", lambda x: x.isin([*positive, *negative]))
+        sides = F.transform(known, lambda x: x.isin(positive).cast("int"))
+        moves = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(sides) - 1, F.lit(1))), lambda i: F.get(sides, i) != F.get(sides, i - 1)))
+        return base(frame).select("id", (moves / F.nullif(F.col("length") - 1, F.lit(0))).alias("value"))
+    raise ValueError("kind is share, integration or volatility")
 
 
 def precarity_scale(order: list[int], n_states: int, equal: list[list[int]] | None = None) -> list[float]:
@@ -143,56 +148,83 @@ def badness(frame: SequenceFrame, scale: list[float], power: float = 1.0) -> Dat
     return frame.arrays.select("id", value.alias("badness"))
 
 
-def _degradation(scale: list[float], rates: list[list[float]] | None, penalized: str) -> Column:
-    """Sum over state changes of sign times weight; falling in the order of ``scale`` counts minus."""
-    k = len(scale)
-    flat = []
-    for i in range(k):
-        for j in range(k):
-            sign = 0 if scale[i] == scale[j] else (1 if scale[j] > scale[i] else -1)
-            if penalized == "NEG":
-                sign = max(sign, 0)
-            elif penalized == "POS":
-                sign = min(sign, 0)
-            elif penalized == "NO":
-                sign = 0
-            flat.append(sign * (1.0 if rates is None else 1.0 - rates[i][j]))
-    table = F.array(*[F.lit(float(x)) for x in flat])
-    states = F.col("states")
-    n = F.col("n_spells")
-    moves = F.sequence(F.lit(1), n - 1)
-    total = F.aggregate(moves, F.lit(0.0), lambda a, i: a + F.get(table, (F.get(states, i - 1) - 1) * k + F.get(states, i) - 1))
-    return F.when(n < 2, 0.0).otherwise(total / (n - 1))
-
+DEGRADATION = ("ONE", "RANK", "FREQ", "TRATE", "TRATEDSS")
+WEIGHTS = ("ADD", "INV", "LOGINV")
 
-def degradation(frame: SequenceFrame, scale: list[float], method: str = "ONE", penalized: str = "BOTH") -> DataFrame:
-    """(id, degradation): net share of changes for the worse; ``RATE`` weights rare changes more."""
-    rates = None
-    if method == "RATE":
-        rates = [[0.0] * frame.n_states for _ in range(frame.n_states)]
-        for row in transition_rates(frame).collect():  # the alphabet squared
-            rates[row.s1 - 1][row.s2 - 1] = row.rate
-    elif method != "ONE":
-        raise ValueError("method is ONE or RATE")
-    return base(frame).select("id", _degradation(scale, rates, penalized).alias("degradation"))
 
+def move_weights(frame: SequenceFrame, scale: list[float], method: str = "RANK", weight: str = "ADD", border: float = 10.0) -> list[list[float]]:
+    """What a change of state weighs: one, the states' difference in ``scale``, or by how often it occurs.
 
-def precarity(frame: SequenceFrame, scale: list[float], otto: float = 0.2, a: float = 1.0, b: float = 1.2) -> DataFrame:
+    ``FREQ``: its share of all steps; ``TRATE`` its rate from the state, ``TRATEDSS`` that among changes only. Shares x
+    become 1 - x (``ADD``), 1 / x (``INV``) or -ln x (``LOGINV``), over the largest, that of a step that never occurs
+    included; where a share is near one, all are lowered by a ``border``-th.
+    """
+    k = frame.n_states
+    if method == "ONE":
+        return [[float(i != j) for j in range(k)] for i in range(k)]
+    if method == "RANK":
+        return [[abs(x - y) for y in scale] for x in scale]
+    if method not in DEGRADATION or weight not in WEIGHTS or border <= 1:
+        raise ValueError(f"method is one of {DEGRADATION}, with + or not, weight one of {WEIGHTS}, border over one")
+    counts = [[0.0] * k for _ in range(k)]
+    for row in transition_counts(frame).collect():  # the alphabet squared
+        if method != "TRATEDSS" or row.s1 != row.s2:
+            counts[row.s1 - 1][row.s2 - 1] = row.weight
+    whole = sum(map(sum, counts))
+    shares = [[0.0 if i == j or not counts[i][j] else counts[i][j] / (whole if method == "FREQ" else sum(counts[i])) for j in range(k)] for i in range(k)]
+    if any(x > 1 - 0.1 / border for row in shares for x in row):
+        shares = [[x - x / border for x in row] for row in shares]
+    tiny = 1e-10
+    turn = {"ADD": lambda x: 1 - x, "INV": lambda x: (1 + tiny) / (x + tiny), "LOGINV": lambda x: math.log((1 + tiny) / (x + tiny))}[weight]
+    turned = [[turn(x) for x in row] for row in shares]
+    most = max(max(map(max, turned)), 0.0) or 1.0
+    return [[0.0 if i == j else turned[i][j] / most for j in range(k)] for i in range(k)]
+
+
+def _degradation(scale: list[float], weights: list[list[float]], penalized: str, spell_integration: bool = False, power: float = 1.0, mean: bool = False) -> Column:
+    """Sum over state changes of sign times weight; for the worse in the order of ``scale`` counts plus.
+
+    With ``spell_integration`` the k-th spell counts k^power / (1^power + ... + k^power), else the sum is over that of the
+    weights. ``mean`` multiplies by the weights' mean over the spells.
+    """
+    k = len(scale)
+    signs = {"NEG": lambda d: float(d > 0), "POS": lambda d: -float(d < 0), "BOTH": lambda d: float((d > 0) - (d < 0)), "NO": lambda d: 0.0}[penalized]
+    table = F.array(*[F.lit(float(weights[i][j])) for i in range(k) for j in range(k)])
+    signed = F.array(*[F.lit(float(weights[i][j] * signs(scale[j] - scale[i]))) for i in range(k) for j in range(k)])
+    states, n = F.col("states"), F.col("n_spells")
+    at = lambda i: (F.get(states, i - 1) - 1) * k + F.get(states, i) - 1
+    part = lambda i: F.pow(i + 1, F.lit(power)) / F.aggregate(F.sequence(F.lit(1), i + 1), F.lit(0.0), lambda a, t: a + F.pow(t, F.lit(power))) if spell_integration else F.lit(1.0)
+    sums = lambda held: F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda a, i: a + F.get(held, at(i)) * part(i))
+    total, weight = sums(signed), sums(table)
+    value = total if spell_integration else total / F.nullif(weight, F.lit(0.0))
+    if mean:
+        value = value * weight / n
+    return F.when(n < 2, 0.0).otherwise(F.coalesce(value, F.lit(0.0)))
+
+
+def degradation(
+    frame: SequenceFrame, scale: list[float], method: str = "RANK", penalized: str = "BOTH", weight: str = "ADD", border: float = 10.0, spell_integration: bool = True, power: float = 1.0
+) -> DataFrame:
+    """(id, degradation): net weight of changes for the worse; a ``+`` after the method multiplies by the mean weight."""
+    weights = move_weights(frame, scale, method.removesuffix("+"), weight, border)
+    return base(frame).select("id", _degradation(scale, weights, penalized, spell_integration, power, method.endswith("+")).alias("degradation"))
+
+
+def precarity(frame: SequenceFrame, scale: list[float], otto: float = 0.2, a: float = 1.0, b: float = 1.2, method: str = "TRATEDSS") -> DataFrame:
     """(id, precarity): otto * first state's precarity + (1 - otto) * complexity^a * (1 + degradation)^b."""
     start = F.get(F.array(*[F.lit(x) for x in scale]), F.get("seq", F.lit(0)) - 1)
     ici = F.sqrt(transitions_share() * entropy(frame.n_states))
-    value = otto * start + (1 - otto) * F.pow(ici, F.lit(a)) * F.pow(1 + _degradation(scale, None, "BOTH"), F.lit(b))
+    correction = _degradation(scale, move_weights(frame, scale, method), "BOTH")
+    value = otto * start + (1 - otto) * F.pow(ici, F.lit(a)) * F.pow(1 + correction, F.lit(b))
     return base(frame).select("id", value.alias("precarity"))
 
 
-def insecurity(frame: SequenceFrame, scale: list[float], power: float = 1.0, bound: bool = False) -> DataFrame:
-    """(id, insecurity): first state's precarity times its spell's integration, plus complexity and degradation."""
+def insecurity(frame: SequenceFrame, scale: list[float], power: float = 1.0, bound: bool = False, method: str = "RANK") -> DataFrame:
+    """(id, insecurity): first state's precarity times 1 / (1^p + ... + d^p), d its spell's duration, plus complexity and degradation."""
     held = F.array(*[F.lit(x) for x in scale])
-    spots = F.sequence(F.lit(1), F.col("length"))
-    first = F.get("durs", F.lit(0))
-    part = F.aggregate(spots, F.lit(0.0), lambda a, t: a + F.when(t <= first, F.pow(t, F.lit(power))).otherwise(0.0)) / F.aggregate(spots, F.lit(0.0), lambda a, t: a + F.pow(t, F.lit(power)))
+    part = 1 / F.aggregate(F.sequence(F.lit(1), F.get("durs", F.lit(0))), F.lit(0.0), lambda a, t: a + F.pow(t, F.lit(power)))
     ici = F.sqrt(transitions_share() * entropy(frame.n_states))
-    value = F.get(held, F.get("seq", F.lit(0)) - 1) * part + ici + _degradation(scale, None, "BOTH")
+    value = F.get(held, F.get("seq", F.lit(0)) - 1) * part + ici + _degradation(scale, move_weights(frame, scale, method), "BOTH", True, power)
     if bound:
         met = F.transform("states", lambda s: F.get(held, s - 1))
         value = F.least(F.greatest(value, F.array_min(met)), F.array_max(met))

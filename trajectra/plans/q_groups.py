@@ -189,6 +189,70 @@ def _(spark, d):
     return C.clara(frame, D.measure(frame, "OM", indel=1.0), 4, samples=4, size=120)[0]
 
 
+#: The assignments and objectives of PAM samples are checked by the tests against loops.
+@query("clara_objectives")
+def _(spark, d):
+    frame = fx.ord_seq(spark, d)
+    return C.clara(frame, D.measure(frame, "OM", indel=1.0), 3, samples=3, size=100, objective="pbm", stability=True)[1]
+
+
+@query("clara_fuzzy")
+def _(spark, d):
+    frame = fx.ord_seq(spark, d)
+    return C.clara(frame, D.measure(frame, "OM", indel=1.0), 3, samples=2, size=80, objective="xb", method="FCMdd")[1]
+
+
+@query("cluster_methods")
+def _(spark, d):
+    return C.compare_methods(*_weighted(spark, d), methods=["average", "PAM"], ks=[2, 3])
+
+
+@query("cluster_methods_normalized")
+def _(spark, d):
+    return C.normalized_quality(C.cluster_range(*_weighted(spark, d), ks=[2, 3, 4]), "range")
+
+
+@query("cluster_distribution", HAM + "SELECT g AS cluster, n, CAST(gw.W AS DOUBLE) AS weight, round(gw.W / tw.W, 6) AS share FROM gw, tw".replace("SELECT g AS cluster, n,", "SELECT g AS cluster, gw.n AS n,"))
+def _(spark, d):
+    _, rows = _ham(spark, d)
+    return C.cluster_distribution(rows.select("id", F.col("group").alias("cluster"), "weight"))
+
+
+@query("named_clusters", HAM + "SELECT id, ['low', 'mid', 'high'][g + 1] AS cluster FROM r")
+def _(spark, d):
+    _, rows = _ham(spark, d)
+    return C.named_clusters(rows.select("id", F.col("group").alias("cluster")), {0: "low", 1: "mid", 2: "high"})
+
+
+FUZZY = HAM + """, mm AS (SELECT r.id, r.g, round(coalesce(sum(b.wj * b.d), 0), 6) AS total FROM r LEFT JOIN b ON b.i = r.id AND b.gi = b.gj GROUP BY r.id, r.g), md AS (SELECT g, arg_min(id, (total, id)) AS m FROM mm GROUP BY g),
+ ms AS (SELECT r.id, md.g, md.m, r.w, CASE WHEN r.g = md.g THEN 0.6 ELSE 0.2 END AS u FROM r, md), dd AS (SELECT ms.*, coalesce((SELECT any_value(b.d) FROM b WHERE b.i = ms.id AND b.j = ms.m), 0) AS d FROM ms),
+ pe AS (SELECT g, m, sum(w * u * d) / sum(w * u) AS ra, sum(w * u * d) AS sp, sum(w * u) AS ma FROM dd GROUP BY g, m), ap AS (SELECT x.g, x.ra + y.ra AS s, (SELECT any_value(b.d) FROM b WHERE b.i = x.m AND b.j = y.m) AS d FROM pe x, pe y WHERE x.g <> y.g)
+ SELECT round((SELECT avg(w) FROM (SELECT max(s / d) AS w FROM ap GROUP BY g)), 6) AS db, round(((SELECT max(d) FROM ap) / (SELECT sum(sp) / sum(ma) FROM pe) / (SELECT count(*) FROM pe)) ** 2, 6) AS pbm, round((SELECT sum(sp) / sum(ma) FROM pe) / (SELECT min(d) FROM ap), 6) AS xb"""
+
+
+@query("fuzzy_indices", FUZZY)
+def _(spark, d):
+    pairs, rows = _ham(spark, d)
+    medoids = R.medoids(pairs, rows).select(F.col("group").alias("cluster"), "medoid")
+    memberships = rows.select("id", F.explode(F.array(*[F.struct(F.lit(g).alias("cluster"), F.when(F.col("group") == g, 0.6).otherwise(0.2).alias("u")) for g in range(3)])).alias("x")).select("id", "x.cluster", "x.u")
+    return C.fuzzy_indices(pairs, memberships, medoids, rows)
+
+
+@query("fuzzy_medoids_possibilistic")
+def _(spark, d):
+    return C.fuzzy_medoids(*_weighted(spark, d), k=3, kind="PCMdd")
+
+
+@query("fuzzy_medoids_hard_noise")
+def _(spark, d):
+    return C.fuzzy_medoids(*_weighted(spark, d), k=3, noise=18.0, kind="HNCdd")
+
+
+@query("association_statistics")
+def _(spark, d):
+    return A.association_test(*_ham(spark, d), 49)
+
+
 @query("partition_quality", HAM + """, X AS (SELECT d, gi = gj AS same, gi AS c, wi * wj AS w FROM hw), m AS (SELECT sum(w) AS W, sum(w * d) AS D, sum(w * d * d) AS DD, sum(w) FILTER (NOT same) AS X, sum(w * d) FILTER (NOT same) AS XD, sum(w) FILTER (same) AS WS, sum(w * d) FILTER (same) AS DS FROM X),
  v AS (SELECT sum(s / W) AS SW, sum(q / W) AS QW FROM (SELECT c AS g, sum(w * d) AS s, sum(w * d * d) AS q FROM X WHERE same GROUP BY c) JOIN gw USING (g)),
  cc AS (SELECT sum(CASE WHEN a.d < o.d THEN a.w * o.w ELSE 0 END) AS plus, sum(CASE WHEN a.d > o.d THEN a.w * o.w ELSE 0 END) AS minus, sum(a.w * o.w) AS al FROM (SELECT d, sum(w) AS w FROM X WHERE same GROUP BY d) a, (SELECT d, sum(w) AS w FROM X WHERE NOT same GROUP BY d) o),

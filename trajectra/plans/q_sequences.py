@@ -102,17 +102,41 @@ def _(spark, d):
     return I.badness(fx.ev_all(spark, d), SCALE)
 
 
-@query("seq_degradation", ONE + "SELECT id, round(coalesce(g, 0), 6) AS degradation FROM one LEFT JOIN deg USING (id)")
+def _degradation_sql(method: str, weight: str, integrated: bool, mean: bool) -> str:
+    """CTEs up to "dg" (id, g): the degradation index in both directions."""
+    share = {"FREQ": "sum(n) OVER ()", "TRATE": "sum(n) OVER (PARTITION BY a)", "TRATEDSS": "sum(n) FILTER (a <> b) OVER (PARTITION BY a)"}.get(method, "1")
+    turned = {"ADD": "1 - x", "INV": "(1 + 1e-10) / (x + 1e-10)", "LOGINV": "ln((1 + 1e-10) / (x + 1e-10))"}[weight]
+    by_count = f"w AS (SELECT a, b, CASE WHEN a = b THEN 0 ELSE y / max(y) OVER () END AS w FROM (SELECT a, b, {turned} AS y FROM (SELECT a, b, CASE WHEN max(x) OVER () > 0.99 THEN x - x / 10 ELSE x END AS x FROM sh)))"
+    rank = "abs(x.v - y.v)" if method == "RANK" else "1.0"
+    weights = by_count if method in ("FREQ", "TRATE", "TRATEDSS") else f"w AS (SELECT x.s AS a, y.s AS b, {rank} AS w FROM sc x, sc y)"
+    part = "2.0 / k" if integrated else "1.0"  # of the k-th spell: k / (1 + ... + k), k counted from the spell moved to
+    value = "total" if integrated else "total / nullif(weight, 0)"
+    return f""", cn AS (SELECT s AS a, nx AS b, count(*) AS n FROM (SELECT s, lead(s) OVER (PARTITION BY id ORDER BY pos) AS nx FROM p) WHERE nx IS NOT NULL GROUP BY ALL),
+ ab AS (SELECT x.s AS a, y.s AS b FROM sc x, sc y), ca AS (SELECT ab.a, ab.b, coalesce(n, 0) AS n FROM ab LEFT JOIN cn ON cn.a = ab.a AND cn.b = ab.b),
+ sh AS (SELECT a, b, CASE WHEN a = b THEN 0 ELSE n / {share} END AS x FROM ca), {weights},
+ st2 AS (SELECT id, w * {part} AS w, w * sign(y.v - x.v) * {part} AS g FROM (SELECT id, a, b, k + 2 AS k FROM mv WHERE b IS NOT NULL) m JOIN w USING (a, b) JOIN sc x ON a = x.s JOIN sc y ON b = y.s),
+ dg AS (SELECT one.id, coalesce({value}, 0){" * weight / n_spells" if mean else ""} AS g FROM one LEFT JOIN (SELECT id, sum(g) AS total, sum(w) AS weight FROM st2 GROUP BY id) USING (id))"""
+
+
+for _method, _weight, _integrated in (("ONE", "ADD", False), ("RANK", "ADD", True), ("RANK+", "ADD", False), ("FREQ", "ADD", False), ("FREQ", "INV", True), ("TRATE", "ADD", True), ("TRATE", "LOGINV", False), ("TRATEDSS", "ADD", False), ("TRATEDSS+", "LOGINV", True)):
+    _name = "seq_degradation" + ("" if _method == "ONE" else "_" + _method.lower().replace("+", "_mean") + ("" if _weight == "ADD" else "_" + _weight.lower()))
+
+    @query(_name, ONE + _degradation_sql(_method.removesuffix("+"), _weight, _integrated, _method.endswith("+")) + " SELECT id, round(coalesce(g, 0), 6) AS degradation FROM dg")
+    def _(spark, d, method=_method, weight=_weight, integrated=_integrated):
+        return I.degradation(fx.ev_all(spark, d), SCALE, method, weight=weight, spell_integration=integrated)
+
+
+@query("seq_positive_volatility", ONE + ", kn AS (SELECT id, s IN (3, 4) AS good, row_number() OVER (PARTITION BY id ORDER BY k) AS i FROM sp WHERE s IN (3, 4, 2)), fl AS (SELECT id, count(*) AS n FROM (SELECT id, good, lag(good) OVER (PARTITION BY id ORDER BY i) AS last FROM kn) WHERE last <> good GROUP BY id) SELECT id, round(coalesce(n, 0) / (length - 1), 6) AS value FROM one LEFT JOIN fl USING (id)")
 def _(spark, d):
-    return I.degradation(fx.ev_all(spark, d), SCALE)
+    return I.positive_negative(fx.ev_all(spark, d), [3, 4], [2], "volatility")
 
 
-@query("seq_precarity", ONE + f"SELECT id, round(0.2 * v + 0.8 * {CI} * (1 + coalesce(g, 0)) ** 1.2, 6) AS precarity FROM one JOIN ent USING (id) LEFT JOIN deg USING (id) JOIN sc ON sc.s = s1")
+@query("seq_precarity", ONE + _degradation_sql("TRATEDSS", "ADD", False, False) + f" SELECT id, round(0.2 * v + 0.8 * {CI} * (1 + g) ** 1.2, 6) AS precarity FROM one JOIN ent USING (id) JOIN dg USING (id) JOIN sc ON sc.s = s1")
 def _(spark, d):
     return I.precarity(fx.ev_all(spark, d), SCALE)
 
 
-@query("seq_insecurity", ONE + f"SELECT id, round(v * (d1 * (d1 + 1) / 2) / w + {CI} + coalesce(g, 0), 6) AS insecurity FROM one JOIN ent USING (id) JOIN tot USING (id) LEFT JOIN deg USING (id) JOIN sc ON sc.s = s1")
+@query("seq_insecurity", ONE + _degradation_sql("RANK", "ADD", True, False) + f" SELECT id, round(v * 2 / (d1 * (d1 + 1)) + {CI} + g, 6) AS insecurity FROM one JOIN ent USING (id) JOIN dg USING (id) JOIN sc ON sc.s = s1")
 def _(spark, d):
     return I.insecurity(fx.ev_all(spark, d), SCALE)
 
