@@ -448,10 +448,7 @@ def clara(
     if objective not in OBJECTIVES or method not in ("PAM", "FCMdd", "NCdd"):
         raise ValueError(f"objective is one of {tuple(OBJECTIVES)}, method PAM, FCMdd or NCdd")
     unique = unique_sequences(frame)
-    spread = unique.select("seq", "uid", "weight", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "sample", "uid"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    keyed = spread.withColumn("key", -F.log(uniform) / F.col("weight"))  # the least keys are a weighted draw without replacement
-    top = _draw(keyed, size)
+    top = weighted_samples(unique, samples, size, seed)
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.sort_by("uid")
@@ -622,6 +619,13 @@ def named_clusters(labels: DataFrame, names: dict[int, str]) -> DataFrame:
     return labels.withColumn("cluster", F.coalesce(name, F.raise_error(F.concat(F.lit("no name for cluster "), F.col("cluster").cast("string"))).cast("string")))
 
 
+def weighted_samples(unique: DataFrame, samples: int, size: int, seed: int = 1) -> DataFrame:
+    """(sample, uid, weight, seq): seeded draws without replacement, in proportion to weight."""
+    spread = unique.select("seq", "uid", "weight", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample"))
+    uniform = (F.pmod(F.xxhash64(F.lit(seed), "sample", "uid"), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
+    return _draw(spread.withColumn("key", -F.log(uniform) / F.col("weight")), size)  # the least keys are such a draw
+
+
 def _draw(keyed: DataFrame, size: int) -> DataFrame:
     """The ``size`` least keys of each sample: kept per hash part first, so that no task ranks a whole sample's rows."""
     part = F.pmod(F.xxhash64("uid"), F.lit(64))

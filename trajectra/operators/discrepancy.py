@@ -323,3 +323,13 @@ def assign_leaves(rows: DataFrame, root: TreeNode) -> DataFrame:
     for node, rule in tree_rules(root):
         leaf = F.when(F.expr(rule), node).otherwise(leaf)
     return rows.withColumn("leaf", leaf)
+
+
+@reads_pairs_often
+def marginal_association(pairs: DataFrame, rows: DataFrame, factors: list[str]) -> DataFrame:
+    """(factor, pseudo_f, pseudo_r2, levene) of each factor alone; ``rows``: (id, weight, factors...)."""
+    out = None
+    for factor in factors:
+        one = association(pairs, rows.select("id", "weight", F.col(factor).alias("group"))).select(F.lit(factor).alias("factor"), "pseudo_f", "pseudo_r2", "levene")
+        out = one if out is None else out.unionByName(one)
+    return out

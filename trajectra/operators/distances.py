@@ -332,3 +332,16 @@ def elzinga_studer(pairs: DataFrame, to_reference: DataFrame) -> DataFrame:
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(i, j, d) in both directions."""
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+
+
+def custom(frame: SequenceFrame, distance: Callable[[list[int], list[int]], float], block: int = BLOCK) -> DataFrame:
+    """(i, j, d) by a function of two sequences of codes, called for each pair of distinct ones, from the lesser uid."""
+
+    def compare(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
+        u, v = a.column("uid").to_pylist(), b.column("uid").to_pylist()
+        x, y = a.column("seq").to_pylist(), b.column("seq").to_pylist()
+        found = [(i, j, distance(p, q) if i < j else distance(q, p)) for i, p in zip(u, x, strict=True) for j, q in zip(v, y, strict=True) if (i < j or not same)]
+        i, j, d = (np.array(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return _table(i.astype(np.int64), j.astype(np.int64), d.astype(float))
+
+    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)

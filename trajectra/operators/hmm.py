@@ -82,6 +82,27 @@ def forward_backward(model: HMM, channels: Sequence[Sequence[int]]) -> tuple[flo
     return float(np.log(scale).sum()), a * back, moves
 
 
+def forward_backward_many(model: HMM, channels: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for n rows of one length together: (n), (n, T, S) and (n, S, S)."""
+    n, length = channels[0].shape
+    s = len(model.start)
+    b = np.ones((n, length, s))
+    for e, codes in zip(model.emissions, channels, strict=True):
+        held = np.concatenate([np.ones((1, s)), e.T])  # code 0 or beyond the alphabet is unknown
+        b *= held[np.where((codes > 0) & (codes <= e.shape[1]), codes, 0)]
+    a, scale = np.zeros((n, length, s)), np.zeros((n, length))
+    for t in range(length):
+        a[:, t] = (model.start if t == 0 else a[:, t - 1] @ model.moves) * b[:, t]
+        scale[:, t] = np.maximum(a[:, t].sum(axis=1), 1e-300)
+        a[:, t] /= scale[:, t, None]
+    back, moves = np.ones((n, length, s)), np.zeros((n, s, s))
+    for t in range(length - 2, -1, -1):
+        after = b[:, t + 1] * back[:, t + 1] / scale[:, t + 1, None]
+        back[:, t] = after @ model.moves.T
+        moves += a[:, t, :, None] * model.moves[None] * after[:, None]
+    return np.log(scale).sum(axis=1), a * back, moves
+
+
 def viterbi(model: HMM, channels: Sequence[Sequence[int]]) -> tuple[list[int], float]:
     """The most likely hidden states (from 1) and their log-probability."""
     b = np.log(np.maximum(_likelihoods(model, channels), 1e-300))
@@ -109,32 +130,38 @@ def _expect(rows: DataFrame, models: Sequence[HMM], shares: np.ndarray) -> np.nd
     def run(batches):
         total = None
         for batch in batches:
-            weights = batch.column("weight").to_pylist()
-            for channels, w in zip(_batch_rows(batch, n_channels), weights, strict=True):
-                if not channels[0]:
-                    continue
-                each = [forward_backward(m, channels) for m in models]
-                logs = np.array([e[0] for e in each]) + np.log(np.maximum(shares, 1e-300))
-                top = logs.max()
+            weights = batch.column("weight").to_numpy()
+            sizes = batch.column("q0").value_lengths().to_numpy(zero_copy_only=False)
+            for length in np.unique(sizes[sizes > 0]):  # rows of one length go through the recursions together
+                at = pa.array(np.flatnonzero(sizes == length))
+                codes = [batch.column(f"q{c}").take(at).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, length) for c in range(n_channels)]
+                w = weights[sizes == length]
+                each = [forward_backward_many(m, codes) for m in models]
+                logs = np.stack([e[0] for e in each], axis=1) + np.log(np.maximum(shares, 1e-300))
+                top = logs.max(axis=1, keepdims=True)
                 post = np.exp(logs - top)
-                likelihood = top + math.log(post.sum())
-                post /= post.sum()
-                flat = [w * likelihood]
-                for m, (_, states, moves), r in zip(models, each, post, strict=True):
-                    flat += [w * r, *(w * r * states[0]), *(w * r * moves).ravel()]
-                    for e, seq in zip(m.emissions, channels, strict=True):
-                        counts = np.zeros_like(e)
-                        codes = np.asarray(seq)
-                        known = (codes > 0) & (codes <= e.shape[1])
-                        np.add.at(counts.T, codes[known] - 1, states[known])
-                        flat += list((w * r * counts).ravel())
-                total = np.array(flat) if total is None else total + flat
+                likelihood = top[:, 0] + np.log(post.sum(axis=1))
+                post = w[:, None] * post / post.sum(axis=1, keepdims=True)
+                flat = [[float((w * likelihood).sum())]]
+                for c, (m, (_, states, moves)) in enumerate(zip(models, each, strict=True)):
+                    r = post[:, c]
+                    flat += [[r.sum()], r @ states[:, 0], np.tensordot(r, moves, 1).ravel()]
+                    for e, held in zip(m.emissions, codes, strict=True):
+                        mass = (r[:, None, None] * states).reshape(-1, states.shape[2])
+                        known = np.where((held > 0) & (held <= e.shape[1]), held, 0).ravel()
+                        counts = np.stack([np.bincount(known, weights=mass[:, h], minlength=e.shape[1] + 1)[1:] for h in range(mass.shape[1])])
+                        flat.append(counts.ravel())
+                flat = np.concatenate(flat)
+                total = flat if total is None else total + flat
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["x"])
 
-    parts = rows.mapInArrow(run, "x array<double>")
-    summed = parts.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # a row per parameter
-    return np.array([r.v for r in summed])
+    return _summed(rows, run)
+
+
+def _summed(rows: DataFrame, run) -> np.ndarray:
+    """The sum of the tasks' vectors on the driver, which gets a row per task with a number per parameter."""
+    return np.sum([np.asarray(x) for x in rows.mapInArrow(run, "x array<double>").toArrow().column("x").to_pylist()], axis=0)
 
 
 def _maximize(flat: np.ndarray, models: Sequence[HMM], smoothing: float = 1e-6) -> tuple[float, np.ndarray, list[HMM]]:
@@ -184,6 +211,118 @@ def fit_mixture(frames: Sequence[SequenceFrame], n_hidden: Sequence[int], rounds
     return models, shares, history
 
 
+def fit_best(frames: Sequence[SequenceFrame], n_hidden: int, restarts: int = 5, rounds: int = 50, tolerance: float = 1e-4, seed: int = 1) -> tuple[HMM, list[float], int]:
+    """The best of several fits from seeded starts: the model, its log-likelihoods, and which start it was."""
+    found = [fit(frames, n_hidden, rounds, tolerance, seed + 101 * r) for r in range(restarts)]
+    best = max(range(restarts), key=lambda r: (found[r][1][-1], -r))
+    return (*found[best], best)
+
+
+def bootstrap(frame: SequenceFrame, model: HMM, replicates: int = 20, rounds: int = 30, seed: int = 1) -> DataFrame:
+    """(parameter, from_state, to, mean, sd): start, move and emission probabilities over fits to rows resampled by seeded Poisson weights.
+
+    A replicate is a task's whole work on a sample of distinct rows; each starts from ``model``, so its states keep their order.
+    """
+    rows = unique_rows([frame])
+    spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rng = np.random.default_rng([seed, key[0].as_py()])
+        table = table.take(pa.array(sorted(range(table.num_rows), key=lambda i: table.column("q0")[i].as_py())))
+        seqs = table.column("q0").to_pylist()
+        w = rng.poisson(table.column("weight").to_numpy()).astype(float)
+        sizes = np.array([len(q) for q in seqs])
+        groups = [(np.array([seqs[i] for i in np.flatnonzero((sizes == n) & (w > 0))]), w[(sizes == n) & (w > 0)]) for n in np.unique(sizes[(sizes > 0) & (w > 0)])]
+        now, last = model, -np.inf
+        for _ in range(rounds):
+            value, start, moves, counts = 0.0, np.zeros_like(model.start), np.zeros_like(model.moves), np.zeros_like(model.emissions[0])
+            for codes, weight in groups:
+                log, states, steps = forward_backward_many(now, [codes])
+                value += float(weight @ log)
+                start += weight @ states[:, 0]
+                moves += np.tensordot(weight, steps, 1)
+                mass = (weight[:, None, None] * states).reshape(-1, len(start))
+                counts += np.stack([np.bincount(codes.ravel(), weights=mass[:, h], minlength=counts.shape[1] + 1)[1:] for h in range(len(start))])
+            share = lambda x: (x + 1e-6) / (x + 1e-6).sum(axis=-1, keepdims=True)
+            now = HMM(share(start), share(moves), (share(counts),))
+            if value - last < 1e-4:
+                break
+            last = value
+        out = [("start", 0, j + 1, x) for j, x in enumerate(now.start)] + [(n, i + 1, j + 1, x) for n, m in (("move", now.moves), ("emission", now.emissions[0])) for i, r in enumerate(m) for j, x in enumerate(r)]
+        columns = list(zip(*out, strict=True))
+        return pa.table({"parameter": pa.array(columns[0]), "from_state": pa.array(columns[1], pa.int32()), "to": pa.array(columns[2], pa.int32()), "p": pa.array([float(x) for x in columns[3]])})
+
+    fits = spread.groupBy("replicate").applyInArrow(run, "parameter string, from_state int, to int, p double")
+    return fits.groupBy("parameter", "from_state", "to").agg(F.avg("p").alias("mean"), F.stddev_samp("p").alias("sd"))
+
+
+def simulate_mixture(spark, models: Sequence[HMM], shares: Sequence[float], n: int, length: int, seed: int = 1) -> DataFrame:
+    """(id, component, hidden, q0, ...): sequences of a mixture; an id's component is drawn by a seeded hash."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    upto = np.cumsum(shares)
+    component = F.lit(len(models))
+    for c in range(len(models) - 2, -1, -1):
+        component = F.when(u < float(upto[c] / upto[-1]), c + 1).otherwise(component)
+    out = None
+    for c, model in enumerate(models, 1):
+        one = simulate(spark, model, n, length, seed + c).withColumn("component", component).where(F.col("component") == c)
+        out = one if out is None else out.unionByName(one)
+    return out.select("id", "component", *[x for x in out.columns if x not in ("id", "component")])
+
+
+def fit_covariate_mixture(frame: SequenceFrame, covariates: DataFrame, columns: Sequence[str], n_hidden: Sequence[int], rounds: int = 30, tolerance: float = 1e-4, rate: float = 0.5, seed: int = 1) -> tuple[list[HMM], np.ndarray, list[float]]:
+    """A mixture whose shares depend on covariates: models, coefficients (components, 1 + columns), and log-likelihoods.
+
+    Each round adds up expected counts of the models, and the gradient of the multinomial logit of the components.
+    """
+    models = [random_model(h, [frame.n_states], seed + i) for i, h in enumerate(n_hidden)]
+    m, c = len(models), len(columns) + 1
+    beta = np.zeros((m, c))
+    x = F.array(F.lit(1.0), *[F.col(n).cast("double") for n in columns])
+    rows = frame.arrays.join(covariates, "id").select("weight", F.col("seq").alias("q0"), x.alias("x")).groupBy("q0", "x").agg(F.sum("weight").alias("weight")).cache()
+    history: list[float] = []
+    try:
+        for _ in range(rounds):
+            held, now = list(models), beta
+
+            def run(batches, held=held, now=now):
+                total = None
+                for batch in batches:
+                    weights, sizes = batch.column("weight").to_numpy(), batch.column("q0").value_lengths().to_numpy(zero_copy_only=False)
+                    xs = np.array(batch.column("x").to_pylist()).reshape(batch.num_rows, c)
+                    for length in np.unique(sizes[sizes > 0]):
+                        mine = sizes == length
+                        codes = batch.column("q0").take(pa.array(np.flatnonzero(mine))).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, length)
+                        w, z = weights[mine], xs[mine]
+                        each = [forward_backward_many(one, [codes]) for one in held]
+                        prior = softmax(z @ now.T)
+                        logs = np.stack([e[0] for e in each], axis=1) + np.log(np.maximum(prior, 1e-300))
+                        top = logs.max(axis=1, keepdims=True)
+                        post = np.exp(logs - top)
+                        value = float(w @ (top[:, 0] + np.log(post.sum(axis=1))))
+                        post /= post.sum(axis=1, keepdims=True)
+                        flat = [[value, w.sum()], ((w[:, None] * (post - prior)).T @ z).ravel()]
+                        for k, (one, (_, states, moves)) in enumerate(zip(held, each, strict=True)):
+                            r = w * post[:, k]
+                            mass = (r[:, None, None] * states).reshape(-1, states.shape[2])
+                            counts = np.stack([np.bincount(codes.ravel(), weights=mass[:, h], minlength=one.emissions[0].shape[1] + 1)[1:] for h in range(mass.shape[1])])
+                            flat += [[r.sum()], r @ states[:, 0], np.tensordot(r, moves, 1).ravel(), counts.ravel()]
+                        flat = np.concatenate(flat)
+                        total = flat if total is None else total + flat
+                if total is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["x"])
+
+            flat = _summed(rows, run)
+            history.append(float(flat[0]))
+            beta = beta + rate * flat[2 : 2 + m * c].reshape(m, c) / flat[1] * m
+            _, _, models = _maximize(np.concatenate([flat[:1], flat[2 + m * c :]]), models)
+            if len(history) > 1 and abs(history[-1] - history[-2]) < tolerance:
+                break
+    finally:
+        rows.unpersist()
+    return models, beta - beta[:1], history
+
+
 def decode(frames: Sequence[SequenceFrame], model: HMM) -> DataFrame:
     """(id, path, log_probability): the most likely hidden states."""
     return _per_row(frames, lambda c: viterbi(model, c), "path array<int>, log_probability double")
@@ -325,8 +464,7 @@ def fit_with_covariates(frame: SequenceFrame, covariates: DataFrame, columns: Se
                 if total is not None:
                     yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["x"])
 
-            parts = rows.mapInArrow(run, "x array<double>").select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-            flat = np.array([r.v for r in parts])
+            flat = _summed(rows, run)
             history.append(float(flat[0]))
             n_rows, n_places = flat[1], flat[2]
             g0, rest = flat[3 : 3 + s * c], flat[3 + s * c :]

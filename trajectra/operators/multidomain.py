@@ -172,3 +172,41 @@ def linked_polyads(roles: Sequence[SequenceFrame], draws: int = 50, seed: int =
     widths = joined.select("id", "draw", *names).mapInArrow(width, f"id {roles[0].long.schema['id'].dataType.simpleString()}, draw int, w double")
     seen = widths.where("draw = 0").select("id", F.col("w").alias("observed"))
     return widths.where("draw > 0").join(seen, "id").groupBy("id", "observed").agg(F.avg(F.col("w") - F.col("observed")).alias("u"), F.avg((F.col("w") > F.col("observed")).cast("double")).alias("v"))
+
+
+def state_space(domains: Sequence[SequenceFrame]) -> DataFrame:
+    """One row: combined states that are possible and seen, the share seen, of positions in the most frequent one, and states seen once."""
+    seen = stored(combined_states(domains))
+    possible = 1
+    for d in domains:
+        possible *= d.n_states
+    one = seen.agg(F.count("*").alias("n_seen"), F.max("share").alias("largest"), F.count_if(F.col("n") <= 1).alias("n_once"))
+    return one.select(F.lit(possible).cast("long").alias("n_possible"), "n_seen", (F.col("n_seen") / possible).alias("share_seen"), "largest", "n_once")
+
+
+def leave_one_out(pairs: Sequence[DataFrame], rows: DataFrame, k: int) -> DataFrame:
+    """(left_out, ari, jaccard): agreement of k-medoids on all domains' summed distances with those on all but one; ``pairs`` by domain."""
+    from .clustering import agreement, k_medoids
+
+    def summed(parts: Sequence[DataFrame]) -> DataFrame:
+        return reduce(lambda a, b: a.unionByName(b), parts).groupBy("i", "j").agg(F.sum("d").alias("d"))
+
+    held = [stored(p.select("i", "j", "d")) for p in pairs]
+    whole = stored(k_medoids(summed(held), rows, k).select("id", "cluster"))
+    out = None
+    for n in range(len(held)):
+        other = stored(k_medoids(summed(held[:n] + held[n + 1 :]), rows, k).select("id", "cluster"))
+        one = agreement(whole, other).select(F.lit(n).alias("left_out"), "ari", "jaccard")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def sample_coverage(frame: SequenceFrame, samples: int, size: int, rare: int = 1, seed: int = 1) -> DataFrame:
+    """(sample, n, n_distinct, rare_share): how many distinct sequences a weighted sample has, and which share of the rare ones it meets."""
+    from .clustering import weighted_samples
+
+    drawn = weighted_samples(D.unique_sequences(frame), samples, size, seed)
+    few = D.unique_sequences(frame).where(F.col("n") <= rare).select("uid")
+    total = few.agg(F.count("*").alias("all_rare"))
+    per = drawn.join(few.withColumn("is_rare", F.lit(1)), "uid", "left").groupBy("sample").agg(F.count("*").alias("n"), F.countDistinct("uid").alias("n_distinct"), F.sum(F.coalesce("is_rare", F.lit(0))).alias("r"))
+    return per.join(F.broadcast(total), how="cross").select("sample", "n", "n_distinct", (F.col("r") / F.nullif("all_rare", F.lit(0))).alias("rare_share"))

@@ -55,21 +55,31 @@ def substrings(frame: SequenceFrame, longest: int | None = None) -> DataFrame:
     return each.select("depth", F.explode(runs).alias("run")).distinct().groupBy("depth").agg(F.count("*").alias("n"))
 
 
-def js_distance(frame: SequenceFrame) -> DataFrame:
-    """(pos, distance): Jensen-Shannon distance (natural log) of each cross-section to the one before; 0 at position 1."""
+def js_distance(frame: SequenceFrame, backward: bool = False) -> DataFrame:
+    """(pos, distance): Jensen-Shannon distance (natural log) of each cross-section to the one before, or after; 0 at the first (last)."""
     from .cross_section import state_distribution
 
-    dist = state_distribution(frame).select("pos", "code", F.col("share").alias("p"))
-    before = dist.select((F.col("pos") + 1).alias("pos"), "code", F.col("p").alias("q"))
-    joined = dist.join(before, ["pos", "code"], "left")
-    q = F.coalesce("q", F.lit(0.0))
-    m = (F.col("p") + q) / 2
+    return _js(state_distribution(frame).select("pos", "code", F.col("share").alias("p")), backward)
+
+
+def spell_js_distance(frame: SequenceFrame, power: float = 0.0, backward: bool = False) -> DataFrame:
+    """(pos, distance): the same over the sequences' first, second, ... spells, which count their duration to the ``power``."""
+    spells = frame.arrays.select("weight", F.posexplode(S.spells(F.col("seq"))).alias("i", "x"))
+    mass = spells.groupBy((F.col("i") + 1).alias("pos"), F.col("x.state").alias("code")).agg(F.sum(F.col("weight") * F.pow(F.col("x.dur"), F.lit(power))).alias("w"))
+    return _js(mass.select("pos", "code", (F.col("w") / F.sum("w").over(Window.partitionBy("pos"))).alias("p")), backward)  # a row per state and spell
+
+
+def _js(dist: DataFrame, backward: bool) -> DataFrame:
+    at = dist.agg((F.max("pos") if backward else F.min("pos")).alias("edge"))
+    before = dist.select((F.col("pos") + (-1 if backward else 1)).alias("pos"), "code", F.col("p").alias("q")).join(dist.select("pos").distinct(), "pos", "left_semi")
+    joined = dist.join(before, ["pos", "code"], "full").select("pos", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("q", F.lit(0.0)).alias("q"))
+    m = (F.col("p") + F.col("q")) / 2
 
     def kl(x: Column) -> Column:
         return F.when(x > 0, x * F.log(x / m)).otherwise(0.0)
 
-    total = F.sum((kl(F.col("p")) + kl(q)) / 2)
-    return joined.groupBy("pos").agg(F.when(F.col("pos") == 1, 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), total))).alias("distance"))
+    total = joined.groupBy("pos").agg((F.sum(kl(F.col("p")) + kl(F.col("q"))) / 2).alias("s"))
+    return total.join(F.broadcast(at), how="cross").select("pos", F.when(F.col("pos") == F.col("edge"), 0.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("s")))).alias("distance"))
 
 
 def rarity(frame: SequenceFrame, backward: bool = False, spells: bool = False, group: DataFrame | None = None) -> DataFrame:
@@ -94,9 +104,9 @@ def rarity(frame: SequenceFrame, backward: bool = False, spells: bool = False, g
     return p.join(scored.select(*keys, "path", "freq", "rarity", z.alias("z")), [*keys, "path"]).select("id", *keys, "freq", "rarity", "z")
 
 
-def rarity_scores(frame: SequenceFrame, backward: bool = False) -> DataFrame:
-    """(id, score, unique_positions): summed rarity, and how many prefixes nobody else has."""
-    return rarity(frame, backward).groupBy("id").agg(F.sum("rarity").alias("score"), F.count_if(F.col("freq") == 1).alias("unique_positions"))
+def rarity_scores(frame: SequenceFrame, backward: bool = False, spells: bool = False, group: DataFrame | None = None) -> DataFrame:
+    """(id, score, unique_positions): summed rarity, and how many prefixes nobody else (of the group) has."""
+    return rarity(frame, backward, spells, group).groupBy("id").agg(F.sum("rarity").alias("score"), F.count_if(F.col("freq") == 1).alias("unique_positions"))
 
 
 def standardized_rarity(frame: SequenceFrame, backward: bool = False, first: int = 1, window: int = 1) -> DataFrame:
@@ -136,3 +146,14 @@ def first_divergence(
         raise ValueError("method is zscore, top_proportion or quantile")
     found = low.join(marked.select("id", F.col("score").alias("own")), "id").where(F.col("low") == F.col("own")).groupBy("id").agg(F.min("pos").alias("first_pos"))
     return everyone.join(found, "id", "left").select("id", F.col("first_pos").isNotNull().alias("diverged"), "first_pos")
+
+
+def score_thresholds(scores: DataFrame, group: DataFrame, quantile: float = 0.9) -> DataFrame:
+    """(group, n, threshold): the quantile of (id, score) in each group of (id, group)."""
+    return scores.where("score IS NOT NULL").join(group, "id").groupBy("group").agg(F.count("*").alias("n"), F.percentile("score", F.lit(quantile)).alias("threshold"))
+
+
+def rarity_diagnostics(frame: SequenceFrame, backward: bool = False, spells: bool = False) -> DataFrame:
+    """(pos, n, mean, sd, least, most, n_unique): the rarities of a position, which have no z-score where they don't vary."""
+    rows = rarity(frame, backward, spells)
+    return rows.groupBy("pos").agg(F.count("*").alias("n"), F.avg("rarity").alias("mean"), F.stddev_samp("rarity").alias("sd"), F.min("rarity").alias("least"), F.max("rarity").alias("most"), F.count_if(F.col("freq") == 1).alias("n_unique"))

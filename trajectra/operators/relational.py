@@ -134,3 +134,32 @@ def sampled_distances(frame: SequenceFrame, units: DataFrame, partners: int = 8,
     valid = F.filter(F.arrays_zip("x", "y"), lambda p: (p["x"] != missing) & (p["y"] != missing))
     d = F.size(F.filter(valid, lambda p: p["x"] != p["y"])) / F.nullif(F.size(valid), F.lit(0))
     return relation_of(both.select("i", "j", d.alias("d")), units)
+
+
+def compressed(frame: SequenceFrame) -> DataFrame:
+    """(pattern, n, weight, first_id): identical trajectories as one, with how many pairs of units and how much weight have them."""
+    return frame.arrays.groupBy("seq").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.min("id").alias("first_id")).select(F.array_join(F.col("seq").cast("array<string>"), "-").alias("pattern"), "n", "weight", "first_id")
+
+
+@reads_pairs_often
+def level_test(pairs: DataFrame, units: DataFrame, replicates: int = 49, seed: int = 1) -> DataFrame:
+    """(level, statistic, value, p_value) of level_1 and level_2 as factors, by permutation."""
+    from .discrepancy import association_test
+
+    out = None
+    for level in ("level_1", "level_2"):
+        one = association_test(pairs, units.select("id", F.lit(1.0).alias("weight"), F.col(level).alias("group")), replicates, seed).select(F.lit(level).alias("level"), "statistic", "value", "p_value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@reads_pairs_often
+def cluster_units(pairs: DataFrame, units: DataFrame, k: int, level: str = "level_1") -> DataFrame:
+    """(unit, cluster): k-medoids of a level's units by the mean distances of their trajectories."""
+    from .clustering import k_medoids
+
+    names = stored(numbered(units.select(F.col(level).alias("unit")).distinct(), ["unit"], "id"))
+    apart = unit_distances(pairs, units, level)
+    coded = apart.join(names.select(F.col("unit").alias("u"), F.col("id").alias("a")), "u").join(names.select(F.col("unit").alias("v"), F.col("id").alias("b")), "v")
+    coded = coded.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "d")
+    return k_medoids(coded, names.select("id", F.lit(1.0).alias("weight")), k).join(names, "id").select("unit", "cluster")

@@ -30,15 +30,26 @@ def neighbourhood_density(pairs: DataFrame, rows: DataFrame, share: float = 0.1)
     return rows.join(near.withColumnRenamed("i", "id"), "id", "left").select("id", (F.col("weight") + F.coalesce("s", F.lit(0.0))).alias("density"))
 
 
-def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, share: float = 0.1, most: int = 20) -> DataFrame:
-    """(rank, id, covered, share): greedy picks by density, none within the radius of another, until ``coverage`` of the weight.
+@reads_pairs_often
+def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, share: float = 0.1, most: int = 20, criterion: str = "density", seed: int = 1) -> DataFrame:
+    """(rank, id, covered, share): greedy picks by density, weight (``freq``), nearness to all (``dist``) or chance (``random``), none within the radius of another, until ``coverage`` of the weight.
 
     The loop runs over picks, of which there are ``most`` at most; each is a scan of the table.
     """
     spark = rows.sparkSession
     radius = pairs.agg(F.max("d")).first()[0] or 0.0
     limit = radius * share
-    score = neighbourhood_density(pairs, rows, share)
+    if criterion == "density":
+        score = neighbourhood_density(pairs, rows, share)
+    elif criterion == "freq":
+        score = rows.select("id", F.col("weight").alias("density"))
+    elif criterion == "dist":
+        score = weighted_distance_sums(pairs, rows.select("id", "weight", F.lit(1).alias("group"))).select("id", (-F.col("total")).alias("density"))
+    elif criterion == "random":
+        score = rows.select("id", F.xxhash64(F.lit(seed), "id").cast("double").alias("density"))
+    else:
+        raise ValueError("criterion is density, freq, dist or random")
+    score = stored(score)
     total = rows.agg(F.sum("weight")).first()[0] or 0.0
     sides = both_ways(pairs).where(F.col("d") < limit)
     picked: list[int] = []
@@ -95,3 +106,21 @@ def classical_scaling(pairs: DataFrame, rows: DataFrame, most: int = 3_000) -> D
         return {"id": ids, "key": axis * (1 if axis[np.abs(axis).argmax()] >= 0 else -1)}
 
     return in_one_group(pairs, rows, scale, "id long, key double", most)
+
+
+@reads_pairs_often
+def trimmed_center(pairs: DataFrame, rows: DataFrame, trim: float = 0.2) -> DataFrame:
+    """(id, group, weight, dc, kept): distances to a group's centre that leaves out the share ``trim`` of rows that lie farthest.
+
+    A first pass gives distances to the whole centre; rows beyond their (1 - trim) quantile are left out of the second.
+    """
+    from .discrepancy import distances_to_center, group_discrepancy
+
+    first = stored(distances_to_center(pairs, rows))
+    cut = first.groupBy("group").agg(F.percentile("dc", F.lit(1 - trim)).alias("cut"))
+    kept = stored(first.join(F.broadcast(cut), "group").where(F.col("dc") <= F.col("cut") + 1e-12).select("id", "group", "weight"))
+    a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), kept.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
+    sums = both_ways(pairs).join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
+    groups = group_discrepancy(pairs, kept).select("group", F.col("weight").alias("W"), "discrepancy")
+    joined = rows.join(sums.withColumnRenamed("i", "id"), "id", "left").join(F.broadcast(groups), "group").join(kept.select("id", F.lit(True).alias("k")), "id", "left")
+    return joined.select("id", "group", "weight", (F.coalesce("s", F.lit(0.0)) / F.col("W") - F.col("discrepancy")).alias("dc"), F.coalesce("k", F.lit(False)).alias("kept"))

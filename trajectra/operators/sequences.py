@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING = "missing"
@@ -111,8 +112,6 @@ def from_wide(rows: DataFrame, id: str, columns: Sequence[str], states: Sequence
 
 def from_events(rows: DataFrame, id: str, order: Sequence[str], state: str, states: Sequence[str], first: int | None = None, at_least: int | None = None, **options) -> SequenceFrame:
     """A sequence per id of its rows in ``order``; ``first``: so many positions; ``at_least``: ids with fewer are left out."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy(id).orderBy(*order)
     placed = rows.withColumn("__pos", F.row_number().over(by))
     if at_least:
@@ -124,8 +123,6 @@ def from_events(rows: DataFrame, id: str, order: Sequence[str], state: str, stat
 
 def from_time_grid(rows: DataFrame, id: str, time: str, order: Sequence[str], state: str, states: Sequence[str], grid: Sequence[int], **options) -> SequenceFrame:
     """The last state at each point of a grid, carried forward; before an id's first one it is missing."""
-    from pyspark.sql import Window
-
     latest = rows.groupBy(F.col(id).alias("id"), F.col(time).alias("t")).agg(F.max(F.struct(*order, F.col(state).alias("s"))).alias("x")).select("id", "t", F.col("x.s").alias("s"))
     points = latest.select("id").distinct().select("id", F.explode(F.array(*map(F.lit, grid))).alias("t"))
     filled = points.join(latest, ["id", "t"], "left").withColumn("s", F.last("s", ignorenulls=True).over(Window.partitionBy("id").orderBy("t")))
@@ -223,8 +220,6 @@ def unique_ids(rows: DataFrame, order: Sequence[str], name: str = "id") -> DataF
 
     part = f"__part_{uuid.uuid4().hex[:8]}"
     ranged = rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
-    from pyspark.sql import Window
-
     local = ranged.withColumn("__rank", F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     sizes = ranged.groupBy(part).agg(F.count("*").alias("__n"))  # a row per range
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).select(part, "__before")
@@ -240,3 +235,87 @@ def clean_time_names(names: Sequence[str]) -> list[str]:
         numbers = re.findall(r"\d+", name)
         out.append(numbers[-1] if numbers and re.search("[A-Za-z]", name) else name)
     return out
+
+
+def describe(frame: SequenceFrame) -> DataFrame:
+    """One row: sequences, distinct ones, states, positions, shortest and longest length, and positions that are missing."""
+    per = frame.arrays.agg(F.count("*").alias("n"), F.countDistinct("seq").alias("n_unique"), F.min(F.size("seq")).alias("shortest"), F.max(F.size("seq")).alias("longest"))
+    places = frame.long.agg(F.count("*").alias("n_positions"), F.count_if(F.col("code") == (frame.missing_code or 0)).alias("n_missing"))
+    return per.join(F.broadcast(places), how="cross").select("n", "n_unique", F.lit(frame.n_states).alias("n_states"), "n_positions", "shortest", "longest", "n_missing")
+
+
+def cut_prefixes(frame: SequenceFrame, least: int) -> DataFrame:
+    """(id, seq): each sequence up to its first code under ``least``."""
+    low = F.array_position(F.transform("seq", lambda c: c < least), True)
+    return frame.arrays.select("id", F.when(low > 0, F.slice("seq", 1, F.greatest(low - 1, F.lit(0)).cast("int"))).otherwise(F.col("seq")).alias("seq"))
+
+
+def _two(frame: SequenceFrame, pairs: DataFrame) -> DataFrame:
+    a, b = frame.arrays.select(F.col("id").alias("i"), F.col("seq").alias("x")), frame.arrays.select(F.col("id").alias("j"), F.col("seq").alias("y"))
+    return pairs.select("i", "j").join(a, "i").join(b, "j").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "x", "y")
+
+
+def common_lengths(frame: SequenceFrame, pairs: DataFrame) -> DataFrame:
+    """(i, j, prefix, subsequence): lengths of the longest common prefix and subsequence of the rows of given pairs (i, j)."""
+
+    def run(batches):
+        for batch in batches:
+            prefix, common = [], []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                prefix.append(next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y))))
+                row = [0] * (len(y) + 1)
+                for a in x:
+                    last, corner = row, 0
+                    row = [0]
+                    for n, b in enumerate(y, 1):
+                        row.append(corner + 1 if a == b else max(last[n], row[-1]))
+                        corner = last[n]
+                common.append(row[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(prefix, pa.int32()), pa.array(common, pa.int32())], names=["i", "j", "prefix", "subsequence"])
+
+    return _two(frame, pairs).mapInArrow(run, "i long, j long, prefix int, subsequence int")
+
+
+def alignments(frame: SequenceFrame, pairs: DataFrame, costs: list[list[float]], indel: float) -> DataFrame:
+    """(i, j, step, operation, a, b, cost): a cheapest alignment of the rows of given pairs, step by step.
+
+    Of equal ways back, matching or substituting comes before deleting, and that before inserting.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            for i, j, x, y in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "x", "y")), strict=True):
+                table = [[n * indel for n in range(len(y) + 1)]]
+                for a in x:
+                    row = [table[-1][0] + indel]
+                    for n, b in enumerate(y, 1):
+                        row.append(min(table[-1][n - 1] + costs[a - 1][b - 1], table[-1][n] + indel, row[-1] + indel))
+                    table.append(row)
+                m, n, steps = len(x), len(y), []
+                while m or n:
+                    here = table[m][n]
+                    if m and n and abs(table[m - 1][n - 1] + costs[x[m - 1] - 1][y[n - 1] - 1] - here) < 1e-9:
+                        steps.append(("match" if x[m - 1] == y[n - 1] else "substitute", x[m - 1], y[n - 1], costs[x[m - 1] - 1][y[n - 1] - 1]))
+                        m, n = m - 1, n - 1
+                    elif m and abs(table[m - 1][n] + indel - here) < 1e-9:
+                        steps.append(("delete", x[m - 1], None, indel))
+                        m -= 1
+                    else:
+                        steps.append(("insert", None, y[n - 1], indel))
+                        n -= 1
+                out += [(i, j, k, *s) for k, s in enumerate(reversed(steps), 1)]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["i", "j", "step", "operation", "a", "b", "cost"])
+
+    return _two(frame, pairs).mapInArrow(run, "i long, j long, step int, operation string, a int, b int, cost double")
+
+
+def spells_between_gaps(frame: SequenceFrame) -> DataFrame:
+    """(id, spell, code, begin, dur): runs of one state, where a missing position ends a run and is in none."""
+    by = Window.partitionBy("id").orderBy("pos")
+    known = frame.long.where(F.col("code") != (frame.missing_code or 0))
+    new = F.lag("code").over(by).isNull() | (F.lag("code").over(by) != F.col("code")) | (F.lag("pos").over(by) != F.col("pos") - 1)
+    marked = known.withColumn("spell", F.sum(new.cast("int")).over(by).cast("int"))
+    return marked.groupBy("id", "spell").agg(F.first("code").alias("code"), F.min("pos").alias("begin"), F.count("*").cast("int").alias("dur"))

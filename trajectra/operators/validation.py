@@ -20,6 +20,7 @@ from trajectra.functions import spells as S
 from . import clustering as C
 from . import discrepancy as A
 from .sequences import SequenceFrame
+from .tables import stored
 
 
 def _with_factors(pairs: DataFrame, rows: DataFrame, factors: Sequence[str], run, schema: str, most: int = C.MOST_DENSE) -> DataFrame:
@@ -259,3 +260,110 @@ def dirichlet_regression(rows: DataFrame, shares: Sequence[str], columns: Sequen
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         beta += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9) / math.sqrt(1 + step / 200)
     return rows.sparkSession.createDataFrame([(s, t, float(beta[i, j])) for i, s in enumerate(shares) for j, t in enumerate(terms)], "share string, term string, coefficient double")
+
+
+def pseudoclass_ols(memberships: DataFrame, rows: DataFrame, outcome: str, columns: Sequence[str], draws: int = 20, seed: int = 1) -> DataFrame:
+    """(term, coefficient, se): least squares of an outcome on class and covariates, over seeded draws of classes by membership, pooled.
+
+    The first class is the reference. Each draw's normal equations are sums, a row per draw; the pooled variance is the
+    mean within draws plus (1 + 1 / draws) times that between them.
+    """
+    from pyspark.sql import Window
+
+    clusters = sorted(r[0] for r in memberships.select("cluster").distinct().collect())  # a row per cluster
+    upto = F.sum("u").over(Window.partitionBy("id").orderBy("cluster"))
+    bounds = memberships.withColumn("high", upto).withColumn("low", upto - F.col("u"))
+    u = F.pmod(F.xxhash64(F.lit(seed), "id", "draw"), F.lit(1 << 40)) / float(1 << 40)
+    chosen = bounds.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).where((u >= F.col("low")) & (u < F.col("high"))).select("id", "draw", "cluster").join(rows, "id")
+    terms = ["constant", *(f"cluster_{c}" for c in clusters[1:]), *columns]
+    values = [F.lit(1.0), *((F.col("cluster") == c).cast("double") for c in clusters[1:]), *(F.col(c).cast("double") for c in columns)]
+    p, y = len(terms), F.col(outcome).cast("double")
+    sums = [F.sum(a * b).alias(f"x{i}_{j}") for i, a in enumerate(values) for j, b in enumerate(values) if j >= i] + [F.sum(a * y).alias(f"y{i}") for i, a in enumerate(values)] + [F.sum(y * y).alias("yy"), F.count("*").alias("n")]
+    betas, variances = [], []
+    for row in chosen.groupBy("draw").agg(*sums).orderBy("draw").collect():  # a row per draw
+        xx = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
+        xy = np.array([row[f"y{i}"] for i in range(p)])
+        inverse = np.linalg.pinv(xx)
+        beta = inverse @ xy
+        betas.append(beta)
+        variances.append(np.diag(inverse) * max(0.0, row.yy - beta @ xy) / max(1, row.n - p))
+    b, v = np.array(betas), np.array(variances)
+    between = b.var(axis=0, ddof=1) if len(b) > 1 else np.zeros(p)
+    se = np.sqrt(v.mean(axis=0) + (1 + 1 / len(b)) * between)
+    return rows.sparkSession.createDataFrame([(t, float(m), float(s)) for t, m, s in zip(terms, b.mean(axis=0), se, strict=True)], "term string, coefficient double, se double")
+
+
+def beta_regression(rows: DataFrame, share: str, columns: Sequence[str], rounds: int = 4_000) -> DataFrame:
+    """(term, coefficient): a share in (0, 1) as beta distributed, its mean a logit of covariates, and the log of its precision.
+
+    Sums of log share and log rest over distinct covariates are sufficient; the driver's ascent works on those.
+    """
+    x = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns])
+    y = F.least(F.greatest(F.col(share).cast("double"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    held = rows.groupBy(x.alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.log(y)).alias("a"), F.sum(F.log(1 - y)).alias("b"))
+    if held.count() > 100_000:
+        raise ValueError("more than 100,000 distinct rows of covariates")
+    data = held.collect()
+    xs, n, a, b = np.array([r.x for r in data]), np.array([r.n for r in data]), np.array([r.a for r in data]), np.array([r.b for r in data])
+    beta = np.zeros(xs.shape[1] + 1)
+    first, second = np.zeros_like(beta), np.zeros_like(beta)
+    for step in range(1, rounds + 1):
+        mu = 1 / (1 + np.exp(-np.clip(xs @ beta[:-1], -20, 20)))
+        phi = float(np.exp(np.clip(beta[-1], -10, 15)))
+        p, q = digamma(mu * phi), digamma((1 - mu) * phi)
+        g = (((a - n * p) - (b - n * q)) * phi * mu * (1 - mu)) @ xs
+        h = (n * digamma(np.full(len(n), phi)) + mu * (a - n * p) + (1 - mu) * (b - n * q)).sum() * phi
+        grad = np.append(g, h) / n.sum()
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
+        beta += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-9) / math.sqrt(1 + step / 100)
+    return rows.sparkSession.createDataFrame([(t, float(v)) for t, v in zip(["constant", *columns, "log_precision"], beta, strict=True)], "term string, coefficient double")
+
+
+def _logit_effect(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Mean change of a weighted logistic regression's probability with its one covariate, by Newton steps with a slight pull to zero."""
+    z, beta = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        step = np.linalg.solve((z.T * (w * p * (1 - p))) @ z + 1e-6 * np.eye(2), z.T @ (w * (y - p)) - 1e-6 * beta)
+        beta = beta + step
+        if np.abs(step).max() < 1e-8:
+            break
+    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+    if set(np.unique(x)) <= {0.0, 1.0}:
+        ends = 1 / (1 + np.exp(-np.array([beta[0], beta[0] + beta[1]])))
+        return float(ends[1] - ends[0])
+    return float((w * p * (1 - p)).sum() / w.sum() * beta[1])
+
+
+def typology_effects(pairs: DataFrame, rows: DataFrame, covariate: str, k: int, replicates: int = 20, seed: int = 1, most: int = 2_000) -> DataFrame:
+    """(cluster, effect, mean, sd): a covariate's average marginal effect on being in a cluster, in the typology and over bootstrapped ones.
+
+    Rows and weights are resampled, clustered by PAM anew and regressed; a row's effect is that of the cluster it is in, and a
+    cluster's that of its rows' means. Each replicate is a task with a copy of the matrix, so up to ``most`` rows.
+    """
+    n = rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows are too many for replicates of a matrix of {most}")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(replicates))).alias("replicate")
+    own = rows.select(spread, F.col("id").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.col("weight").cast("double").alias("x"), F.col(covariate).cast("double").alias("c"))
+    tagged = pairs.select(spread, F.col("i").alias("a"), F.col("j").alias("b"), F.col("d").alias("x"), F.lit(None).cast("double").alias("c")).unionByName(own)
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        alone = pa.compute.is_null(table.column("b"))
+        nodes, links = table.filter(alone).sort_by("a"), table.filter(pa.compute.invert(alone))
+        ids, w, c = nodes.column("a").to_numpy(), nodes.column("x").to_numpy(), nodes.column("c").to_numpy()
+        d = np.zeros((len(ids), len(ids)))
+        i, j = np.searchsorted(ids, links.column("a").to_numpy()), np.searchsorted(ids, links.column("b").to_numpy())
+        d[i, j] = d[j, i] = links.column("x").to_numpy()
+        if key[0].as_py():
+            w = np.random.default_rng([seed, key[0].as_py()]).multinomial(max(1, round(w.sum())), w / w.sum()).astype(float)
+        at = d[:, C.partition_medoids(d, w + 1e-9, k)].argmin(axis=1)
+        effects = np.array([_logit_effect(c, (at == g).astype(float), w) if (w[at == g] > 0).any() else 0.0 for g in range(k)])
+        return pa.table({"replicate": pa.array(np.full(len(ids), key[0].as_py()), pa.int32()), "id": pa.array(ids), "cluster": pa.array(at + 1, pa.int32()), "effect": pa.array(effects[at])})
+
+    each = tagged.groupBy("replicate").applyInArrow(run, "replicate int, id long, cluster int, effect double")
+    each = stored(each)
+    seen = each.where("replicate = 0").select("id", "cluster", F.col("effect").alias("own"))
+    per = each.where("replicate > 0").join(seen.select("id", F.col("cluster").alias("c0")), "id").groupBy("replicate", "c0").agg(F.avg("effect").alias("e"))
+    drawn = per.groupBy(F.col("c0").alias("cluster")).agg(F.avg("e").alias("mean"), F.stddev_samp("e").alias("sd"))
+    return seen.groupBy("cluster").agg(F.first("own").alias("effect")).join(drawn, "cluster", "left")

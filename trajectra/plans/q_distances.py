@@ -167,3 +167,8 @@ _plain("dist_nms", "NMS")
 _plain("dist_nmsmst", "NMSMST")
 _plain("dist_svrspell", "SVRspell")
 _plain("dist_rlcpspell", "RLCPspell", norm="auto")
+
+
+@query("dist_custom", UNIQUE + " SELECT i, j, CAST(abs(len(x) - len(y)) + CASE WHEN x[1] = y[1] THEN 0 ELSE 1 END AS DOUBLE) AS d FROM pr")
+def _(spark, d):
+    return D.custom(fx.ev_all(spark, d), lambda x, y: float(abs(len(x) - len(y)) + (x[0] != y[0])))

@@ -144,3 +144,35 @@ def _(spark, d):
 def _(spark, d):
     (frame, units), _ = _relational(spark, d)
     return L.sampled_distances(frame, units)
+
+
+@query("state_space", TWO + f", c AS (SELECT {STATE} AS state FROM p JOIN p2 USING (id, pos)), n AS (SELECT state, count(*) AS n FROM c GROUP BY state) SELECT CAST(15 AS BIGINT) AS n_possible, count(*) AS n_seen, round(count(*) / 15, 6) AS share_seen, round(max(n) / sum(n), 6) AS largest, count(*) FILTER (n <= 1) AS n_once FROM n")
+def _(spark, d):
+    return M.state_space(_two(spark, d))
+
+
+@query("leave_one_domain_out")
+def _(spark, d):
+    frames = _daily(spark, d)
+    rows = D.unique_sequences(frames[0]).select(F.col("uid").alias("id"), "weight")
+    return M.leave_one_out([D.expand(f, D.pairwise(f, "HAM")) for f in frames], rows, 2)
+
+
+@query("sample_coverage")
+def _(spark, d):
+    return M.sample_coverage(fx.ord_status(spark, d), 3, 100)
+
+
+@query("relational_compressed", REL + ", q AS (SELECT l1, l2, string_agg(CAST(list_position(['F', 'O', 'P'], s) AS VARCHAR), '-' ORDER BY t) AS pattern FROM top GROUP BY l1, l2) SELECT pattern, count(*) AS n, CAST(count(*) AS DOUBLE) AS weight FROM q GROUP BY pattern")
+def _(spark, d):
+    return L.compressed(_relational(spark, d)[0][0]).drop("first_id")
+
+
+@query("level_test")
+def _(spark, d):
+    return L.level_test(*_relational_pairs(spark, d))
+
+
+@query("clustered_units")
+def _(spark, d):
+    return L.cluster_units(*_relational_pairs(spark, d), k=2)

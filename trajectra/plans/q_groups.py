@@ -275,3 +275,26 @@ def _(spark, d):
     from trajectra.sources.tables import table
 
     return C.aggregate_cases(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("marginal_association", " UNION ALL ".join("SELECT * FROM (" + HAM.replace("uid % 3", f"uid % {m}") + LEV + f" SELECT '{f}' AS factor, round(((st.ss - sw.ss) / (k - 1)) / (sw.ss / (W - k)), 6) AS pseudo_f, round(1 - sw.ss / st.ss, 6) AS pseudo_r2, round(levene, 6) AS levene FROM st, sw, tw, lt)" for f, m in (("third", 3), ("half", 2))))
+def _(spark, d):
+    pairs, rows = _ham(spark, d)
+    rows = rows.select("id", "weight", (F.col("id") % 3).alias("third"), (F.col("id") % 2).alias("half"))
+    return A.marginal_association(pairs, rows, ["third", "half"])
+
+
+TRIM = ", qc AS (SELECT g, quantile_cont(dc, 0.8) AS c FROM dc GROUP BY g), kp AS (SELECT dc.id, dc.g, dc.w FROM dc JOIN qc ON qc.g = dc.g WHERE dc <= c + 1e-12), kw AS (SELECT g, sum(w) AS W FROM kp GROUP BY g), ks AS (SELECT x.g, sum(x.w * y.w * h.d) AS s FROM h JOIN kp x ON x.id = h.i JOIN kp y ON y.id = h.j WHERE x.g = y.g GROUP BY x.g), ts AS (SELECT b.i, sum(b.wj * b.d) AS s FROM b JOIN kp ON kp.id = b.j AND kp.g = b.gi GROUP BY b.i)"
+
+
+@query("trimmed_center", HAM + LEV + TRIM + ' SELECT r.id, r.g AS "group", r.w AS weight, round(coalesce(ts.s, 0) / kw.W - coalesce(ks.s, 0) / kw.W / kw.W, 6) AS dc, kp.id IS NOT NULL AS kept FROM r LEFT JOIN ts ON ts.i = r.id JOIN kw ON kw.g = r.g LEFT JOIN ks ON ks.g = r.g LEFT JOIN kp ON kp.id = r.id')
+def _(spark, d):
+    return R.trimmed_center(*_ham(spark, d))
+
+
+for _criterion in ("freq", "dist", "random"):
+
+    @query(f"representatives_{_criterion}")
+    def _(spark, d, criterion=_criterion):
+        pairs, rows = _ham(spark, d)
+        return R.representatives(pairs, rows.select("id", "weight"), share=0.7, criterion=criterion)

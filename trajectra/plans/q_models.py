@@ -73,6 +73,31 @@ def _(spark, d):
     return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(history)], "round int, log_likelihood double")
 
 
+@query("hmm_restarts")
+def _(spark, d):
+    _, history, best = H.fit_best([fx.conv_roles(spark, d)], 2, restarts=3)
+    return spark.createDataFrame([(best, len(history), float(history[-1]))], "start int, rounds int, log_likelihood double")
+
+
+@query("hmm_bootstrap")
+def _(spark, d):
+    frame = fx.conv_roles(spark, d)
+    return H.bootstrap(frame, H.fit([frame], 2)[0], 10)
+
+
+@query("hmm_simulated_mixture")
+def _(spark, d):
+    return H.simulate_mixture(spark, [H.random_model(2, [3]), H.random_model(3, [3], 5)], [0.3, 0.7], 200, 10)
+
+
+@query("hmm_covariate_mixture")
+def _(spark, d):
+    frame = fx.ord_status(spark, d)
+    x = frame.long.select("id", (F.col("id") % 2).cast("double").alias("x")).distinct()
+    _, beta, _ = H.fit_covariate_mixture(frame, x, ["x"], [2, 2], rounds=20)
+    return spark.createDataFrame([(k + 1, t, float(beta[k, i])) for k in range(2) for i, t in enumerate(("constant", "x"))], "component int, term string, coefficient double")
+
+
 @query("hmm_simulated")
 def _(spark, d):
     return H.simulate(spark, H.random_model(2, [3]), 200, 10)

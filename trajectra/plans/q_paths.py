@@ -137,3 +137,57 @@ def _(spark, d):
 @query("spell_survival", f"WITH {fx.SQL['ord_seq']}, {SP}, n AS (SELECT id, count(*) AS n FROM p GROUP BY id), r AS (SELECT CAST(s AS VARCHAR) AS stratum, d AS time, CASE WHEN b + d - 1 < n THEN 1.0 ELSE 0.0 END AS e FROM sp JOIN n USING (id)), c AS (SELECT stratum, time, CAST(count(*) AS DOUBLE) AS l, CAST(sum(e) AS DOUBLE) AS events FROM r GROUP BY ALL), k AS (SELECT *, sum(l) OVER (PARTITION BY stratum ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS at_risk FROM c), v AS (SELECT *, max(CASE WHEN events >= at_risk THEN 1 ELSE 0 END) OVER w AS gone, sum(CASE WHEN events >= at_risk THEN 0 ELSE ln(1 - events / at_risk) END) OVER w AS ls, sum(CASE WHEN events >= at_risk THEN 0 ELSE events / (at_risk * (at_risk - events)) END) OVER w AS g FROM k WINDOW w AS (PARTITION BY stratum ORDER BY time)) SELECT stratum, CAST(time AS INT) AS time, at_risk, events, round(CASE WHEN gone = 1 THEN 0 ELSE exp(ls) END, 6) AS survival, round(CASE WHEN gone = 1 THEN 0 ELSE exp(ls) * sqrt(g) END, 6) AS se FROM v")
 def _(spark, d):
     return H.spell_survival(fx.ord_seq(spark, d))
+
+
+JS = "f AS (SELECT pos, s, w / sum(w) OVER (PARTITION BY pos) AS p FROM n), e AS (SELECT {edge}(pos) AS e FROM f), k AS (SELECT DISTINCT pos FROM f), g AS (SELECT k.pos, c AS s FROM k, (SELECT unnest(range(1, {k} + 1)) AS c)), j AS (SELECT g.pos, coalesce(a.p, 0) AS p, coalesce(b.p, 0) AS q, (coalesce(a.p, 0) + coalesce(b.p, 0)) / 2 AS m FROM g LEFT JOIN f a ON a.pos = g.pos AND a.s = g.s LEFT JOIN f b ON b.pos = g.pos {sign} 1 AND b.s = g.s) SELECT CAST(pos AS INT) AS pos, round(CASE WHEN pos = (SELECT e FROM e) THEN 0 ELSE sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * ln(p / m) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(q / m) ELSE 0 END) / 2))) END, 6) AS distance FROM j GROUP BY pos"
+
+
+@query("js_convergence", f"WITH {EV}, n AS (SELECT pos, s, CAST(count(*) AS DOUBLE) AS w FROM p GROUP BY ALL), " + JS.format(edge="max", k=5, sign="+"))
+def _(spark, d):
+    return P.js_distance(fx.ev_all(spark, d), backward=True)
+
+
+@query("spell_js_divergence", f"WITH {ORD}, {SP}, n AS (SELECT k AS pos, s, sum(sqrt(d)) AS w FROM sp GROUP BY ALL), " + JS.format(edge="min", k=3, sign="-"))
+def _(spark, d):
+    return P.spell_js_distance(fx.ord_status(spark, d), 0.5)
+
+
+@query("spell_js_convergence", f"WITH {ORD}, {SP}, n AS (SELECT k AS pos, s, CAST(count(*) AS DOUBLE) AS w FROM sp GROUP BY ALL), " + JS.format(edge="max", k=3, sign="+"))
+def _(spark, d):
+    return P.spell_js_distance(fx.ord_status(spark, d), backward=True)
+
+
+def _thirds(spark, d):
+    return fx.ord_status(spark, d).arrays.select("id", (F.col("id") % 3).cast("int").alias("group"))
+
+
+GRP = f"WITH {ORD}, {PRE}, freq AS (SELECT id, pos, id % 3 AS g, count(*) OVER (PARTITION BY id % 3, pos, path) AS freq, count(*) OVER (PARTITION BY id % 3, pos) AS n FROM pre), rar AS (SELECT id, g, freq, -ln(freq / n + 1e-10) AS r FROM freq), sc AS (SELECT id, any_value(g) AS g, sum(r) AS score, count(*) FILTER (freq = 1) AS unique_positions FROM rar GROUP BY id)"
+
+
+@query("path_uniqueness_by_group", GRP + " SELECT id, round(score, 6) AS score, unique_positions FROM sc")
+def _(spark, d):
+    return P.rarity_scores(fx.ord_status(spark, d), group=_thirds(spark, d))
+
+
+@query("score_thresholds", GRP + ' SELECT CAST(g AS INT) AS "group", count(*) AS n, round(quantile_cont(score, 0.9), 6) AS threshold FROM sc GROUP BY g')
+def _(spark, d):
+    group = _thirds(spark, d)
+    return P.score_thresholds(P.rarity_scores(fx.ord_status(spark, d), group=group), group)
+
+
+SPR = f"WITH {ORD}, {SP}, sq AS (SELECT id, k AS pos, string_agg(s, '-') OVER (PARTITION BY id ORDER BY k) AS path FROM sp), {RAR.format(t='sq')}"
+
+
+@query("spell_prefix_rarity", SPR + " SELECT id, CAST(pos AS INT) AS pos, freq, round(r, 6) AS rarity, round(z, 6) AS z FROM zs")
+def _(spark, d):
+    return P.rarity(fx.ord_status(spark, d), spells=True)
+
+
+@query("spell_path_uniqueness", SPR + " SELECT id, round(sum(r), 6) AS score, count(*) FILTER (freq = 1) AS unique_positions FROM rar GROUP BY id")
+def _(spark, d):
+    return P.rarity_scores(fx.ord_status(spark, d), spells=True)
+
+
+@query("rarity_diagnostics", f"WITH {ORD}, {PRE}, {RAR.format(t='pre')} SELECT CAST(pos AS INT) AS pos, count(*) AS n, round(avg(r), 6) AS mean, round(CASE WHEN max(r) = min(r) THEN 0 ELSE stddev_samp(r) END, 6) AS sd, round(min(r), 6) AS least, round(max(r), 6) AS most, count(*) FILTER (freq = 1) AS n_unique FROM zs GROUP BY pos HAVING count(*) > 1")
+def _(spark, d):
+    return P.rarity_diagnostics(fx.ord_status(spark, d)).where("n > 1")

@@ -262,3 +262,61 @@ def _(spark, d):
 @query("subcost_features", f"WITH f(s, x, y) AS (VALUES (1, 1.0, 0.0), (2, 0.0, 1.0), (3, 5.0, 0.0), (4, 3.0, 1.0), (5, 2.0, 0.0)) SELECT a.s AS s1, b.s AS s2, round(0.5 * abs(a.x - b.x) / 5 + 0.5 * abs(a.y - b.y), 6) AS cost FROM f a, f b")
 def _(spark, d):
     return T.feature_costs(fx.ev_all(spark, d), {"x": [1.0, 0.0, 5.0, 3.0, 2.0], "y": [0.0, 1.0, 0.0, 1.0, 0.0]})
+
+
+@query("described", f"WITH {fx.SQL['ev_daily']}, a AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id) SELECT (SELECT count(*) FROM a) AS n, (SELECT count(DISTINCT q) FROM a) AS n_unique, CAST(6 AS INT) AS n_states, (SELECT count(*) FROM p) AS n_positions, CAST((SELECT min(len(q)) FROM a) AS INT) AS shortest, CAST((SELECT max(len(q)) FROM a) AS INT) AS longest, (SELECT count(*) FILTER (s = 6) FROM p) AS n_missing")
+def _(spark, d):
+    return Q.describe(fx.ev_daily(spark, d))
+
+
+@query("cut_prefixes", f"WITH {fx.SQL['ord_seq']}, c AS (SELECT *, count(*) FILTER (s < 2) OVER (PARTITION BY id ORDER BY pos) AS low FROM p) SELECT id, coalesce(string_agg(CAST(s AS VARCHAR), '-' ORDER BY pos) FILTER (low = 0), '') AS seq FROM c GROUP BY id")
+def _(spark, d):
+    return Q.cut_prefixes(fx.ord_seq(spark, d), 2).select("id", F.array_join(F.col("seq").cast("array<string>"), "-").alias("seq"))
+
+
+@query("spells_between_gaps", f"WITH {fx.SQL['ev_daily']}, k AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER w OR pos - 1 IS DISTINCT FROM lag(pos) OVER w THEN 1 ELSE 0 END AS c FROM p WHERE s <> 6 WINDOW w AS (PARTITION BY id ORDER BY pos)), n AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY pos) AS k FROM k) SELECT id, CAST(k AS INT) AS spell, CAST(any_value(s) AS INT) AS code, CAST(min(pos) AS INT) AS begin, CAST(count(*) AS INT) AS dur FROM n GROUP BY id, k")
+def _(spark, d):
+    return Q.spells_between_gaps(fx.ev_daily(spark, d))
+
+
+def _neighbours(spark, d):
+    """Customers next to each other by number."""
+    frame = fx.ord_seq(spark, d)
+    ids = frame.arrays.select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"))
+    return frame, ids.join(frame.arrays.select(F.col("id").alias("j")), "j", "left_semi")
+
+
+NEXT = f"WITH RECURSIVE {fx.SQL['ord_seq']}, a AS (SELECT id, list(s ORDER BY pos) AS q FROM p GROUP BY id), pr AS (SELECT a.id AS i, b.id AS j, a.q AS x, b.q AS y FROM a JOIN a b ON b.id = a.id + 1)"
+STEP = "list_reduce(list_prepend([{first}], list_transform(range(1, len(y) + 1), lambda c: [{best}])), lambda a, b: list_append(a, {join}))"
+
+
+@query("common_lengths", NEXT + ", dp AS (SELECT i, j, x, y, CAST(0 AS BIGINT) AS r, list_transform(range(0, len(y) + 1), lambda c: CAST(0 AS BIGINT)) AS row FROM pr UNION ALL SELECT i, j, x, y, r + 1, " + STEP.format(first="CAST(0 AS BIGINT)", best="greatest(row[c + 1], CASE WHEN x[r + 1] = y[c] THEN row[c] + 1 ELSE 0 END)", join="greatest(b[1], a[len(a)])") + " FROM dp WHERE r < len(x)) SELECT i, j, CAST(coalesce(list_min(list_filter(range(1, least(len(x), len(y)) + 1), lambda t: x[t] <> y[t])) - 1, least(len(x), len(y))) AS INT) AS prefix, CAST(row[len(y) + 1] AS INT) AS subsequence FROM dp WHERE r = len(x)")
+def _(spark, d):
+    return Q.common_lengths(*_neighbours(spark, d))
+
+
+@query("alignment_costs", NEXT + ", dp AS (SELECT i, j, x, y, CAST(0 AS BIGINT) AS r, list_transform(range(0, len(y) + 1), lambda c: c * 1.0::DOUBLE) AS row FROM pr UNION ALL SELECT i, j, x, y, r + 1, " + STEP.format(first="(r + 1) * 1.0::DOUBLE", best="least(row[c + 1] + 1.0, row[c] + CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 1.5 END)", join="least(b[1], a[len(a)] + 1.0)") + " FROM dp WHERE r < len(x)) SELECT i, j, CAST(len(x) AS BIGINT) AS n_x, CAST(len(y) AS BIGINT) AS n_y, row[len(y) + 1] AS cost FROM dp WHERE r = len(x)")
+def _(spark, d):
+    """The steps' sums: costs of a cheapest alignment, and all items of both rows, once each."""
+    frame, pairs = _neighbours(spark, d)
+    steps = Q.alignments(frame, pairs, [[0.0 if a == b else 1.5 for b in range(5)] for a in range(5)], 1.0)
+    return steps.groupBy("i", "j").agg(F.count("a").alias("n_x"), F.count("b").alias("n_y"), F.sum("cost").alias("cost"))
+
+
+@query("alignments")
+def _(spark, d):
+    frame, pairs = _neighbours(spark, d)
+    return Q.alignments(frame, pairs, [[0.0 if a == b else 1.5 for b in range(5)] for a in range(5)], 1.0)
+
+
+@query("separated_values", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def _(spark, d):
+    """Nations written as separated values and read back."""
+    import uuid
+
+    from trajectra.sources import tables
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trajectra"
+    path = f"{folder.rstrip('/')}/trajectra/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    tables.write(tables.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "csv")
+    return tables.read_csv(spark, path, "n_nationkey long, n_name string, n_regionkey long")

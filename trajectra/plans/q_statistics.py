@@ -114,3 +114,8 @@ def _(spark, d):
 @query("replicate_zero", f"WITH {fx.SQL['ev_daily']} SELECT id, array_to_string(list(s ORDER BY pos), '-') AS seq FROM p GROUP BY id")
 def _(spark, d):
     return _replicates(spark, d).where("rep = 0").select("id", F.array_join(F.col("seq").cast("array<string>"), "-").alias("seq"))
+
+
+@query("replicate_agreement")
+def _(spark, d):
+    return U.replicate_agreement(_replicates(spark, d), 3)

@@ -107,3 +107,23 @@ def _(spark, d):
     costs = [[[float(a != b) for b in range(f.n_states)] for a in range(f.n_states)] for f in domains]
     frame, table = M.additive_costs(domains, costs)
     return C.clara(frame, D.measure(frame, "OM", costs=table, indel=1.0), 3, samples=3, size=60)[0]
+
+
+@query("pseudoclass_ols")
+def _(spark, d):
+    frame, pairs, rows = _rows(spark, d)
+    people = I.complexity(frame).select("id", F.col("complexity").alias("y"), "entropy")
+    return V.pseudoclass_ols(C.fuzzy_medoids(pairs, rows, 3), people, "y", ["entropy"])
+
+
+@query("beta_regression")
+def _(spark, d):
+    _, pairs, rows = _rows(spark, d)
+    first = C.fuzzy_medoids(pairs, rows, 2).where("cluster = 1").withColumn("x", F.col("id") % 2)
+    return V.beta_regression(first, "u", ["x"])
+
+
+@query("typology_effects")
+def _(spark, d):
+    _, pairs, rows = _rows(spark, d)
+    return V.typology_effects(pairs, rows.withColumn("x", F.col("id") % 2), "x", 3, replicates=5)
