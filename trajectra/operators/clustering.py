@@ -328,11 +328,11 @@ def silhouettes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     own, other = labels.select(F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("weight").alias("wi")), labels.select(F.col("id").alias("j"), F.col("cluster").alias("cj"), F.col("weight").alias("wj"))
     sums = both_ways(pairs).join(other, "j").groupBy("i", "cj").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
     sizes = labels.groupBy(F.col("cluster").alias("cj")).agg(F.sum("weight").alias("W"))
-    grid = own.join(F.broadcast(sizes), how="cross").join(sums, ["i", "cj"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    # Each row has a pair with every other cluster, so no grid of rows and clusters is made.
+    means = own.join(sums, "i").join(sizes, "cj")
     inner = F.col("ci") == F.col("cj")
-    per = grid.groupBy("i", "ci", "wi").agg(
-        F.max(F.when(inner, F.col("s"))).alias("s"), F.max(F.when(inner, F.col("W"))).alias("W"), F.min(F.when(~inner, F.col("s") / F.col("W"))).alias("b")
-    )
+    seen = means.groupBy("i").agg(F.max(F.when(inner, F.col("s"))).alias("s"), F.min(F.when(~inner, F.col("s") / F.col("W"))).alias("b"))
+    per = own.join(sizes.withColumnRenamed("cj", "ci"), "ci").join(seen, "i", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     a, aw = F.when(F.col("W") > 1, F.col("s") / (F.col("W") - 1)), F.col("s") / F.col("W")
 
     def width(x):
@@ -601,7 +601,7 @@ def cluster_distribution(labels: DataFrame) -> DataFrame:
 def fuzzy_indices(pairs: DataFrame, memberships: DataFrame, medoids: DataFrame, rows: DataFrame) -> DataFrame:
     """(db, pbm, xb) of memberships (id, cluster, u) in clusters with medoids (cluster, medoid): fuzzy Davies-Bouldin, PBM and Xie-Beni."""
     sides = both_ways(stored(pairs)).select(F.col("i").alias("id"), F.col("j").alias("medoid"), "d")
-    to = memberships.join(F.broadcast(medoids), "cluster").join(rows.select("id", "weight"), "id").join(sides, ["id", "medoid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
+    to = memberships.join(medoids, "cluster").join(rows.select("id", "weight"), "id").join(sides, ["id", "medoid"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
     per = stored(to.groupBy("cluster").agg((F.sum(F.col("weight") * F.col("u") * F.col("d")) / F.sum(F.col("weight") * F.col("u"))).alias("radius"), F.sum(F.col("weight") * F.col("u") * F.col("d")).alias("spread"), F.sum(F.col("weight") * F.col("u")).alias("mass")))
     a, b = per.join(medoids, "cluster"), per.join(medoids, "cluster").select(F.col("medoid").alias("other"), F.col("radius").alias("r2"))
     apart = a.crossJoin(b).where("medoid <> other").join(sides.select(F.col("id").alias("medoid"), F.col("medoid").alias("other"), "d"), ["medoid", "other"])  # clusters squared

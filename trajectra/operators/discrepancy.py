@@ -62,7 +62,7 @@ def distances_to_center(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), rows.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
     sums = sides.join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
     groups = group_discrepancy(pairs, rows).select("group", F.col("weight").alias("W"), "discrepancy")
-    joined = rows.join(sums.select(F.col("i").alias("id"), "s"), "id", "left").join(F.broadcast(groups), "group")
+    joined = rows.join(sums.select(F.col("i").alias("id"), "s"), "id", "left").join(groups, "group")
     return joined.select("id", "group", "weight", (F.coalesce("s", F.lit(0.0)) / F.col("W") - F.col("discrepancy")).alias("dc"))
 
 

@@ -28,6 +28,8 @@ from .sequences import SequenceFrame
 
 #: Distinct sequences of a block at most and at least, and of a tile of it: the cells of a pair of tiles stay in the cache.
 BLOCK, LEAST_BLOCK, TILE = 512, 96, 96
+#: Distinct sequences whose pairs are compared without being asked for: five billion pairs.
+MOST_UNIQUE = 100_000
 SPELL_METHODS = ("LCPspell", "RLCPspell", "LCPmst", "RLCPmst", "LCPprod", "RLCPprod", "OMspell", "OMspellRS", "OMtspell", "NMSMST", "SVRspell")
 METHODS = ("OM", "LCS", "LCP", "RLCP", "HAM", "DHD", "OMloc", "OMslen", "OMstran", "TWED", "NMS", "CHI2", "EUCLID", *SPELL_METHODS)
 AUTO_NORM = {
@@ -41,9 +43,11 @@ def unique_sequences(frame: SequenceFrame) -> DataFrame:
     return frame.arrays.groupBy("seq").agg(F.min("id").cast("long").alias("uid"), F.count("*").alias("n"), F.sum("weight").alias("weight")).select("uid", "seq", "n", "weight")
 
 
-def block_pairs(unique: DataFrame, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, n_unique: int | None = None, block: int = BLOCK) -> DataFrame:
-    """Run ``compare`` on each pair of blocks (the last argument: whether it is one block with itself)."""
+def block_pairs(unique: DataFrame, compare: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str, n_unique: int | None = None, block: int = BLOCK, most: int = MOST_UNIQUE) -> DataFrame:
+    """Run ``compare`` on each pair of blocks (the last argument: whether it is one block with itself); an error beyond ``most`` rows."""
     n_unique = unique.count() if n_unique is None else n_unique
+    if n_unique > most:
+        raise ValueError(f"{n_unique} distinct sequences have {n_unique * (n_unique - 1) // 2} pairs: raise `most` ({most}), or use clara or distances to references")
     # A block is sent to each block it meets: few large ones, but enough of them to keep many tasks busy.
     block = min(block, max(LEAST_BLOCK, math.ceil(n_unique / 16)))
     blocks = max(1, math.ceil(n_unique / block))
@@ -189,8 +193,8 @@ def _table(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
     return pa.table({"i": pa.array(low, pa.int64()), "j": pa.array(high, pa.int64()), "d": pa.array(d, pa.float64())})
 
 
-def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, **options) -> DataFrame:
-    """(i, j, d), i < j, over the distinct sequences' uids."""
+def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, most: int = MOST_UNIQUE, **options) -> DataFrame:
+    """(i, j, d), i < j, over the distinct sequences' uids, of which there are ``most`` at most."""
     if method == "OMstran":
         return omstran(frame, block=block, **options)
     if method in ("CHI2", "EUCLID"):
@@ -211,7 +215,7 @@ def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, **opt
         rows, columns = np.nonzero(keep)
         return _table(u[rows], v[columns], d[rows, columns])
 
-    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)
+    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block, most=most)
 
 
 def _equal_lengths(frame: SequenceFrame) -> None:
@@ -313,8 +317,10 @@ def profiles(frame: SequenceFrame, method: str = "CHI2", step: int = 1, breaks:
     return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)
 
 
-def expand(frame: SequenceFrame, pairs: DataFrame) -> DataFrame:
-    """(i, j, d), i < j, over the rows' ids: distances of equal sequences are zero. Grows with the square of the rows."""
+def expand(frame: SequenceFrame, pairs: DataFrame, most: int = MOST_UNIQUE) -> DataFrame:
+    """(i, j, d), i < j, over the rows' ids: distances of equal sequences are zero. Grows with the square of the rows, so an error beyond ``most``."""
+    if (n := frame.arrays.count()) > most:
+        raise ValueError(f"{n} rows have {n * (n - 1) // 2} pairs: raise `most` ({most}), or work on the distinct sequences with weights")
     of = frame.arrays.select("id", "seq").join(unique_sequences(frame).select("uid", "seq"), "seq").select("id", "uid")
     a, b = of.select(F.col("id").alias("p"), F.col("uid").alias("i")), of.select(F.col("id").alias("q"), F.col("uid").alias("j"))
     between = pairs.join(a, "i").join(b, "j").select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "d")

@@ -199,7 +199,7 @@ def situation_rates(frame: SequenceFrame, a: float = 1.0, b: float = 1.0) -> Dat
     both = x.join(y, "id").where("pos2 > pos1").groupBy("pos1", "s1", "pos2", "s2").agg(F.sum("weight").alias("w"))
     size = frame.long.groupBy(F.col("pos").alias("pos1"), F.col("code").alias("s1")).agg(F.sum("weight").alias("n"))
     rate = F.col("w") / F.col("n")
-    return both.join(F.broadcast(size), ["pos1", "s1"]).select("pos1", "s1", "pos2", "s2", rate.alias("rate"), (rate / (a * (F.col("pos2") - F.col("pos1")) + b)).alias("discounted"))
+    return both.join(size, ["pos1", "s1"]).select("pos1", "s1", "pos2", "s2", rate.alias("rate"), (rate / (a * (F.col("pos2") - F.col("pos1")) + b)).alias("discounted"))
 
 
 def situation_distances(frame: SequenceFrame, pos: int, a: float = 1.0, b: float = 1.0) -> DataFrame:

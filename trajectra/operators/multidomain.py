@@ -19,17 +19,26 @@ from .sequences import SequenceFrame
 from .tables import numbered, stored
 
 
-def combined(domains: Sequence[SequenceFrame], separator: str = "+") -> SequenceFrame:
-    """One table whose states are the domains' states together; those that occur make the alphabet."""
+def _combined(domains: Sequence[SequenceFrame], separator: str) -> tuple[SequenceFrame, list[tuple[str, ...]]]:
+    """The combined table and each of its states' parts; an error where two combinations get the same name."""
     rows = None
     for n, frame in enumerate(domains):
         one = frame.long.select("id", "pos", frame.state_of(F.col("code")).alias(f"s{n}"), *(["weight"] if n == 0 else []))
         rows = one if rows is None else rows.join(one, ["id", "pos"])
-    named = rows.select("id", "pos", F.concat_ws(separator, *[f"s{n}" for n in range(len(domains))]).alias("state"), "weight")
-    states = sorted(r[0] for r in named.select("state").distinct().collect())  # the alphabets' product at most
+    parts = [f"s{n}" for n in range(len(domains))]
+    named = rows.select("id", "pos", F.concat_ws(separator, *parts).alias("state"), "weight", *parts)
+    found = sorted(tuple(r) for r in named.select("state", *parts).distinct().collect())  # the alphabets' product at most
+    states = [r[0] for r in found]
+    if len(set(states)) < len(states):
+        raise ValueError(f"combined states' names repeat: no state may hold {separator!r}, choose another separator")
     from .sequences import build
 
-    return build(named, "id", "pos", "state", states, weight="weight")
+    return build(named.drop(*parts), "id", "pos", "state", states, weight="weight"), [tuple(r[1:]) for r in found]
+
+
+def combined(domains: Sequence[SequenceFrame], separator: str = "+") -> SequenceFrame:
+    """One table whose states are the domains' states together; those that occur make the alphabet."""
+    return _combined(domains, separator)[0]
 
 
 def combined_states(domains: Sequence[SequenceFrame]) -> DataFrame:
@@ -43,9 +52,8 @@ def combined_states(domains: Sequence[SequenceFrame]) -> DataFrame:
 def additive_costs(domains: Sequence[SequenceFrame], costs: Sequence[list[list[float]]], weights: Sequence[float] | None = None, link: str = "sum", separator: str = "+") -> tuple[SequenceFrame, list[list[float]]]:
     """The combined table and costs that add up the domains' costs, weighted; ``mean`` divides by the weights' sum."""
     weights = list(weights or [1.0] * len(domains))
-    frame = combined(domains, separator)
+    frame, parts = _combined(domains, separator)
     place = [{s: i for i, s in enumerate(d.states)} for d in domains]
-    parts = [s.split(separator) for s in frame.states]
     scale = sum(weights) if link == "mean" else 1.0
     table = [[sum(w * c[p[x[n]]][p[y[n]]] for n, (w, c, p) in enumerate(zip(weights, costs, place, strict=True))) / scale for y in parts] for x in parts]
     return frame, table
@@ -93,7 +101,7 @@ def association(a: SequenceFrame, b: SequenceFrame) -> DataFrame:
     cells = a.long.select("id", "pos", F.col("code").alias("x"), "weight").join(b.long.select("id", "pos", F.col("code").alias("y")), ["id", "pos"]).groupBy("x", "y").agg(F.sum("weight").alias("n"))
     rows, columns = cells.groupBy("x").agg(F.sum("n").alias("r")), cells.groupBy("y").agg(F.sum("n").alias("c"))
     total = cells.agg(F.sum("n").alias("whole"))
-    joined = cells.join(F.broadcast(rows), "x").join(F.broadcast(columns), "y").join(F.broadcast(total), how="cross")
+    joined = cells.join(rows, "x").join(columns, "y").join(F.broadcast(total), how="cross")
     expected = F.col("r") * F.col("c") / F.col("whole")
     sums = joined.agg(F.sum(2 * F.col("n") * F.log(F.col("n") / expected)).alias("lrt"), F.sum(F.col("n") * F.col("n") / expected).alias("q"), F.first("whole").alias("total"))
     kinds = rows.agg(F.count("*").alias("kx")).join(columns.agg(F.count("*").alias("ky")), how="cross")

@@ -118,9 +118,9 @@ def trimmed_center(pairs: DataFrame, rows: DataFrame, trim: float = 0.2) -> Data
 
     first = stored(distances_to_center(pairs, rows))
     cut = first.groupBy("group").agg(F.percentile("dc", F.lit(1 - trim)).alias("cut"))
-    kept = stored(first.join(F.broadcast(cut), "group").where(F.col("dc") <= F.col("cut") + 1e-12).select("id", "group", "weight"))
+    kept = stored(first.join(cut, "group").where(F.col("dc") <= F.col("cut") + 1e-12).select("id", "group", "weight"))
     a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), kept.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
     sums = both_ways(pairs).join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
     groups = group_discrepancy(pairs, kept).select("group", F.col("weight").alias("W"), "discrepancy")
-    joined = rows.join(sums.withColumnRenamed("i", "id"), "id", "left").join(F.broadcast(groups), "group").join(kept.select("id", F.lit(True).alias("k")), "id", "left")
+    joined = rows.join(sums.withColumnRenamed("i", "id"), "id", "left").join(groups, "group").join(kept.select("id", F.lit(True).alias("k")), "id", "left")
     return joined.select("id", "group", "weight", (F.coalesce("s", F.lit(0.0)) / F.col("W") - F.col("discrepancy")).alias("dc"), F.coalesce("k", F.lit(False)).alias("kept"))

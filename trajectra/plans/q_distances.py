@@ -41,6 +41,18 @@ def _edit_sql(head: str, sub: str, indel: float, value: str) -> str:
     SELECT i, j, round({value}, 6) AS d FROM dp WHERE r = len(x)"""
 
 
+def _items_sql(head: str, sub: str, dele: str, ins: str, extra: str = "", border: bool = True) -> str:
+    """The same with costs by item: ``sub`` of x[r + 1] against y[c], ``dele`` of x[r + 1], ``ins`` of y[c]; ``extra`` are columns of pr."""
+    keep = "i, j, x, y" + (f", {extra}" if extra else "")
+    edge = f"coalesce(list_sum(list_transform(range(1, c + 1), lambda t: {ins.replace('[c]', '[t]')})), 0)::DOUBLE"
+    return head + f""", dp AS (
+      SELECT {keep}, CAST(0 AS BIGINT) AS r, list_transform(range(0, len(y) + 1), lambda c: {edge}) AS row FROM pr
+      UNION ALL
+      SELECT {keep}, r + 1, list_reduce(list_prepend([(row[1] + {dele})::DOUBLE], list_transform(range(1, len(y) + 1), lambda c: [least(row[c + 1] + {dele}, row[c] + {sub})::DOUBLE])),
+        lambda a, b: list_append(a, least(b[1], a[len(a)] + {ins.replace('[c]', '[len(a)]')}))) FROM dp WHERE r < len(x))
+    SELECT i, j, round(row[len(y) + 1], 6) AS d FROM dp WHERE r = len(x)"""
+
+
 @query("dist_om", _edit_sql(UNIQUE, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 1.5 END", 1.0, "row[len(y) + 1]"))
 def _(spark, d):
     frame = fx.ev_all(spark, d)
@@ -156,17 +168,116 @@ def _plain(name: str, method: str, source=fx.ev_all, **options) -> None:
         return D.pairwise(source(spark, d), method, **options)
 
 
-_plain("dist_omloc", "OMloc", expansion=0.1)
-_plain("dist_omslen", "OMslen", indel=1.0)
+
+
+def _met(item: str, one: str, other: str) -> str:
+    """An indel of OMloc: a tenth of the largest cost, two, and four tenths of the costs to the two items met."""
+    return f"(0.2 + 0.8 * (CASE WHEN {item} = {one} THEN 0 ELSE 1 END + CASE WHEN {item} = {other} THEN 0 ELSE 1 END))"
+
+
+_DELETED = f"CASE WHEN c > 1 THEN {_met('x[r + 1]', 'y[c - 1]', 'y[c]')} WHEN r = 0 THEN {_met('x[1]', 'y[1]', 'y[1]')} ELSE {_met('x[r + 1]', 'y[len(y)]', 'y[len(y)]')} END"
+
+
+@query("dist_omloc", UNIQUE + f""", dp AS (
+      SELECT i, j, x, y, CAST(0 AS BIGINT) AS r, list_transform(range(0, len(y) + 1), lambda c: coalesce(list_sum(list_transform(range(1, c + 1), lambda t: {_met('y[t]', 'x[1]', 'x[1]')})), 0)::DOUBLE) AS row FROM pr
+      UNION ALL
+      SELECT i, j, x, y, r + 1, list_reduce(list_prepend([(CASE WHEN r = 0 THEN {_met('x[1]', 'y[1]', 'y[1]')} ELSE list_sum(list_transform(range(1, r + 2), lambda t: {_met('x[t]', 'y[len(y)]', 'y[len(y)]')})) END)::DOUBLE],
+          list_transform(range(1, len(y) + 1), lambda c: [least(row[c + 1] + {_DELETED}, row[c] + CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 2 END)::DOUBLE])),
+        lambda a, b: list_append(a, least(b[1], a[len(a)] + {_met('y[len(a)]', 'x[greatest(r, 1)]', 'x[r + 1]')}))) FROM dp WHERE r < len(x))
+    SELECT i, j, round(row[len(y) + 1], 6) AS d FROM dp WHERE r = len(x)""")
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMloc", expansion=0.1)
+
+
 _plain("dist_omspell", "OMspell", source=fx.ord_seq, indel=1.0)
-_plain("dist_omspellrs", "OMspellRS", indel=1.0, reference=4.0)
-_plain("dist_omtspell", "OMtspell", indel=1.0, tokens=[1.0, 0.5, 2.0, 1.0, 0.5])
-_plain("dist_omstran", "OMstran")
 _plain("dist_twed", "TWED", source=fx.ord_seq)
-_plain("dist_nms", "NMS")
-_plain("dist_nmsmst", "NMSMST")
-_plain("dist_svrspell", "SVRspell")
-_plain("dist_rlcpspell", "RLCPspell", norm="auto")
+#: Common subsequences of every length are counted in a table per pair, so these take short sequences.
+_plain("dist_nms", "NMS", source=fx.conv_roles)
+_plain("dist_nmsmst", "NMSMST", source=fx.conv_roles)
+_plain("dist_svrspell", "SVRspell", source=fx.conv_roles)
+
+RECURSIVE_SPELLS = SPELLS.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _spell_sql(u: str, v: str) -> str:
+    """OM on spells whose durations cost ``u`` for x's item and ``v`` for y's, with substitutions of two and indels of one."""
+    return _items_sql(RECURSIVE_SPELLS, f"CASE WHEN x[r + 1] = y[c] THEN abs(({u}) - ({v})) ELSE 2 + ({u}) + ({v}) END", f"(1 + ({u}))", f"(1 + ({v}))", "dx, dy")
+
+
+TOKENS = "[1.0, 0.5, 2.0, 1.0, 0.5]"
+
+
+@query("dist_omspell_events", _spell_sql("0.5 * (dx[r + 1] - 1)", "0.5 * (dy[c] - 1)"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMspell", indel=1.0)
+
+
+@query("dist_omspellrs", _spell_sql("0.5 * dx[r + 1] / 4.0", "0.5 * dy[c] / 4.0"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMspellRS", indel=1.0, reference=4.0)
+
+
+@query("dist_omtspell", _spell_sql(f"0.5 * {TOKENS}[x[r + 1]] * (dx[r + 1] - 1)", f"0.5 * {TOKENS}[y[c]] * (dy[c] - 1)"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMtspell", indel=1.0, tokens=[1.0, 0.5, 2.0, 1.0, 0.5])
+
+
+LONG = f"WITH RECURSIVE {EV}, {fx.SPELLS_SQL}, arr AS (SELECT p.id, list(p.s ORDER BY pos) AS q, list(1 / sqrt(sp.d) ORDER BY pos) AS t FROM p JOIN sp ON sp.id = p.id AND pos >= b AND pos < b + d GROUP BY p.id), pr AS (SELECT a.id AS i, b.id AS j, a.q AS x, b.q AS y, a.t AS tx, b.t AS ty FROM arr a JOIN arr b ON a.id < b.id)"
+
+
+@query("dist_omslen", _items_sql(LONG, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE tx[r + 1] + ty[c] END", "tx[r + 1]", "ty[c]", "tx, ty"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMslen", indel=1.0)
+
+
+MOVES = f"WITH RECURSIVE {EV}, arr AS (SELECT id, list(s ORDER BY pos) AS q, list(n ORDER BY pos) AS n FROM (SELECT id, pos, s, coalesce(lead(s) OVER (PARTITION BY id ORDER BY pos), s) AS n FROM p) GROUP BY id), pr AS (SELECT a.id AS i, b.id AS j, a.q AS x, b.q AS y, a.n AS nx, b.n AS ny FROM arr a JOIN arr b ON a.id < b.id)"
+
+
+@query("dist_omstran", _items_sql(MOVES, "CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 1 END + CASE WHEN (x[r + 1] <> y[c] OR nx[r + 1] <> ny[c]) AND (x[r + 1] <> nx[r + 1] OR y[c] <> ny[c]) THEN 1 ELSE 0 END", "1.0", "1.0", "nx, ny"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OMstran")
+
+
+RATES = UNIQUE + ", m AS (SELECT id, s AS s1, lead(s) OVER (PARTITION BY id ORDER BY pos) AS s2 FROM p), ct AS (SELECT s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), rt AS (SELECT s1, s2, n / sum(n) OVER (PARTITION BY s1) AS rate FROM ct), ab AS (SELECT a AS s1, b AS s2 FROM (SELECT unnest(range(1, 6)) AS a), (SELECT unnest(range(1, 6)) AS b)), co AS (SELECT ab.s1, ab.s2, CASE WHEN ab.s1 = ab.s2 THEN 0 ELSE 2 - coalesce(x.rate, 0) - coalesce(y.rate, 0) END AS c FROM ab LEFT JOIN rt x ON x.s1 = ab.s1 AND x.s2 = ab.s2 LEFT JOIN rt y ON y.s1 = ab.s2 AND y.s2 = ab.s1), cm AS (SELECT list(c ORDER BY s1, s2) AS m, max(c) / 2 AS e FROM co)"
+
+
+@query("dist_om_rates_events", _items_sql(RATES.replace("pr AS (SELECT", "pr0 AS (SELECT") + ", pr AS (SELECT * FROM pr0, cm)", "m[(x[r + 1] - 1) * 5 + y[c]]", "e", "e", "m, e"))
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "OM", costs="RATE")
+
+
+#: Stiffness and penalty of one half, so an indel of 2 * 1 * 2 + 1; the first row and column can't be warped into.
+_PAIR = "(CASE WHEN x[r + 1] = y[c] AND (CASE WHEN r = 0 THEN 0 ELSE x[r] END) = (CASE WHEN c = 1 THEN 0 ELSE y[c - 1] END) THEN 0 ELSE CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 2 END + CASE WHEN r = 0 OR c = 1 OR x[r] = y[c - 1] THEN 0 ELSE 2 END END)"
+
+
+@query("dist_twed_events", UNIQUE + f""", dp AS (
+      SELECT i, j, x, y, CAST(0 AS BIGINT) AS r, list_transform(range(0, len(y) + 1), lambda c: c * 5.0::DOUBLE) AS row FROM pr
+      UNION ALL
+      SELECT i, j, x, y, r + 1, list_reduce(list_prepend([(r + 1) * 5.0::DOUBLE], list_transform(range(1, len(y) + 1), lambda c: [least(
+          CASE WHEN (r = 0) = (c = 1) THEN row[c] + {_PAIR} + abs(r + 1 - c) ELSE 1e300 END,
+          CASE WHEN r > 0 THEN row[c + 1] + 1 + CASE WHEN x[r + 1] = x[r] THEN 0 ELSE 2 END ELSE 1e300 END)])),
+        lambda a, b: list_append(a, CASE WHEN len(a) = 1 THEN b[1] ELSE least(b[1], a[len(a)] + 1 + CASE WHEN y[len(a)] = y[len(a) - 1] THEN 0 ELSE 2 END) END)) FROM dp WHERE r < len(x))
+    SELECT i, j, round(row[len(y) + 1], 6) AS d FROM dp WHERE r = len(x)""")
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "TWED")
+
+
+RSP = SPELLS + f", rv AS (SELECT i, j, list_reverse(x) AS x, list_reverse(y) AS y, list_reverse(dx) AS dx, list_reverse(dy) AS dy FROM pr), l AS (SELECT *, {LCP.format(x='x', y='y')} AS c FROM rv)"
+
+
+@query("dist_rlcpspell", RSP + f" SELECT i, j, round((len(x) + len(y) - 2 * c + {GAP.format(f='abs(dx[t] - dy[t])')} / 2) / (len(x) + len(y) + 0.5 * least(len(x), len(y))), 6) AS d FROM l")
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "RLCPspell", norm="auto")
+
+
+@query("dist_rlcpmst", RSP + f" SELECT i, j, CAST(list_sum(dx) + list_sum(dy) - 2 * {GAP.format(f='least(dx[t], dy[t])')} AS DOUBLE) AS d FROM l")
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "RLCPmst")
+
+
+@query("dist_rlcpprod", RSP + f" SELECT i, j, CAST(list_sum(list_transform(dx, lambda v: v * v)) + list_sum(list_transform(dy, lambda v: v * v)) - 2 * {GAP.format(f='dx[t] * dy[t]')} AS DOUBLE) AS d FROM l")
+def _(spark, d):
+    return D.pairwise(fx.ev_all(spark, d), "RLCPprod")
 
 
 @query("dist_custom", UNIQUE + " SELECT i, j, CAST(abs(len(x) - len(y)) + CASE WHEN x[1] = y[1] THEN 0 ELSE 1 END AS DOUBLE) AS d FROM pr")
