@@ -119,5 +119,5 @@ def dedup_lines(docs, ratio=0.002, least=3):
         by_size = sorted(held, key=lambda x: (len(x), x.encode()), reverse=True)
         for line in held:
             seen.setdefault((s, line), []).append(next((x for x in by_size if x != line), None))
-    drop = {k for k, around in seen.items() if len(around) >= max(2, min(least, pages[k[0]])) and len(around) > pages[k[0]] * ratio and 3 * len(set(around)) > len(around)}
+    drop = {k for k, around in seen.items() if len(set(around)) >= max(2, min(least, pages[k[0]])) and len(around) > pages[k[0]] * ratio and 3 * len(set(around)) > len(around)}
     return [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") == "" or (s or "", x.strip(" ")) not in drop)) for d, s, t in docs]

@@ -1,13 +1,14 @@
 """Line dedup by site-relative frequency, in DataFrame operations only.
 
 Documents are grouped by host. A line's ratio is the number of the host's documents that hold it
-over the host's documents; lines above ``max_ratio`` that at least ``min_pages`` documents hold (all
-of them, on hosts with fewer) are boilerplate of that host and are dropped from its documents.
+over the host's documents; lines above ``max_ratio`` are boilerplate of that host and are dropped
+from its documents.
 
 Boilerplate stands among different content, while the lines of a copied document stand among each
-other. So the documents of a line are also counted by the longest other line that they hold: where
-a third of these documents or fewer would remain, the line belongs to a group of copies and stays
-(such groups are for near-dedup).
+other. So the documents of a line are also counted by the longest other line that they hold: there
+must be ``min_pages`` such contents (as many as documents, on hosts with fewer), and more than a
+third as many as documents; else the line belongs to a group of copies and stays (such groups are
+for near-dedup).
 
 Counting works on 64-bit hashes of the trimmed lines, distinct per document. Counts by line and
 surroundings are reduced before their shuffle and those by line again, so a line on every page is
@@ -29,8 +30,7 @@ from .store import materialize
 
 #: Up to so many flagged lines (16 bytes each and a host name) are broadcast; beyond, the join shuffles.
 BROADCAST_LINES = 500_000
-#: Boilerplate lines of the sample tables stand on 0.2 to 12 percent of a host's pages; the chance that
-#: two unrelated pages share a line is below 0.002 percent.
+#: Boilerplate lines of the sample tables stand on 0.2 to 12 percent of a host's pages.
 MAX_RATIO, MIN_PAGES = 0.002, 3
 
 
@@ -52,9 +52,9 @@ def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_r
     second = first.withColumn("second", F.array_max(sized(F.filter("lines", lambda x: x != F.col("first"))))["line"])
     each = second.select("host", F.xxhash64("first").alias("first"), F.xxhash64("second").alias("second"), F.explode(F.array_distinct(F.transform("lines", _hash))).alias("line"))
     by_content = each.groupBy("host", "line", F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("content")).agg(F.count("*").alias("n"))
-    counts = by_content.groupBy("host", "line").agg(F.sum("n").alias("n_pages"), F.count("*").alias("n_contents")).where("n_pages >= 2 AND 3 * n_contents > n_pages")
+    counts = by_content.groupBy("host", "line").agg(F.sum("n").alias("n_pages"), F.count("*").alias("n_contents")).where("n_contents >= 2 AND 3 * n_contents > n_pages")
     found = counts.join(totals, "host").where(F.col("n_pages") > F.col("host_pages") * F.lit(max_ratio))
-    return found.where(F.col("n_pages") >= F.least(F.lit(min_pages), F.col("host_pages")))
+    return found.where(F.col("n_contents") >= F.least(F.lit(min_pages), F.col("host_pages")))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

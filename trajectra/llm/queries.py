@@ -176,7 +176,7 @@ split AS (
   SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1
 ), flagged AS (
   SELECT host, list(line) AS lines FROM counts JOIN totals USING (host)
-  WHERE n_pages >= 2 AND 3 * n_contents > n_pages AND n_pages >= least({line_dedup.MIN_PAGES}, host_pages) AND n_pages > host_pages * {line_dedup.MAX_RATIO} GROUP BY host
+  WHERE n_contents >= 2 AND 3 * n_contents > n_pages AND n_contents >= least({line_dedup.MIN_PAGES}, host_pages) AND n_pages > host_pages * {line_dedup.MAX_RATIO} GROUP BY host
 ), kept AS (
   SELECT doc_id, split.lines AS lines, list_filter(split.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(flagged.lines, []), trim(x, ' '))) AS left_
   FROM split LEFT JOIN flagged USING (host)
