@@ -48,13 +48,14 @@ def _longer(n: int) -> str:
     return f"o{n} AS (SELECT DISTINCT o.id, o.pattern || '-(' || v.event || ')' AS pattern, v.ts FROM o{n - 1} o JOIN v ON v.id = o.id AND v.ts > o.ts)"
 
 
-#: Up to five events in a row; on sf0.01 no pattern of five has this support.
-FREQUENT = f"WITH {fx.SQL['ord_status']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n), v AS (SELECT id, pos AS ts, CASE WHEN last IS NULL THEN s ELSE last || '>' || s END AS event FROM l WHERE last IS NULL OR last <> s), o1 AS (SELECT DISTINCT id, '(' || event || ')' AS pattern, ts FROM v), {', '.join(map(_longer, range(2, 6)))}, o AS ({' UNION ALL '.join(f'SELECT pattern, {n} AS length, count(DISTINCT id) AS support FROM o{n} GROUP BY pattern' for n in range(1, 6))}) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= 100"
+#: Up to five events in a row; on sf0.01 no pattern of five has this support, a fifteenth of the customers.
+FREQUENT = f"WITH {fx.SQL['ord_status']}, n AS (SELECT id, pos, ['F', 'O', 'P'][s] AS s FROM p), l AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY pos) AS last FROM n), v AS (SELECT id, pos AS ts, CASE WHEN last IS NULL THEN s ELSE last || '>' || s END AS event FROM l WHERE last IS NULL OR last <> s), o1 AS (SELECT DISTINCT id, '(' || event || ')' AS pattern, ts FROM v), {', '.join(map(_longer, range(2, 6)))}, o AS ({' UNION ALL '.join(f'SELECT pattern, {n} AS length, count(DISTINCT id) AS support FROM o{n} GROUP BY pattern' for n in range(1, 6))}) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= (SELECT count(DISTINCT id) FROM v) / 15"
 
 
 @query("frequent_subsequences", FREQUENT)
 def _(spark, d):
-    return E.frequent_subsequences(E.from_states(fx.ord_status(spark, d)), 100)
+    frame = fx.ord_status(spark, d)
+    return E.frequent_subsequences(E.from_states(frame), frame.long.select("id").distinct().count() / 15)
 
 
 @query("frequent_subsequences_gap", TSE + ", o AS (SELECT '(' || event || ')' AS pattern, 1 AS length, count(DISTINCT id) AS support FROM v GROUP BY ALL UNION ALL SELECT '(' || a.event || ')-(' || b.event || ')', 2, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts < b.ts AND b.ts - a.ts <= 3.0 GROUP BY ALL UNION ALL SELECT '(' || a.event || ',' || b.event || ')', 2, count(DISTINCT a.id) FROM v a JOIN v b ON a.id = b.id AND a.ts = b.ts AND a.event < b.event GROUP BY ALL) SELECT pattern, CAST(length AS INT) AS length, CAST(support AS DOUBLE) AS support, round(support / (SELECT count(DISTINCT id) FROM v), 6) AS share FROM o WHERE support >= 10")
