@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import discard, materialize
+from .store import discard, materialize, small_batches
 
 #: MinHash values of a set, orders, values of a label, values that neighbours share at least, neighbours a side.
 HASHES, TREES, DEPTH, LEAST_DEPTH, NEXT = 128, 32, 12, 5, 3
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 STRETCH = 1 << 15
 #: Rows and shingles of a block of a crowded run, and texts that meet one copy of a hub's.
 BLOCK, BLOCK_SHINGLES, LEAVES = 4_000, 2_000_000, 1_000
@@ -131,8 +131,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         shingles_of = Shingler(shingle)
         for batch in batches:
             sizes, prints, signatures = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles_of(text)
+            for text in batch.column("text"):
+                found = shingles_of(text.as_py())
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(minhash(found).tobytes() if len(found) else None)
@@ -417,6 +417,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: int = 80) ->
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``; ``similarity`` is 80 percent or more."""
     if similarity < 80:
         raise ValueError("the forest is laid out for a similarity of 80 percent or more")
+    small_batches(docs.sparkSession)
     rows = materialize(sketches(docs, shingle), "sketches")
     linkable = rows.where("doc_id IS NOT NULL AND set_hash IS NOT NULL")
     classes = materialize(_classes(linkable), "classes")

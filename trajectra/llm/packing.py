@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import materialize, small_batches
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, slot long"
 #: Items a partition holds; a few MB of memory.
@@ -91,8 +91,8 @@ def token_pieces(
         slot = TaskContext.get().partitionId() << 36
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 first = len(ids) % max_tokens or max_tokens
                 edges = [0, *range(first, len(ids) + 1, max_tokens)]
                 for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
@@ -250,5 +250,6 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = 1024, items_per_partition:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None, max_tokens: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Tokenize, cut and pack: (doc_id, piece, start, length, ids_crc32, [ids,] sequence_id, offset, n_sequences, least_sequences)."""
+    small_batches(docs.sparkSession)
     pieces = materialize(token_pieces(docs, tokenizer_path, ranks_path, pattern, max_tokens, end_id, with_ids), "pieces")
     return pack_pieces(pieces, max_tokens)

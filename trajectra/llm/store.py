@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -42,6 +43,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """From now on Python gets so many rows at once at most: texts may be long, and workers keep the memory they once took."""
+    if int(spark.conf.get(BATCH_ROWS)) not in range(1, rows + 1):
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables of which nothing is still to be read."""
     for table in tables:

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows of the embedding table, its width, filter widths, filters of each.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 12
@@ -40,7 +42,7 @@ MAX_LABELLED = 6_000
 #: Labelled rows from which documents are rejected.
 LEAST_LABELLED = 100
 #: Words whose filter responses a task keeps.
-CACHED_WORDS = 150_000
+CACHED_WORDS = 80_000
 FLOOR = -1.0
 
 
@@ -274,18 +276,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     Columns of these names are replaced. The labelled texts are those of ``training``, or of ``docs``.
     """
     model = fit(training if training is not None else docs, labels, max_labelled)
+    small_batches(docs.sparkSession)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model) if model is not None else lambda text: 0.0
         for batch in batches:
-            scores = [scorer(t) for t in batch.column("__text").to_pylist()]
-            columns = [c for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*(n for n in batch.schema.names if n != "__text"), "score"])
+            yield pa.array([scorer(t.as_py()) for t in batch], pa.float64())  # one text at a time: a batch may hold many long ones
 
     keep = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "rejected")]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{c}`") for c in keep]).schema) + ", score double"
-    scored = source.mapInArrow(score, schema)
+    scored = docs.select(*[F.col(f"`{c}`") for c in keep], score(F.col("text").cast("string")).alias("score"))
     thresholds = model.thresholds if model else {}
     limit = F.lit(0.5 if model and model.labelled >= LEAST_LABELLED else 2.0)
     thresholds = thresholds if model and model.labelled >= LEAST_LABELLED else {}
