@@ -59,6 +59,10 @@ def block_pairs(unique: DataFrame, compare: Callable[[pa.Table, pa.Table, bool],
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         return compare(a, b.rename_columns([c.removesuffix("_") for c in b.column_names]), key[0].as_py() == key[1].as_py())
 
+    # A number of partitions that is asked for stays: by their few bytes, blocks of much work would be coalesced into one task.
+    spark = unique.sparkSession
+    parts = min(blocks * (blocks + 1) // 2, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    left, right = left.repartition(parts, "bi", "bj"), right.repartition(parts, "bi", "bj")
     return left.groupBy("bi", "bj").cogroup(right.groupBy("bi", "bj")).applyInArrow(run, schema)
 
 
