@@ -261,3 +261,8 @@ def test_pairs_beyond_the_limit_say_so(spark):
         D.pairwise(f, "HAM", most=2)
     with pytest.raises(ValueError, match="pairs"):
         D.expand(f, D.pairwise(f, "HAM"), most=2)
+
+
+def test_stored_tables_are_read_until_released(spark):
+    held = tables.stored(spark.range(5))
+    assert tables.stored(held) is held and held.count() == 5

@@ -8,14 +8,15 @@ from functools import wraps
 from math import gcd
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df``, computed once: a Parquet table in the folder of ``spark.checkpoint.dir``, or kept on disk where that is unset.
 
-    A table that has been stored already is given back as it is.
+    A table that has been stored already is given back as it is. The tables go with :func:`release`, or with the folder's
+    own retention.
     """
     if getattr(df, "_stored", False):
         return df
@@ -31,6 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this application's stored tables; call it once no result of them is still to be read."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/trajectra/{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def reads_pairs_often(f: Callable) -> Callable:
     """An operator whose first argument, a pair table, is read by several passes: it is stored before."""
 
