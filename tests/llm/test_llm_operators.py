@@ -238,6 +238,38 @@ def test_contamination_with_empty_sides(spark):
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
 
 
+def test_contamination_by_shuffles_equals_broadcasts(spark, sf_dir, monkeypatch):
+    docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    few = sorted(tuple(r) for r in decontaminate.contamination(docs, bench).collect())
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_RESULTS", -1)
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")
+        assert few == sorted(tuple(r) for r in decontaminate.contamination(docs, bench).collect())
+    finally:
+        spark.conf.set(limit, before)
+
+
+def test_contamination_writes_few_files_and_deals_no_documents(spark, sf_dir):
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    folder = os.path.dirname(scratch_path(spark, "any")).removeprefix("file:")
+    files = lambda: {f"{d}/{x}" for d, _, names in os.walk(folder) for x in names if x.startswith("part-")}
+    docs, had = read(spark, sf_dir, "documents").repartition(3), files()
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
+        assert found.where("contaminated").count() > 0
+        assert 3 <= len(files() - had) <= 30
+        assert found.rdd.getNumPartitions() == 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # html
 
 

@@ -8,7 +8,11 @@ as strings, and overlapping hits are joined into the words that are hit. Items o
 one window of their own length, whose hash stands for itself.
 
 Fingerprints are a few 64-bit numbers per hundred words. The items' side is broadcast while its
-counted rows stay under a limit; beyond it, fingerprints meet by a shuffle.
+counted rows stay under a limit; beyond it, fingerprints meet by a shuffle. So do the results of the
+documents that have hits: while they are few, they are sent to where the documents are read, and the
+documents aren't dealt anew. Stored tables get a file for several shuffle partitions, as a task per
+file costs more than its few rows, and where files are local Hadoop starts a process for each
+file's permissions.
 
 Cases: a null or empty text has no words; an item without words has no window; documents with equal
 id and text share their result; an empty benchmark leaves every document clean; other columns are
@@ -28,6 +32,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rows (a number or two, or ten words) are broadcast, after they have been counted.
 BROADCAST_ROWS = 300_000
+#: Up to so many suspects, the rows of results (under 200 bytes each) are broadcast.
+BROADCAST_RESULTS = 100_000
+#: Shuffle partitions of hashes, keys or windows that make a file of a stored table.
+PARTITIONS_A_FILE = 32
 
 
 def words(text: Column) -> Column:
@@ -51,6 +59,12 @@ def _fingerprints(short: list[int]) -> Column:
     return F.array_distinct(F.expr(f"concat({', '.join(parts)})"))
 
 
+def _stored(df: DataFrame, label: str) -> DataFrame:
+    """``df``, whose rows are small and come from a shuffle, stored in few files."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.coalesce(max(1, partitions // PARTITIONS_A_FILE)), label)
+
+
 def _bounded(df: DataFrame) -> DataFrame:
     """``df`` with a broadcast hint where its counted rows allow it; it must be cheap to count."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -63,8 +77,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     item_prints = (
         items.select(F.explode(F.when(F.size("w") >= WINDOW, _fingerprints([])).otherwise(F.array(_own_hash(short)))).alias("print")).where("print IS NOT NULL").distinct()
     )
-    item_prints = materialize(item_prints, "item-prints")
-    item_windows = materialize(
+    item_prints = _stored(item_prints, "item-prints")
+    item_windows = _stored(
         items.select("item", F.explode(_windows([*short, WINDOW], whole=True)).alias("x")).select(F.col("x.s").alias("s"), "item").distinct(), "item-windows"
     )
 
@@ -72,10 +86,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     rows = rows.select("k", "text", row_key("k", "text").alias("row"))
     worded = rows.select("k", "row", words(F.col("text")).alias("w"))
     suspects = worded.select("row", F.explode(_fingerprints(short)).alias("print")).join(_bounded(item_prints), "print", "left_semi").select("row").distinct()
-    suspects = materialize(suspects, "suspects")
+    suspects = _stored(suspects, "suspects")
+    n_suspects = suspects.count()
 
     hits = (
-        rows.join(_bounded(suspects), "row", "left_semi")
+        rows.join(F.broadcast(suspects) if n_suspects <= BROADCAST_ROWS else suspects, "row", "left_semi")
         .dropDuplicates(["row"])
         .select("row", words(F.col("text")).alias("w"))
         .select("row", F.explode(_windows([*short, WINDOW], whole=False)).alias("x"))
@@ -86,6 +101,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     covered = F.expr("""aggregate(spans, named_struct('end', 0, 'n', 0),
         (a, s) -> named_struct('end', greatest(a.end, s.at + s.n), 'n', a.n + greatest(0, s.at + s.n - greatest(a.end, s.at))), a -> a.n)""")
     per_doc = per_doc.select("row", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    if n_suspects <= BROADCAST_RESULTS:
+        per_doc = F.broadcast(per_doc)
     counted = worded.select("k", "row", F.size("w").cast("long").alias("n_words"))
     return counted.join(per_doc, "row", "left").select(
         F.col("k").alias(key),
