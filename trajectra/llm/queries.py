@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, html_text, line_dedup, near_dedup, packing, secrets, toxicity, url_filter, warc
+from . import ann, decontaminate, html_text, line_dedup, near_dedup, packing, phrase_queries, secrets, toxicity, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -249,5 +249,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    **phrase_queries.QUERIES,
 }
-ORACLES = {"op2_secrets": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL}
+ORACLES = {"op2_secrets": OP2_SQL, "op3_near_dedup": OP3_SQL, "op4_decontaminate": OP4_SQL, "op6_warc": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_url_filter": OP10_SQL, **phrase_queries.ORACLES}
