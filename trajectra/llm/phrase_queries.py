@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import collocations, lexical
+from . import collocations, lexical, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +41,28 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_passages(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS place, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), starts AS (
+  SELECT place, doc_id, i, sha256(array_to_string(w[i:i + {substring_dedup.WINDOW - 1}], ' ')) AS s FROM (SELECT place, doc_id, w, unnest(range(1, len(w) - {substring_dedup.WINDOW - 2})) AS i FROM split WHERE len(w) >= {substring_dedup.WINDOW})
+), least AS (
+  SELECT s, min(doc_id) AS first_id FROM starts GROUP BY s HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT place, unnest(range(i, i + {substring_dedup.WINDOW})) AS spot FROM starts JOIN least USING (s) WHERE first_id < coalesce(doc_id, 9223372036854775807)
+), lists AS (
+  SELECT place, list(spot) AS spots FROM gone GROUP BY place
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN spots IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(spots, i)), lambda i: w[i]) END, ' '), '')) AS kept_sha256
+FROM split LEFT JOIN lists USING (place)
+"""
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_read(spark, sf_dir, "documents"), max_n=3, least=10, inside_percent=50, top=2000)
 
@@ -70,5 +93,5 @@ WITH pieces AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
 
-QUERIES = {"op11_lexical_search": op11_lexical_search, "op13_collocations": op13_collocations}
-ORACLES = {"op11_lexical_search": OP11_SQL, "op13_collocations": OP13_SQL}
+QUERIES = {"op11_lexical_search": op11_lexical_search, "op12_substring_dedup": op12_substring_dedup, "op13_collocations": op13_collocations}
+ORACLES = {"op11_lexical_search": OP11_SQL, "op12_substring_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
