@@ -108,16 +108,16 @@ def contamination(docs, items):
     return out
 
 
-def dedup_lines(docs, ratio=0.002, least=3):
+def dedup_lines(docs, ratio=0.005, least=3):
     """docs: (doc_id, source, text): (doc_id, text)."""
+    held = [(s or "", frozenset(x.strip(" ") for x in (t or "").split("\n")) - {""}) for _, s, t in docs]
     pages: dict = {}
     seen: dict = {}
-    for _, s, t in docs:
-        s = s or ""
+    for s, lines in held:
         pages[s] = pages.get(s, 0) + 1
-        held = {x.strip(" ") for x in (t or "").split("\n")} - {""}
-        by_size = sorted(held, key=lambda x: (len(x), x.encode()), reverse=True)
-        for line in held:
-            seen.setdefault((s, line), []).append(next((x for x in by_size if x != line), None))
-    drop = {k for k, around in seen.items() if len(set(around)) >= max(2, min(least, pages[k[0]])) and len(around) > pages[k[0]] * ratio and 3 * len(set(around)) > len(around)}
+        for line in lines:
+            seen.setdefault((s, line), []).append(lines)
+    enough = lambda n, s: n > pages[s] * ratio and n >= max(2, min(least, pages[s]))
+    frequent = {k for k, around in seen.items() if enough(len(around), k[0])}
+    drop = {(s, x) for s, x in frequent if enough(len({frozenset(y for y in lines if (s, y) not in frequent) for lines in seen[s, x]}), s)}
     return [(d, None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") == "" or (s or "", x.strip(" ")) not in drop)) for d, s, t in docs]

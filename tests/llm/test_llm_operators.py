@@ -482,13 +482,25 @@ def test_chi_square_bound():
 # line dedup
 
 
-def test_lines_equal_brute_force(spark, sf_dir):
+def test_lines_equal_brute_force(spark, sf_dir, monkeypatch):
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     extra = [(10_000 + i, s, t) for i, (s, t) in enumerate([(None, "a\n b \n"), (None, "b"), (None, "b\nc"), (None, " b"), (None, None), ("one", "x\nx\n\n"), ("one", "")])]
     docs = docs.union(spark.createDataFrame(extra, "doc_id long, source string, text string"))
     found = sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect())
     assert found == sorted(brute.dedup_lines([tuple(r) for r in docs.collect()]))
     assert line_dedup.dedup_lines(docs.where("false")).count() == 0
+    # Lines that are too many to broadcast meet the documents by host and salt.
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", -1)
+    assert sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(docs).collect()) == found
+
+
+@pytest.mark.parametrize("template", [["menu"], ["menu", "a notice longer than any line of the page itself"], ["menu", "a notice longer than any line of the page itself", "and a footer that is longer than the notice above it"]])
+def test_the_ratio_alone_decides(spark, template):
+    """Lines on every page of a host go, however many and long they are."""
+    rng = random.Random(2)
+    rows = [(i, "host", "\n".join([template[0], *(" ".join(str(rng.random())[2:9] for _ in range(3)) for _ in range(5)), *template[1:]])) for i in range(300)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert {r.n_dropped for r in out} == {len(template)}
 
 
 def test_boilerplate_on_hot_and_small_hosts_but_not_copies(spark):

@@ -2,12 +2,15 @@
 
 Texts are cut into pieces at punctuation and line ends, and a phrase is a run of words within a
 piece. Phrases of 1 to ``max_n`` words become rows (lang, phrase, count) that are added up within
-each task, and then by hash over all tasks. A phrase can only be a candidate, or part of one, if
-both phrases that it has without its last and its first word occur ``least`` times. So lengths are
-counted one after another, and a bit map of a fixed size tells each task which shorter phrases
-reach ``least``: it has their hashed bits, so it may let others pass, which the count then drops,
-but keeps none back. A larger corpus fills the map and makes it pass more; results don't depend on
-it. Only the phrases that reach ``least`` are stored.
+each task, and then by hash over all tasks.
+
+Most phrases are too rare to be a candidate or a part of one, and are kept out before they become
+rows. A phrase needs ``least`` occurrences, and so do both phrases that it has without its last and
+its first word. So lengths are taken one after another: phrases whose two shorter ones pass are
+hashed to a number of places, the places' counts are added up over all tasks, and a bit map of a
+fixed size tells the places with ``least``. Phrases share places, so the map may let one pass that
+is rare, which its own count then drops, but keeps none back. A larger corpus makes the map pass
+more; results don't depend on it. Only the phrases that reach ``least`` are stored.
 
 Each way to cut a candidate into two joins the counts of both parts; scores are in Decimal, and the
 lowest is the candidate's. A candidate inside a longer one that has a given share of its
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +39,11 @@ from .store import materialize, small_batches
 
 UNKNOWN = "und"
 #: What ends a piece, and what else separates words, in UTF-8.
-ENDS, SPACES = b".,;:!?\n\x0b\x0c\r", b" \t"
+ENDS, SPACES, END = b".,;:!?\n\x0b\x0c\r", b" \t", b"\n"
 #: A task gives its counts on when it holds so many phrases.
 PHRASES_HELD = 400_000
+#: A task gives its marks on when it holds so many.
+MARKS_HELD = 1_000_000
 #: Bits of the map: 16 MB.
 FILTER_BITS = 1 << 27
 #: Bits of the map that are put together in one row.
@@ -52,65 +58,85 @@ def _byte_table() -> bytes:
     return bytes(table)
 
 
-def _bit(lang: bytes, phrase: bytes, bits: int) -> int:
-    return xxhash.xxh64_intdigest(phrase, len(lang) + xxhash.xxh32_intdigest(lang)) % bits
-
+def _seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang)
 
-def _bit_map(grams: DataFrame, bits: int) -> bytearray:
-    """The map of the phrases of ``grams``: parts of it are put together on executors, so the driver gets as many bits as it has."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([_bit(a.encode(), p.encode(), bits) for a, p in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase")), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found // BLOCK_BITS), pa.array((found % BLOCK_BITS).astype(np.int32))], names=["block", "bit"])
+def _bit_map(marks: DataFrame, least: int, bits: int) -> bytes:
+    """The places of ``marks`` (bit, f) that reach ``least``: parts of the map are put together on executors, so the driver gets as many bits as it has."""
 
     def gather(table: pa.Table) -> pa.Table:
         block = np.zeros(min(BLOCK_BITS, bits), np.uint8)
-        block[table.column("bit").to_numpy()] = 1
+        block[table.column("bit").to_numpy() % BLOCK_BITS] = 1
         return pa.table({"block": table.column("block")[:1], "bits": pa.array([np.packbits(block, bitorder="little").tobytes()], pa.binary())})
 
-    marks = grams.mapInArrow(mark, "block long, bit int").distinct()
+    often = marks.groupBy("bit").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("bit", F.expr(f"bit DIV {BLOCK_BITS}").alias("block"))
     out = bytearray(bits // 8)
-    for row in marks.groupBy("block").applyInArrow(gather, "block long, bits binary").toLocalIterator():
+    for row in often.groupBy("block").applyInArrow(gather, "block long, bits binary").toLocalIterator():
         at = row.block * BLOCK_BITS // 8
         out[at : at + len(row.bits)] = row.bits
-    return out
+    return bytes(out)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+
+
+def _marks(texts: DataFrame, n: int, shorter: Broadcast, bits: int) -> DataFrame:
+    """(bit, f): how often a task met each place of the phrases of ``n`` words whose shorter ones pass."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, passing, seeds = _byte_table(), {}, {}
+        held: list[int] = []
+
+        def given() -> pa.RecordBatch:
+            places, f = np.unique(np.array(held, np.uint64) % np.uint64(bits), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(f)], names=["bit", "f"])
+
+        for lang, text in _texts(batches):
+            if lang not in passing:
+                passing[lang], seeds[lang] = Often(lang, shorter.value, bits), _seed(lang)
+            seed, often = seeds[lang], passing[lang]
+            held += [xxhash.xxh64_intdigest(p, seed) for p in _phrases(_tokens(text, table), n, often)]
+            if len(held) > MARKS_HELD:
+                yield given()
+                held = []
+        if held:
+            yield given()
+
+    return texts.mapInArrow(mark, "bit long, f long")
 
 
-def _counted(texts: DataFrame, n: int, shorter: DataFrame | None, least: int, bits: int) -> DataFrame:
+def _counted(texts: DataFrame, n: int, shorter: Broadcast | None, own: Broadcast | None, least: int, bits: int) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``n`` words with ``least`` occurrences; for single words also a row per language without phrase, whose f counts all."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(bytes(_bit_map(shorter, bits))) if shorter is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _byte_table()
+        table, passing, passing_own = _byte_table(), {}, {}
         held: dict[str, Counter] = {}
-        known: dict[str, Often] = {}
         size = 0
 
         def given() -> pa.RecordBatch:
-            rows = [(lang, c) for lang, c in held.items()]
-            names = [lang for lang, c in rows for _ in range(len(c))]
-            phrases = [None if p is None else p.decode() for _, c in rows for p in c]
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(phrases, pa.string()), pa.array([f for _, c in rows for f in c.values()], pa.int64())], names=["lang", "phrase", "f"])
-
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                counts = held.setdefault(lang, Counter())
-                size -= len(counts)
-                if n == 1:
-                    words = text.translate(table).split()
-                    counts.update(words)
-                    counts[None] += len(words)
-                else:
-                    if lang not in known:
-                        known[lang] = Often(lang.encode(), shared.value, bits)
-                    for piece in text.translate(table).split(b"\n"):
-                        counts.update(_phrases(piece.split(), n, known[lang]))
-                size += len(counts)
-                if size > PHRASES_HELD:
-                    yield given()
-                    held, size = {}, 0
+            names = [lang for lang, c in held.items() for _ in range(len(c))]
+            phrases = [None if p is None else p.decode() for c in held.values() for p in c]
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(phrases, pa.string()), pa.array([f for c in held.values() for f in c.values()], pa.int64())], names=["lang", "phrase", "f"])
+
+        for lang, text in _texts(batches):
+            counts = held.setdefault(lang, Counter())
+            size -= len(counts)
+            if n == 1:
+                words = text.translate(table).split()
+                counts.update(words)
+                counts[None] += len(words)
+            else:
+                if lang not in passing:
+                    passing[lang], passing_own[lang] = Often(lang, shorter.value, bits), Often(lang, own.value, bits)
+                often, mine = passing[lang], passing_own[lang]
+                counts.update([p for p in _phrases(_tokens(text, table), n, often) if mine[p]])
+            size += len(counts)
+            if size > PHRASES_HELD:
+                yield given()
+                held, size = {}, 0
         if held:
             yield given()
 
@@ -119,52 +145,70 @@ def _counted(texts: DataFrame, n: int, shorter: DataFrame | None, least: int, bi
 
 
 class Often(dict):
-    """Whether a phrase passes the map, by phrase; answers are kept while there aren't too many."""
+    """Whether a phrase passes the map, by phrase; answers are kept while there aren't too many. ``END`` is no word."""
 
-    def __init__(self, lang: bytes, bit_map: bytes, bits: int) -> None:
-        self.lang, self.map, self.bits = lang, bit_map, bits
+    def __init__(self, lang: str, bit_map: bytes, bits: int) -> None:
+        self.seed, self.map, self.bits = _seed(lang), bit_map, bits
+        self[END] = False
 
     def __missing__(self, phrase: bytes) -> bool:
-        bit = _bit(self.lang, phrase, self.bits)
+        bit = xxhash.xxh64_intdigest(phrase, self.seed) % self.bits
         passes = bool(self.map[bit >> 3] >> (bit & 7) & 1)
         if len(self) > PHRASES_HELD:
             self.clear()
+            self[END] = False
         self[phrase] = passes
         return passes
 
 
-def _phrases(words: list[bytes], n: int, often: Often) -> list[bytes]:
-    """The phrases of ``n`` words that are made of two shorter ones that pass."""
-    starts = range(len(words) - n + 2)
-    shorter = words if n == 2 else [b" ".join(words[i : i + n - 1]) for i in starts]
-    passes = [often[p] for p in shorter]
-    if n == 2:
-        return [a + b" " + b for a, b, x, y in zip(words, words[1:], passes, passes[1:], strict=False) if x and y]
-    return [shorter[i] + b" " + words[i + n - 1] for i in starts[:-1] if passes[i] and passes[i + 1]]
+def _tokens(text: bytes, table: bytes) -> list[bytes]:
+    """The words of a text, and ``END`` between its pieces."""
+    return list(filter(None, text.translate(table).replace(END, b" \n ").split(b" ")))
+
+
+def _phrases(tokens: list[bytes], n: int, often: Often) -> list[bytes]:
+    """The phrases of ``n`` words, within pieces, that are made of two shorter ones that pass."""
+    shorter = tokens
+    for k in range(1, n - 1):
+        shorter = [END if a == END or b == END else a + b" " + b for a, b in zip(shorter, tokens[k:], strict=False)]
+    passes = list(map(often.__getitem__, shorter))
+    return [a + b" " + b for a, b, x, y in zip(shorter, tokens[n - 1 :], passes, passes[1:], strict=False) if x and y]
 
 
 def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, text: str = "text", lang: str = "lang", bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases with ``least`` occurrences, and (lang, n) with the words of each language."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    single = _counted(texts, 1, None, least, bits)
+    share = docs.sparkSession.sparkContext.broadcast
+
+    def mark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = [xxhash.xxh64_intdigest(p, _seed(lang)) % bits for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), batch.column("f")], names=["bit", "f"])
+
+    single = _counted(texts, 1, None, None, least, bits)
     totals = single.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
-    last = single.where("phrase IS NOT NULL")
-    grams = last.withColumn("size", F.lit(1))
+    words = single.where("phrase IS NOT NULL")
+    grams = words.withColumn("size", F.lit(1))
+    own = share(_bit_map(words.mapInArrow(mark_words, "bit long, f long"), least, bits))
     for size in range(2, max_n + 1):
-        last = _counted(texts, size, last, least, bits)
-        grams = grams.unionByName(last.withColumn("size", F.lit(size)))
+        shorter, own = own, share(_bit_map(_marks(texts, size, own, bits), least, bits))
+        grams = grams.unionByName(_counted(texts, size, shorter, own, least, bits).withColumn("size", F.lit(size)))
     return grams, totals
 
 
 def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, inside_percent: int = 50, top: int | None = 2000, text: str = "text", lang: str = "lang", bits: int = FILTER_BITS) -> DataFrame:
-    """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of each language, or all.
+    """(lang, rank, phrase, a, l, r, n, score): the ``top`` phrases of 2 to ``max_n`` words of each language, or all."""
+    return scored(*phrase_counts(docs, max_n, least, text, lang, bits), inside_percent, top)
+
+
+def scored(grams: DataFrame, totals: DataFrame, inside_percent: int, top: int | None) -> DataFrame:
+    """Rank the phrases of ``grams`` (lang, phrase, size, f), which has their parts too.
 
     ``a``, ``l`` and ``r`` count the phrase and the two parts of its lowest-scoring cut, ``n`` all
-    words; ``score`` is floor(1000000 * a * a / (l * r)), equal ones are cut after fewer words.
-    Phrases of one to 38-digit products are exact: counts to 10^15.
+    words; ``score`` is floor(1000000 * a * a / (l * r)), and of equal ones the cut after fewer words
+    counts. Products have up to 37 digits, so counts below 10^15 are exact.
     """
-    grams, totals = phrase_counts(docs, max_n, least, text, lang, bits)
     candidates = grams.where("size > 1")
     words = F.split("phrase", " ", -1)
     cuts = candidates.select("lang", "phrase", "size", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
@@ -172,9 +216,9 @@ def collocations(docs: DataFrame, max_n: int = 3, least: int = 10, inside_percen
     left = grams.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
     right = grams.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     exact = lambda c: f"cast({c} AS decimal(15,0))"
-    scored = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
-    scored = scored.withColumn("score", F.expr(f"(cast(1000000 AS decimal(7,0)) * ({exact('a')} * {exact('a')})) DIV ({exact('l')} * {exact('r')})"))
-    best = scored.groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    joined = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"])
+    joined = joined.withColumn("score", F.expr(f"(cast(1000000 AS decimal(7,0)) * ({exact('a')} * {exact('a')})) DIV ({exact('l')} * {exact('r')})"))
+    best = joined.groupBy("lang", "phrase", "size", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     longer = candidates.where("size > 2").select("lang", F.col("f").alias("f"), F.explode(F.array(F.array_join(F.slice(words, 1, F.col("size") - 1), " "), F.array_join(F.slice(words, 2, F.col("size") - 1), " "))).alias("phrase"))
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("held"))
     found = best.alias("c").join(longer.alias("o"), (F.col("c.lang") == F.col("o.lang")) & (F.col("c.phrase") == F.col("o.phrase")) & (100 * F.col("o.held") >= inside_percent * F.col("c.a")), "left_anti")

@@ -2,21 +2,22 @@
 
 Documents are grouped by host. A line's ratio is the number of the host's documents that hold it
 over the host's documents; lines above ``max_ratio`` are boilerplate of that host and are dropped
-from its documents.
+from its documents. Nothing else decides, but that a line must be on ``min_pages`` documents (or
+all, of a host with two), as a ratio of fewer says nothing.
 
-Boilerplate stands among different content, while the lines of a copied document stand among each
-other. So the documents of a line are also counted by the longest other line that they hold: there
-must be ``min_pages`` such contents (as many as documents, on hosts with fewer), and more than a
-third as many as documents; else the line belongs to a group of copies and stays (such groups are
-for near-dedup).
+Copies are kept apart before counting, as lines of a copied document aren't boilerplate: documents
+with the same own lines count once. Own are the lines that aren't over ``max_ratio`` when all
+documents count. So menus, notices and footers on every page count by page, however many there
+are, while copies, whose lines are all frequent or all equal, count as one document. The host's
+documents are counted with all copies.
 
-Counting works on 64-bit hashes of the trimmed lines, distinct per document. Counts by line and
-surroundings are reduced before their shuffle and those by line again, so a line on every page is
-spread by its surroundings. The flagged lines are few by construction: a host has at most (mean
-lines a document) / max_ratio of them. Rows are told apart by 128-bit hashes.
+Counting works on 64-bit hashes of the trimmed lines, distinct per document, and is reduced before
+each shuffle, so a line on every page is no hot key. A host has at most (mean lines a document) /
+max_ratio frequent lines. While their counted number allows, they are sent to the documents, a row
+with all lines per host, and texts aren't shuffled; beyond, documents meet them by host and salt.
 
 Cases: blank lines are never dropped; a null text stays null with no lines; a null host is a host
-of its own; repeated rows count as documents each, and as copies; an empty table gives no rows;
+of its own, and that of the empty name; repeated rows are copies; an empty table gives no rows;
 columns of any name pass through, and own ones named n_lines or n_dropped are replaced.
 """
 
@@ -25,55 +26,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .columns import give_back, protect, row_key
-from .store import materialize
+from .columns import give_back, protect
+from .store import discard, materialize
 
-#: Up to so many flagged lines (16 bytes each and a host name) are broadcast; beyond, the join shuffles.
+#: Up to so many lines of all hosts (8 bytes each) are broadcast, after they have been counted.
 BROADCAST_LINES = 500_000
-#: Boilerplate lines of the sample tables stand on 0.2 to 12 percent of a host's pages.
-MAX_RATIO, MIN_PAGES = 0.002, 3
+#: Beyond, a host's documents are spread over so many joins' keys.
+SALTS = 32
+#: On the check tables lines that stand among own content are on 0.2 to 13 percent of a host's documents, and lines of copies, those of equal content counted once, on less than 0.5.
+MAX_RATIO, MIN_PAGES = 0.005, 3
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _hash(line: Column) -> Column:
-    return F.xxhash64(F.trim(line))
+def _hashes(text: Column) -> Column:
+    """Hashes of the lines that aren't blank, once each."""
+    return F.array_distinct(F.transform(F.filter(F.transform(_lines(text), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
+
+
+def _host(host: str) -> Column:
+    return F.coalesce(F.col(f"`{host}`").cast("string"), F.lit(""))
+
+
+def _by_host(rows: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """Rows with the stored lines of their host (``__host``) as an array."""
+    n = lines.count()
+    found = lines.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias(name))
+    if n <= BROADCAST_LINES:
+        return rows.join(F.broadcast(found), "__host", "left")
+    found = found.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return salted.join(found.hint("merge"), ["__host", "__salt"], "left").drop("__salt")
 
 
 def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line, n_pages, n_contents, host_pages): the hashes of the lines to drop."""
-    rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).cast("string").alias("text"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    full = rows.select("host", F.filter(F.transform(_lines(F.col("text")), F.trim), lambda x: x != "").alias("lines"))
-    sized = lambda lines: F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line")))
-    first = full.withColumn("first", F.array_max(sized(F.col("lines")))["line"])
-    second = first.withColumn("second", F.array_max(sized(F.filter("lines", lambda x: x != F.col("first"))))["line"])
-    each = second.select("host", F.xxhash64("first").alias("first"), F.xxhash64("second").alias("second"), F.explode(F.array_distinct(F.transform("lines", _hash))).alias("line"))
-    by_content = each.groupBy("host", "line", F.when(F.col("line") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("content")).agg(F.count("*").alias("n"))
-    counts = by_content.groupBy("host", "line").agg(F.sum("n").alias("n_pages"), F.count("*").alias("n_contents")).where("n_contents >= 2 AND 3 * n_contents > n_pages")
-    found = counts.join(totals, "host").where(F.col("n_pages") > F.col("host_pages") * F.lit(max_ratio))
-    return found.where(F.col("n_contents") >= F.least(F.lit(min_pages), F.col("host_pages")))
+    """(host, line, n_pages, host_pages), stored: the hashes of the lines to drop, and the documents of different content that hold them."""
+    rows = docs.select(_host(host).alias("__host"), _hashes(F.col(f"`{text}`").cast("string")).alias("held"))
+    totals = rows.groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("host_pages"))
+    enough = (F.col("n_pages") > F.col("host_pages") * F.lit(max_ratio)) & (F.col("n_pages") >= F.greatest(F.lit(2), F.least(F.lit(min_pages), F.col("host_pages"))))
+    counts = rows.select(F.col("__host").alias("host"), F.explode("held").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_pages"))
+    frequent = materialize(counts.join(totals, "host").where(enough), "frequent-lines")
+    known = _by_host(rows.where("size(held) > 0"), frequent, "frequent").where("frequent IS NOT NULL")
+    own = known.select("__host", F.explode(F.array_intersect("held", "frequent")).alias("line"), F.xxhash64(F.array_sort(F.array_except("held", "frequent"))).alias("own"))
+    contents = own.groupBy("__host", "line", "own").agg(F.lit(1).alias("one")).groupBy(F.col("__host").alias("host"), "line").agg(F.count("*").alias("n_pages"))
+    found = materialize(contents.join(frequent.select("host", "line", "host_pages"), ["host", "line"]).where(enough), "boilerplate")
+    discard(frequent)
+    return found
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text``, and ``n_lines`` and ``n_dropped`` added."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    own, names = protect(docs.select(*[F.col(f"`{c}`") for c in columns]), (text, host, "doc_id"))
-    flagged = materialize(boilerplate(own, text, host, max_ratio, min_pages), "boilerplate").select("host", "line")
-    if flagged.count() <= BROADCAST_LINES:
-        flagged = F.broadcast(flagged)
-    keyed = own.withColumn("__key", row_key(*[c for c in own.columns if c in (text, host, "doc_id")]))
-    present = (
-        keyed.select("__key", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(F.array_distinct(F.transform(_lines(F.col(text).cast("string")), _hash))).alias("line"))
-        .join(flagged, ["host", "line"])
-        .groupBy("__key")
-        .agg(F.collect_set("line").alias("__drop"))
-    )
+    own, names = protect(docs.select(*[F.col(f"`{c}`") for c in columns]), (text, host))
+    flagged = boilerplate(own, text, host, max_ratio, min_pages).select("host", "line")
+    joined = _by_host(own.withColumn("__host", _host(host)), flagged, "__drop")
     lines = _lines(F.col(text).cast("string"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), _hash(x))))
-    joined = keyed.join(present, "__key", "left").withColumn("__kept", kept)
+    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__drop"), F.xxhash64(F.trim(x)))))
+    joined = joined.withColumn("__kept", kept)
     has_text = F.col(text).isNotNull()
     out = joined.select(
         *[F.when(has_text, F.array_join("__kept", "\n")).alias(c) if c == text else F.col(f"`{c}`") for c in own.columns],

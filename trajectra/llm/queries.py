@@ -159,24 +159,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_LINES = f"""
 split AS (
-  SELECT doc_id, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
-), held AS (
-  SELECT host, list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> '') AS held FROM split
-), longest AS (
-  SELECT host, held, list_max(list_transform(held, lambda x: {{'n': length(x), 'line': x}})).line AS first FROM held
-), second AS (
-  SELECT host, held, first, list_max(list_transform(list_filter(held, lambda x: x <> first), lambda x: {{'n': length(x), 'line': x}})).line AS second FROM longest
-), each AS (
-  SELECT host, unnest(list_distinct(held)) AS line, first, second FROM second
-), by_content AS (
-  SELECT host, line, CASE WHEN line = first THEN second ELSE first END AS content, count(*) AS n FROM each GROUP BY ALL
-), counts AS (
-  SELECT host, line, sum(n) AS n_pages, count(*) AS n_contents FROM by_content GROUP BY host, line
+  SELECT row_number() OVER () AS place, doc_id, coalesce(source, '') AS host, string_split(text, chr(10)) AS lines FROM documents
 ), totals AS (
-  SELECT coalesce(source, '') AS host, count(*) AS host_pages FROM documents GROUP BY 1
+  SELECT host, count(*) AS host_pages, greatest(2, least({line_dedup.MIN_PAGES}, count(*))) AS least_pages FROM split GROUP BY host
+), each AS (
+  SELECT place, host, unnest(list_distinct(list_filter(list_transform(lines, lambda x: trim(x, ' ')), lambda x: x <> ''))) AS line FROM split
+), frequent AS (
+  SELECT host, line, host_pages, least_pages FROM each JOIN totals USING (host) GROUP BY ALL HAVING count(*) > host_pages * {line_dedup.MAX_RATIO} AND count(*) >= least_pages
+), own AS (
+  SELECT place, list(each.line ORDER BY each.line) FILTER (frequent.line IS NULL) AS own FROM each LEFT JOIN frequent USING (host, line) GROUP BY place
 ), flagged AS (
-  SELECT host, list(line) AS lines FROM counts JOIN totals USING (host)
-  WHERE n_contents >= 2 AND 3 * n_contents > n_pages AND n_contents >= least({line_dedup.MIN_PAGES}, host_pages) AND n_pages > host_pages * {line_dedup.MAX_RATIO} GROUP BY host
+  SELECT host, list(line) AS lines FROM (
+    SELECT host, line FROM each JOIN frequent USING (host, line) JOIN own USING (place) GROUP BY host, line, host_pages, least_pages
+    HAVING count(DISTINCT coalesce(own, [])) > host_pages * {line_dedup.MAX_RATIO} AND count(DISTINCT coalesce(own, [])) >= least_pages) GROUP BY host
 ), kept AS (
   SELECT doc_id, split.lines AS lines, list_filter(split.lines, lambda x: trim(x, ' ') = '' OR NOT list_contains(coalesce(flagged.lines, []), trim(x, ' '))) AS left_
   FROM split LEFT JOIN flagged USING (host)
