@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajectra.operators import event_counts as C
 from trajectra.operators import events as E
 from trajectra.sources import fixtures as fx
 
@@ -97,3 +98,35 @@ def _(spark, d):
 @query("situation_distances")
 def _(spark, d):
     return E.situation_distances(fx.ord_status(spark, d), 1)
+
+
+#: CTEs: days on which events happen, the starts "o" (id, pattern, s, e) of two patterns with their earliest ends, and minimal windows "m".
+DAILY = """WITH v AS (SELECT DISTINCT user_id AS id, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS DOUBLE) AS ts, event_type AS event FROM events),
+twice AS (SELECT a.id, a.ts FROM v a JOIN v b ON a.id = b.id AND a.ts = b.ts WHERE a.event = 'click' AND b.event = 'view'),
+o AS (SELECT a.id, '(view)-(purchase)' AS pattern, a.ts AS s, min(b.ts) AS e FROM v a JOIN v b ON a.id = b.id AND b.ts > a.ts AND b.ts - a.ts <= 5 WHERE a.event = 'view' AND b.event = 'purchase' GROUP BY ALL
+  UNION ALL SELECT a.id, '(click,view)-(view)-(error)', a.ts, min(c.ts) FROM twice a JOIN v b ON a.id = b.id AND b.ts > a.ts AND b.ts - a.ts <= 5 JOIN v c ON a.id = c.id AND c.ts > b.ts AND c.ts - b.ts <= 5 WHERE b.event = 'view' AND c.event = 'error' AND c.ts - a.ts <= 9 GROUP BY ALL),
+m AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.id = o.id AND x.pattern = o.pattern AND x.s > o.s AND x.e <= o.e))"""
+DAILY_PATTERNS, DAILY_LIMIT = ("(view)-(purchase)", "(click,view)-(view)-(error)"), E.Constraint(max_gap=5.0, window=9.0)
+
+
+def _daily(spark, d):
+    day = F.expr("cast(datediff(cast(ts AS date), DATE '2020-01-01') AS double)")
+    return E.events(spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("id"), day.alias("ts"), F.col("event_type").alias("event")), "id", "ts", "event")
+
+
+@query(
+    "event_window_counts",
+    f"""{DAILY.replace("WITH v", "WITH RECURSIVE v")}, g AS (SELECT DISTINCT id, pattern, unnest(range(CAST(ceil((e - 7) / 2) AS BIGINT), CAST(floor(s / 2) AS BIGINT) + 1)) AS g FROM m),
+d AS (SELECT id, pattern, max(s) AS s FROM m GROUP BY ALL UNION ALL SELECT id, pattern, s FROM (SELECT m.id, m.pattern, max(m.s) AS s FROM d JOIN m ON m.id = d.id AND m.pattern = d.pattern AND m.e < d.s GROUP BY ALL)),
+i AS (SELECT id, pattern FROM (SELECT DISTINCT id FROM v), (VALUES ('(view)-(purchase)'), ('(click,view)-(view)-(error)')) p(pattern))
+SELECT i.id, i.pattern, (SELECT count(*) FROM o WHERE o.id = i.id AND o.pattern = i.pattern) AS starts, (SELECT count(*) FROM m WHERE m.id = i.id AND m.pattern = i.pattern) AS minimal,
+  (SELECT count(*) FROM d WHERE d.id = i.id AND d.pattern = i.pattern) AS disjoint, (SELECT count(*) FROM g WHERE g.id = i.id AND g.pattern = i.pattern) AS windows FROM i""",
+)
+def _(spark, d):
+    """Windows of a week that begin every other day."""
+    return C.count_windows(_daily(spark, d), DAILY_PATTERNS, 7.0, 2.0, DAILY_LIMIT)
+
+
+@query("event_minimal_windows", f"""{DAILY} SELECT o.id, o.pattern, o.s AS start, o.e AS "end", m.s IS NOT NULL AS minimal FROM o LEFT JOIN m ON m.id = o.id AND m.pattern = o.pattern AND m.s = o.s""")
+def _(spark, d):
+    return C.occurrence_windows(_daily(spark, d), DAILY_PATTERNS, DAILY_LIMIT)
