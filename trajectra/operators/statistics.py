@@ -88,7 +88,7 @@ def gram(rows: DataFrame, columns: Sequence[str], target: str, weight: str | Non
     return rows.groupBy(*by).agg(F.array(*cells).alias("sums")) if by else rows.agg(F.array(*cells).alias("sums"))
 
 
-def _unpacked(sums: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray, float]:
+def unpacked(sums: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray, float]:
     xx = np.zeros((k, k))
     at = 0
     for i in range(k):
@@ -101,7 +101,7 @@ def _unpacked(sums: Sequence[float], k: int) -> tuple[np.ndarray, np.ndarray, fl
 def regression(rows: DataFrame, columns: Sequence[str], target: str, weight: str | None = None) -> DataFrame:
     """(term, coefficient, se): weighted least squares from the sums."""
     k = len(columns) + 1
-    xx, xy, yy = _unpacked(gram(rows, columns, target, weight).first().sums, k)
+    xx, xy, yy = unpacked(gram(rows, columns, target, weight).first().sums, k)
     beta = np.linalg.solve(xx, xy)
     n = xx[0, 0]
     se = np.sqrt(np.maximum(0.0, np.diag(np.linalg.inv(xx)) * (yy - beta @ xy) / max(1e-12, n - k)))
@@ -115,7 +115,7 @@ def oaxaca_blinder(rows: DataFrame, columns: Sequence[str], target: str, group:
     characteristics: group0, group1 or pooled.
     """
     k = len(columns) + 1
-    parts = {int(r[group]): _unpacked(r.sums, k) for r in gram(rows, columns, target, weight, [group]).collect()}  # a row per group
+    parts = {int(r[group]): unpacked(r.sums, k) for r in gram(rows, columns, target, weight, [group]).collect()}  # a row per group
     if set(parts) != {0, 1}:
         raise ValueError("the group must be 0 and 1")
     means, betas = {}, {}
@@ -145,7 +145,7 @@ def bootstrap_oaxaca(rows: DataFrame, columns: Sequence[str], target: str, group
     spread = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("__w", cut)
     found: dict[int, dict] = {}
     for r in gram(spread, columns, target, "__w", ["replicate", group]).collect():  # two rows per replicate
-        found.setdefault(r.replicate, {})[int(r[group])] = _unpacked(r.sums, k)
+        found.setdefault(r.replicate, {})[int(r[group])] = unpacked(r.sums, k)
     values: dict[str, list[float]] = {}
     for parts in found.values():
         if set(parts) != {0, 1}:
