@@ -256,11 +256,11 @@ def omstran(frame: SequenceFrame, otto: float = 0.5, indel: float | None = None,
     different = (first[:, None] != first[None]) | (second[:, None] != second[None])
     wide = otto * sm[first][:, first] + (1 - otto) * transition_cost * (different & (moved[:, None] | moved[None]))
     paired = frame.arrays.select("id", F.transform("seq", lambda s, i: (s - 1) * k + F.coalesce(F.get("seq", i + 1), s)).alias("seq"), "weight")
-    shifted = _Arrays(paired, tuple(f"{a}>{b}" for a, b in pairs))
+    shifted = ArrayFrame(paired, tuple(f"{a}>{b}" for a, b in pairs))
     return pairwise(shifted, "OM", block=block, costs=wide.tolist(), indel=wide.max() / 2 if indel is None else indel, norm=norm)
 
 
-class _Arrays(SequenceFrame):
+class ArrayFrame(SequenceFrame):
     """A sequence table made of arrays."""
 
     def __init__(self, arrays: DataFrame, states: tuple[str, ...]):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trajectra.functions.special import poisson_truncated
 
-from .distances import _Arrays, block_pairs
+from .distances import ArrayFrame, block_pairs
 from .sequences import SequenceFrame
 
 
@@ -62,7 +62,7 @@ def replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1,
 
 
 def replicate_frame(rows: DataFrame, rep: int, frame: SequenceFrame) -> SequenceFrame:
-    return _Arrays(rows.where(F.col("rep") == rep).select("id", "seq", "weight"), frame.states)
+    return ArrayFrame(rows.where(F.col("rep") == rep).select("id", "seq", "weight"), frame.states)
 
 
 def hamming(x: Column, y: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trajectra.operators import distances as D
+from trajectra.operators import transition_matching as TM
 from trajectra.operators import transitions as T
 from trajectra.sources import fixtures as fx
 
@@ -283,3 +284,34 @@ def _(spark, d):
 @query("dist_custom", UNIQUE + " SELECT i, j, CAST(abs(len(x) - len(y)) + CASE WHEN x[1] = y[1] THEN 0 ELSE 1 END AS DOUBLE) AS d FROM pr")
 def _(spark, d):
     return D.custom(fx.ev_all(spark, d), lambda x, y: float(abs(len(x) - len(y)) + (x[0] != y[0])))
+
+
+#: Rates of transition "rt", and for each position its neighbours "b" and "n", and what the moves around it count, a quarter (an eighth with both neighbours) of each.
+_MOVES = f"""WITH RECURSIVE {EV}, st AS (SELECT id, pos, s, coalesce(lag(s) OVER w, s) AS b, coalesce(lead(s) OVER w, s) AS n, lead(s) OVER w AS s2 FROM p WINDOW w AS (PARTITION BY id ORDER BY pos)),
+  rt AS (SELECT s, s2, count(*) / sum(count(*)) OVER (PARTITION BY s) AS rate FROM st WHERE s2 IS NOT NULL GROUP BY s, s2),
+  tk AS (SELECT st.id, st.pos, st.s, {{token}} AS k, {{part}} AS t FROM st LEFT JOIN rt o ON o.s = st.s AND o.s2 = st.n LEFT JOIN rt i ON i.s = st.b AND i.s2 = st.s),
+  arr AS (SELECT id, list(s ORDER BY pos) AS q, list(k ORDER BY pos) AS k, list(t ORDER BY pos) AS t FROM tk GROUP BY id),
+  pr AS (SELECT a.id AS i, b.id AS j, a.q AS x, b.q AS y, a.k AS kx, b.k AS ky, a.t AS tx, b.t AS ty FROM arr a JOIN arr b ON a.id < b.id)"""
+_MATCHED = ("CASE WHEN kx[r + 1] = ky[c] THEN 0 ELSE CASE WHEN x[r + 1] = y[c] THEN 0 ELSE 0.5 END + tx[r + 1] + ty[c] END", "(0.25 + tx[r + 1])", "(0.25 + ty[c])", "kx, ky, tx, ty")
+_NEXT, _BOTH = "st.s * 10 + st.n", "st.b * 100 + st.s * 10 + st.n"
+_PARTS = {
+    ("constant", False): "CASE WHEN st.s = st.n THEN 0 ELSE 0.25 END",
+    ("rate", False): "CASE WHEN st.s = st.n THEN 0 ELSE 0.25 * (1 - coalesce(o.rate, 0)) END",
+    ("constant", True): "CASE WHEN st.b = st.s THEN 0 ELSE 0.125 END + CASE WHEN st.s = st.n THEN 0 ELSE 0.125 END",
+    ("rate", True): "0.125 * (2 - coalesce(i.rate, 0) - coalesce(o.rate, 0))",
+}
+
+for (_kind, _previous), _part in _PARTS.items():
+
+    @query(f"transition_matching_{_kind}{'_both' if _previous else ''}", _items_sql(_MOVES.format(token=_BOTH if _previous else _NEXT, part=_part), *_MATCHED))
+    def _(spark, d, kind=_kind, previous=_previous):
+        return TM.transition_matching(fx.ev_all(spark, d), kind, previous)
+
+
+#: Costs by the distance of the states' numbers, at most 4, so shares are quarters; the moves count as much.
+@query(
+    "transition_matching_cost",
+    _items_sql(_MOVES.format(token=_NEXT, part="0.25 * abs(st.s - st.n) / 4"), "CASE WHEN kx[r + 1] = ky[c] THEN 0 ELSE 0.5 * abs(x[r + 1] - y[c]) / 4 + tx[r + 1] + ty[c] END", *_MATCHED[1:]),
+)
+def _(spark, d):
+    return TM.transition_matching(fx.ev_all(spark, d), "cost", costs=[[abs(a - b) for b in range(5)] for a in range(5)])

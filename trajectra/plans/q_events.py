@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajectra.operators import event_counts as C
 from trajectra.operators import events as E
+from trajectra.operators import situations as G
 from trajectra.sources import fixtures as fx
 
 from .rounding import rounded
@@ -130,3 +131,30 @@ def _(spark, d):
 @query("event_minimal_windows", f"""{DAILY} SELECT o.id, o.pattern, o.s AS start, o.e AS "end", m.s IS NOT NULL AS minimal FROM o LEFT JOIN m ON m.id = o.id AND m.pattern = o.pattern AND m.s = o.s""")
 def _(spark, d):
     return C.occurrence_windows(_daily(spark, d), DAILY_PATTERNS, DAILY_LIMIT)
+
+
+#: CTEs to the double-centred squared distances "z" (i, j, b) of situations' discounted futures.
+_SITUATIONS = f"""WITH {fx.SQL["ord_status"]}, n AS (SELECT pos, s, count(*) AS n, dense_rank() OVER (ORDER BY pos, s) AS i FROM p GROUP BY pos, s),
+k AS (SELECT p.id, p.pos, n.i FROM p JOIN n USING (pos, s)),
+r AS (SELECT a.i, b.i AS j, count(*) / any_value(n.n) / (any_value(b.pos) - any_value(a.pos) + 1) AS r FROM k a JOIN k b ON a.id = b.id AND b.i >= a.i JOIN n ON n.i = a.i GROUP BY a.i, b.i),
+f AS (SELECT i, j, r / sum(r) OVER (PARTITION BY i) AS f FROM r),
+g AS (SELECT x.i AS i, y.i AS j, coalesce(f.f, 0) AS f FROM n x CROSS JOIN n y LEFT JOIN f ON f.i = x.i AND f.j = y.i),
+t AS (SELECT j, sum(f) AS t FROM g GROUP BY j),
+d AS (SELECT a.i AS i, b.i AS j, sum((a.f - b.f) * (a.f - b.f) / t.t) AS d FROM g a JOIN g b ON a.j = b.j JOIN t ON t.j = a.j GROUP BY ALL),
+z AS (SELECT i, j, -0.5 * (d - avg(d) OVER (PARTITION BY i) - avg(d) OVER (PARTITION BY j) + avg(d) OVER ()) AS b FROM d)"""
+
+
+@query("situation_correlations", f"{_SITUATIONS} SELECT CAST(x.pos AS INT) AS pos1, CAST(x.s AS INT) AS s1, CAST(y.pos AS INT) AS pos2, CAST(y.s AS INT) AS s2, round(corr(a.b, c.b), 6) AS r FROM z a JOIN z c ON a.i = c.i JOIN n x ON x.i = a.j JOIN n y ON y.i = c.j WHERE a.j <= c.j GROUP BY ALL")
+def _(spark, d):
+    return G.situation_correlations(fx.ord_status(spark, d))
+
+
+@query("situation_components")
+def _(spark, d):
+    return G.situation_components(fx.ord_status(spark, d), components=2)
+
+
+@query("sequence_coordinates")
+def _(spark, d):
+    found = G.sequence_coordinates(fx.ord_status(spark, d), components=2)
+    return found.select("id", F.col("coordinates")[0].alias("first"), F.col("coordinates")[1].alias("second"))
