@@ -1,10 +1,12 @@
-"""Queries that decompose gaps over clusters of sequences."""
+"""Queries that compare groups: gaps over clusters of sequences, and associations by position."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from trajectra.operators import decomposition as D
+from trajectra.operators import positions as P
+from trajectra.operators.sequences import SequenceFrame
 from trajectra.sources import fixtures as fx
 
 from .rounding import rounded
@@ -59,3 +61,36 @@ def _(spark, d):
 @query("cluster_gap_bootstrap")
 def _(spark, d):
     return D.bootstrap_cluster_decomposition(_typed_orders(spark, d), "orders", "g", "kind", "id", replicates=20, threshold=3.0)
+
+
+def _weighted_days(spark, d):
+    """Daily sequences, of which odd ids weigh twice, and a group by the id."""
+    frame = fx.ev_daily(spark, d)
+    long = frame.long.withColumn("weight", 1.0 + F.col("id") % 2)
+    return SequenceFrame(long, frame.states, frame.labels, frame.missing_code), long.select("id", (F.col("id") % 3).cast("int").alias("group")).distinct()
+
+
+#: CTEs over all pairs: windows of three days "w", groups "g" with weight, sum and mean, all "a", and distances to the groups' centres "c".
+_DAYS = f"""WITH {fx.SQL["ev_daily"]}, q AS (SELECT a.id AS i, b.id AS j, a.pos, CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END AS m, a.id % 3 AS gi, b.id % 3 AS gj, 1.0 + a.id % 2 AS wi, 1.0 + b.id % 2 AS wj FROM p a JOIN p b ON a.pos = b.pos AND a.id <> b.id),
+w AS (SELECT *, sum(m) OVER z AS d, count(*) OVER z AS n FROM q WINDOW z AS (PARTITION BY i, j ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) QUALIFY n = 3),
+r AS (SELECT pos, id % 3 AS g, sum(1.0 + id % 2) AS w FROM p WHERE pos BETWEEN 2 AND 30 GROUP BY ALL),
+a AS (SELECT pos, sum(wi * wj * d) / 2 AS s FROM w GROUP BY pos),
+t AS (SELECT pos, sum(w) AS tw, count(*) AS k FROM r GROUP BY pos),
+g AS (SELECT r.pos, r.g, r.w, coalesce(x.s, 0) / r.w / r.w AS v FROM r LEFT JOIN (SELECT pos, gi AS g, sum(wi * wj * d) / 2 AS s FROM w WHERE gi = gj GROUP BY ALL) x USING (pos, g)),
+c AS (SELECT w.pos, w.i, any_value(gi) AS g, any_value(wi) AS w, sum(CASE WHEN gi = gj THEN wj * d ELSE 0 END) / any_value(g.w) - any_value(g.v) AS dc FROM w JOIN g ON g.pos = w.pos AND g.g = w.gi GROUP BY w.pos, w.i)"""
+
+
+@query(
+    "association_by_position",
+    f"""{_DAYS}, z AS (SELECT pos, sum(z1) AS z1, sum(z2) AS z2, sum(z1 * z1 / w) AS zg FROM (SELECT pos, g, sum(w) AS w, sum(w * dc) AS z1, sum(w * dc * dc) AS z2 FROM c GROUP BY pos, g) GROUP BY pos),
+h AS (SELECT pos, any_value(tw) AS tw, any_value(k) AS k, any_value(a.s) / any_value(tw) AS ss, sum(w * v) AS wi, sum((1 - w / tw) * v) AS un, sum((w - 1) * v) AS po, sum((w - 1) * CASE WHEN v > 0 THEN ln(v) ELSE 0 END) AS lo, sum(1 / (w - 1)) AS inv, count(*) FILTER (v <= 0) AS same FROM g JOIN t USING (pos) JOIN a USING (pos) GROUP BY pos)
+SELECT CAST(pos AS INT) AS pos, tw AS weight, k AS groups, round(CASE WHEN wi > 1e-12 THEN (ss - wi) / (k - 1) / (wi / (tw - k)) END, 6) AS pseudo_f, round(CASE WHEN un > 1e-12 THEN (ss - wi) / un END, 6) AS pseudo_fbf, round(CASE WHEN ss <> 0 THEN (ss - wi) / ss END, 6) AS pseudo_r2,
+  round(CASE WHEN same = 0 AND po > 0 THEN ((tw - k) * ln(po / (tw - k)) - lo) / (1 + (inv - 1 / (tw - k)) / (3 * (k - 1))) END, 6) AS bartlett, round(CASE WHEN z2 - zg > 1e-12 THEN (zg - z1 * z1 / tw) / (k - 1) / ((z2 - zg) / (tw - k)) END, 6) AS levene FROM h JOIN z USING (pos)""",
+)
+def _(spark, d):
+    return P.association_by_position(*_weighted_days(spark, d), before=1, after=1)
+
+
+@query("discrepancy_by_position", f"""{_DAYS} SELECT CAST(pos AS INT) AS pos, CAST(g AS INT) AS "group", w AS weight, round(v, 6) AS discrepancy FROM g UNION ALL SELECT CAST(pos AS INT), NULL, tw, round(s / tw / tw, 6) FROM a JOIN t USING (pos)""")
+def _(spark, d):
+    return P.discrepancy_by_position(*_weighted_days(spark, d), before=1, after=1)
