@@ -36,10 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import materialize, small_batches
+from .substring_dedup import Words, mixed
 
 UNKNOWN = "und"
 #: What ends a piece, and what else separates words, in UTF-8.
-ENDS, SPACES, END = b".,;:!?\n\x0b\x0c\r", b" \t", b"\n"
+ENDS, SPACES, END = b".,;:!?\n\x0b\x0c\r", b" \t", 10
+#: Bytes of a language's texts that are read together: phrases are told apart by 64 bits among so many.
+BYTES_TOGETHER = 4 << 20
+#: What hashes of words are multiplied by, once for each word after them.
+FACTOR = 0x9E3779B97F4A7C15
 #: A task gives its counts on when it holds so many phrases.
 PHRASES_HELD = 400_000
 #: A task gives its marks on when it holds so many.
@@ -54,14 +59,10 @@ GRAMS = "lang string, phrase string, f long"
 def _byte_table() -> bytes:
     table = bytearray(range(256))
     for c in range(256):
-        table[c] = 10 if c in ENDS else 32 if c in SPACES else c + 32 if 65 <= c <= 90 else c
+        table[c] = END if c in ENDS else 32 if c in SPACES else c + 32 if 65 <= c <= 90 else c
     return bytes(table)
 
 
-def _seed(lang: str) -> int:
-    return xxhash.xxh64_intdigest(lang)
-
-
 def _bit_map(marks: DataFrame, least: int, bits: int) -> bytes:
     """The places of ``marks`` (bit, f) that reach ``least``: parts of the map are put together on executors, so the driver gets as many bits as it has."""
 
@@ -78,65 +79,122 @@ def _bit_map(marks: DataFrame, least: int, bits: int) -> bytes:
     return bytes(out)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+class Pieces:
+    """Texts of one language that are read together: hashes of their words, and the piece that each word is in."""
+
+    def __init__(self, lang: str, data: bytes) -> None:
+        self.words = Words([data], 1)
+        self.piece = np.cumsum(self.words.data == END)[self.words.starts]
+        self.seed = np.uint64(xxhash.xxh64_intdigest(lang))
+
+    def phrases(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases of ``n`` words within a piece begin, and a hash for every place that has so many words after it."""
+        w = self.words.hashes[0]
+        size = max(0, len(w) - n + 1)
+        hashes = np.full(size, self.seed, np.uint64)
+        for i in range(n):
+            hashes = hashes * np.uint64(FACTOR) + w[i : i + size]
+        return np.flatnonzero(self.piece[:size] == self.piece[n - 1 : n - 1 + size]), mixed(hashes)
+
+    def candidates(self, n: int, shorter: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the phrases of ``n`` words whose two shorter ones pass the map."""
+        passes = _passes(self.phrases(n - 1)[1], shorter, bits)
+        at, hashes = self.phrases(n)
+        at = at[passes[at] & passes[at + 1]]
+        return at, hashes[at]
+
+    def text(self, at: int, n: int) -> bytes:
+        return b" ".join(self.words.data[self.words.starts[at] : self.words.ends[at + n - 1]].tobytes().split())
+
+
+def _passes(hashes: np.ndarray, bit_map: np.ndarray, bits: int) -> np.ndarray:
+    places = hashes % np.uint64(bits)
+    return (bit_map[places >> np.uint64(3)] >> (places & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Pieces]]:
+    """Texts, some MB of a language together."""
+    table = _byte_table()
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter = Counter()
     for batch in batches:
-        yield from zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True)
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held.setdefault(lang, []).append(text.translate(table))
+            sizes[lang] += len(text) + 1
+            if sizes[lang] > BYTES_TOGETHER:
+                yield lang, Pieces(lang, b"\n".join(held.pop(lang)))
+                sizes[lang] = 0
+        if sizes.total() > 4 * BYTES_TOGETHER:  # of many languages
+            for other in list(held):
+                yield other, Pieces(other, b"\n".join(held.pop(other)))
+            sizes.clear()
+    for lang, texts in held.items():
+        yield lang, Pieces(lang, b"\n".join(texts))
+
+
+def _marked(places: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(f.astype(np.int64))], names=["bit", "f"])
 
 
 def _marks(texts: DataFrame, n: int, shorter: Broadcast, bits: int) -> DataFrame:
     """(bit, f): how often a task met each place of the phrases of ``n`` words whose shorter ones pass."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, passing, seeds = _byte_table(), {}, {}
-        held: list[int] = []
-
-        def given() -> pa.RecordBatch:
-            places, f = np.unique(np.array(held, np.uint64) % np.uint64(bits), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(places.astype(np.int64)), pa.array(f)], names=["bit", "f"])
-
-        for lang, text in _texts(batches):
-            if lang not in passing:
-                passing[lang], seeds[lang] = Often(lang, shorter.value, bits), _seed(lang)
-            seed, often = seeds[lang], passing[lang]
-            held += [xxhash.xxh64_intdigest(p, seed) for p in _phrases(_tokens(text, table), n, often)]
-            if len(held) > MARKS_HELD:
-                yield given()
+        bit_map = np.frombuffer(shorter.value, np.uint8)
+        held: list[np.ndarray] = []
+        for _, pieces in _read(batches):
+            held.append(pieces.candidates(n, bit_map, bits)[1] % np.uint64(bits))
+            if sum(map(len, held)) > MARKS_HELD:
+                yield _marked(*np.unique(np.concatenate(held), return_counts=True))
                 held = []
         if held:
-            yield given()
+            yield _marked(*np.unique(np.concatenate(held), return_counts=True))
 
     return texts.mapInArrow(mark, "bit long, f long")
 
 
+def _word_marks(words: DataFrame, bits: int) -> DataFrame:
+    """The same of counted words."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str, list[tuple]] = {}
+            for lang, phrase, f in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "f")), strict=True):
+                by.setdefault(lang, []).append((phrase.encode(), f))
+            for lang, rows in by.items():
+                hashes = Pieces(lang, b"\n".join(p for p, _ in rows)).phrases(1)[1]
+                yield _marked(hashes % np.uint64(bits), np.array([f for _, f in rows]))
+
+    return words.mapInArrow(mark, "bit long, f long")
+
+
 def _counted(texts: DataFrame, n: int, shorter: Broadcast | None, own: Broadcast | None, least: int, bits: int) -> DataFrame:
     """(lang, phrase, f) of the phrases of ``n`` words with ``least`` occurrences; for single words also a row per language without phrase, whose f counts all."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, passing, passing_own = _byte_table(), {}, {}
         held: dict[str, Counter] = {}
-        size = 0
 
         def given() -> pa.RecordBatch:
             names = [lang for lang, c in held.items() for _ in range(len(c))]
             phrases = [None if p is None else p.decode() for c in held.values() for p in c]
             return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(phrases, pa.string()), pa.array([f for c in held.values() for f in c.values()], pa.int64())], names=["lang", "phrase", "f"])
 
-        for lang, text in _texts(batches):
+        maps = [np.frombuffer(m.value, np.uint8) if m else None for m in (shorter, own)]
+        for lang, pieces in _read(batches):
             counts = held.setdefault(lang, Counter())
-            size -= len(counts)
             if n == 1:
-                words = text.translate(table).split()
-                counts.update(words)
-                counts[None] += len(words)
+                at, hashes = pieces.phrases(1)
+                counts[None] += len(at)
             else:
-                if lang not in passing:
-                    passing[lang], passing_own[lang] = Often(lang, shorter.value, bits), Often(lang, own.value, bits)
-                often, mine = passing[lang], passing_own[lang]
-                counts.update([p for p in _phrases(_tokens(text, table), n, often) if mine[p]])
-            size += len(counts)
-            if size > PHRASES_HELD:
+                at, hashes = pieces.candidates(n, maps[0], bits)
+                passes = _passes(hashes, maps[1], bits)
+                at, hashes = at[passes], hashes[passes]
+            _, first, f = np.unique(hashes, return_index=True, return_counts=True)
+            for i, times in zip(at[first].tolist(), f.tolist(), strict=True):
+                counts[pieces.text(i, n)] += times
+            if sum(map(len, held.values())) > PHRASES_HELD:
                 yield given()
-                held, size = {}, 0
+                held = {}
         if held:
             yield given()
 
@@ -144,53 +202,17 @@ def _counted(texts: DataFrame, n: int, shorter: Broadcast | None, own: Broadcast
     return materialize(counted.where((F.col("f") >= least) | F.col("phrase").isNull()), f"phrases-{n}")
 
 
-class Often(dict):
-    """Whether a phrase passes the map, by phrase; answers are kept while there aren't too many. ``END`` is no word."""
-
-    def __init__(self, lang: str, bit_map: bytes, bits: int) -> None:
-        self.seed, self.map, self.bits = _seed(lang), bit_map, bits
-        self[END] = False
-
-    def __missing__(self, phrase: bytes) -> bool:
-        bit = xxhash.xxh64_intdigest(phrase, self.seed) % self.bits
-        passes = bool(self.map[bit >> 3] >> (bit & 7) & 1)
-        if len(self) > PHRASES_HELD:
-            self.clear()
-            self[END] = False
-        self[phrase] = passes
-        return passes
-
-
-def _tokens(text: bytes, table: bytes) -> list[bytes]:
-    """The words of a text, and ``END`` between its pieces."""
-    return list(filter(None, text.translate(table).replace(END, b" \n ").split(b" ")))
-
-
-def _phrases(tokens: list[bytes], n: int, often: Often) -> list[bytes]:
-    """The phrases of ``n`` words, within pieces, that are made of two shorter ones that pass."""
-    shorter = tokens
-    for k in range(1, n - 1):
-        shorter = [END if a == END or b == END else a + b" " + b for a, b in zip(shorter, tokens[k:], strict=False)]
-    passes = list(map(often.__getitem__, shorter))
-    return [a + b" " + b for a, b, x, y in zip(shorter, tokens[n - 1 :], passes, passes[1:], strict=False) if x and y]
-
-
 def phrase_counts(docs: DataFrame, max_n: int = 3, least: int = 10, text: str = "text", lang: str = "lang", bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases with ``least`` occurrences, and (lang, n) with the words of each language."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
     share = docs.sparkSession.sparkContext.broadcast
 
-    def mark_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = [xxhash.xxh64_intdigest(p, _seed(lang)) % bits for lang, p in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), batch.column("f")], names=["bit", "f"])
-
     single = _counted(texts, 1, None, None, least, bits)
     totals = single.where("phrase IS NULL").select("lang", F.col("f").alias("n"))
     words = single.where("phrase IS NOT NULL")
     grams = words.withColumn("size", F.lit(1))
-    own = share(_bit_map(words.mapInArrow(mark_words, "bit long, f long"), least, bits))
+    own = share(_bit_map(_word_marks(words, bits), least, bits))
     for size in range(2, max_n + 1):
         shorter, own = own, share(_bit_map(_marks(texts, size, own, bits), least, bits))
         grams = grams.unionByName(_counted(texts, size, shorter, own, least, bits).withColumn("size", F.lit(size)))

@@ -75,7 +75,7 @@ def _powers(base: int, size: int) -> list[np.ndarray]:
     return _POWERS[base]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     for factor in MIX:
         x = (x ^ (x >> np.uint64(33))) * factor
     return x ^ (x >> np.uint64(33))
@@ -103,6 +103,7 @@ class Words:
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         if len(ends) < len(starts):
             ends = np.append(ends, len(data))
+        self.data, self.starts, self.ends = data, starts, ends
         self.bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))
         self.hashes = [np.empty(len(starts), np.uint64) for _ in range(seeds)]
         cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), HASHED_BYTES)), len(starts)))
@@ -111,7 +112,7 @@ class Words:
             bytes_ = data[low : ends[b - 1]].astype(np.uint64) + np.uint64(1)
             for base, out in zip(WORD_BASES, self.hashes, strict=False):
                 sums = _run_sums(bytes_, starts[a:b] - low, ends[a:b] - low, base)
-                out[a:b] = _mixed(sums + (ends[a:b] - starts[a:b]).astype(np.uint64) * np.uint64(base))
+                out[a:b] = mixed(sums + (ends[a:b] - starts[a:b]).astype(np.uint64) * np.uint64(base))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], seeds: int, ranged: bool) -> Iterator[tuple]:
@@ -187,7 +188,7 @@ def _anchors(groups: int, window: int):
             row = np.searchsorted(words.bounds, places, side="right") - 1
             fits = (places + block <= words.bounds[row + 1]) & (words.bounds[row + 1] - words.bounds[row] >= window)
             places, row = places[fits], row[fits]
-            hashes = _mixed(_run_sums(words.hashes[0][a:end], places - a, places - a + block, RUN_BASES[0]))
+            hashes = mixed(_run_sums(words.hashes[0][a:end], places - a, places - a + block, RUN_BASES[0]))
             aligned = (places - words.bounds[row]) % block == 0
             order, runs = _sorted_runs(hashes)
             count = np.diff(np.append(runs, len(order)))
@@ -335,7 +336,7 @@ def _windows(groups: int, window: int):
             row = np.searchsorted(words.bounds, places, side="right") - 1
             ids = np.array([LAST_ID if r[2] is None else r[2] for r in rows], np.int64)[row]
             end = min(len(words.hashes[0]), b + window - 1)
-            x, y = (_mixed(_run_sums(h[a:end], places - a, places - a + window, base)) for h, base in zip(words.hashes, RUN_BASES, strict=True))
+            x, y = (mixed(_run_sums(h[a:end], places - a, places - a + window, base)) for h, base in zip(words.hashes, RUN_BASES, strict=True))
             order, runs = _sorted_runs(x, y)
             count = np.diff(np.append(runs, len(order)))
             if len(runs):
