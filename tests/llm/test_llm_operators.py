@@ -479,6 +479,22 @@ def test_chi_square_bound():
     assert ann.chi_square_bound(0.95, 8) == pytest.approx(15.507, abs=1e-3)
 
 
+def test_many_secrets_in_one_text(spark):
+    """Spans of all kinds, in several blocks of matches, equal plain ones, and time grows with their number."""
+    import time
+
+    rng = random.Random(6)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    kinds = [lambda: draw("0123456789abcdef", 32), lambda: draw("ABCDEFGHabcdefgh0123456789", rng.choice([19, 20, 30])), lambda: "token=" + draw("ABCDEFab012345", 12), lambda: "AKIA" + draw("ABCDEF012345", 20), lambda: draw("0123456789ABCDEF", 24), lambda: "two words"]
+    text = " ".join(rng.choice(kinds)() for _ in range(1_500))
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    plain = brute.entropy_spans(text, secrets.CLASSES, secrets.ALLOWED, brute.base_spans(text))
+    assert row.spans == ",".join(f"{secrets.KINDS[r]}:{s}:{e}" for s, r, e in plain) and row.n_entropy > 200
+    many = spark.createDataFrame([(1, " ".join(kinds[0]() for _ in range(20_000)))], "doc_id long, text string")
+    began = time.perf_counter()
+    assert secrets.scan_secrets(many).first().n_hex == 20_000 and time.perf_counter() - began < 60
+
+
 # line dedup
 
 
