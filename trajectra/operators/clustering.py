@@ -8,6 +8,7 @@ grouped sums pick the best. Quality indices are grouped sums over the pair table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .distances import Measure, both_ways, unique_sequences
+from .distances import Measure, SummedMeasure, both_ways, to_references, unique_sequences
 from .sequences import SequenceFrame
 from .tables import reads_pairs_often, running, stored
 
@@ -436,7 +437,7 @@ def _memberships(d: np.ndarray, method: str, fuzziness: float, noise: float | No
 
 
 def clara(
-    frame: SequenceFrame, how: Measure, k: int, samples: int = 5, size: int = 200, seed: int = 1, objective: str = "distance", method: str = "PAM", fuzziness: float = 1.5, noise: float | None = None, stability: bool = False
+    frame: SequenceFrame, how: Measure | SummedMeasure, k: int, samples: int = 5, size: int = 200, seed: int = 1, objective: str = "distance", method: str = "PAM", fuzziness: float = 1.5, noise: float | None = None, stability: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Sampling-based medoids: ((id, cluster), (sample, distance, db, xb, pbm, ams, best[, ari, jaccard])).
 
@@ -445,9 +446,32 @@ def clara(
     sample and cluster, from which the objectives follow: mean distance, Davies-Bouldin and Xie-Beni (least), PBM and mean
     silhouette (largest). ``stability``: agreement of each sample's clusters with the best one's, in another pass.
     """
+    labels, report, _ = _clara(frame, how, k, samples, size, seed, objective, method, fuzziness, noise, stability)
+    return labels, report
+
+
+def clara_representativeness(frame: SequenceFrame, how: Measure | SummedMeasure, k: int, largest: float, **options) -> tuple[DataFrame, DataFrame]:
+    """((id, cluster, representativeness), as of ``clara``): how well each of the best sample's medoids stands for a sequence, 1 - d / ``largest``, 0 at least.
+
+    A distance above ``largest`` is an error when it is read. The medoids are those of ``clara`` by ``PAM``, with its ``options``.
+    """
+    if not 0 < largest < math.inf:
+        raise ValueError("the largest distance must be positive and finite")
+    _, report, medoids = _clara(frame, how, k, method="PAM", **options)
+    near = to_references(frame, medoids, how)
+    too_far = F.raise_error(F.concat(F.lit(f"a distance is above {largest}: "), F.col("d"))).cast("double")
+    near = near.select(F.col("i").alias("uid"), (F.col("ref") + 1).alias("cluster"), F.when(F.col("d") > largest * (1 + 1e-9), too_far).otherwise(F.greatest(F.lit(0.0), 1 - F.col("d") / largest)).alias("representativeness"))
+    unique = unique_sequences(frame).select("uid", "seq")
+    return frame.arrays.select("id", "seq").join(unique, "seq").join(near, "uid").select("id", "cluster", "representativeness"), report
+
+
+def _clara(
+    frame: SequenceFrame, how: Measure | SummedMeasure, k: int, samples: int = 5, size: int = 200, seed: int = 1, objective: str = "distance", method: str = "PAM", fuzziness: float = 1.5, noise: float | None = None, stability: bool = False
+) -> tuple[DataFrame, DataFrame, list[list[int]]]:
+    """Labels, report, and the best sample's medoids."""
     if objective not in OBJECTIVES or method not in ("PAM", "FCMdd", "NCdd"):
         raise ValueError(f"objective is one of {tuple(OBJECTIVES)}, method PAM, FCMdd or NCdd")
-    unique = unique_sequences(frame)
+    unique = stored(unique_sequences(frame))
     top = weighted_samples(unique, samples, size, seed)
 
     def cluster(table: pa.Table) -> pa.Table:
@@ -544,7 +568,7 @@ def clara(
         schema += ", ari double, jaccard double"
     labels = unique.select("seq").mapInArrow(assign, "seq array<int>, cluster int")
     report = unique.sparkSession.createDataFrame(out, schema)
-    return frame.arrays.select("id", "seq").join(labels, "seq").select("id", "cluster"), report
+    return frame.arrays.select("id", "seq").join(labels, "seq").select("id", "cluster"), report, by_sample[best]
 
 
 def _agreement_of(table: dict[tuple[int, int], float]) -> tuple[float, float]:

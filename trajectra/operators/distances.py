@@ -101,6 +101,28 @@ class Measure:
         return out
 
 
+@dataclass
+class SummedMeasure:
+    """Weighted sums of the measures of several domains, whose sequences stand one after another, each with its length before it."""
+
+    measures: list[Measure]
+    weights: list[float]
+
+    def split(self, sequence: list[int]) -> list[list[int]]:
+        parts, at = [], 0
+        for _ in self.measures:
+            parts.append(sequence[at + 1 : at + 1 + sequence[at]])
+            at += 1 + sequence[at]
+        return parts
+
+    def block(self, sequences: list[list[int]]) -> list[K.Block]:
+        by_domain = list(zip(*map(self.split, sequences), strict=True)) or [()] * len(self.measures)
+        return [m.block(list(part)) for m, part in zip(self.measures, by_domain, strict=True)]
+
+    def distances(self, a: list[K.Block], b: list[K.Block]) -> np.ndarray:
+        return sum(w * m.distances(x, y) for w, m, x, y in zip(self.weights, self.measures, a, b, strict=True))
+
+
 def measure(
     frame: SequenceFrame,
     method: str,
@@ -228,9 +250,9 @@ def _equal_lengths(frame: SequenceFrame) -> None:
         raise ValueError("the measure needs sequences of equal length")
 
 
-def to_references(frame: SequenceFrame, references: list[list[int]], method: str = "OM", **options) -> DataFrame:
+def to_references(frame: SequenceFrame, references: list[list[int]], method: str | Measure | SummedMeasure = "OM", **options) -> DataFrame:
     """(i, ref, d): each distinct sequence against a given list of sequences; a narrow pass, the list travels with the task."""
-    how = measure(frame, method, **options)
+    how = measure(frame, method, **options) if isinstance(method, str) else method
 
     def compare(batches):
         targets = how.block(references)

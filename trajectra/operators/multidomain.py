@@ -89,6 +89,22 @@ def summed_distances(domains: Sequence[SequenceFrame], options: Sequence[dict],
     return D.block_pairs(unique.select("uid", *names), compare, "i long, j long, d double")
 
 
+def summed(domains: Sequence[SequenceFrame], options: Sequence[dict], weights: Sequence[float] | None = None, link: str = "sum") -> tuple[SequenceFrame, D.SummedMeasure]:
+    """One table of the domains' sequences together, and the measure of their summed distances.
+
+    ``clara`` and ``to_references`` take both, so that no pair table is made. Costs that depend on
+    the data are those of each whole domain. Ids that a domain doesn't have are left out.
+    """
+    weights = [float(w) for w in weights or [1.0] * len(domains)]
+    if len(options) != len(domains) or len(weights) != len(domains) or min(weights) < 0 or not sum(weights):
+        raise ValueError("each domain has its options and a weight, none below 0 and one above")
+    scale = sum(weights) if link == "mean" else 1.0
+    rows = reduce(lambda a, b: a.join(b, "id"), [f.arrays.select("id", F.col("seq").alias(f"q{n}"), *(["weight"] if n == 0 else [])) for n, f in enumerate(domains)])
+    parts = [x for n in range(len(domains)) for x in (F.array(F.size(f"q{n}")), F.col(f"q{n}"))]
+    frame = D.ArrayFrame(rows.select("id", F.concat(*parts).alias("seq"), "weight"), tuple(s for f in domains for s in f.states))
+    return frame, D.SummedMeasure([D.measure(f, **o) for f, o in zip(domains, options, strict=True)], [w / scale for w in weights])
+
+
 def domain_contributions(pairs: Sequence[DataFrame]) -> DataFrame:
     """(domain, share): each domain's share of the sum of all distances."""
     sums = reduce(lambda a, b: a.unionByName(b), [p.agg(F.lit(n).alias("domain"), F.sum("d").alias("s")) for n, p in enumerate(pairs)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trajectra.operators import clustering as C
 from trajectra.operators import distances as D
 from trajectra.operators import multidomain as M
 from trajectra.operators import relational as L
@@ -176,3 +177,22 @@ def _(spark, d):
 @query("clustered_units")
 def _(spark, d):
     return L.cluster_units(*_relational_pairs(spark, d), k=2)
+
+
+#: Each distinct pair of daily sequences against those of users 1 and 2: mismatches of events, and twice those of bands.
+_TO_TWO = f"""WITH {fx.SQL["ev_daily"]}, {fx.SQL["bands_daily"]}, b AS (SELECT id, pos, p.s AS s, p2.s AS t FROM p JOIN p2 USING (id, pos)),
+u AS (SELECT id, list(s ORDER BY pos) AS q, list(t ORDER BY pos) AS r FROM b GROUP BY id), e AS (SELECT min(id) AS i, q, r FROM u GROUP BY q, r)
+SELECT e.i, CAST(f.id - 1 AS INT) AS ref, CAST(list_sum(list_transform(range(1, {fx.DAYS + 1}), lambda k: CASE WHEN e.q[k] = f.q[k] THEN 0 ELSE 1 END + CASE WHEN e.r[k] = f.r[k] THEN 0 ELSE 2 END)) AS DOUBLE) AS d FROM e, u f WHERE f.id IN (1, 2)"""
+
+
+@query("summed_references", _TO_TWO)
+def _(spark, d):
+    frame, how = M.summed(_daily(spark, d), [{"method": "HAM"}, {"method": "HAM"}], [1.0, 2.0])
+    two = [list(r.seq) for r in frame.arrays.where("id IN (1, 2)").orderBy("id").collect()]
+    return D.to_references(frame, two, how)
+
+
+@query("multidomain_clara_sums")
+def _(spark, d):
+    frame, how = M.summed([fx.ev_all(spark, d), fx.bands_all(spark, d)], [{"method": "OM", "indel": 1.0}, {"method": "LCS"}], [1.0, 2.0], "mean")
+    return C.clara(frame, how, 3, samples=3, size=60)[0]

@@ -202,6 +202,13 @@ def _(spark, d):
     return C.clara(frame, D.measure(frame, "OM", indel=1.0), 3, samples=2, size=80, objective="xb", method="FCMdd")[1]
 
 
+@query("clara_representativeness")
+def _(spark, d):
+    """Distances over the longer length, which are 2 at most."""
+    frame = fx.ord_seq(spark, d)
+    return C.clara_representativeness(frame, D.measure(frame, "OM", indel=1.0, norm="maxlength"), 3, 2.0, samples=3, size=100)[0]
+
+
 @query("cluster_methods")
 def _(spark, d):
     return C.compare_methods(*_weighted(spark, d), methods=["average", "PAM"], ks=[2, 3])
