@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from trajectra.functions.special import poisson_truncated
 
-from .distances import ArrayFrame, block_pairs
+from .distances import ArrayFrame, block_pairs, pairwise, to_references
 from .sequences import SequenceFrame
+from .tables import numbered, stored
 
 
 def error_distribution(mean_error: float, most: int) -> list[float]:
@@ -30,13 +31,12 @@ def error_distribution(mean_error: float, most: int) -> list[float]:
     return poisson_truncated((low + high) / 2, most)
 
 
-def replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1, independent: bool = True) -> DataFrame:
-    """(rep, id, seq, weight): replicate 0 is the data; in others each transition moves by a drawn error, to either side.
+#: SQL for the positions at which the spells of ``seq`` begin.
+STARTS = "filter(sequence(1, size(seq)), p -> p = 1 OR seq[p - 1] <> seq[greatest(p - 2, 0)])"
 
-    ``independent``: transitions keep their order by clamping to their neighbours; else a shift carries on
-    to all later transitions. Spells keep a length of one at least, and sequences theirs.
-    """
-    spread = frame.arrays.select("id", "seq", "weight", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("rep"))
+
+def _shift(errors: list[float], seed: int) -> str:
+    """SQL for the drawn error of the spell ``k`` of an id and replicate, to either side."""
     cumulative, total = [], 0.0
     for p in errors:
         total += p
@@ -44,10 +44,17 @@ def replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1,
     bounds = ", ".join(f"{c!r}D" for c in cumulative[:-1])
     u = f"((pmod(xxhash64({seed}, rep, id, k), {1 << 52}) + 0.5D) / {float(1 << 52)!r}D)"
     size = f"size(filter(array({bounds}), c -> c < {u}))" if bounds else "0"
-    side = f"IF(pmod(xxhash64({seed}, rep, id, k, 7), 2) = 0, 1, -1)"
-    starts = "filter(sequence(1, size(seq)), p -> p = 1 OR seq[p - 1] <> seq[greatest(p - 2, 0)])"
-    begin = "element_at(starts, k)"
-    shift = f"({size}) * ({side})"
+    return f"({size}) * (IF(pmod(xxhash64({seed}, rep, id, k, 7), 2) = 0, 1, -1))"
+
+
+def replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1, independent: bool = True) -> DataFrame:
+    """(rep, id, seq, weight): replicate 0 is the data; in others each transition moves by a drawn error, to either side.
+
+    ``independent``: transitions keep their order by clamping to their neighbours; else a shift carries on
+    to all later transitions. Spells keep a length of one at least, and sequences theirs.
+    """
+    spread = frame.arrays.select("id", "seq", "weight", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("rep"))
+    begin, shift = "element_at(starts, k)", _shift(errors, seed)
     n_spells = "size(starts)"
     if independent:
         low, high = f"IF(k = 1, 1, greatest({begin} + {shift}, a[k - 2] + 1))", f"size(seq) - ({n_spells} - k)"
@@ -55,12 +62,91 @@ def replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1,
     else:
         moved = f"""aggregate(sequence(1, {n_spells}), named_struct('a', cast(array() AS array<int>), 's', 0),
           (z, k) -> named_struct('a', concat(z.a, array(cast(IF(k = 1, 1, least(greatest({begin} + z.s + {shift}, z.a[k - 2] + 1), size(seq) - ({n_spells} - k))) AS int))), 's', z.s + IF(k = 1, 0, {shift})), z -> z.a)"""
-    rows = spread.withColumn("starts", F.expr(starts))
+    rows = spread.withColumn("starts", F.expr(STARTS))
     rows = rows.withColumn("moved", F.expr(f"IF(rep = 0, starts, {moved})"))
     rebuilt = F.expr("transform(sequence(1, size(seq)), p -> seq[element_at(starts, size(filter(moved, m -> m <= p))) - 1])")
     return rows.select("rep", "id", rebuilt.alias("seq"), "weight")
 
 
+def move_relative(durations: list[int], shifts: list[int]) -> list[int]:
+    """Durations after each transition moved by its shift while the times to later transitions stay: the last spell makes up for it.
+
+    What a spell lacks to give is taken from those before it (of an earlier transition) or from the
+    last ones backwards (of a later one); what can't be given isn't moved. Spells may vanish, but
+    keep their order, and the whole its length.
+    """
+    out, last = list(durations), len(durations) - 1
+
+    def take(n: int, spells: range) -> int:
+        given = 0
+        for j in spells:
+            part = min(out[j], n - given)
+            out[j], given = out[j] - part, given + part
+        return given
+
+    for i, shift in enumerate(shifts):
+        if shift < 0:
+            out[last] += take(-shift, range(i, -1, -1))
+        elif shift > 0:
+            out[i] += take(shift, range(last, i, -1))
+    return out
+
+
+def relative_replicates(frame: SequenceFrame, n: int, errors: list[float], seed: int = 1) -> DataFrame:
+    """(rep, id, seq, weight) as of ``replicates``, each shift moving all later transitions with it (``move_relative``)."""
+    spread = frame.arrays.select("id", "seq", "weight", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("rep")).withColumn("starts", F.expr(STARTS))
+    durations = "transform(starts, (s, i) -> coalesce(get(starts, i + 1), size(seq) + 1) - s)"
+    shifts = f"IF(rep = 0 OR size(starts) < 2, cast(array() AS array<int>), transform(sequence(2, size(starts)), k -> cast({_shift(errors, seed)} AS int)))"
+    rows = spread.select("rep", "id", "weight", F.transform("starts", lambda s: F.get("seq", s - 1)).alias("states"), F.expr(durations).alias("durations"), F.expr(shifts).alias("shifts"))
+
+    def move(batches):
+        for batch in batches:
+            seqs = []
+            for states, held, shifts in zip(*(batch.column(c).to_pylist() for c in ("states", "durations", "shifts")), strict=True):
+                seqs.append([s for s, d in zip(states, move_relative(held, shifts), strict=True) for _ in range(d)])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("id"), pa.array(seqs, pa.list_(pa.int32())), batch.column("weight")], names=["rep", "id", "seq", "weight"])
+
+    return rows.mapInArrow(move, f"rep int, id {rows.schema['id'].dataType.simpleString()}, seq array<int>, weight double")
+
+
+def union_frame(rows: DataFrame, frame: SequenceFrame) -> tuple[SequenceFrame, DataFrame]:
+    """The distinct sequences of all replicates, numbered from 0, as a table of their own; and (rep, id, uid), whose they are."""
+    held = rows.select("rep", "id", "seq", "weight")
+    distinct = stored(numbered(held.groupBy("seq").agg(F.sum("weight").alias("weight")).withColumn("h", F.xxhash64("seq")), ["h", "seq"], "uid"))
+    owners = held.join(distinct.select("seq", "uid"), "seq").select("rep", "id", "uid")
+    return ArrayFrame(distinct.select(F.col("uid").alias("id"), "seq", "weight"), frame.states), owners
+
+
+def replicate_distances(rows: DataFrame, frame: SequenceFrame, method: str = "LCS", **options) -> DataFrame:
+    """(rep, i, j, d), i < j over ids: distances within each replicate, by any measure.
+
+    Sequences that several replicates or ids have are compared once, in one pair table, to which the
+    replicates' ids are joined.
+    """
+    union, owners = union_frame(rows, frame)
+    owners = stored(owners)
+    pairs = pairwise(union, method, **options).select(F.col("i").alias("u"), F.col("j").alias("v"), "d")
+    first = owners.select("rep", F.col("id").alias("a"), F.col("uid").alias("u"))
+    second = owners.select("rep", F.col("id").alias("b"), F.col("uid").alias("v"))
+    apart = pairs.join(first, "u").join(second, ["rep", "v"]).select("rep", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), "d")
+    equal = first.join(second, (first.rep == second.rep) & (first.u == second.v) & (first.a < second.b)).select(first.rep, first.a.alias("i"), second.b.alias("j"), F.lit(0.0).alias("d"))
+    return apart.unionByName(equal)
+
+
+def replicate_reference_distances(rows: DataFrame, frame: SequenceFrame, references: list[list[int]], method: str = "LCS", **options) -> DataFrame:
+    """(rep, id, ref, d): each replicate's distances to given sequences; each distinct sequence is compared once."""
+    union, owners = union_frame(rows, frame)
+    near = to_references(union, references, method, **options).select(F.col("i").alias("uid"), "ref", "d")
+    return owners.join(near, "uid").select("rep", "id", "ref", "d")
+
+
+def spread_of(distances: DataFrame) -> DataFrame:
+    """(i, j, observed, mean, sd, bias, mse) of (rep, i, j, d): each pair over the replicates, and against replicate 0."""
+    drawn = F.when(F.col("rep") > 0, F.col("d"))
+    one = distances.groupBy("i", "j").agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("observed"), F.avg(drawn).alias("mean"), F.stddev_samp(drawn).alias("sd"), F.avg(drawn * drawn).alias("square"))
+    return one.select("i", "j", "observed", "mean", "sd", (F.col("mean") - F.col("observed")).alias("bias"), (F.col("square") - 2 * F.col("mean") * F.col("observed") + F.col("observed") * F.col("observed")).alias("mse"))
+
+
 def replicate_frame(rows: DataFrame, rep: int, frame: SequenceFrame) -> SequenceFrame:
     return ArrayFrame(rows.where(F.col("rep") == rep).select("id", "seq", "weight"), frame.states)
 

@@ -119,3 +119,29 @@ def _(spark, d):
 @query("replicate_agreement")
 def _(spark, d):
     return U.replicate_agreement(_replicates(spark, d), 3)
+
+
+def _periods(spark, d):
+    """(rep, id, seq, weight): three periods of ten days as replicates of a panel."""
+    rows = fx.ev_daily(spark, d).long.where("pos <= 30").withColumn("rep", F.expr("(pos - 1) DIV 10").cast("int"))
+    met = rows.groupBy("rep", "id").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("x"), F.first("weight").alias("weight"))
+    return met.select("rep", "id", F.col("x.code").alias("seq"), "weight")
+
+
+_PERIODS = f"WITH {fx.SQL['ev_daily']}, q AS (SELECT (pos - 1) // 10 AS rep, id, list(s ORDER BY pos) AS x FROM p WHERE pos <= 30 GROUP BY ALL), m AS (SELECT a.rep, a.id AS i, b.id AS j, CAST(list_sum(list_transform(range(1, 11), lambda t: CASE WHEN a.x[t] = b.x[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM q a JOIN q b ON a.rep = b.rep AND a.id < b.id)"
+
+
+@query("union_distances", f"{_PERIODS} SELECT CAST(rep AS INT) AS rep, i, j, d FROM m")
+def _(spark, d):
+    """Distances within each period; sequences that several periods have are compared once."""
+    return U.replicate_distances(_periods(spark, d), fx.ev_daily(spark, d), "HAM")
+
+
+@query("union_spread", f"{_PERIODS} SELECT i, j, max(d) FILTER (rep = 0) AS observed, round(avg(d) FILTER (rep > 0), 6) AS mean, round(stddev_samp(d) FILTER (rep > 0), 6) AS sd, round(avg(d) FILTER (rep > 0) - max(d) FILTER (rep = 0), 6) AS bias, round(avg((d - o) * (d - o)) FILTER (rep > 0), 6) AS mse FROM m JOIN (SELECT i, j, d AS o FROM m WHERE rep = 0) USING (i, j) GROUP BY i, j")
+def _(spark, d):
+    return U.spread_of(U.replicate_distances(_periods(spark, d), fx.ev_daily(spark, d), "HAM"))
+
+
+@query("timing_replicates_relative")
+def _(spark, d):
+    return U.relative_replicates(fx.ev_daily(spark, d), 5, U.error_distribution(1.0, 4))
