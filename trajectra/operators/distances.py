@@ -222,9 +222,9 @@ def _table(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> pa.Table:
 def pairwise(frame: SequenceFrame, method: str = "OM", block: int = BLOCK, most: int = MOST_UNIQUE, **options) -> DataFrame:
     """(i, j, d), i < j, over the distinct sequences' uids, of which there are ``most`` at most."""
     if method == "OMstran":
-        return omstran(frame, block=block, **options)
+        return omstran(frame, block=block, most=most, **options)
     if method in ("CHI2", "EUCLID"):
-        return profiles(frame, method, block=block, **options)
+        return profiles(frame, method, block=block, most=most, **options)
     if method in ("HAM", "DHD"):
         _equal_lengths(frame)
     how = measure(frame, method, **options)
@@ -265,7 +265,7 @@ def to_references(frame: SequenceFrame, references: list[list[int]], method: str
     return unique_sequences(frame).select("uid", "seq").mapInArrow(compare, "i long, ref int, d double")
 
 
-def omstran(frame: SequenceFrame, otto: float = 0.5, indel: float | None = None, costs: list[list[float]] | None = None, transition_cost: float = 2.0, norm: str = "none", block: int = BLOCK) -> DataFrame:
+def omstran(frame: SequenceFrame, otto: float = 0.5, indel: float | None = None, costs: list[list[float]] | None = None, transition_cost: float = 2.0, norm: str = "none", block: int = BLOCK, most: int = MOST_UNIQUE) -> DataFrame:
     """OM on states paired with the next one; a pair's cost is otto * state cost + (1 - otto) * transition cost.
 
     A transition costs ``transition_cost`` against another one; the last position pairs with itself.
@@ -279,7 +279,7 @@ def omstran(frame: SequenceFrame, otto: float = 0.5, indel: float | None = None,
     wide = otto * sm[first][:, first] + (1 - otto) * transition_cost * (different & (moved[:, None] | moved[None]))
     paired = frame.arrays.select("id", F.transform("seq", lambda s, i: (s - 1) * k + F.coalesce(F.get("seq", i + 1), s)).alias("seq"), "weight")
     shifted = ArrayFrame(paired, tuple(f"{a}>{b}" for a, b in pairs))
-    return pairwise(shifted, "OM", block=block, costs=wide.tolist(), indel=wide.max() / 2 if indel is None else indel, norm=norm)
+    return pairwise(shifted, "OM", block=block, most=most, costs=wide.tolist(), indel=wide.max() / 2 if indel is None else indel, norm=norm)
 
 
 class ArrayFrame(SequenceFrame):
@@ -291,7 +291,7 @@ class ArrayFrame(SequenceFrame):
         self.__dict__["arrays"] = arrays
 
 
-def profiles(frame: SequenceFrame, method: str = "CHI2", step: int = 1, breaks: list[tuple[int, int]] | None = None, overlap: bool = False, whole: bool = False, norm: str = "none", block: int = BLOCK) -> DataFrame:
+def profiles(frame: SequenceFrame, method: str = "CHI2", step: int = 1, breaks: list[tuple[int, int]] | None = None, overlap: bool = False, whole: bool = False, norm: str = "none", block: int = BLOCK, most: int = MOST_UNIQUE) -> DataFrame:
     """CHI2 and EUCLID: distances of the state shares in each period.
 
     ``breaks``: periods of positions from and to, inclusive; else each ``step`` positions. CHI2 weights a
@@ -340,7 +340,7 @@ def profiles(frame: SequenceFrame, method: str = "CHI2", step: int = 1, breaks:
         rows, columns = np.nonzero(keep)
         return _table(u[rows], v[columns], d[rows, columns])
 
-    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)
+    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block, most=most)
 
 
 def expand(frame: SequenceFrame, pairs: DataFrame, most: int = MOST_UNIQUE) -> DataFrame:
@@ -366,7 +366,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
 
 
-def custom(frame: SequenceFrame, distance: Callable[[list[int], list[int]], float], block: int = BLOCK) -> DataFrame:
+def custom(frame: SequenceFrame, distance: Callable[[list[int], list[int]], float], block: int = BLOCK, most: int = MOST_UNIQUE) -> DataFrame:
     """(i, j, d) by a function of two sequences of codes, called for each pair of distinct ones, from the lesser uid."""
 
     def compare(a: pa.Table, b: pa.Table, same: bool) -> pa.Table:
@@ -376,4 +376,4 @@ def custom(frame: SequenceFrame, distance: Callable[[list[int], list[int]], floa
         i, j, d = (np.array(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return _table(i.astype(np.int64), j.astype(np.int64), d.astype(float))
 
-    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block)
+    return block_pairs(unique_sequences(frame).select("uid", "seq"), compare, "i long, j long, d double", block=block, most=most)

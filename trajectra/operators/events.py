@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trajectra.functions.special import chi_square_tail
 
 from .sequences import SequenceFrame
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def parse_pattern(text: str) -> list[list[str]]:
 def frequent_subsequences(rows: DataFrame, min_support: float, longest: int | None = None, weights: DataFrame | None = None, constraint: Constraint = Constraint()) -> DataFrame:
     """(pattern, length, support, share): patterns whose ids weigh ``min_support`` or more, of up to ``longest`` events; None is no limit.
 
-    Patterns grow until none of a length is frequent; each round is checkpointed, so that plans don't grow.
+    Patterns grow until none of a length is frequent; each round is a stored table, so that plans don't grow.
     ``rows``: (id, ts, event); ``weights``: (id, weight), else 1 each.
     """
     people = rows.select("id").distinct()
@@ -84,7 +85,7 @@ def frequent_subsequences(rows: DataFrame, min_support: float, longest: int | No
     if constraint.age_max is not None:
         start = start.where(F.col("ts") <= constraint.age_max)
     ends = start.select(F.array(F.array("event")).alias("pattern"), "id", F.col("ts").alias("first"), F.col("ts").alias("last"))
-    ends, found = _keep_frequent(_checkpointed(ends), people, min_support, constraint)
+    ends, found = _keep_frequent(stored(ends), people, min_support, constraint)
     out = found.withColumn("length", F.lit(1))
     length = 1
     later = rows.select("id", F.col("ts").alias("t"), F.col("event").alias("e"))
@@ -102,7 +103,7 @@ def frequent_subsequences(rows: DataFrame, min_support: float, longest: int | No
         grown = F.when(after, F.concat("pattern", F.array(F.array("e")))).otherwise(F.concat(head, F.array(F.concat(tail, F.array("e")))))
         # Of equal ends the latest start is enough: it allows the most.
         ends = joined.where(after | together).select(grown.alias("pattern"), "id", "first", F.col("t").alias("last")).groupBy("pattern", "id", "last").agg(F.max("first").alias("first")).select("pattern", "id", "first", "last")
-        ends, found = _keep_frequent(_checkpointed(ends), people, min_support, constraint)
+        ends, found = _keep_frequent(stored(ends), people, min_support, constraint)
         out = out.unionByName(found.withColumn("length", F.lit(length)))
     return out.join(F.broadcast(total), how="cross").select(pattern_text(F.col("pattern")).alias("pattern"), "length", "support", (F.col("support") / F.col("total")).alias("share"))
 
@@ -110,15 +111,10 @@ def frequent_subsequences(rows: DataFrame, min_support: float, longest: int | No
 def _keep_frequent(ends: DataFrame, people: DataFrame, least: float, constraint: Constraint) -> tuple[DataFrame, DataFrame]:
     done = ends if constraint.age_max_end is None else ends.where(F.col("last") <= constraint.age_max_end)
     support = done.select("pattern", "id").distinct().join(people, "id").groupBy("pattern").agg(F.sum("weight").alias("support")).where(F.col("support") >= least)
-    support = _checkpointed(support)  # a row per pattern
+    support = stored(support)  # a row per pattern
     return ends.join(support.select("pattern"), "pattern", "left_semi"), support
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed, without its plan: in the folder of ``spark.checkpoint.dir``, or on the executors where that is unset."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def arrays(rows: DataFrame) -> DataFrame:
     """(id, x): each id's events as an ordered array of (ts, event)."""
     return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ts", "event"))).alias("x"))

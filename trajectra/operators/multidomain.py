@@ -182,7 +182,7 @@ def linked_polyads(roles: Sequence[SequenceFrame], draws: int = 50, seed: int =
     for n, other in enumerate(arrays[1:], 1):
         place = places.select(F.col("id").alias(f"i{n}"), F.col("n").alias(f"m{n}"))
         shift = F.when(F.col("draw") == 0, 0).otherwise(F.pmod(F.xxhash64(F.lit(seed), F.lit(n), "draw", "id"), F.lit(n_ids)))
-        joined = joined.withColumn(f"m{n}", F.pmod(F.col("n") + shift, F.lit(n_ids)).cast("int")).join(place, f"m{n}").join(other.withColumnRenamed("id", f"i{n}"), f"i{n}")
+        joined = joined.withColumn(f"m{n}", F.pmod(F.col("n") + shift, F.lit(n_ids))).join(place, f"m{n}").join(other.withColumnRenamed("id", f"i{n}"), f"i{n}")
     names = [f"q{n}" for n in range(len(roles))]
 
     def width(batches):

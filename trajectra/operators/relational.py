@@ -128,7 +128,7 @@ def sampled_distances(frame: SequenceFrame, units: DataFrame, partners: int = 8,
     n = rows.count()
     places = stored(numbered(rows, ["id"]))
     drawn = places.select(F.col("id").alias("i"), F.col("seq").alias("x"), "n", F.explode(F.sequence(F.lit(1), F.lit(partners))).alias("k"))
-    drawn = drawn.withColumn("m", F.pmod(F.col("n") + 1 + F.pmod(F.xxhash64(F.lit(seed), "i", "k"), F.lit(max(1, n - 1))), F.lit(n)).cast("int"))
+    drawn = drawn.withColumn("m", F.pmod(F.col("n") + 1 + F.pmod(F.xxhash64(F.lit(seed), "i", "k"), F.lit(max(1, n - 1))), F.lit(n)))
     both = drawn.join(places.select(F.col("id").alias("j"), F.col("seq").alias("y"), F.col("n").alias("m")), "m")
     missing = frame.missing_code or -1
     valid = F.filter(F.arrays_zip("x", "y"), lambda p: (p["x"] != missing) & (p["y"] != missing))

@@ -7,13 +7,20 @@ from collections.abc import Callable, Sequence
 from functools import wraps
 from math import gcd
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder for stored tables, under that of ``spark.checkpoint.dir``; an error where it is unset, as no other folder is known to be shared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share when the session is made")
+    return f"{folder.rstrip('/')}/trajectra-tables/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df``, computed once: a Parquet table in the folder of ``spark.checkpoint.dir``, or kept on disk where that is unset.
+    """``df``, computed once: a Parquet table in the folder of ``spark.checkpoint.dir``, which all executors share.
 
     A table that has been stored already is given back as it is. The tables go with :func:`release`, or with the folder's
     own retention.
@@ -21,23 +28,17 @@ def stored(df: DataFrame) -> DataFrame:
     if getattr(df, "_stored", False):
         return df
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = f"{folder.rstrip('/')}/trajectra/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        out = spark.read.schema(df.schema).parquet(path)
-    else:
-        out = df.persist(StorageLevel.DISK_ONLY)
+    path = f"{own_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stored = True
     return out
 
 
 def release(spark: SparkSession) -> None:
     """Delete this application's stored tables; call it once no result of them is still to be read."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/trajectra/{spark.sparkContext.applicationId}")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reads_pairs_often(f: Callable) -> Callable:

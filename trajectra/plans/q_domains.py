@@ -8,6 +8,7 @@ from trajectra.operators import clustering as C
 from trajectra.operators import distances as D
 from trajectra.operators import multidomain as M
 from trajectra.operators import relational as L
+from trajectra.operators import structural as P
 from trajectra.sources import fixtures as fx
 from trajectra.sources.tables import table
 
@@ -196,3 +197,20 @@ def _(spark, d):
 def _(spark, d):
     frame, how = M.summed([fx.ev_all(spark, d), fx.bands_all(spark, d)], [{"method": "OM", "indel": 1.0}, {"method": "LCS"}], [1.0, 2.0], "mean")
     return C.clara(frame, how, 3, samples=3, size=60)[0]
+
+
+@query("structural_counts", """WITH u AS (SELECT DISTINCT o_custkey % 40 AS a, o_custkey % 25 AS b, o_custkey AS id FROM orders), r AS (SELECT CASE WHEN x.a = y.a AND x.b = y.b THEN 'same_pair' WHEN x.a = y.a THEN 'same_level_1' WHEN x.b = y.b THEN 'same_level_2' ELSE 'neither' END AS relation FROM u x JOIN u y ON x.id < y.id)
+SELECT k AS relation, (SELECT count(*) FROM r WHERE relation = k) AS n FROM (VALUES ('same_pair'), ('same_level_1'), ('same_level_2'), ('neither')) v(k)""")
+def _(spark, d):
+    return P.pair_counts(_customer_units(spark, d))
+
+
+def _customer_units(spark, d):
+    """Customers with orders, by two remainders of their keys."""
+    keys = table(spark, d, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    return keys.select("id", (F.col("id") % 40).alias("level_1"), (F.col("id") % 25).alias("level_2"))
+
+
+@query("structural_sample")
+def _(spark, d):
+    return P.sampled_by_relation(fx.ord_status(spark, d), _customer_units(spark, d), {"same_level_1": 2_000, "same_level_2": 2_000, "neither": 4_000})

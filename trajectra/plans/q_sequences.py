@@ -314,9 +314,9 @@ def _(spark, d):
     """Nations written as separated values and read back."""
     import uuid
 
+    from trajectra.operators.tables import own_folder
     from trajectra.sources import tables
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/trajectra"
-    path = f"{folder.rstrip('/')}/trajectra/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    path = f"{own_folder(spark)}/csv-{uuid.uuid4().hex}"
     tables.write(tables.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "csv")
     return tables.read_csv(spark, path, "n_nationkey long, n_name string, n_regionkey long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,5 +26,8 @@ def local_session(cpus: int | None = None, memory: str = "8g", partitions: int |
         builder = builder.config(key, value)
     builder = builder.config("spark.driver.memory", memory).config("spark.sql.shuffle.partitions", str(partitions or n))
     session = builder.getOrCreate()
+    if not session.conf.get("spark.checkpoint.dir", None):  # stored tables need a folder; on one machine any will do
+        session.stop()
+        session = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='trajectra-')}").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
