@@ -42,13 +42,13 @@ UNKNOWN = "und"
 #: What ends a piece, and what else separates words, in UTF-8.
 ENDS, SPACES, END = b".,;:!?\n\x0b\x0c\r", b" \t", 10
 #: Bytes of a language's texts that are read together: phrases are told apart by 64 bits among so many.
-BYTES_TOGETHER = 4 << 20
+BYTES_TOGETHER = 2 << 20
 #: What hashes of words are multiplied by, once for each word after them.
 FACTOR = 0x9E3779B97F4A7C15
 #: A task gives its counts on when it holds so many phrases.
-PHRASES_HELD = 400_000
+PHRASES_HELD = 150_000
 #: A task gives its marks on when it holds so many.
-MARKS_HELD = 1_000_000
+MARKS_HELD = 400_000
 #: Bits of the map: 16 MB.
 FILTER_BITS = 1 << 27
 #: Bits of the map that are put together in one row.
