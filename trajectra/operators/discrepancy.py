@@ -217,6 +217,7 @@ class TreeNode:
     variable: str | None = None
     values: tuple = ()
     r2: float = 0.0
+    p_value: float | None = None
     children: list[TreeNode] = field(default_factory=list)
 
     def leaves(self) -> list[TreeNode]:
@@ -227,11 +228,16 @@ class TreeNode:
         return [own, *(x for c in self.children for x in c.lines(indent + 1))]
 
 
-def distance_tree(pairs: DataFrame, rows: DataFrame, predictors: list[str], min_size: int = 20, max_depth: int = 3, min_r2: float = 0.01) -> tuple[TreeNode, DataFrame]:
+def distance_tree(
+    pairs: DataFrame, rows: DataFrame, predictors: list[str], min_size: int = 20, max_depth: int = 3, min_r2: float = 0.01,
+    replicates: int = 0, max_p: float = 0.05, seed: int = 1, weights: str = "diss",
+) -> tuple[TreeNode, DataFrame]:
     """A tree of binary splits, each a predictor's values in order of their mean distance to the node's centre; and (id, leaf).
 
     Each level is one grouped pass over the pairs within nodes, by predictor and pair of values: the
-    driver gets sums per pair of values, not rows.
+    driver gets sums per pair of values, not rows. With ``replicates`` a node is split if its best split
+    has a p-value of ``max_p`` or less when its rows are dealt out anew; all open nodes of a level are
+    tested in one pass (``permutations.set_tests``, which says what ``weights`` do).
     """
     members = rows.select("id", "weight", *predictors).withColumn("node", F.lit(1))
     root: TreeNode | None = None
@@ -256,6 +262,8 @@ def distance_tree(pairs: DataFrame, rows: DataFrame, predictors: list[str], min_
             best = _best_split(predictors, weight, cross, total_w, ss, min_size) if depth < max_depth else None
             if best and best[0] >= min_r2:
                 splits[node] = best
+        if splits and replicates:
+            splits = _tested(pairs, members, splits, known, replicates, max_p, seed + depth, weights)
         if not splits:
             break
         label = F.col("node")
@@ -270,6 +278,19 @@ def distance_tree(pairs: DataFrame, rows: DataFrame, predictors: list[str], min_
     return root, members.select("id", F.col("node").alias("leaf"))
 
 
+def _tested(pairs: DataFrame, members: DataFrame, splits: dict[int, tuple], known: dict[int, TreeNode], replicates: int, max_p: float, seed: int, weights: str) -> dict[int, tuple]:
+    """The splits that are significant; nodes learn their p-values."""
+    from .permutations import set_tests
+
+    side: Column = F.lit(None).cast("boolean")
+    for node, (_, variable, left) in splits.items():
+        side = F.when(F.col("node") == node, F.coalesce(F.col(variable).cast("string").isin(*left), F.lit(False))).otherwise(side)
+    rows = members.where(F.col("node").isin(*splits)).select("id", "weight", F.col("node").alias("set"), side.alias("group"))
+    for r in set_tests(pairs, rows, replicates, seed, weights).collect():  # a row per open node
+        known[r["set"]].p_value = r.p_value
+    return {node: split for node, split in splits.items() if known[node].p_value is not None and known[node].p_value <= max_p}
+
+
 def _best_split(predictors: list[str], weight: dict, cross: dict, total_w: float, ss: float, min_size: int) -> tuple | None:
     best = None
     for p in predictors:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajectra.operators import clustering as C
 from trajectra.operators import discrepancy as A
 from trajectra.operators import distances as D
+from trajectra.operators import permutations as T
 from trajectra.operators import representatives as R
 from trajectra.sources import fixtures as fx
 
@@ -127,6 +128,25 @@ def _(spark, d):
     return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0)[1]
 
 
+@query("distance_tree_tested")
+def _(spark, d):
+    pairs, rows = _ham(spark, d)
+    rows = rows.withColumn("parity", F.col("id") % 2).withColumn("fifth", F.col("id") % 5)
+    return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0, replicates=49, max_p=0.9)[1]
+
+
+#: The F and the share explained of each of two sets of users; the draws have no SQL and are left out.
+@query(
+    "set_associations",
+    f"""WITH {fx.SQL['ev_daily']}, a AS (SELECT id, list(s ORDER BY pos) AS x FROM p GROUP BY id), q AS (SELECT a.id % 2 AS s, a.id % 3 AS gi, b.id % 3 AS gj, list_sum(list_transform(range(1, 32), lambda t: CASE WHEN a.x[t] = b.x[t] THEN 0.0 ELSE 1.0 END)) AS d FROM a JOIN a b ON a.id < b.id AND a.id % 2 = b.id % 2),
+n AS (SELECT id % 2 AS s, id % 3 AS g, count(*) AS n FROM a GROUP BY ALL), w AS (SELECT s, gi AS g, sum(d) AS d FROM q WHERE gi = gj GROUP BY ALL), z AS (SELECT n.s, sum(coalesce(w.d, 0) / n) AS wi, sum(n) AS n, count(*) AS k FROM n LEFT JOIN w ON w.s = n.s AND w.g = n.g GROUP BY n.s), t AS (SELECT s, sum(d) AS d FROM q GROUP BY s)
+SELECT CAST(s AS BIGINT) AS set, CAST(k AS INT) AS groups, round((d / n - wi) / (k - 1) / (wi / (n - k)), 6) AS pseudo_f, round(1 - wi / (d / n), 6) AS pseudo_r2 FROM z JOIN t USING (s)""",
+)
+def _(spark, d):
+    pairs, rows = _ham(spark, d)
+    return T.set_tests(pairs, rows.select("id", "weight", (F.col("id") % 2).alias("set"), (F.col("id") % 3).alias("group")), 19).drop("p_value")
+
+
 def _weighted(spark, d):
     """Hamming pairs of the distinct daily sequences and their weights."""
     frame = fx.ev_daily(spark, d)
