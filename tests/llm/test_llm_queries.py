@@ -48,7 +48,7 @@ def test_secrets_sql_on_made_texts(spark, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
