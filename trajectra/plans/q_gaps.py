@@ -71,9 +71,9 @@ def _weighted_days(spark, d):
 
 
 #: CTEs over all pairs: windows of three days "w", groups "g" with weight, sum and mean, all "a", and distances to the groups' centres "c".
-_DAYS = f"""WITH {fx.SQL["ev_daily"]}, q AS (SELECT a.id AS i, b.id AS j, a.pos, CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END AS m, a.id % 3 AS gi, b.id % 3 AS gj, 1.0 + a.id % 2 AS wi, 1.0 + b.id % 2 AS wj FROM p a JOIN p b ON a.pos = b.pos AND a.id <> b.id),
+_DAYS = f"""WITH {fx.SQL["ev_daily"]}, q AS (SELECT a.id AS i, b.id AS j, a.pos, CASE WHEN a.s <> b.s THEN 1.0 ELSE 0.0 END AS m, a.id % 3 AS gi, b.id % 3 AS gj, 1e0 + a.id % 2 AS wi, 1e0 + b.id % 2 AS wj FROM p a JOIN p b ON a.pos = b.pos AND a.id <> b.id),
 w AS (SELECT *, sum(m) OVER z AS d, count(*) OVER z AS n FROM q WINDOW z AS (PARTITION BY i, j ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) QUALIFY n = 3),
-r AS (SELECT pos, id % 3 AS g, sum(1.0 + id % 2) AS w FROM p WHERE pos BETWEEN 2 AND 30 GROUP BY ALL),
+r AS (SELECT pos, id % 3 AS g, sum(1e0 + id % 2) AS w FROM p WHERE pos BETWEEN 2 AND 30 GROUP BY ALL),
 a AS (SELECT pos, sum(wi * wj * d) / 2 AS s FROM w GROUP BY pos),
 t AS (SELECT pos, sum(w) AS tw, count(*) AS k FROM r GROUP BY pos),
 g AS (SELECT r.pos, r.g, r.w, coalesce(x.s, 0) / r.w / r.w AS v FROM r LEFT JOIN (SELECT pos, gi AS g, sum(wi * wj * d) / 2 AS s FROM w WHERE gi = gj GROUP BY ALL) x USING (pos, g)),
