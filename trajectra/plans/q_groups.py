@@ -9,6 +9,9 @@ from trajectra.operators import discrepancy as A
 from trajectra.operators import distances as D
 from trajectra.operators import permutations as T
 from trajectra.operators import representatives as R
+from trajectra.operators import schedules as H
+from trajectra.operators import validation as V
+from trajectra.operators.sequences import SequenceFrame
 from trajectra.sources import fixtures as fx
 
 from .q_distances import PANEL
@@ -135,6 +138,24 @@ def _(spark, d):
     return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0, replicates=49, max_p=0.9)[1]
 
 
+def _property_tree(spark, d):
+    frame = fx.ord_status(spark, d)
+    unique = SequenceFrame(frame.long.join(D.unique_sequences(frame).select(F.col("uid").alias("id")), "id", "left_semi"), frame.states, frame.labels, frame.missing_code)
+    return V.property_tree(unique, D.pairwise(unique, "LCS"), min_size=10, max_depth=3)
+
+
+@query("property_tree_cuts")
+def _(spark, d):
+    """Each distinct sequence's cluster at two to four clusters."""
+    root, leaves = _property_tree(spark, d)
+    return H.cut(leaves, root, range(2, min(4, len(root.leaves())) + 1))
+
+
+@query("property_tree_schedule")
+def _(spark, d):
+    return H.schedule_table(spark, _property_tree(spark, d)[0])
+
+
 #: The F and the share explained of each of two sets of users; the draws have no SQL and are left out.
 @query(
     "set_associations",
