@@ -96,7 +96,13 @@ def _(spark, d):
     return E.situation_rates(fx.ord_status(spark, d))
 
 
-@query("situation_distances")
+@query(
+    "situation_distances",
+    f"""WITH {fx.SQL['ord_status']}, n AS (SELECT pos, s, count(*) AS n FROM p GROUP BY ALL), f AS (SELECT pos, s, n / sum(n) OVER (PARTITION BY pos) AS f FROM n),
+r AS (SELECT a.s AS u, c.pos, c.s AS t, count(*) / any_value(n.n) / c.pos AS v FROM p a JOIN p c ON a.id = c.id AND a.pos = 1 AND c.pos > 1 JOIN n ON n.pos = 1 AND n.s = a.s GROUP BY a.s, c.pos, c.s),
+x AS (SELECT g.u, f.pos, f.s AS t, f.f, coalesce(r.v, 0) AS v FROM (SELECT DISTINCT u FROM r) g CROSS JOIN f LEFT JOIN r ON r.u = g.u AND r.pos = f.pos AND r.t = f.s WHERE f.pos > 1)
+SELECT CAST(a.u AS INT) AS s1, CAST(b.u AS INT) AS s2, round(sqrt(sum((a.v - b.v) * (a.v - b.v) / a.f)), 6) AS d FROM x a JOIN x b ON a.pos = b.pos AND a.t = b.t WHERE a.u < b.u GROUP BY ALL""",
+)
 def _(spark, d):
     return E.situation_distances(fx.ord_status(spark, d), 1)
 

@@ -94,12 +94,20 @@ def _(spark, d):
     return P.first_divergence(fx.ord_status(spark, d), method="quantile")
 
 
-@query("first_divergence_top")
+@query(
+    "first_divergence_top",
+    f"WITH {ORD}, {PRE}, {RAR.format(t='pre')}, {LOW.format(w=2, f=2, a=1)}, sc AS (SELECT id, max(low) AS s FROM low GROUP BY id), m AS (SELECT id, s FROM (SELECT *, row_number() OVER (ORDER BY s DESC NULLS LAST, id) AS k FROM sc) WHERE s IS NOT NULL AND k <= greatest(1, floor(0.1 * (SELECT count(DISTINCT id) FROM p)))) "
+    "SELECT id, m.id IS NOT NULL AS diverged, CAST((SELECT min(pos) FROM low WHERE low.id = i.id AND low.low = m.s) AS INT) AS first_pos FROM (SELECT DISTINCT id FROM p) i LEFT JOIN m USING (id)",
+)
 def _(spark, d):
     return P.first_divergence(fx.ord_status(spark, d), method="top_proportion")
 
 
-@query("first_convergence")
+@query(
+    "first_convergence",
+    f"WITH {ORD}, {SUF}, {RAR.format(t='suf')}, zn AS (SELECT id, pos, -z AS z FROM zs), {LOW.format(w=2, f=2, a=1).replace('FROM zs', 'FROM zn')}, x AS (SELECT id, min(pos) AS first_pos FROM low WHERE low > 0.5 GROUP BY id) "
+    "SELECT id, first_pos IS NOT NULL AS diverged, CAST(first_pos AS INT) AS first_pos FROM (SELECT DISTINCT id FROM p) LEFT JOIN x USING (id)",
+)
 def _(spark, d):
     return P.first_divergence(fx.ord_status(spark, d), backward=True, threshold=0.5)
 

@@ -71,7 +71,16 @@ def _(spark, d):
     return V.bootstrap_range(pairs, rows, [2, 3], replicates=4)
 
 
-@query("sequence_properties")
+_STATES = (*fx.EVENT_TYPES, "missing")
+_TIMES = ", ".join(f"CAST(least(floor(count(*) FILTER (s = {i}) / count(*) * 3), 2) AS INT) AS \"time_{x}\"" for i, x in enumerate(_STATES, 1))
+_COUNTS = ", ".join(f"CAST(least(count(*) FILTER (s = {i}), 3) AS INT) AS \"spells_{x}\"" for i, x in enumerate(_STATES, 1))
+
+
+@query(
+    "sequence_properties",
+    f"""WITH {fx.SQL['ev_daily']}, {fx.SPELLS_SQL}, t AS (SELECT id, {_TIMES}, CAST(arg_min(s, pos) AS INT) AS first, CAST(arg_max(s, pos) AS INT) AS last, count(*) AS n FROM p GROUP BY id), k AS (SELECT id, {_COUNTS}, count(*) AS m FROM sp GROUP BY id)
+SELECT * EXCLUDE (n, m), 1::DOUBLE AS weight, CAST(least(floor((m - 1) / greatest(n - 1, 1) * 3), 2) AS INT) AS transitions FROM t JOIN k USING (id)""",
+)
 def _(spark, d):
     return V.properties(fx.ev_daily(spark, d))
 
