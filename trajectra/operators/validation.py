@@ -20,7 +20,7 @@ from trajectra.functions import spells as S
 from . import clustering as C
 from . import discrepancy as A
 from .sequences import SequenceFrame
-from .tables import stored
+from .tables import reads_pairs_often, stored
 
 
 def _with_factors(pairs: DataFrame, rows: DataFrame, factors: Sequence[str], run, schema: str, most: int = C.MOST_DENSE) -> DataFrame:
@@ -93,20 +93,12 @@ def multifactor_association(pairs: DataFrame, rows: DataFrame, factors: Sequence
     return _with_factors(pairs, rows, factors, run, "term string, pseudo_f double, pseudo_r2 double", most)
 
 
-def individual_indicators(pairs: DataFrame, rows: DataFrame, most: int = C.MOST_DENSE) -> DataFrame:
-    """(id, marginality, gain): what a row's group leaves of its distance to the centre, and what it takes off; ``rows``: (id, weight, group)."""
-
-    def run(ids, w, d, columns):
-        g = _gower(d, w)
-        groups = np.array(columns[0])
-        left = np.zeros(len(ids))
-        for name in set(groups):
-            at = groups == name
-            inner = d[np.ix_(at, at)] @ w[at] / w[at].sum()
-            left[at] = inner - (w[at] @ inner) / w[at].sum() / 2
-        return {"id": ids, "marginality": left, "gain": np.diag(g) - left}
-
-    return _with_factors(pairs, rows, ["group"], run, "id long, marginality double, gain double", most)
+@reads_pairs_often
+def individual_indicators(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, marginality, gain): a row's distance to its group's centre, and by how much it is nearer than to that of all; ``rows``: (id, weight, group)."""
+    own = A.distances_to_center(pairs, rows).select("id", F.col("dc").alias("marginality"))
+    whole = A.distances_to_center(pairs, rows.select("id", "weight", F.lit(1).alias("group"))).select("id", "dc")
+    return own.join(whole, "id").select("id", "marginality", (F.col("dc") - F.col("marginality")).alias("gain"))
 
 
 def cluster_association(pairs: DataFrame, labels: DataFrame, covariate: str) -> DataFrame:
