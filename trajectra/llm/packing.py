@@ -8,8 +8,9 @@ bound is certified: no packing of its items has fewer bins, so only its emptiest
 bound was rounded up, can gain from others, and it keeps the rest. Certified partitions give that
 bin's items back and the others those of all their bins with gaps; the items are dealt anew into
 fewer, larger partitions, and best-fit decreasing runs again. This goes on while it saves bins and until the total meets
-the bound of the whole table, which is computed from a histogram with one row per length. The bins
-and the bound are given with each row, so the gap that is left is known.
+the bound of the whole table, which is computed from a histogram with one row per length, but ``max_exchanges`` times at
+most (4 unless asked otherwise), as each doubles what a partition holds. The bins and the bound are given with each row, so
+the gap that is left is known.
 
 No task holds more than a partition's (id, length) pairs; the driver holds the histogram and
 counts. An exchange that saves nothing is undone.
