@@ -18,3 +18,40 @@ def test_many_copies_of_few_sequences_are_expanded_by_many_tasks(spark):
     assert total == sum(r.m for r in found) == 2500 * 2499 // 2
     assert sum(r.d for r in found) == 1250 * 1250
     assert max(r.n for r in found) < 0.75 * total
+
+
+def test_directed_pairs_of_several_blocks_are_compared_once_from_the_lesser_id(spark, monkeypatch):
+    import numpy as np
+
+    from trajectra.functions import kernels as K
+
+    rng = np.random.default_rng(5)
+    sequences = sorted({"".join("abc"[v] for v in rng.integers(0, 3, rng.integers(3, 9))) for _ in range(230)}, key=lambda s: s[::-1])
+    f = _frame(spark, sequences)
+    costs = K.padded_costs((2 * (1 - np.eye(3))).tolist())
+    blocks = K.Block.of([["abc".index(c) + 1 for c in s] for s in sequences])
+    d = K.localized(blocks, blocks, costs, 0.1, 0.8)[0]
+    ids = {tuple(r.seq): r.id for r in f.arrays.collect()}
+    at = {ids[tuple("abc".index(c) + 1 for c in s)]: k for k, s in enumerate(sequences)}
+    found = D.pairwise(f, "OMloc", expansion=0.1).collect()
+    assert len(found) == len({(r.i, r.j) for r in found}) == len(sequences) * (len(sequences) - 1) // 2
+    assert all(r.i < r.j and abs(r.d - d[at[r.i], at[r.j]]) < 1e-9 for r in found)
+    # The kernel is called for one direction alone.
+    unique = D.unique_sequences(f).select("uid", "seq")
+
+    def spans(a, b, same):
+        u, v = a.column("uid").to_numpy(), b.column("uid").to_numpy()
+        return D._table(np.array([len(u) * len(v)]), np.array([0]), np.array([float(same or not len(u) or not len(v) or u.max() < v.min())]))
+
+    assert {r.d for r in D.block_pairs(unique, spans, "i long, j long, d double", ordered=True).collect()} == {1.0}
+
+
+def test_whole_costs_are_summed_in_short_integers():
+    import numpy as np
+
+    from trajectra.functions import kernels as K
+
+    assert K._whole([np.array([0.0, 1.5, 1.0])], 200.0) == (np.int16, 2.0)
+    assert K._whole([np.array([0.2, 1.8, 2.0])], 400.0) == (np.int16, 5.0)
+    assert K._whole([np.array([0.125])], 1e6) == (np.int32, 8.0)
+    assert K._whole([np.array([1 / 3])], 10.0) == (np.float64, 1.0)
