@@ -55,3 +55,36 @@ def test_whole_costs_are_summed_in_short_integers():
     assert K._whole([np.array([0.2, 1.8, 2.0])], 400.0) == (np.int16, 5.0)
     assert K._whole([np.array([0.125])], 1e6) == (np.int32, 8.0)
     assert K._whole([np.array([1 / 3])], 10.0) == (np.float64, 1.0)
+
+
+def _kept(monkeypatch):
+    """Row counts of the tables that clustering stores."""
+    from trajectra.operators import clustering as C
+    from trajectra.operators import tables
+
+    kept, plain = [], tables.stored
+
+    def stored(df):
+        out = plain(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(tables, "stored", stored)
+    monkeypatch.setattr(C, "stored", stored)
+    return kept
+
+
+def test_silhouettes_and_fuzzy_indices_store_no_pair_table(spark, monkeypatch):
+    from trajectra.operators import clustering as C
+
+    f = _frame(spark, ["".join("abc"[(k // 3**p) % 3] for p in range(4)) for k in range(60)])
+    pairs = D.pairwise(f, "HAM")
+    rows = D.unique_sequences(f).select(F.col("uid").alias("id"), "weight", (F.col("uid") % 2).cast("int").alias("cluster"))
+    kept = _kept(monkeypatch)
+    assert C.silhouettes(pairs, rows).count() == 60
+    assert not kept
+    medoids = spark.createDataFrame([(0, 0), (1, 59)], "cluster int, medoid long")
+    memberships = rows.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("cluster"), F.lit(0.5).alias("u"))
+    found = C.fuzzy_indices(pairs, memberships, medoids, rows).first()
+    assert found.db > 0 and found.xb > 0
+    assert kept and max(kept) <= 2 * 60
