@@ -88,3 +88,16 @@ def test_silhouettes_and_fuzzy_indices_store_no_pair_table(spark, monkeypatch):
     found = C.fuzzy_indices(pairs, memberships, medoids, rows).first()
     assert found.db > 0 and found.xb > 0
     assert kept and max(kept) <= 2 * 60
+
+
+def test_mismatches_are_counted_in_short_integers():
+    import numpy as np
+
+    from trajectra.operators import uncertainty as U
+
+    rng = np.random.default_rng(2)
+    for most in (6, 1000):
+        x, y = rng.integers(0, most, (7, 31)), rng.integers(0, most, (5, 31))
+        found = U._mismatches(x, y)
+        assert found.dtype == np.int16
+        assert (found == (x[:, None] != y[None]).sum(axis=2)).all()

@@ -160,13 +160,25 @@ def _replicated(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("id").cast("long").alias("uid")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "seq"))), lambda x: x["seq"]).alias("seqs"))
 
 
+def _mismatches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(n, m): places at which the rows of x and y differ, counted in short integers."""
+    kind = np.uint8 if max(x.max(initial=0), y.max(initial=0)) < 256 and min(x.min(initial=0), y.min(initial=0)) >= 0 else x.dtype
+    p, q = np.ascontiguousarray(x.T.astype(kind)), np.ascontiguousarray(y.T.astype(kind))
+    out = np.zeros((len(x), len(y)), np.int16 if x.shape[1] < 2**15 else np.int32)
+    for one, other in zip(p, q, strict=True):
+        out += one[:, None] != other[None]
+    return out
+
+
 def _hamming_blocks(a: pa.Table, b: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """i, j and (replicates, pairs) distances of two blocks."""
     u, v = a.column("uid").to_numpy(), b.column("uid").to_numpy()
     x, y = np.array(a.column("seqs").to_pylist()), np.array(b.column("seqs").to_pylist())  # (ids, replicates, positions)
     keep = u[:, None] < v[None] if same else np.ones((len(u), len(v)), bool)
     rows, columns = np.nonzero(keep)
-    d = np.stack([sum((x[:, r, t][:, None] != y[:, r, t][None]).astype(float) for t in range(x.shape[2]))[rows, columns] for r in range(x.shape[1])]) if len(rows) else np.zeros((x.shape[1] if x.ndim == 3 else 0, 0))
+    if not len(rows):
+        return np.minimum(u[rows], v[columns]), np.maximum(u[rows], v[columns]), np.zeros((x.shape[1] if x.ndim == 3 else 0, 0))
+    d = np.stack([_mismatches(x[:, r], y[:, r])[rows, columns] for r in range(x.shape[1])]).astype(float)
     return np.minimum(u[rows], v[columns]), np.maximum(u[rows], v[columns]), d
 
 
