@@ -101,3 +101,56 @@ def test_mismatches_are_counted_in_short_integers():
         found = U._mismatches(x, y)
         assert found.dtype == np.int16
         assert (found == (x[:, None] != y[None]).sum(axis=2)).all()
+
+
+def test_blocks_travel_packed_and_their_pairs_leave_part_by_part(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    sequences = sorted({"".join("abc"[v] for v in rng.integers(0, 3, 12)) for _ in range(600)})
+    f = _frame(spark, sequences)
+    unique = D.unique_sequences(f).select("uid", "seq")
+    # Sequences that a block pair holds, and the largest table that leaves it: blocks of 8 parts of 16 rows.
+    sizes = D.block_pairs(unique, lambda a, b, same: D._table(np.array([a.num_rows]), np.array([b.num_rows]), np.array([1.0])), "i long, j long, d double", block=16).collect()
+    assert max(max(r.i, r.j) for r in sizes) <= 16
+    pairs = D.pairwise(f, "HAM", block=16)
+    assert pairs.count() == pairs.select("i", "j").distinct().count() == len(sequences) * (len(sequences) - 1) // 2
+    # A block is one row to each block it meets, not a row per sequence.
+    met = D.packed_pairs(unique, lambda a, b, same: [D._table(np.array([a.num_rows]), np.array([b.num_rows]), np.array([0.0]))], "i long, j long, d double", block=128)
+    assert met.count() <= (-(-len(sequences) // 96) + 1) ** 2 / 2 + 8
+
+
+def test_pairs_against_a_reference_join_nothing_to_the_pairs(spark):
+    f = _frame(spark, ["aab", "abb", "aaa", "ccc", "cab"])
+    refs = D.to_references(f, [[1, 1, 1]], "HAM").select("i", "d").withColumnRenamed("d", "r")
+    one, other = D.elzinga_studer_pairs(f, [1, 1, 1], "HAM"), D.elzinga_studer(D.pairwise(f, "HAM"), refs)
+    assert {(r.i, r.j): r.d for r in one.collect()} == {(r.i, r.j): r.d for r in other.collect()}
+    assert "Join" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mismatches_in_bits_equal_a_loop():
+    import numpy as np
+
+    from trajectra.functions import kernels as K
+
+    rng = np.random.default_rng(3)
+    for width, k in ((1, 2), (31, 6), (33, 9), (70, 5), (300, 3)):
+        x, y = rng.integers(1, k + 1, (7, width)), rng.integers(1, k + 1, (9, width))
+        found = K.mismatches(K.bit_planes(x, k), K.bit_planes(y, k))
+        assert (found == (x[:, None] != y[None]).sum(axis=2)).all()
+        costs = K.padded_costs((1.5 * (1 - np.eye(k))).tolist())
+        assert (K.hamming(K.Block.of(x.tolist()), K.Block.of(y.tolist()), costs)[0] == 1.5 * found).all()
+
+
+def test_common_prefixes_stop_where_no_pair_goes_on():
+    import numpy as np
+
+    from trajectra.functions import kernels as K
+
+    rng = np.random.default_rng(4)
+    x, y = ([rng.integers(1, 3, rng.integers(0, 9)).tolist() for _ in range(n)] for n in (12, 15))
+    common = lambda p, q: next((t for t, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+    for backward in (False, True):
+        turned = lambda s: s[::-1] if backward else s  # noqa: B023, E731
+        d = K.common_prefix(K.Block.of(x), K.Block.of(y), backward)[0]
+        assert all(d[i, j] == len(p) + len(q) - 2 * common(turned(p), turned(q)) for i, p in enumerate(x) for j, q in enumerate(y))
