@@ -2,7 +2,8 @@
 
 Sums of squares come from grouped sums over the pair table: a group's is the weighted sum of its
 pairs' distances over its weight. Permutations shuffle labels, never pairs: replicate labels are a
-seeded hash order, and all replicates' sums are one grouped pass.
+seeded hash order, and all replicates' sums are one grouped pass. Of Hamming distances, sums come
+from ``mismatches.Mismatches`` without pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from trajectra.functions.special import chi_square_tail
 
 from .distances import both_ways
+from .mismatches import Mismatches
 from .tables import reads_pairs_often, shuffles
 
 
@@ -29,13 +31,19 @@ def _weighted(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def overall_discrepancy(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(n, weight, ss, discrepancy): sum of w_i w_j d over the pairs, over W, and over W squared."""
     total = rows.agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
-    ss = _weighted(pairs, rows.select("id", "weight")).agg(F.coalesce(F.sum(F.col("weight_i") * F.col("weight_j") * F.col("d")), F.lit(0.0)).alias("s"))
+    if isinstance(pairs, Mismatches):
+        ss = pairs.within(rows.select("id", "weight", F.lit(1).alias("group"))).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    else:
+        ss = _weighted(pairs, rows.select("id", "weight")).agg(F.coalesce(F.sum(F.col("weight_i") * F.col("weight_j") * F.col("d")), F.lit(0.0)).alias("s"))
     return total.join(F.broadcast(ss), how="cross").select("n", "weight", (F.col("s") / F.col("weight")).alias("ss"), (F.col("s") / (F.col("weight") * F.col("weight"))).alias("discrepancy"))
 
 
 def group_discrepancy(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(group, n, weight, ss, discrepancy); ``rows``: (id, weight, group)."""
-    joined = _weighted(pairs, rows).where("group_i = group_j").groupBy(F.col("group_i").alias("group")).agg(F.sum(F.col("weight_i") * F.col("weight_j") * F.col("d")).alias("s"))
+    if isinstance(pairs, Mismatches):
+        joined = pairs.within(rows)
+    else:
+        joined = _weighted(pairs, rows).where("group_i = group_j").groupBy(F.col("group_i").alias("group")).agg(F.sum(F.col("weight_i") * F.col("weight_j") * F.col("d")).alias("s"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     s = F.coalesce("s", F.lit(0.0))
     return sizes.join(joined, "group", "left").select("group", "n", "weight", (s / F.col("weight")).alias("ss"), (s / (F.col("weight") * F.col("weight"))).alias("discrepancy"))
@@ -58,9 +66,12 @@ def association(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def distances_to_center(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, group, weight, dc): each row's distance to its group's centre, mean distance less half the group's mean."""
-    sides = both_ways(pairs)
-    a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), rows.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
-    sums = sides.join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
+    if isinstance(pairs, Mismatches):
+        sums = pairs.totals(rows).select(F.col("id").alias("i"), F.col("total").alias("s"))
+    else:
+        sides = both_ways(pairs)
+        a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), rows.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
+        sums = sides.join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("s"))
     groups = group_discrepancy(pairs, rows).select("group", F.col("weight").alias("W"), "discrepancy")
     joined = rows.join(sums.select(F.col("i").alias("id"), "s"), "id", "left").join(groups, "group")
     return joined.select("id", "group", "weight", (F.coalesce("s", F.lit(0.0)) / F.col("W") - F.col("discrepancy")).alias("dc"))
@@ -244,17 +255,13 @@ def distance_tree(
     known: dict[int, TreeNode] = {}
     open_ = {1}
     for depth in range(max_depth + 1):
-        a = members.select(F.col("id").alias("i"), F.col("node"), F.col("weight").alias("wi"), *[F.col(p).cast("string").alias(f"{p}_i") for p in predictors])
-        b = members.select(F.col("id").alias("j"), F.col("node").alias("node_j"), F.col("weight").alias("wj"), *[F.col(p).cast("string").alias(f"{p}_j") for p in predictors])
-        inside = pairs.join(a, "i").join(b, "j").where((F.col("node") == F.col("node_j")) & F.col("node").isin(*open_))
-        cells = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(f"{p}_i", f"{p}_j").alias("u"), F.greatest(f"{p}_i", f"{p}_j").alias("v")) for p in predictors]))
-        sums = inside.select("node", (F.col("wi") * F.col("wj") * F.col("d")).alias("x"), cells.alias("c")).groupBy("node", "c.p", "c.u", "c.v").agg(F.sum("x").alias("x")).collect()
+        sums = _cells(pairs, members.where(F.col("node").isin(*open_)), predictors)
         sizes = members.where(F.col("node").isin(*open_)).select("node", "weight", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.col(p).cast("string").alias("u")) for p in predictors])).alias("c")).groupBy("node", "c.p", "c.u").agg(F.sum("weight").alias("w")).collect()
         splits: dict[int, tuple] = {}
         for node in sorted(open_):
             weight = {(r.p, r.u): r.w for r in sizes if r.node == node}
             total_w = sum(w for (p, _), w in weight.items() if p == predictors[0])
-            cross = {(r.p, r.u, r.v): r.x for r in sums if r.node == node}
+            cross = {(p, u, v): x for at, p, u, v, x in sums if at == node}
             ss = sum(x for (p, _, _), x in cross.items() if p == predictors[0]) / total_w if total_w else 0.0
             held = known.setdefault(node, TreeNode(node, depth, total_w, ss))
             held.n, held.ss = total_w, ss
@@ -278,6 +285,17 @@ def distance_tree(
     return root, members.select("id", F.col("node").alias("leaf"))
 
 
+def _cells(pairs: DataFrame | Mismatches, members: DataFrame, predictors: list[str]) -> list[tuple]:
+    """(node, p, u, v, sum of w_i w_j d) for each node, predictor p and two of its values, over the node's pairs that have them."""
+    if isinstance(pairs, Mismatches):
+        return pairs.cells(members, predictors)
+    a = members.select(F.col("id").alias("i"), F.col("node"), F.col("weight").alias("wi"), *[F.col(p).cast("string").alias(f"{p}_i") for p in predictors])
+    b = members.select(F.col("id").alias("j"), F.col("node").alias("node_j"), F.col("weight").alias("wj"), *[F.col(p).cast("string").alias(f"{p}_j") for p in predictors])
+    inside = pairs.join(a, "i").join(b, "j").where(F.col("node") == F.col("node_j"))
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(f"{p}_i", f"{p}_j").alias("u"), F.greatest(f"{p}_i", f"{p}_j").alias("v")) for p in predictors]))
+    return [tuple(r) for r in inside.select("node", (F.col("wi") * F.col("wj") * F.col("d")).alias("x"), cells.alias("c")).groupBy("node", "c.p", "c.u", "c.v").agg(F.sum("x").alias("x")).collect()]
+
+
 def _tested(pairs: DataFrame, members: DataFrame, splits: dict[int, tuple], known: dict[int, TreeNode], replicates: int, max_p: float, seed: int, weights: str) -> dict[int, tuple]:
     """The splits that are significant; nodes learn their p-values."""
     from .permutations import set_tests

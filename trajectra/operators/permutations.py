@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .mismatches import Mismatches
 from .tables import reads_pairs_often
 
 WEIGHTS = ("diss", "group", "replicate", "none")
@@ -51,8 +52,10 @@ def dealt(weight: np.ndarray, group: np.ndarray, groups: int, replicates: int, w
     return out
 
 
-def set_sums(pairs: DataFrame, ids: np.ndarray, sets: np.ndarray, shares: np.ndarray) -> dict[int, np.ndarray]:
+def set_sums(pairs: DataFrame | Mismatches, ids: np.ndarray, sets: np.ndarray, shares: np.ndarray) -> dict[int, np.ndarray]:
     """Of each set (groups + 1, replicates): for every group, and all rows, the sum of w_i w_j d over the set's pairs. ``ids`` are in order."""
+    if isinstance(pairs, Mismatches):
+        return pairs.set_sums(ids, sets, shares)
     n_groups, _, width = shares.shape
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from .discrepancy import overall_discrepancy
 from .distances import both_ways
+from .mismatches import Mismatches
 from .tables import reads_pairs_often, running, stored
 
 
 def weighted_distance_sums(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, group, weight, total): the weighted sum of distances to the rows of one's own group; ``rows``: (id, weight, group)."""
+    if isinstance(pairs, Mismatches):
+        return pairs.totals(rows)
     a, b = rows.select(F.col("id").alias("i"), F.col("group").alias("gi")), rows.select(F.col("id").alias("j"), F.col("group").alias("gj"), F.col("weight").alias("wj"))
     sums = both_ways(pairs).join(a, "i").join(b, "j").where("gi = gj").groupBy("i").agg(F.sum(F.col("wj") * F.col("d")).alias("total"))
     return rows.join(sums.withColumnRenamed("i", "id"), "id", "left").select("id", "group", "weight", F.coalesce("total", F.lit(0.0)).alias("total"))
@@ -25,6 +28,9 @@ def medoids(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def neighbourhood_density(pairs: DataFrame, rows: DataFrame, share: float = 0.1) -> DataFrame:
     """(id, density): weight within ``share`` of the largest distance, one's own included."""
+    if isinstance(pairs, Mismatches):
+        near = pairs.near(rows, (pairs.largest() or 0.0) * share)
+        return rows.join(near, "id", "left").select("id", (F.col("weight") + F.coalesce("s", F.lit(0.0))).alias("density"))
     radius = pairs.agg((F.max("d") * share).alias("r"))
     near = both_ways(pairs).join(F.broadcast(radius), how="cross").where("d < r").join(rows.select(F.col("id").alias("j"), F.col("weight").alias("wj")), "j").groupBy("i").agg(F.sum("wj").alias("s"))
     return rows.join(near.withColumnRenamed("i", "id"), "id", "left").select("id", (F.col("weight") + F.coalesce("s", F.lit(0.0))).alias("density"))
@@ -34,12 +40,16 @@ def neighbourhood_density(pairs: DataFrame, rows: DataFrame, share: float = 0.1)
 def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, share: float = 0.1, most: int = 20, criterion: str = "density", seed: int = 1) -> DataFrame:
     """(rank, id, covered, share): greedy picks by density, weight (``freq``), nearness to all (``dist``) or chance (``random``), none within the radius of another, until ``coverage`` of the weight.
 
-    The loop runs over picks, of which there are ``most`` at most; each is a scan of the table.
+    The loop runs over picks, of which there are ``most`` at most; each is a scan of the table, or of the sequences alone
+    where ``pairs`` are mismatches.
     """
     spark = rows.sparkSession
-    radius = pairs.agg(F.max("d")).first()[0] or 0.0
+    summed = isinstance(pairs, Mismatches)
+    radius = (pairs.largest() if summed else pairs.agg(F.max("d")).first()[0]) or 0.0
     limit = radius * share
-    if criterion == "density":
+    if criterion == "density" and summed:
+        score = rows.join(pairs.near(rows, limit), "id", "left").select("id", (F.col("weight") + F.coalesce("s", F.lit(0.0))).alias("density"))
+    elif criterion == "density":
         score = neighbourhood_density(pairs, rows, share)
     elif criterion == "freq":
         score = rows.select("id", F.col("weight").alias("density"))
@@ -51,7 +61,7 @@ def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, s
         raise ValueError("criterion is density, freq, dist or random")
     score = stored(score)
     total = rows.agg(F.sum("weight")).first()[0] or 0.0
-    sides = both_ways(pairs).where(F.col("d") < limit)
+    sides = None if summed else both_ways(pairs).where(F.col("d") < limit)
     picked: list[int] = []
     out = []
     covered = 0.0
@@ -61,7 +71,8 @@ def representatives(pairs: DataFrame, rows: DataFrame, coverage: float = 0.25, s
         if top is None:
             break
         picked.append(top.id)
-        near = sides.where(F.col("i").isin(picked)).select(F.col("j").alias("id")).distinct().unionByName(rows.where(F.col("id").isin(picked)).select("id")).distinct()
+        beside = pairs.beside(picked, limit) if summed else sides.where(F.col("i").isin(picked)).select(F.col("j").alias("id")).distinct()
+        near = beside.unionByName(rows.where(F.col("id").isin(picked)).select("id")).distinct()
         covered = rows.join(near, "id", "left_semi").agg(F.sum("weight")).first()[0]
         out.append((len(picked), int(top.id), float(covered), float(covered / total)))
         left = score.join(near, "id", "left_anti")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trajectra.operators import clustering as C
 from trajectra.operators import discrepancy as A
 from trajectra.operators import distances as D
+from trajectra.operators import mismatches as M
 from trajectra.operators import permutations as T
 from trajectra.operators import representatives as R
 from trajectra.operators import schedules as H
@@ -38,6 +39,13 @@ def _ham(spark, d):
     return D.pairwise(frame, "HAM"), rows
 
 
+def _sums(spark, d):
+    """The same where sums of the distances are enough."""
+    frame = fx.ev_daily(spark, d)
+    rows = D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight", (F.col("uid") % 3).cast("int").alias("group"))
+    return M.Mismatches(frame), rows
+
+
 #: CTEs "h" (i, j, d), "r" (id, w, g), "b" (both directions with weights and groups), and sums of squares.
 HAM = PANEL + """, h AS (SELECT i, j, CAST(list_sum(list_transform(range(1, 32), lambda t: CASE WHEN x[t] = y[t] THEN 0 ELSE 1 END)) AS DOUBLE) AS d FROM pr),
  r AS (SELECT uid AS id, CAST((SELECT count(*) FROM arr WHERE arr.q = u.q) AS DOUBLE) AS w, CAST(uid % 3 AS INT) AS g FROM u),
@@ -51,13 +59,13 @@ HAM = PANEL + """, h AS (SELECT i, j, CAST(list_sum(list_transform(range(1, 32),
 
 @query("overall_discrepancy", HAM + "SELECT n, W AS weight, round(ss, 6) AS ss, round(ss / W, 6) AS discrepancy FROM st, tw")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return A.overall_discrepancy(pairs, rows)
 
 
 @query("group_discrepancy", HAM + 'SELECT g AS "group", n, W AS weight, round(s / W, 6) AS ss, round(s / W / W, 6) AS discrepancy FROM sg JOIN gw USING (g)')
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return A.group_discrepancy(pairs, rows)
 
 
@@ -66,25 +74,25 @@ LEV = ", dcs AS (SELECT i, gi, sum(wj * d) AS s FROM b WHERE gi = gj GROUP BY i,
 
 @query("association", HAM + LEV + " SELECT n, k AS groups, round(st.ss, 6) AS ss_total, round(sw.ss, 6) AS ss_within, round(st.ss - sw.ss, 6) AS ss_explained, round(((st.ss - sw.ss) / (k - 1)) / (sw.ss / (W - k)), 6) AS pseudo_f, round(1 - sw.ss / st.ss, 6) AS pseudo_r2, round(levene, 6) AS levene FROM st, sw, tw, lt")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return A.association(pairs, rows)
 
 
 @query("distances_to_center", HAM + LEV + ' SELECT id, g AS "group", w AS weight, round(dc, 6) AS dc FROM dc')
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return A.distances_to_center(pairs, rows)
 
 
 @query("medoids", HAM + ', t AS (SELECT r.id, r.g, round(coalesce(sum(b.wj * b.d), 0), 6) AS total FROM r LEFT JOIN b ON b.i = r.id AND b.gi = b.gj GROUP BY r.id, r.g) SELECT g AS "group", arg_min(id, (total, id)) AS medoid, min(total) AS total FROM t GROUP BY g')
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return R.medoids(pairs, rows)
 
 
 @query("neighbourhood_density", HAM + ", m AS (SELECT max(d) * 0.7 AS r FROM h) SELECT r.id, round(any_value(r.w) + coalesce(sum(b.wj) FILTER (b.d < m.r), 0), 6) AS density FROM r CROSS JOIN m LEFT JOIN b ON b.i = r.id GROUP BY r.id")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return R.neighbourhood_density(pairs, rows, 0.7)
 
 
@@ -96,7 +104,7 @@ def _(spark, d):
 
 @query("group_difference", HAM.replace("uid % 3", "uid % 2") + ", x AS (SELECT n * (ln(st.ss / n) - ln(sw.ss / n)) AS lrt, n FROM st, sw, tw) SELECT n, round(lrt, 6) AS lrt, round(lrt - ln(n), 6) AS bic, round(exp((lrt - ln(n)) / 2), 6) AS bayes_factor FROM x")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return A.group_difference(pairs, rows.withColumn("group", (F.col("id") % 2).cast("int"))).drop("p_value")
 
 
@@ -114,7 +122,7 @@ def _(spark, d):
 
 @query("representatives")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return R.representatives(pairs, rows.select("id", "weight"), share=0.7)
 
 
@@ -126,14 +134,14 @@ def _(spark, d):
 
 @query("distance_tree")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     rows = rows.withColumn("parity", F.col("id") % 2).withColumn("fifth", F.col("id") % 5)
     return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0)[1]
 
 
 @query("distance_tree_tested")
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     rows = rows.withColumn("parity", F.col("id") % 2).withColumn("fifth", F.col("id") % 5)
     return A.distance_tree(pairs, rows, ["parity", "fifth"], min_size=10, max_depth=2, min_r2=0.0, replicates=49, max_p=0.9)[1]
 
@@ -164,7 +172,7 @@ n AS (SELECT id % 2 AS s, id % 3 AS g, count(*) AS n FROM a GROUP BY ALL), w AS
 SELECT CAST(s AS BIGINT) AS set, CAST(k AS INT) AS groups, round((d / n - wi) / (k - 1) / (wi / (n - k)), 6) AS pseudo_f, round(1 - wi / (d / n), 6) AS pseudo_r2 FROM z JOIN t USING (s)""",
 )
 def _(spark, d):
-    pairs, rows = _ham(spark, d)
+    pairs, rows = _sums(spark, d)
     return T.set_tests(pairs, rows.select("id", "weight", (F.col("id") % 2).alias("set"), (F.col("id") % 3).alias("group")), 19).drop("p_value")
 
 
@@ -344,5 +352,5 @@ for _criterion in ("freq", "dist", "random"):
 
     @query(f"representatives_{_criterion}")
     def _(spark, d, criterion=_criterion):
-        pairs, rows = _ham(spark, d)
+        pairs, rows = _sums(spark, d)
         return R.representatives(pairs, rows.select("id", "weight"), share=0.7, criterion=criterion)

@@ -9,6 +9,7 @@ from trajectra.operators import distances as D
 from trajectra.operators import indicators as I
 from trajectra.operators import multidomain as M
 from trajectra.operators import validation as V
+from trajectra.operators.mismatches import Mismatches
 from trajectra.sources import fixtures as fx
 
 from .q_groups import HAM, LEV
@@ -87,8 +88,8 @@ def _(spark, d):
 
 @query("property_tree")
 def _(spark, d):
-    frame, pairs, _ = _rows(spark, d)
-    return V.property_tree(frame, pairs, min_size=10, max_depth=2)[1]
+    frame = fx.ev_daily(spark, d)
+    return V.property_tree(frame, Mismatches(frame), min_size=10, max_depth=2)[1]
 
 
 @query("soft_classification")
