@@ -182,6 +182,12 @@ def _weighted(spark, d):
     return D.pairwise(frame, "HAM"), D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight")
 
 
+def _panel(spark, d):
+    """The same without a pair table."""
+    frame = fx.ev_daily(spark, d)
+    return M.Mismatches(frame), D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight")
+
+
 @query("linkage")
 def _(spark, d):
     return C.hierarchical(*_weighted(spark, d), method="average")
@@ -209,12 +215,12 @@ def _(spark, d):
 
 @query("k_medoids")
 def _(spark, d):
-    return C.k_medoids(*_weighted(spark, d), k=4)
+    return C.k_medoids(*_panel(spark, d), k=4)
 
 
 @query("fuzzy_medoids")
 def _(spark, d):
-    return C.fuzzy_medoids(*_weighted(spark, d), k=3)
+    return C.fuzzy_medoids(*_panel(spark, d), k=3)
 
 
 @query("fuzzy_analysis")
@@ -224,12 +230,12 @@ def _(spark, d):
 
 @query("crispness")
 def _(spark, d):
-    return C.crispness(C.fuzzy_medoids(*_weighted(spark, d), k=3))
+    return C.crispness(C.fuzzy_medoids(*_panel(spark, d), k=3))
 
 
 @query("most_typical")
 def _(spark, d):
-    return C.most_typical(C.fuzzy_medoids(*_weighted(spark, d), k=3))
+    return C.most_typical(C.fuzzy_medoids(*_panel(spark, d), k=3))
 
 
 @query("clara")
@@ -296,12 +302,12 @@ def _(spark, d):
 
 @query("fuzzy_medoids_possibilistic")
 def _(spark, d):
-    return C.fuzzy_medoids(*_weighted(spark, d), k=3, kind="PCMdd")
+    return C.fuzzy_medoids(*_panel(spark, d), k=3, kind="PCMdd")
 
 
 @query("fuzzy_medoids_hard_noise")
 def _(spark, d):
-    return C.fuzzy_medoids(*_weighted(spark, d), k=3, noise=18.0, kind="HNCdd")
+    return C.fuzzy_medoids(*_panel(spark, d), k=3, noise=18.0, kind="HNCdd")
 
 
 @query("association_statistics")

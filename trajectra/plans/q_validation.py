@@ -35,15 +35,22 @@ def _rows(spark, d):
     return frame, D.pairwise(frame, "HAM"), rows
 
 
+def _sums(spark, d):
+    """The same where sums of distances, or medoids, are enough."""
+    frame = fx.ev_daily(spark, d)
+    rows = D.unique_sequences(frame).select(F.col("uid").alias("id"), "weight")
+    return frame, Mismatches(frame), rows
+
+
 @query("single_factor_by_projection", HAM + "SELECT t AS term, round(((st.ss - sw.ss) / (k - 1)) / (sw.ss / (W - k)), 6) AS pseudo_f, round(1 - sw.ss / st.ss, 6) AS pseudo_r2 FROM st, sw, tw, (SELECT unnest(['g', 'total']) AS t)")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     return V.multifactor_association(pairs, rows.withColumn("g", F.col("id") % 3), ["g"])
 
 
 @query("multifactor_association")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     return V.multifactor_association(pairs, rows.withColumns({"g": F.col("id") % 3, "h": F.col("id") % 2}), ["g", "h"])
 
 
@@ -55,7 +62,7 @@ def _(spark, d):
 
 @query("cluster_association")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     labels = C.k_medoids(pairs, rows, 3).join(rows, "id").select("id", "weight", "cluster", (F.col("id") % 2).alias("parity"))
     return V.cluster_association(pairs, labels, "parity")
 
@@ -68,7 +75,7 @@ def _(spark, d):
 
 @query("bootstrap_range")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     return V.bootstrap_range(pairs, rows, [2, 3], replicates=4)
 
 
@@ -94,19 +101,19 @@ def _(spark, d):
 
 @query("soft_classification")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     return V.soft_classification(C.fuzzy_medoids(pairs, rows, 3), 1)
 
 
 @query("pseudoclass_regression")
 def _(spark, d):
-    frame, pairs, rows = _rows(spark, d)
+    frame, pairs, rows = _sums(spark, d)
     return V.pseudoclass_regression(C.fuzzy_medoids(pairs, rows, 3), I.complexity(frame).select("id", F.col("complexity").alias("y")))
 
 
 @query("dirichlet_regression")
 def _(spark, d):
-    frame, pairs, rows = _rows(spark, d)
+    frame, pairs, rows = _sums(spark, d)
     soft = C.fuzzy_medoids(pairs, rows, 2).groupBy("id").agg(*[F.max(F.when(F.col("cluster") == c, F.col("u"))).alias(f"u{c}") for c in (1, 2)])
     return V.dirichlet_regression(soft.withColumn("x", F.col("id") % 2), ["u1", "u2"], ["x"])
 
@@ -121,14 +128,14 @@ def _(spark, d):
 
 @query("pseudoclass_ols")
 def _(spark, d):
-    frame, pairs, rows = _rows(spark, d)
+    frame, pairs, rows = _sums(spark, d)
     people = I.complexity(frame).select("id", F.col("complexity").alias("y"), "entropy")
     return V.pseudoclass_ols(C.fuzzy_medoids(pairs, rows, 3), people, "y", ["entropy"])
 
 
 @query("beta_regression")
 def _(spark, d):
-    _, pairs, rows = _rows(spark, d)
+    _, pairs, rows = _sums(spark, d)
     first = C.fuzzy_medoids(pairs, rows, 2).where("cluster = 1").withColumn("x", F.col("id") % 2)
     return V.beta_regression(first, "u", ["x"])
 
