@@ -177,3 +177,20 @@ def test_tiles_in_order_of_length_give_the_same_distances():
     how = Measure(lambda a, b: K.optimal_matching(a, b, sm, indel), "none")
     x, y = how.block(xs), how.block(ys)
     assert (how.distances(x, y) == K.optimal_matching(x, y, sm, indel)[0]).all()
+
+
+def test_gains_that_fit_a_byte_are_summed_in_bytes(monkeypatch):
+    kinds, plain = [], K._scaled
+    monkeypatch.setattr(K, "_scaled", lambda values, kind, scale: kinds.append(kind) or plain(values, kind, scale))
+    costs, indels = K.padded_costs((2.0 * (1 - np.eye(3))).tolist()), np.array([0, 0.5, 0.75, 1.0])
+    rng = np.random.default_rng(1)
+    for longest, kind in ((20, np.uint8), (63, np.uint8), (64, np.int16), (90, np.int16)):
+        x = [rng.integers(1, 4, rng.integers(1, longest)).tolist() for _ in range(5)] + [[3] * longest]
+        raw = K.optimal_matching(K.Block.of(x), K.Block.of(x), costs, indels)[0]
+        assert kinds.pop() is kind
+        check(raw[:, -1:], x, x[-1:], lambda p, q: edit(p, q, lambda i, j: costs[p[i], q[j]], lambda i, j: indels[p[i]], lambda i, j: indels[q[j]]))
+    # The limit is that of the best matches: 127 of 2 are 254 and just fit.
+    for longest, kind in ((127, np.uint8), (128, np.int16)):
+        x = K.Block.of([[1] * longest, [1] * 3])
+        assert K.optimal_matching(x, x, K.padded_costs([[0.0, 3.0], [3.0, 0.0]]), np.array([0, 1.0, 0.5]))[0].tolist() == [[0.0, longest - 3.0], [longest - 3.0, 0.0]]
+        assert kinds.pop() is kind
