@@ -199,3 +199,19 @@ def test_spell_prefix_distances_repeat_from_row_to_row(spark):
 
     assert {(r.i, r.j): r.d for r in pairs.collect()} == _loops(D.unique_sequences(f).collect(), distance)
     assert n == pairs.select("i", "j").distinct().count()
+
+
+def test_shared_spell_time_from_the_end_repeats_from_row_to_row(spark):
+    from trajectra.functions import kernels as K
+
+    f = _many(spark)
+    pairs = D.pairwise(f, "RLCPmst")
+    _, i, d = _changes(pairs)
+    assert i < 0.1 and d < 0.3  # about 0.48 and 0.61 where blocks are dealt by hash
+
+    def distance(x, y):
+        (p, u), (q, v) = K.spells_of(x[::-1]), K.spells_of(y[::-1])
+        c = next((t for t, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+        return len(x) + len(y) - 2.0 * sum(min(u[t], v[t]) for t in range(c))
+
+    assert {(r.i, r.j): r.d for r in pairs.collect()} == _loops(D.unique_sequences(f).collect(), distance)
