@@ -224,3 +224,16 @@ def test_prefix_distances_repeat_from_row_to_row(spark):
     assert i < 0.1 and d < 0.4  # about 0.48 and 0.77 where blocks are dealt by hash
     common = lambda x, y: next((t for t, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
     assert {(r.i, r.j): r.d for r in pairs.collect()} == _loops(D.unique_sequences(f).collect(), lambda x, y: len(x) + len(y) - 2.0 * common(x, y))
+
+
+def _equal_ones(spark):
+    return _frame(spark, sorted("".join("abc"[(k * 7919 // 3**p) % 3] for p in range(7)) for k in range(700)))
+
+
+def test_summed_distances_keep_an_id_in_a_run_of_pairs(spark):
+    from trajectra.operators import multidomain as M
+
+    f = _equal_ones(spark)
+    pairs = M.summed_distances([f, f], [{"method": "HAM"}, {"method": "HAM"}], [1.0, 2.0])
+    assert _changes(pairs)[1] < 0.1  # about 0.48 where blocks are dealt by hash
+    assert {(r.i, r.j): r.d for r in pairs.collect()} == _loops(D.unique_sequences(f).collect(), lambda x, y: 3.0 * sum(a != b for a, b in zip(x, y)))
