@@ -237,3 +237,11 @@ def test_summed_distances_keep_an_id_in_a_run_of_pairs(spark):
     pairs = M.summed_distances([f, f], [{"method": "HAM"}, {"method": "HAM"}], [1.0, 2.0])
     assert _changes(pairs)[1] < 0.1  # about 0.48 where blocks are dealt by hash
     assert {(r.i, r.j): r.d for r in pairs.collect()} == _loops(D.unique_sequences(f).collect(), lambda x, y: 3.0 * sum(a != b for a, b in zip(x, y)))
+
+
+def test_profile_distances_keep_an_id_in_a_run_of_pairs(spark):
+    f = _equal_ones(spark)
+    pairs = D.pairwise(f, "EUCLID", norm="auto")
+    assert _changes(pairs)[1] < 0.1  # about 0.48 where blocks are dealt by hash
+    found, wanted = {(r.i, r.j): r.d for r in pairs.collect()}, _loops(D.unique_sequences(f).collect(), lambda x, y: (sum(a != b for a, b in zip(x, y)) / 7) ** 0.5)
+    assert found.keys() == wanted.keys() and all(abs(found[k] - wanted[k]) < 1e-12 for k in wanted)
