@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trajectra.operators import clustering as C
 from trajectra.operators import distances as D
+from trajectra.operators import events as E
 from trajectra.operators import multidomain as M
 from trajectra.operators import representatives as R
 from trajectra.operators import uncertainty as U
@@ -41,3 +42,32 @@ def test_merged_groups_need_no_pair_table(spark, monkeypatch):
     expected = sorted(map(tuple, V.merge_groups(pairs, rows, 3).collect()))
     no_pairs(monkeypatch)
     assert sorted(map(tuple, V.merge_groups(Mismatches(frame), rows, 3).collect())) == expected
+
+
+def test_fuzzy_indices_need_no_pair_table(spark, monkeypatch):
+    frame, pairs, rows = panel(spark)
+    grouped = rows.withColumn("group", (F.col("id") % 3).cast("int"))
+    medoids = R.medoids(pairs, grouped).select(F.col("group").alias("cluster"), "medoid")
+    u = F.when(F.col("group") == F.col("cluster"), 0.6).otherwise(0.2)
+    memberships = grouped.select("id", "group", F.explode(F.array(*map(F.lit, range(3)))).alias("cluster")).select("id", "cluster", u.alias("u"))
+    expected = C.fuzzy_indices(pairs, memberships, medoids, rows).first()
+    no_pairs(monkeypatch)
+    assert C.fuzzy_indices(Mismatches(frame), memberships, medoids, rows).first() == pytest.approx(expected)
+
+
+def test_leave_one_out_needs_no_pair_table(spark):
+    one, two = panel(spark, k=3)[0], panel(spark, k=4, seed=2)[0]
+    rows = D.unique_sequences(one).select(F.col("uid").alias("id"), "weight")
+    ids = rows.select("id")
+    tables = [D.expand(f, D.pairwise(f, "HAM")).join(ids.withColumnRenamed("id", "i"), "i").join(ids.withColumnRenamed("id", "j"), "j") for f in (one, two)]
+    expected = sorted(map(tuple, M.leave_one_out(tables, rows, 2).collect()))
+    found = sorted(map(tuple, M.leave_one_out([Mismatches(one), Mismatches(two)], rows, 2).collect()))
+    assert np.allclose(found, expected)
+
+
+def test_mining_deals_out_what_its_files_make_look_small(spark):
+    rows = spark.createDataFrame([(i, float(t), "abc"[(i + t) % 3]) for i in range(30) for t in range(4)], "id long, ts double, event string")
+    ends, _ = E._keep_frequent(E.stored(rows.select(F.array(F.array("event")).alias("pattern"), "id", F.col("ts").alias("first"), F.col("ts").alias("last"))), rows.select("id").distinct().withColumn("weight", F.lit(1.0)), 1, E.Constraint())
+    plan = ends.join(rows.withColumnRenamed("ts", "t"), "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    assert E.frequent_subsequences(rows, 30).where("length = 4").count() == 0
