@@ -226,28 +226,20 @@ def distinct_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("rep").agg(F.countDistinct("seq").alias("n_unique"))
 
 
-def replicate_agreement(rows: DataFrame, k: int, most: int = 2_000) -> DataFrame:
-    """(rep, ari, jaccard): agreement of a replicate's k-medoids with those of the data; a task per replicate, of up to ``most`` ids."""
-    from .clustering import _agreement_of, partition_medoids
-
-    n = rows.where("rep = 0").count()
-    if n > most:
-        raise ValueError(f"{n} ids are too many for a matrix of {most}")
-
-    def labels(seqs: np.ndarray) -> np.ndarray:
-        d = sum((seqs[:, t][:, None] != seqs[:, t][None]).astype(float) for t in range(seqs.shape[1]))
-        return d[:, partition_medoids(d, np.ones(len(seqs)), k)].argmin(axis=1)
-
-    seen = rows.where("rep = 0").select("id", "seq").toArrow().sort_by("id")
-    known = labels(np.array(seen.column("seq").to_pylist()))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        own = labels(np.array(table.column("seq").to_pylist()))
-        counts: dict = {}
-        for key in zip(own.tolist(), known.tolist(), strict=True):
-            counts[key] = counts.get(key, 0.0) + 1.0
-        ari, jaccard = _agreement_of(counts)
-        return pa.table({"rep": table.column("rep").slice(0, 1), "ari": [ari], "jaccard": [jaccard]})
-
-    return rows.where("rep > 0").select("rep", "id", "seq").groupBy("rep").applyInArrow(run, "rep int, ari double, jaccard double")
+def replicate_agreement(rows: DataFrame, k: int) -> DataFrame:
+    """(rep, ari, jaccard): agreement of a replicate's k-medoids with those of the data; each replicate is a panel, so that there is no matrix."""
+    from .clustering import agreement, k_medoids
+    from .mismatches import Mismatches
+
+    rows = stored(rows)
+    states = tuple(str(c) for c in range(rows.agg(F.max(F.array_max("seq"))).first()[0] or 0))
+    known, out = None, None
+    for rep in sorted(r.rep for r in rows.select("rep").distinct().collect()):  # the loop is over the replicates
+        own = rows.where(F.col("rep") == rep).select("id", "seq", F.lit(1.0).alias("weight"))
+        labels = stored(k_medoids(Mismatches.of_rows(ArrayFrame(own, states)), own.select("id", "weight"), k).select("id", "cluster"))
+        if rep == 0:
+            known = labels
+            continue
+        one = agreement(labels, known).select(F.lit(rep).cast("int").alias("rep"), "ari", "jaccard")
+        out = one if out is None else out.unionByName(one)
+    return rows.sparkSession.createDataFrame([], "rep int, ari double, jaccard double") if out is None else out
